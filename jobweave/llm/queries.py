@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets, simhash
+from . import decontaminate, piecewise, secrets, simhash
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compared(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_secrets, op6_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_piecewise, op5_secrets, op6_simhash)}
 ORACLE_SQL: dict[str, str] = {}
