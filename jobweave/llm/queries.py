@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, piecewise, secrets, simhash
+from . import bpe, decontaminate, piecewise, secrets, simhash
 from .common import table
 
 
@@ -12,6 +13,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def op4_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compared(table(spark, sf_dir, "documents"))
 
@@ -24,5 +30,5 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_piecewise, op5_secrets, op6_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_piecewise, op5_secrets, op6_simhash)}
 ORACLE_SQL: dict[str, str] = {}
