@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, piecewise, secrets, simhash
+from . import bpe, decontaminate, piecewise, secrets, simhash, urlfilter
 from .common import table
 
 
@@ -30,5 +30,34 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_piecewise, op5_secrets, op6_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+#: The rules of op8_urlfilter: action, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op8_urlfilter)}
+#: The aliases' part follows canonical and refresh edges that name an absolute URL.
+ORACLE_SQL: dict[str, str] = {
+    "op8_urlfilter": r"""
+WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+named AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
+split AS (SELECT page_id, url, html,
+  translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM named),
+links AS (
+  SELECT url AS a, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM split
+  UNION SELECT url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM split),
+both_ways AS (SELECT a, b FROM links WHERE b LIKE '%://%' AND a <> b UNION SELECT b, a FROM links WHERE b LIKE '%://%' AND a <> b),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+target AS (SELECT a, b, translate(regexp_extract(b, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(b, '://[^/?#]*([^?#]*)', 1) AS path FROM reach),
+ruled AS (SELECT t.a, arg_max(r.verdict, length(r.host) + length(r.path)) AS verdict FROM target t JOIN rules r ON (t.host = r.host OR ends_with(t.host, '.' || r.host)) AND starts_with(t.path, r.path) GROUP BY t.a, t.b),
+alias AS (SELECT a, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS verdict FROM ruled GROUP BY a),
+own AS (SELECT s.host, s.path, arg_max(r.host || r.path, length(r.host) + length(r.path)) AS rule, arg_max(r.verdict, length(r.host) + length(r.path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM split) s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.host, s.path)
+SELECT s.page_id, s.host, s.path, o.rule, coalesce(o.verdict, a.verdict, 'allow') AS verdict
+FROM split s LEFT JOIN own o ON s.host = o.host AND s.path = o.path LEFT JOIN alias a ON s.url = a.a
+""",
+}
