@@ -153,14 +153,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(near_edited), pa.array(near_next)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, doc_id, text, own: each bucket holds a range of doc_id in order, and then the first row after it.
-
-    The ranges come from approximate quantiles of doc_id; the rows that begin
-    them are found by an aggregate of one row a bucket, so no window spans the
-    table.  The last bucket is closed by the first row of all.  Rows of one
-    doc_id stay in one bucket, ordered by text; null doc_ids come first.
-    """
+def by_range(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, text, bucket: buckets hold ascending ranges of doc_id, cut at approximate quantiles; nulls are in bucket 0."""
     docs = of_rows(docs, "doc_id", "text")
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
     edges = [int(c) for c in cuts]
@@ -170,7 +164,28 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
         known = ids.notna().to_numpy()
         return pd.Series(np.where(known, np.searchsorted(edges, ids.where(known, 0).astype("int64"), "right"), 0).astype("int32"))
 
-    dealt = docs.withColumn("bucket", bucket_of("doc_id"))
+    return docs.withColumn("bucket", bucket_of("doc_id"))
+
+
+def buckets_of(docs: DataFrame) -> int:
+    return 4 * max(8, docs.rdd.getNumPartitions())
+
+
+def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, text, bucket, with each bucket in one partition, by doc_id and then text."""
+    dealt = by_range(docs, buckets or buckets_of(docs))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+
+
+def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, doc_id, text, own: each bucket holds a range of doc_id in order, and then the first row after it.
+
+    The ranges come from approximate quantiles of doc_id; the rows that begin
+    them are found by an aggregate of one row a bucket, so no window spans the
+    table.  The last bucket is closed by the first row of all.  Rows of one
+    doc_id stay in one bucket, ordered by text; null doc_ids come first.
+    """
+    dealt = by_range(docs, buckets)
     firsts = dealt.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("least")).orderBy("bucket").collect()
     serves = {}  # bucket -> the bucket before it that is not empty, around the end
     for i, r in enumerate(firsts):
@@ -187,6 +202,5 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 
 def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and the likenesses to that and to the next document's."""
-    buckets = buckets or 4 * max(8, docs.rdd.getNumPartitions())
-    rows = with_next(docs, buckets)
+    rows = with_next(docs, buckets or buckets_of(docs))
     return rows.repartition("bucket").sortWithinPartitions("bucket", "turn", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(_run, _SCHEMA)

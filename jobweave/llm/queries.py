@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, piecewise, secrets, simhash, urlfilter
+from . import bpe, decontaminate, piecewise, secrets, simhash, tokenfile, urlfilter
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(table(spark, sf_dir, "documents"))
 
 
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as definition:
+        return tokenfile.round_trip(table(spark, sf_dir, "documents"), definition.read())
+
+
 #: The rules of op8_urlfilter: action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -38,7 +43,7 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op8_urlfilter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter)}
 #: The aliases' part follows canonical and refresh edges that name an absolute URL.
 ORACLE_SQL: dict[str, str] = {
     "op8_urlfilter": r"""
