@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, piecewise, secrets, simhash, tokenfile, urlfilter
+from . import bpe, decontaminate, linededup, piecewise, secrets, simhash, tokenfile, urlfilter
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -43,7 +47,7 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter)}
 #: The aliases' part follows canonical and refresh edges that name an absolute URL.
 ORACLE_SQL: dict[str, str] = {
     "op8_urlfilter": r"""
