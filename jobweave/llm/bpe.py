@@ -218,8 +218,8 @@ def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return rows.mapInArrow(run, rows.select(*kept).schema.add("text", "string"))
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids, and of the bytes they decode to."""
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: of the ids, and of the bytes they decode to; with_ids: also ids."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +230,12 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
             raw, data = ids.astype("<u4").tobytes(), vocabulary.decode(ids)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             lengths = np.concatenate([[0], np.cumsum(vocabulary.sizes[ids])])[ends].tolist()
-            ends = (4 * ends).tolist()
+            cuts = (4 * ends).tolist()
             sha = lambda b, cuts: pa.array([hashlib.sha256(b[x:y]).hexdigest() for x, y in zip(cuts, cuts[1:], strict=False)], pa.string())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes), sha(raw, ends), sha(data, lengths)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = {"doc_id": column(batch, "doc_id"), "n_tokens": pa.array(sizes), "ids_sha256": sha(raw, cuts), "decoded_sha256": sha(data, lengths)}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_pydict(out)
 
-    return of_rows(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return of_rows(docs, "doc_id", "text").mapInArrow(run, schema)

@@ -262,3 +262,11 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     schema = docs.select(*names).schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
     return rows.mapInArrow(run, schema).select(*docs.columns, "n_lines", "n_dropped")
+
+
+def remaining(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The columns of docs, text without its dropped lines, n_chars (if any) anew; a document that lost all its lines goes."""
+    rows = deduplicated(docs, limit).where("n_dropped = 0 or n_dropped < n_lines")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*[c for c in docs.columns if c in rows.columns])

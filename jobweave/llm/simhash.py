@@ -180,12 +180,28 @@ def grouped(docs: DataFrame, words: int = WORDS, bits: int = BITS, limit: int =
     return _classes(prints, bits, limit).select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _classes(prints: DataFrame, bits: int, limit: int) -> DataFrame:
-    """prints with component_id."""
+def _classes(prints: DataFrame, bits: int, limit: int, name: str = "component_id") -> DataFrame:
+    """prints with component_id, or with class, the least fingerprint of the component."""
     each = checkpoint(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")))
     linked = components(links(each.select("fp"), bits, limit))
     member = linked.join(each, linked.node == each.fp).select("fp", "component", "least")
-    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = member.join(ids, "component").select(F.col("fp").alias("node"), "component_id")
-    each = each.join(of, each.fp == of.node, "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    if name == "class":
+        each = each.join(member.select(F.col("fp").alias("node"), "component"), each.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias(name))
+    else:
+        ids = member.groupBy("component").agg(F.min("least").alias(name))
+        of = member.join(ids, "component").select(F.col("fp").alias("node"), name)
+        each = each.join(of, each.fp == of.node, "left").select("fp", F.coalesce(name, "least").alias(name))
     return prints.join(each, prints.fingerprint == each.fp).drop("fp")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
+    """One row of docs, all columns, for each component: that of the least doc_id, then text hash.
+
+    Nulls come first among ids; equal rows count as one.
+    """
+    rows = of_rows(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
+    prints = checkpoint(signatures(rows, words))
+    kept = _classes(prints, bits, limit, "class").groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__doc"), F.col("k.th").alias("__th"))
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(kept["__doc"]) & (keyed["__text"] == kept["__th"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
