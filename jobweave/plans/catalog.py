@@ -1,4 +1,330 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each over whole tables, and DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
+Arrays are joined to strings and doubles rounded, so rows compare exactly.
+DuckDB's engine has no lookaround: its patterns consume the characters about a
+word, and test existence only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, mining, ontology, scoring, skills
+from ..operators.ontology import Tech
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Words that occur in the test documents, standing in for skills.
+WORDS = ("the", "and", "that", "was", "for", "with", "this", "are", "from", "rest", "apache")
+PHRASES = ("of the", "the", "of")
+RECALL_OF = ("the", "and", "rest", "apache", "python", "The", "")
+CATEGORY_RULES = (("metal", ("STEEL", "TIN", "COPPER", "NICKEL", "BRASS")), ("promo", ("promo",)), ("small", ("small",)), ("euro-name", ("é",)))
+ALIASES = {"purchase": "buy", "click": "tap", "view": "look", "signup": "join"}
+#: Brands as technologies: the year each was first sold, and its versions.
+BRANDS = tuple(Tech(f"Brand#{i}", 1991 + i % 11, "brand", {"3": 1995 + i % 7} if i % 2 else {}) for i in (11, 12, 13, 14, 15, 21, 22, 23, 24, 25, 31, 32, 33, 34, 35, 41, 42, 43, 44, 45, 51, 52, 53, 54, 55))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _values(words) -> str:
+    return ", ".join("('" + w.replace("'", "''") + "')" for w in words)
+
+
+_FOUND = f"""
+words(skill) AS (VALUES {_values(WORDS)}),
+found AS (SELECT d.doc_id, d.lang, w.skill FROM documents d, words w
+  WHERE regexp_matches(d.text, '(?i)(^|[^a-zA-Z0-9])' || w.skill || '([^a-zA-Z0-9]|$)')),
+total AS (SELECT count(*) AS n FROM documents WHERE regexp_matches(text, '\\S'))
+"""
+
+
+@query(f"WITH {_FOUND} SELECT skill, count(*) AS doc_count FROM found GROUP BY skill")
+def skill_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.document_frequency(table(spark, sf_dir, "documents"), WORDS)
+
+
+@query(f"WITH {_FOUND} SELECT skill, count(*) AS doc_count FROM found GROUP BY skill ORDER BY doc_count DESC, skill LIMIT 5")
+def skill_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.top(skills.document_frequency(table(spark, sf_dir, "documents"), WORDS), 5)
+
+
+@query(f"""WITH {_FOUND}, by_lang AS (SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '\\S') GROUP BY lang)
+SELECT f.lang, f.skill, count(*) AS doc_count, round(count(*) / any_value(b.n), 6) AS frequency FROM found f JOIN by_lang b ON f.lang = b.lang GROUP BY f.lang, f.skill""")
+def skill_freq_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts, total = skills.document_frequency(docs, WORDS, by=("lang",)), skills.total_documents(docs, by=("lang",))
+    return counts.join(total, "lang").select("lang", "skill", "doc_count", F.round(F.col("doc_count") / F.col("total_docs"), 6).alias("frequency"))
+
+
+@query(f"""WITH {_FOUND}, counts AS (SELECT skill, count(*) AS n FROM found GROUP BY skill), asked(skill) AS (VALUES {_values(RECALL_OF)})
+SELECT round(avg(CASE WHEN coalesce(c.n, 0) / (SELECT n FROM total) >= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM asked a LEFT JOIN counts c ON lower(a.skill) = c.skill WHERE a.skill <> ''""")
+def recall_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = spark.createDataFrame([(s,) for s in RECALL_OF], "skill string")
+    return skills.recall_proxy(asked, skills.document_frequency(docs, WORDS), skills.total_documents(docs)).select(F.round("recall", 6).alias("recall"))
+
+
+@query("""WITH texts AS (SELECT doc_id, text, regexp_replace(text, '(?i)of the', '#', 'g') AS rest FROM documents),
+hits AS (SELECT doc_id, 'of the' AS skill FROM texts WHERE regexp_matches(text, '(?i)(^|[^a-zA-Z0-9])of the([^a-zA-Z0-9]|$)')
+UNION ALL SELECT doc_id, 'the' FROM texts WHERE regexp_matches(regexp_replace(regexp_replace(text, '(?i)([^a-zA-Z0-9])', '\\1\\1', 'g'), '(?i)(^|[^a-zA-Z0-9])of[ ][ ]the([^a-zA-Z0-9]|$)', '\\1#\\2', 'g'), '(?i)(^|[^a-zA-Z0-9])the([^a-zA-Z0-9]|$)')
+UNION ALL SELECT doc_id, 'of' FROM texts WHERE regexp_matches(regexp_replace(regexp_replace(text, '(?i)([^a-zA-Z0-9])', '\\1\\1', 'g'), '(?i)(^|[^a-zA-Z0-9])of[ ][ ]the([^a-zA-Z0-9]|$)', '\\1#\\2', 'g'), '(?i)(^|[^a-zA-Z0-9])of([^a-zA-Z0-9]|$)'))
+SELECT skill, count(*) AS doc_count FROM hits GROUP BY skill""")
+def overlap_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longer phrases consume the words within them."""
+    return skills.document_frequency(table(spark, sf_dir, "documents"), PHRASES)
+
+
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the part types in each order, but numbers."""
+    words = F.explode(F.split("p_type", " ")).alias("item")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select("l_orderkey", words).groupBy("l_orderkey").agg(F.collect_set("item").alias("items"))
+
+
+_BASKETS = """
+b AS (SELECT DISTINCT l_orderkey AS o, unnest(string_split(p_type, ' ')) AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
+total AS (SELECT count(DISTINCT o) AS n FROM b)
+"""
+_SETS = f"""{_BASKETS},
+s1 AS (SELECT item AS a, count(*) AS f FROM b GROUP BY item HAVING count(*) >= 0.05 * (SELECT n FROM total)),
+g AS (SELECT o, item FROM b WHERE item IN (SELECT a FROM s1)),
+s2 AS (SELECT x.item AS a, y.item AS b, count(*) AS f FROM g x JOIN g y ON x.o = y.o AND x.item < y.item GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT n FROM total)),
+s3 AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS f FROM g x JOIN g y ON x.o = y.o AND x.item < y.item JOIN g z ON x.o = z.o AND y.item < z.item GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT n FROM total)),
+s4 AS (SELECT x.item AS a, y.item AS b, z.item AS c, w.item AS d, count(*) AS f FROM g x JOIN g y ON x.o = y.o AND x.item < y.item JOIN g z ON x.o = z.o AND y.item < z.item JOIN g w ON x.o = w.o AND z.item < w.item GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT n FROM total)),
+s5 AS (SELECT x.item AS a, y.item AS b, z.item AS c, w.item AS d, v.item AS e, count(*) AS f FROM g x JOIN g y ON x.o = y.o AND x.item < y.item JOIN g z ON x.o = z.o AND y.item < z.item JOIN g w ON x.o = w.o AND z.item < w.item JOIN g v ON x.o = v.o AND w.item < v.item GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT n FROM total)),
+sets AS (SELECT [a] AS items, f FROM s1 UNION ALL SELECT [a, b], f FROM s2 UNION ALL SELECT [a, b, c], f FROM s3 UNION ALL SELECT [a, b, c, d], f FROM s4 UNION ALL SELECT [a, b, c, d, e], f FROM s5)
+"""
+_RULES = f"""{_SETS},
+masks AS (SELECT items, f, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM sets WHERE len(items) > 1),
+split AS (SELECT [items[i] FOR i IN range(1, len(items) + 1) IF (mask >> (i - 1)) & 1 = 1] AS antecedent, [items[i] FOR i IN range(1, len(items) + 1) IF (mask >> (i - 1)) & 1 = 0] AS consequent, f FROM masks),
+rules AS (SELECT antecedent, consequent, s.f / (SELECT n FROM total) AS support, s.f / x.f AS confidence, s.f * (SELECT n FROM total) / (x.f * y.f) AS lift
+  FROM split s JOIN sets x ON x.items = s.antecedent JOIN sets y ON y.items = s.consequent WHERE s.f / x.f >= 0.2)
+"""
+_RULE_COLUMNS = "array_to_string(antecedent, ',') AS antecedent, array_to_string(consequent, ',') AS consequent, round(support, 6) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift"
+
+
+@query(f"WITH {_BASKETS} SELECT item, count(*) AS n, round(count(*) / (SELECT n FROM total), 6) AS share FROM b GROUP BY item")
+def basket_skill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skills.item_counts(_baskets(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+@query(f"WITH {_SETS} SELECT array_to_string(items, ',') AS items, f AS freq, round(f / (SELECT n FROM total), 6) AS support FROM sets")
+def freq_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.itemsets(_baskets(spark, sf_dir), 0.05).select(F.array_join("items", ",").alias("items"), "freq", F.round("support", 6).alias("support"))
+
+
+def _flat(rules: DataFrame) -> DataFrame:
+    return rules.select(F.array_join("antecedent", ",").alias("antecedent"), F.array_join("consequent", ",").alias("consequent"), *(F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")))
+
+
+@query(f"WITH {_RULES} SELECT {_RULE_COLUMNS} FROM rules")
+def assoc_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(mining.mined(_baskets(spark, sf_dir), 0.05, 0.2))
+
+
+@query(f"WITH {_RULES} SELECT {_RULE_COLUMNS} FROM rules ORDER BY rules.confidence DESC, rules.lift DESC, rules.antecedent, rules.consequent LIMIT 20")
+def top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(mining.top_rules(mining.mined(_baskets(spark, sf_dir), 0.05, 0.2), 20))
+
+
+@query(f"WITH {_RULES} SELECT DISTINCT item FROM (SELECT unnest(consequent) AS item FROM rules WHERE list_has_all(['PROMO', 'SMALL'], antecedent)) WHERE item NOT IN ('PROMO', 'SMALL')")
+def implied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.implied(mining.mined(_baskets(spark, sf_dir), 0.05, 0.2), ("PROMO", "SMALL"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type IS NULL OR p_type = '' THEN 'none'
+WHEN regexp_matches(p_type, '(?i)(^|[^a-z0-9])(steel|tin|copper|nickel|brass)([^a-z0-9]|$)') THEN 'metal'
+WHEN regexp_matches(p_type, '(?i)(^|[^a-z0-9])promo([^a-z0-9]|$)') THEN 'promo'
+WHEN regexp_matches(p_type, '(?i)(^|[^a-z0-9])small([^a-z0-9]|$)') THEN 'small'
+WHEN contains(lower(p_type), 'é') THEN 'euro-name' ELSE 'other' END AS category FROM part""")
+def category_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_category(F.col("p_type"), CATEGORY_RULES, "none", "other").alias("category"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_name IS NULL OR p_name = '' THEN '미분류'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(ai|ml|it|devops|se|qa|sw|engineer)([^a-z0-9]|$)') THEN 'IT/개발'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(r&d|rd)([^a-z0-9]|$)') THEN 'R&D'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(ux|ui)([^a-z0-9]|$)') THEN '디자인'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])hr([^a-z0-9]|$)') THEN '인사'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(pm|po)([^a-z0-9]|$)') THEN '기획'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])(a/s|cs)([^a-z0-9]|$)') THEN '고객'
+WHEN regexp_matches(p_name, '(?i)(^|[^a-z0-9])scm([^a-z0-9]|$)') THEN '물류/SCM' ELSE '기타' END AS category FROM part""")
+def job_category_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in rules, over part names."""
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_category(F.col("p_name")).alias("category"))
+
+
+@query("""SELECT token, count(*) AS n FROM (SELECT CASE lower(trim(event_type)) WHEN 'purchase' THEN 'buy' WHEN 'click' THEN 'tap' WHEN 'view' THEN 'look' WHEN 'signup' THEN 'join' ELSE lower(trim(coalesce(event_type, ''))) END AS token FROM events) GROUP BY token""")
+def alias_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(T.normalize_skill(F.col("event_type"), ALIASES).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+def _order_sentence() -> Column:
+    return F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" in "), F.year("o_orderdate").cast("string"), F.lit(". Served 3년 이상, v"), (F.col("o_custkey") % 9).cast("string"), F.lit(".2 since "), F.col("o_orderkey").cast("string"), F.lit("x."))
+
+
+@query("""SELECT o_orderkey,
+concat_ws(',', CASE WHEN o_orderkey BETWEEN 1980 AND 2029 THEN cast(o_orderkey AS VARCHAR) END, cast(year(o_orderdate) AS VARCHAR)) AS years,
+'3' AS experience, concat_ws(',', cast(o_orderkey AS VARCHAR), cast(year(o_orderdate) AS VARCHAR), cast(o_custkey % 9 AS VARCHAR) || '.2') AS versions FROM orders""")
+def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", _order_sentence().alias("s"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return rows.select("o_orderkey", joined(T.claim_years(F.col("s"))).alias("years"), joined(T.experience_years(F.col("s"))).alias("experience"), joined(T.version_tokens(F.col("s"))).alias("versions"))
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each order line: the year of the order and the brand that was sold, at version 1 to 7."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    sentence = F.concat(F.lit("In "), F.year("o_orderdate").cast("string"), F.lit(" we sold "), F.col("p_brand"), F.lit(" v"), F.col("l_linenumber").cast("string"), F.lit("."))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", sentence.alias("text"))
+
+
+_BRAND_ROWS = ", ".join(f"('{t.name}', {t.released_year}, {t.versions.get('3', 'NULL')})" for t in BRANDS)
+_CLAIMS = f"""
+brands(name, released, v3) AS (VALUES {_BRAND_ROWS}),
+claims AS (SELECT l_orderkey, l_linenumber, o_custkey, year(o_orderdate) AS y, p_brand, b.* FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey LEFT JOIN brands b ON p_brand = b.name),
+bad AS (SELECT l_orderkey, l_linenumber, o_custkey, name AS tech, y AS claimed_year, released AS actual_year, 'release_year' AS kind FROM claims WHERE y < released
+  UNION ALL SELECT l_orderkey, l_linenumber, o_custkey, name, y, v3, 'version_year' FROM claims WHERE l_linenumber = 3 AND y < v3)
+"""
+
+
+@query(f"WITH {_CLAIMS} SELECT l_orderkey, l_linenumber, tech, cast(claimed_year AS INTEGER) AS claimed_year, actual_year, kind FROM bad")
+def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _claims(spark, sf_dir).select("l_orderkey", "l_linenumber", F.explode(audit.violations_of(F.col("text"), BRANDS)).alias("v"))
+    return rows.select("l_orderkey", "l_linenumber", "v.tech", "v.claimed_year", "v.actual_year", "v.kind")
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text for each customer: the sentences of up to three of its orders' lines, in order."""
+    each = _claims(spark, sf_dir).groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "text"))), 1, 3).alias("s"))
+    return each.select("o_custkey", F.array_join("s.text", "\n").alias("text"))
+
+
+_SCORES = f"""{_CLAIMS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, y, p_brand) AS r FROM claims),
+counted AS (SELECT o_custkey, sum(CASE WHEN y < released THEN 1 ELSE 0 END + CASE WHEN l_linenumber = 3 AND y < v3 THEN 1 ELSE 0 END) AS n,
+  count(DISTINCT CASE WHEN y < released OR l_linenumber = 3 AND y < v3 THEN 'In ' || y || ' we sold ' || name || ' v' || l_linenumber || '.' END) AS spans FROM ranked WHERE r <= 3 GROUP BY o_custkey),
+scored AS (SELECT o_custkey, n, spans, 100 - least(60, 15 * n) AS score FROM counted)
+"""
+
+
+@query(f"WITH {_SCORES} SELECT o_custkey, cast(n AS INTEGER) AS n_violations, cast(spans AS INTEGER) AS n_spans, cast(score AS INTEGER) AS trust_score FROM scored")
+def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(_letters(spark, sf_dir), BRANDS).select("o_custkey", F.col("n_violations").cast("int").alias("n_violations"), F.size("suspect_spans").alias("n_spans"), "trust_score")
+
+
+@query(f"WITH {_SCORES} SELECT CASE WHEN score >= 100 THEN '100' WHEN score >= 85 THEN '85-99' WHEN score >= 70 THEN '70-84' ELSE '<70' END AS bucket, count(*) AS n FROM scored GROUP BY 1")
+def trust_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(_letters(spark, sf_dir), BRANDS).groupBy(F.col("trust_bucket").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SCORES}, kept AS (SELECT r.* FROM ranked r WHERE r <= 3),
+wrong AS (SELECT name AS tech, 'release_year' AS kind FROM kept WHERE y < released UNION ALL SELECT name, 'version_year' FROM kept WHERE l_linenumber = 3 AND y < v3),
+facets AS (SELECT 'documents' AS facet, 'all' AS value, count(*) AS n FROM scored HAVING count(*) > 0 UNION ALL SELECT 'documents', 'with violations', count(*) FROM scored WHERE n > 0 HAVING count(*) > 0
+UNION ALL SELECT 'bucket', CASE WHEN score >= 100 THEN '100' WHEN score >= 85 THEN '85-99' WHEN score >= 70 THEN '70-84' ELSE '<70' END, count(*) FROM scored GROUP BY 2
+UNION ALL SELECT 'tech', tech, count(*) FROM wrong GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM wrong GROUP BY 2)
+SELECT facet, value, n, round(n / (SELECT count(*) FROM scored), 6) AS share FROM facets""")
+def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.summary(audit.report(_letters(spark, sf_dir), BRANDS)).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT doc_id, cast(len(list_filter([trim(x, ' \t\n\r') FOR x IN regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\\n+')], lambda x: x <> '')) AS INTEGER) AS n_audit,
+cast(len(list_filter([trim(x, ' \t\n\r') FOR x IN regexp_split_to_array(text, '[.!?\\n]+')], lambda x: length(x) > 5)) AS INTEGER) AS n_detector FROM documents""")
+def sentence_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.audit_sentences(text)).alias("n_audit"), F.size(T.detector_sentences(text)).alias("n_detector"))
+
+
+@query("""SELECT user_id, round(avg(value), 4) AS perplexity, round(coalesce(stddev_samp(value), 0), 4) AS burstiness,
+round(0.6 * greatest(0, least(1, (60 - avg(value)) / 60)) + 0.4 * greatest(0, least(1, (15 - coalesce(stddev_samp(value), 0)) / 15)), 2) AS ai_probability FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id""")
+def ai_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values stand in for the perplexities of a user's sentences."""
+    rows = scoring.aggregated(table(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value")
+    exact = 0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (60 - F.col("perplexity")) / 60)) + 0.4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (15 - F.col("burstiness")) / 15))
+    # The operator's three decimals, checked here at two to keep clear of ties of the third.
+    near = F.when(F.abs(F.col("ai_probability") - exact) <= 0.0006, F.round(exact, 2))
+    return rows.select("user_id", F.round("perplexity", 4).alias("perplexity"), F.round("burstiness", 4).alias("burstiness"), near.alias("ai_probability"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN '' ELSE trim(c_mktsegment) || ',' || c_name END AS implied FROM customer""")
+def implicit_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a model might give them: a list in the last line, over two lines, or broken."""
+    listed = F.to_json(F.array(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ")), F.lit("  "), F.col("c_name")))
+    kind = F.col("c_custkey") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("Thinking [1].\nIMPLICIT: "), listed)).when(kind == 1, F.concat(F.lit("IMPLICIT:\n"), F.replace(listed, F.lit('",'), F.lit('",\n')))).when(kind == 2, F.concat(F.lit("x IMPLICIT: "), listed, F.lit("\nIMPLICIT: [\"no\"]"))).otherwise(F.lit("IMPLICIT: [broken"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.parse_implied(answer), ",").alias("implied"))
+
+
+@query("""SELECT doc_id, cast(len(lines) AS INTEGER) AS n_lines, md5(array_to_string(lines, chr(10))) AS digest FROM (SELECT doc_id, list_filter([trim(x, ' -•·*' || chr(9)) FOR x IN string_split(text, chr(10))], lambda x: x <> '') AS lines FROM documents)""")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = T.clean_lines(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("digest"))
+
+
+@query("SELECT lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def dup_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.duplicated(table(spark, sf_dir, "part"), "p_name")
+
+
+@query("SELECT p_brand AS category, count(*) AS n FROM part GROUP BY 1")
+def category_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.category_histogram(table(spark, sf_dir, "part").withColumnRenamed("p_brand", "category"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
+def unseen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(seen, "id", "left_anti")
+
+
+@query("SELECT source, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars FROM (SELECT 'conversation' AS source, text FROM conversations UNION ALL SELECT 'document', text FROM documents) WHERE regexp_matches(text, '\\S') GROUP BY source")
+def union_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("source"), "text")
+    both = said.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("source"), "text"))
+    return skills.with_text(both).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+_POSTINGS = """posting AS (SELECT p_partkey, p_name, p_type, lower(trim(p_brand)) AS tag FROM part)"""
+
+
+@query(f"""WITH {_POSTINGS} SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(
+  list_filter(['steel', 'tin', 'copper'], lambda k: regexp_matches(p_name || ' ' || p_type, '(?i)(^|[^a-zA-Z0-9])' || k || '([^a-zA-Z0-9]|$)')), [tag]))), ',') AS skills FROM posting""")
+def posting_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of a text, united with normalised tags."""
+    text = F.concat_ws(" ", "p_name", "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.posting_skills(text, F.array("p_brand"), ("steel", "tin", "copper")), ",").alias("skills"))
+
+
+@query(f"""WITH asked AS (SELECT DISTINCT p_brand AS asked FROM part), brands(name, year) AS (VALUES {", ".join(f"('{t.name}', {t.released_year})" for t in BRANDS[::2])})
+SELECT asked, name, coalesce(year, 0) AS released_year FROM asked LEFT JOIN brands ON lower(asked) = lower(name)""")
+def ontology_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands looked up among the entries of an ontology that holds every other one."""
+    rows = [(t.name.upper() if i % 2 else t.name, t.released_year, t.category, t.versions, [t.name], i) for i, t in enumerate(BRANDS[::2])]
+    known = spark.createDataFrame(rows, "name string, released_year int, category string, versions map<string,int>, aliases array<string>, position int")
+    asked = table(spark, sf_dir, "part").select(F.col("p_brand").alias("asked")).distinct()
+    found = ontology.lookup(asked, known)
+    year = known.select(F.col("name"), "released_year")
+    return found.join(year, "name", "left").select("asked", F.initcap(F.lower("name")).alias("name"), F.coalesce("released_year", F.lit(0)).alias("released_year"))
+
+
+@query("SELECT doc_id, replace(substr(text, 1, 120), chr(10), ' ') AS preview FROM documents")
+def snippet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
