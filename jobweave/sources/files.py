@@ -67,7 +67,7 @@ def _spec(raw: str) -> Column:
 
 def _sections(raw: str) -> Column:
     number = lambda s: F.when(s["번호"] == "0", "").otherwise(or_empty(s["번호"]))
-    return F.transform(F.coalesce(F.col(raw), F.array().cast("array<struct<번호:string,질문:string,답변:string>>")), lambda s: F.struct(number(s).alias("number"), or_empty(s["질문"]).alias("question"), or_empty(s["답변"]).alias("answer")))
+    return F.transform(F.coalesce(F.col(raw), F.array().cast(schemas.RESUME_FILE["자소서"].dataType)), lambda s: F.struct(number(s).alias("number"), or_empty(s["질문"]).alias("question"), or_empty(s["답변"]).alias("answer")))
 
 
 def resume_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
