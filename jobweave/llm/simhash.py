@@ -106,7 +106,7 @@ def variants(bits: int) -> list:
 
 def _forest(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     """Edges from the members of each component to its first member."""
-    rest, a, b = np.unique(fps), [], []
+    rest, a, b = np.unique(fps).view(np.uint64), [], []  # bit counts are of magnitudes, so unsigned
     while len(rest):
         root, todo, rest = rest[0], [rest[0]], rest[1:]
         while todo and len(rest):
@@ -115,8 +115,8 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
             if near.any():
                 new = rest[near]
                 rest = rest[~near]
-                a += new.tolist()
-                b += [int(root)] * len(new)
+                a += new.view(np.int64).tolist()
+                b += [int(root.view(np.int64))] * len(new)
                 todo += list(new)
     return a, b
 
