@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import column, gather, of_rows, slices, texts
 
@@ -198,7 +199,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], [*kept, "ids"])
 
-    return docs.mapInArrow(run, docs.select(*kept).schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, docs.select(*kept).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

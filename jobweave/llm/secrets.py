@@ -78,7 +78,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], allowed: re.Pattern
     found = []
     for m in CANDIDATE.finditer(text):
         word = m.group()
-        if allowed.fullmatch(word) or text[max(0, m.start() - 3) : m.start()] == "://":
+        if allowed.fullmatch(word) or "://" in text[max(0, m.start() - 3) : m.start() + 2]:
             continue
         kind = next(k for k, p in CLASSES if p.match(word))
         for start, end in entropy_runs(word, THRESHOLDS[kind]):

@@ -1,0 +1,53 @@
+import hashlib
+import random
+
+from jobweave.llm import piecewise as P
+
+
+def edit(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, x in enumerate(b):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_distances():
+    rng = random.Random(4)
+    a, b = ([bytes(rng.choices(b"abcd", k=rng.randrange(65))) for _ in range(300)] for _ in range(2))
+    assert P.distances(a, b).tolist() == [edit(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_likeness():
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefgh ", k=5000))
+    other = "".join(rng.choices("abcdefgh ", k=5000))
+    prints = [P.fingerprint(t.encode()) for t in (text, text, text[:2500] + other[:2500], other, text + text[:700])]
+    same, half, none, longer = P.likeness([(prints[0], p) for p in prints[1:]])
+    assert same == 1 and 0.3 < half < 0.7 and none == 0 and longer > 0.6
+    assert P.likeness([(P.fingerprint(b""), P.fingerprint(b"")), (P.fingerprint(b""), prints[0])]).tolist() == [1, 0]
+
+
+def test_every_byte_counts():
+    base = b"x" * 1000
+    assert len({P.fingerprint(base[:i] + b"y" + base[i + 1 :]) for i in (0, 500, 999)}) == 3
+
+
+def test_next_documents(spark):
+    rows = [(i * 7 % 50, f"text {i} " * (i % 9)) for i in range(50)] + [(None, "first of all"), (60, None), (61, "ü" * 31), (61, "b")]
+    docs = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, bucket string, own int")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for buckets in (1, 7, 40):
+        got = P.compared(docs, buckets).collect()
+        assert len(got) == len(rows)
+        by_key = {(r.doc_id, r.n_chars, r.fingerprint): r for r in got}
+        for i, (d, t) in enumerate(order):
+            t, after = t or "", order[(i + 1) % len(order)][1] or ""
+            r = by_key[d, len(t), P.fingerprint(t.encode())]
+            half = len(t) // 2
+            edited = t[: len(t) - half] + after[:half]
+            assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.edited_fingerprint == P.fingerprint(edited.encode())
+            assert r.near_next == P.likeness([(r.fingerprint, P.fingerprint(after.encode()))])[0]
+    assert P.compared(docs.limit(0)).count() == 0

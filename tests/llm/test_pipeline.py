@@ -1,0 +1,90 @@
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from jobweave.llm import bpe, decontaminate, queries, simhash, toxicity
+from tests.conftest import TESTDATA
+from tests.llm.test_decontaminate import brute
+from tests.llm.test_linededup import plain
+from tests.llm.test_simhash import plain_components, plain_print
+
+SF = f"{TESTDATA}/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The rows before and after each stage."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, SF).write.parquet(path)
+        after = spark.read.parquet(path)
+        out.append((name, docs, after))
+        docs = after
+    return out
+
+
+def test_columns(stages):
+    assert [n for n, *_ in stages] == ["toxicity", "line_dedup", "simhash", "decontamination", "bpe"]
+    assert all(after.columns == ["doc_id", "text", "lang", "source", "n_chars"] for _, _, after in stages[:-1])
+
+
+def test_toxicity(spark, stages):
+    _, before, after = stages[0]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    expected = {r.doc_id for r in toxicity.folded(before, labels).where("predicted = 0").collect()}
+    assert {r.doc_id for r in after.collect()} == expected
+
+
+def test_line_dedup(stages):
+    _, before, after = stages[1]
+    rows = [tuple(r) for r in before.select("doc_id", F.xxhash64("text"), "text").collect()]
+    gone, expected = plain(rows), {}
+    for d, _, t in rows:
+        left = [x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())]
+        if any(x.strip() for x in left) or d not in gone:
+            expected[d] = "\n".join(left)
+    assert {r.doc_id: r.text for r in after.collect()} == expected
+    assert all(r.n_chars == len(r.text) for r in after.collect())
+
+
+def test_simhash(stages):
+    _, before, after = stages[2]
+    component = plain_components({r.doc_id: plain_print(r.text) for r in before.collect()})
+    assert {r.doc_id for r in after.collect()} == set(component.values())
+
+
+def test_decontamination(spark, stages):
+    _, before, after = stages[3]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+    held = {d for d, t in docs if any(decontaminate.normal(x) in decontaminate.normal(t) for _, x in items)}
+    kept = {r.doc_id for r in after.collect()}
+    assert kept.isdisjoint(held)
+    gone = [d for d in docs if d[0] not in kept]
+    assert {d for d, _ in brute([(d, t[:4000]) for d, t in gone if len(t) <= 4000], items)} == {d for d, t in gone if len(t) <= 4000}
+
+
+def test_encoding(stages):
+    _, before, after = stages[4]
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in before.collect()}
+    rows = after.collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        assert r.ids == library.encode_ordinary(texts[r.doc_id]) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_run_and_queries(spark):
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_exact_copies_go(spark):
+    docs = spark.createDataFrame([(i, "a passage of words that is repeated in many documents of this table") for i in range(50)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.representatives(docs).collect()] == [0]
