@@ -89,5 +89,5 @@ def summary(reports: DataFrame) -> DataFrame:
     )
     each = lambda field: F.transform("violations", lambda v: F.struct(F.lit(field).alias("facet"), v[field].alias("value")))
     counts = rows.select(F.explode(F.array_compact(F.concat(facets, each("tech"), each("kind")))).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).select("facet", "value", "n", F.expr("n / nullif(total, 0)").alias("share"))
+    total = reports.agg(F.count("*")).scalar()  # needs none of the audit's columns
+    return counts.select("facet", "value", "n", (F.col("n") / total).alias("share"))

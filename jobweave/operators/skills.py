@@ -40,8 +40,9 @@ def frequencies(skills: DataFrame, frequency: DataFrame, total: DataFrame) -> Da
     """
     known = frequency.select(F.col("skill").alias("_skill"), "doc_count")
     asked = skills.join(known, F.lower(skills["skill"]) == known["_skill"], "left").drop("_skill")
-    share = F.when(F.col("total_docs") > 0, F.coalesce("doc_count", F.lit(0)) / F.col("total_docs")).otherwise(0.0)
-    return asked.join(F.broadcast(total)).withColumn("frequency", share).drop("doc_count", "total_docs")
+    asked = asked.withColumn("_total", total.select("total_docs").scalar())
+    share = F.when(F.col("_total") > 0, F.coalesce("doc_count", F.lit(0)) / F.col("_total")).otherwise(0.0)
+    return asked.withColumn("frequency", share).drop("doc_count", "_total")
 
 
 def recall_proxy(skills: DataFrame, frequency: DataFrame, total: DataFrame, least: float = 0.005) -> DataFrame:
@@ -67,8 +68,8 @@ def transactions(postings: DataFrame, least: int = 2, it_only: bool = False, wor
 def item_counts(baskets: DataFrame, items: str = "items") -> DataFrame:
     """item, n, share: how many baskets hold each item, and of all baskets what share."""
     counts = baskets.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
-    total = baskets.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).select("item", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = baskets.agg(F.count("*")).scalar()
+    return counts.select("item", "n", (F.col("n") / total).alias("share"))
 
 
 def non_blank(text: Column) -> Column:

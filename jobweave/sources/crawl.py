@@ -93,8 +93,8 @@ def listed(spark: SparkSession, transport, job_group: int = 518, pages: int = 5,
     """page and id of all jobs listed before the first page that failed or was empty."""
     spark.dataSource.register(page_source(transport))
     rows = spark.read.format("job_pages").option("job_group", job_group).option("pages", pages).option("page_size", page_size).load()
-    ends = rows.where("id is null").agg(F.min("page").alias("end"))
-    return rows.where("id is not null").join(F.broadcast(ends), F.coalesce(F.col("page") < F.col("end"), F.lit(True))).select("page", "id")
+    end = rows.where("id is null").agg(F.min("page")).scalar()
+    return rows.where(F.col("id").isNotNull() & (F.col("page") < F.coalesce(end, F.lit(pages)))).select("page", "id")
 
 
 def seen_ids(spark: SparkSession, path: str) -> DataFrame:
