@@ -6,6 +6,7 @@ versions are array expressions, so an audit needs no shuffle and no join.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,7 @@ from .ontology import Tech
 VIOLATION = "struct<sentence_no:int,tech:string,claimed_year:int,actual_year:int,snippet:string,kind:string,message:string>"
 
 
-def _violation(number: Column, tech: str, claimed: Column, actual: Column, snippet: Column, kind: str, message: Column) -> Column:
-    return F.struct(number.cast("int").alias("sentence_no"), F.lit(tech).alias("tech"), claimed.cast("int").alias("claimed_year"), actual.cast("int").alias("actual_year"), snippet.alias("snippet"), F.lit(kind).alias("kind"), message.alias("message"))
+_ENTRY = "struct<name:string,year:int,versions:map<string,int>>"
 
 
 def _said(subject: Column, actual: Column, verb: str, claimed: Column) -> Column:
@@ -27,21 +27,42 @@ def _said(subject: Column, actual: Column, verb: str, claimed: Column) -> Column
     return F.concat(subject, F.lit("는 "), actual.cast("string"), F.lit(f"년에 {verb}되었으나 문장은 "), claimed.cast("string"), F.lit("년을 주장합니다."))
 
 
-def _entry(tech: Tech, number: Column, sentence: Column, claimed: Column, versions: Column) -> Column:
+def _violation(s: Column, tech: Column, actual: Column, kind: str, message: Column) -> Column:
+    return F.struct(s["no"].cast("int").alias("sentence_no"), tech.alias("tech"), s["claimed"].cast("int").alias("claimed_year"), actual.cast("int").alias("actual_year"), s["text"].alias("snippet"), F.lit(kind).alias("kind"), message.alias("message"))
+
+
+def _judged(s: Column, entry: Column) -> Column:
     """The violations of one entry in one sentence: release first, then versions as they come."""
-    none = F.array().cast(f"array<{VIOLATION}>")
-    year = F.lit(tech.released_year)
-    release = F.when(claimed < year, F.array(_violation(number, tech.name, claimed, year, sentence, "release_year", _said(F.lit(tech.name), year, "공개", claimed)))).otherwise(none)
-    found = release
-    if tech.versions:
-        table = F.create_map(*[F.lit(x) for pair in tech.versions.items() for x in pair])
+    name, year, claimed = entry["name"], entry["year"], s["claimed"]
+    release = F.array(F.when(claimed < year, _violation(s, name, year, "release_year", _said(name, year, "공개", claimed))))
+
+    def of(version: Column) -> Column:
+        known = F.coalesce(F.try_element_at(entry["versions"], version), F.try_element_at(entry["versions"], F.split_part(version, F.lit("."), F.lit(1))))
+        return F.when(claimed < known, _violation(s, name, known, "version_year", _said(F.concat(name, F.lit(" "), version), known, "출시", claimed)))
+
+    return F.filter(F.concat(release, F.transform(s["versions"], of)), lambda v: v.isNotNull())
+
 
-        def of(version: Column) -> Column:
-            known = F.coalesce(F.try_element_at(table, version), F.try_element_at(table, F.split_part(version, F.lit("."), F.lit(1))))
-            return F.when(claimed < known, _violation(number, tech.name, claimed, known, sentence, "version_year", _said(F.concat(F.lit(f"{tech.name} "), version), known, "출시", claimed)))
+def _small(text: Column) -> Column:
+    """text as names are sought in it: small letters, long s as s, like matching without regard to case."""
+    return F.translate(F.lower(text), "ſ", "s")
 
-        found = F.concat(release, F.filter(F.transform(versions, of), lambda v: v.isNotNull()))
-    return F.when(sentence.rlike(patterns.any_name((tech.name, *tech.aliases))), found).otherwise(none)
+
+def _named(s: Column, ontology: Sequence[Tech]) -> Column:
+    """Places in the ontology of the entries that a sentence names.
+
+    A search for the plain name comes before its pattern, as most sentences name few entries.
+    """
+    found = []
+    for i, tech in enumerate(ontology):
+        names = [n for n in (tech.name, *tech.aliases) if n]
+        if not names:
+            continue
+        there = s["low"].contains(names[0].lower().replace("ſ", "s"))
+        for n in names[1:]:
+            there = there | s["low"].contains(n.lower().replace("ſ", "s"))
+        found.append(F.when(there & s["text"].rlike(patterns.any_name(names)), F.lit(i)))
+    return F.filter(F.array(*found), lambda i: i.isNotNull())
 
 
 def violations_of(text: Column, ontology: Sequence[Tech]) -> Column:
@@ -49,18 +70,17 @@ def violations_of(text: Column, ontology: Sequence[Tech]) -> Column:
     known: dict[str, Tech] = {}
     for tech in ontology:  # one entry a name
         known.setdefault(tech.name, tech)
-    none = F.array().cast(f"array<{VIOLATION}>")
-    if not known:
-        return none
-
-    anyone = patterns.any_name([name for t in known.values() for name in (t.name, *t.aliases)])
+    if not any(n for t in known.values() for n in (t.name, *t.aliases)):
+        return F.array().cast(f"array<{VIOLATION}>")
+    table = F.from_json(F.lit(json.dumps([{"name": t.name, "year": t.released_year, "versions": t.versions} for t in known.values()], ensure_ascii=False)), f"array<{_ENTRY}>")
 
     # Each step binds what the next one reads, so no pattern runs twice on a sentence.
-    # Years first: only sentences with a year, and then with any name at all, meet the entries.
+    # Years first: only sentences with a year meet the entries.
     dated = F.transform(audit_sentences(text), lambda s, n: F.struct(n.alias("no"), s.alias("text"), claim_years(s).alias("years")))
-    named = F.filter(dated, lambda s: (F.size(s["years"]) > 0) & s["text"].rlike(anyone))
-    ready = F.transform(named, lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), F.array_min(s["years"]).alias("claimed"), version_tokens(s["text"]).alias("versions")))
-    return F.flatten(F.transform(ready, lambda s: F.flatten(F.array(*[_entry(t, s["no"], s["text"], s["claimed"], s["versions"]) for t in known.values()]))))
+    low = F.transform(F.filter(dated, lambda s: F.size(s["years"]) > 0), lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), F.array_min(s["years"]).alias("claimed"), _small(s["text"]).alias("low")))
+    named = F.transform(low, lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), s["claimed"].alias("claimed"), _named(s, list(known.values())).alias("entries")))
+    ready = F.transform(F.filter(named, lambda s: F.size(s["entries"]) > 0), lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), s["claimed"].alias("claimed"), s["entries"].alias("entries"), version_tokens(s["text"]).alias("versions")))
+    return F.flatten(F.transform(ready, lambda s: F.flatten(F.transform(s["entries"], lambda i: _judged(s, F.get(table, i))))))
 
 
 def violations(docs: DataFrame, ontology: Sequence[Tech], key: str = "doc_id", text: str = "text") -> DataFrame:
