@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -28,9 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
     return context.getCheckpointDir()
 
