@@ -27,18 +27,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge at most to a smaller node, and none that has one is itself such a node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component for each node that has an edge to another; component is its smallest node.
 
     edges: columns a and b of one ordered type; nulls, loops and repeats don't
-    matter, direction neither.
+    matter, direction neither.  Rounds end when the edges form stars, since they
+    keep what is connected.
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, before = checkpoint(now), None
+    now = checkpoint(now)
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        before = state
-        now = checkpoint(_small(_large(now).distinct()).distinct())
+        if _stars(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        now = checkpoint(_small(_large(now)).distinct())
     raise RuntimeError(f"no stable components after {rounds} rounds")
