@@ -13,8 +13,8 @@ under the row's own language; a text whose cross-entropy lies more than
 still given).  The score is the share of the language's likelihood among all
 languages', with the evidence of a text held at ``EVIDENCE`` characters.
 
-The model goes to all workers, so its size is bounded: n-grams below the least
-count that leaves ``MOST_GRAMS`` of them in all are left out.
+All n-grams count, however many.  The model passes through the driver and goes to
+all workers; one that doesn't fit there ends in an error, never in fewer n-grams.
 
 A null text, and one without a letter, is ``und`` with score 0.  Rows with a
 null language or text teach nothing; without any learning row all is ``und``.
@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import column, of_rows, slices, texts
 
 ORDER = 4
-MOST_GRAMS = 4_000_000
 DEVIATIONS, EVIDENCE = 4.0, 40
 #: Words that a worker keeps with their scores.
 KEPT = 400_000
@@ -139,18 +138,23 @@ class Model:
         return -np.log2(p)
 
 
-def learned(rows: DataFrame, most: int = MOST_GRAMS) -> dict[str, Model]:
-    """A model for each language of rows (columns lang and text, not null)."""
-    counts = gram_counts(rows).persist()
-    sizes = counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.col("n").desc()).limit(100_000).collect()
-    total, least = 0, sizes[-1].n if len(sizes) == 100_000 else 1
-    for r in sizes:
-        total += r.m
-        if total > most:
-            least = r.n + 1
-            break
-    found = counts.where(F.col("n") >= least).toPandas()
-    counts.unpersist()
+def learned(rows: DataFrame, most: int | None = None) -> dict[str, Model]:
+    """A model for each language of rows (columns lang and text, not null), of all n-grams.
+
+    Only a caller that gives ``most`` has the rarest left out above it.
+    """
+    counts = gram_counts(rows)
+    if most is None:
+        found = counts.toPandas()
+    else:
+        counts, total, least = counts.persist(), 0, 1
+        for r in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.col("n").desc()).collect():
+            total += r.m
+            if total > most:
+                least = r.n + 1
+                break
+        found = counts.where(F.col("n") >= least).toPandas()
+        counts.unpersist()
     return {lang: Model(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)) for lang, own in sorted(found.groupby("lang"))}
 
 

@@ -67,3 +67,12 @@ def test_size_bound(spark):
     rows = spark.createDataFrame([("en", "the cat sat on the mat and the rat")], "lang string, text string")
     full, small = (sum(len(k) for k, *_ in G.learned(rows, most)["en"].levels[-1:]) for most in (1000, 10))
     assert small <= 10 < full
+
+
+def test_all_grams_count(spark):
+    """A small language keeps its n-grams beside a language of over four million."""
+    rng = np.random.default_rng(1)
+    large = [("zh", "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 21_000)))) for _ in range(200)]
+    models = G.learned(spark.createDataFrame([*large, ("en", "the cat sat")], "lang string, text string"))
+    assert list(models) == ["en", "zh"]
+    assert len(models["zh"].levels[-1][0]) > 4_000_000 and len(models["en"].levels[-1][0]) == 12
