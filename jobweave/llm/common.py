@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
@@ -84,6 +87,53 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - begins, sizes) + np.arange(total)]
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def of_rows(rows: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further ones can't clash."""
-    return rows.select(*[rows[f"`{n}`"] for n in names])
+    return rows.select(*map(named, names))
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow that takes and gives columns of any name; run's columns come in the schema's order."""
+    taken, given = rows.columns, [f.name for f in schema]
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, taken) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain.names)
+
+    return rows.toDF(*[f"c{i}" for i in range(len(taken))]).mapInArrow(renamed, plain).toDF(*given)
+
+
+def private(rows: DataFrame, *stems: str) -> list[str]:
+    """Names for further columns that none of rows has, in whatever case."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path among the checkpoints, which all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as a table in the shared folder and read again, and the table's path."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, in whatever store it is."""
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)

@@ -8,18 +8,23 @@ occurrence stays (by doc_id, text hash and line number), all others go.
 
 1. Signatures of ``BANDS`` times ``ROWS`` minima; a pair at likeness 0.8 meets in
    a band with probability 0.985, at 0.9 with more than 0.999.  In each slice of
-   text equal lines count once, and of the lines that meet in a band only the
-   smallest goes on to the shuffle, so a hot band has one row a slice.
-2. Union-find over what met gives clusters of candidates.  A filter of fixed size
-   (``FILTER_BITS``) spares most other lines the shuffle that brings the texts of
-   a cluster together.  Each cluster is searched by exact Jaccard likeness; a
-   cluster above ``LIMIT`` lines is dealt out in tiles, pairs of blocks, so that
-   every pair still meets and no task holds more.
-3. Distributed union-find over the verified links, exact repeats by hash.
+   text equal lines are one row with all their places, so a line that is
+   everywhere has one row a slice.
+2. A band's bucket is its key's distinct lines.  Buckets of one line go, equal
+   buckets count once.  A filter of fixed size (``FILTER_BITS``) spares most other
+   lines the shuffle that brings the texts of a bucket together, once a line.
+3. Exact Jaccard likeness within each bucket.  One of more than ``LIMIT`` lines is
+   dealt out in blocks, each with the bucket's pivots (its least lines in
+   ``PIVOTS`` orders); only lines that no chain of links joins to a pivot in their
+   block then meet the lines of all other blocks.
+4. Distributed union-find over the verified links, exact repeats by hash.
 
 Nulls and empty texts have no line and stay.  Rows of one doc_id and equal text
-count as one.  Signatures find near lines with the probabilities above; equal
-lines always.
+count as one; null doc_ids come first.  A very long text is a slice of its own;
+a very long line is one set of shingles, a word each byte.  Ties can't be: places
+differ.  An empty table gives an empty one.  Signatures find near lines with the
+probabilities above; equal lines always.  Further columns pass through under
+whatever name, but for ``n_lines`` and ``n_dropped`` in ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -32,13 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column, of_rows, slices, texts
+from .common import checkpoint, column, mapped, named, of_rows, private, remove, slices, texts, written
 from .components import components
 
 SHINGLE, LIKENESS = 8, 0.8
 BANDS, ROWS = 8, 4
-LIMIT = 2000
-FILTER_BITS = 25
+LIMIT, PIVOTS = 2000, 8
+FILTER_BITS = 24
+#: Shingles that are hashed at once, so that they stay in the processor's cache.
+CHUNK = 1 << 15
+#: Lines of one key that a task holds; of further ones it holds none.
+HELD = 1 << 17
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -62,211 +71,326 @@ def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return windows[keep], np.cumsum(counts) - counts
 
 
-def bands(lines: list[bytes]) -> np.ndarray:
-    """A key for each line and band."""
+def _minima(lines: list[bytes]) -> np.ndarray:
     windows, starts = shingles(lines)
     x = windows * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x = (x >> np.uint64(32)).astype(np.uint32)
+    out, room = np.empty((BANDS * ROWS, len(lines)), np.uint32), np.empty_like(x)
+    for i in range(BANDS * ROWS):
+        np.multiply(x, _FACTORS[i], out=room)
+        room += _SHIFTS[i]
+        np.minimum.reduceat(room, starts, out=out[i])
+    return out
+
+
+def bands(lines: list[bytes]) -> np.ndarray:
+    """A key for each line and band."""
+    parts, at, size = [], 0, 0
+    for i, line in enumerate(lines):
+        size += len(line)
+        if size >= CHUNK:
+            parts.append(_minima(lines[at : i + 1]))
+            at, size = i + 1, 0
+    if at < len(lines):
+        parts.append(_minima(lines[at:]))
+    low = np.concatenate(parts, axis=1)
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(lines), np.uint64(b + 1))
         for i in range(b * ROWS, (b + 1) * ROWS):
-            low = np.minimum.reduceat(x * _FACTORS[i] + _SHIFTS[i], starts)
-            key = (key ^ low.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ low[i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(32)
         out[:, b] = key
     return out
 
 
-def _hash(line: bytes) -> tuple[int, int]:
-    digest = xxhash.xxh3_128_intdigest(line)
-    high, low = digest >> 64, digest & 0xFFFFFFFFFFFFFFFF
-    return high - (1 << 64) * (high >> 63), low - (1 << 64) * (low >> 63)
+def names(lines: list[bytes]) -> np.ndarray:
+    """128 bits of hash for each line, in two columns."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(x) for x in lines]), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, line: rows that share a key hold lines that met."""
-    for batch in slices(batches):
-        lines = list({x for t in texts(column(batch, "text")) for line in t.split("\n") if (x := normal(line))})
-        if not lines:
-            continue
-        names = np.array([_hash(x)[0] for x in lines], np.int64)
-        keys = bands(lines).view(np.int64)
-        out_keys, out_lines = [], []
-        order = np.argsort(names, kind="stable")  # so the first of a key is its smallest line
-        for b in range(BANDS):
-            key, first, group = np.unique(keys[order, b], return_index=True, return_inverse=True)
-            least = names[order][first]
-            out_keys.append(key), out_lines.append(least)
-            others = np.flatnonzero(least[group] != names[order])
-            if len(others):
-                a, c = least[group][others], names[order][others]
-                link = (a * np.int64(0x5851F42D4C957F2D) + c) ^ np.int64(0x2545F4914F6CDD1D)
-                out_keys += [link, link]
-                out_lines += [a, c]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys)), pa.array(np.concatenate(out_lines))], ["key", "line"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: links of each key's lines to its first."""
-    key_held, root = None, 0
-    for batch in batches:
-        key, line = column(batch, "key").to_numpy(), column(batch, "line").to_numpy()
-        if not len(key):
-            continue
-        new = np.concatenate([[key_held is None or key[0] != key_held], key[1:] != key[:-1]])
-        roots = np.where(new, line, 0)
-        if not new[0]:
-            roots[0] = root
-        at = np.maximum.accumulate(np.where(new | (np.arange(len(key)) == 0), np.arange(len(key)), 0))
-        roots = roots[at]
-        key_held, root = key[-1], roots[-1]
-        some = roots != line
-        yield pa.RecordBatch.from_arrays([pa.array(line[some]), pa.array(roots[some])], ["a", "b"])
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SEEN = "h1 long, h2 long, places array<struct<doc_id:bigint,th:bigint,line_no:int>>, keys array<bigint>"
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct line of a slice: its name, where it is, its keys."""
     for batch in slices(batches):
-        rows, numbers, h1, h2 = [], [], [], []
+        number: dict[bytes, int] = {}
+        of, rows, numbers = [], [], []
         for row, text in enumerate(texts(column(batch, "text"))):
-            for number, line in enumerate(text.split("\n")):
+            for line_no, line in enumerate(text.split("\n")):
                 if x := normal(line):
-                    a, b = _hash(x)
-                    rows.append(row), numbers.append(number), h1.append(a), h2.append(b)
-        rows = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), column(batch, "doc_id").take(rows), column(batch, "th").take(rows), pa.array(numbers, pa.int32())], ["h1", "h2", "doc_id", "th", "line_no"])
+                    of.append(number.setdefault(x, len(number)))
+                    rows.append(row)
+                    numbers.append(line_no)
+        if not number:
+            continue
+        lines, of = list(number), np.array(of, np.int64)
+        order = np.argsort(of, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(lines)))]).astype(np.int32)
+        rows = pa.array(np.array(rows, np.int64)[order])
+        places = pa.StructArray.from_arrays([column(batch, "doc_id").take(rows), column(batch, "th").take(rows), pa.array(np.array(numbers, np.int32)[order])], ["doc_id", "th", "line_no"])
+        name, keys = names(lines), bands(lines).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.ListArray.from_arrays(pa.array(ends), places), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))],
+            ["h1", "h2", "places", "keys"],
+        )
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, name) sorted by both: the members of keys with several names, under a hash of their set.
+
+    A key with more than ``HELD`` names passes through under its own value.
+    """
+    held = np.zeros((0, 2), np.int64)
+    passing = None
 
+    def distinct(rows: np.ndarray) -> np.ndarray:
+        return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
 
-def near(lines: list[bytes]) -> tuple[list[int], list[int]]:
-    """Links (indices) from the members of each component by exact Jaccard likeness to its first line."""
-    windows, starts = shingles(lines)
-    sets = [np.unique(w) for w in np.split(windows, starts[1:])]
-    sizes = np.array([len(s) for s in sets])
-    rest, a, b = np.arange(len(lines)), [], []
-    while len(rest):
-        root, todo, rest = int(rest[0]), [int(rest[0])], rest[1:]
-        while todo and len(rest):
-            own = sets[todo.pop()]
-            could = np.flatnonzero((sizes[rest] >= LIKENESS * len(own)) & (sizes[rest] * LIKENESS <= len(own)))
-            if not len(could):
-                continue
-            flat = np.concatenate([sets[i] for i in rest[could].tolist()])
-            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            some = sizes[rest[could]]
-            shared = np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum(some) - some)
-            linked = could[shared >= LIKENESS * (some + len(own) - shared) - 1e-9]
-            found = rest[linked].tolist()
-            a += found
-            b += [root] * len(found)
-            todo += found
-            rest = np.delete(rest, linked)
-    return a, b
+    def settled(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(rows)))
+        x = rows[:, 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        sums = np.add.reduceat(x * np.uint64(0x9E3779B97F4A7C15), starts).view(np.int64)
+        some = np.repeat(sizes > 1, sizes)
+        return out(np.repeat(sums, sizes)[some], rows[some, 1])
 
+    def out(bucket: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(name)], ["bucket", "h1"])
 
-_LINE = "struct<h1:bigint,h2:bigint>"
+    for batch in batches:
+        rows = np.stack([column(batch, "key").to_numpy(), column(batch, "h1").to_numpy()], axis=1)
+        if passing is not None:
+            own = rows[:, 0] == passing
+            if own.any():
+                yield out(rows[own, 0], rows[own, 1])
+            rows = rows[~own]
+            if not len(rows):
+                continue
+            passing = None
+        rows = distinct(np.concatenate([held, rows]))
+        if not len(rows):
+            continue
+        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # rows are sorted as signed longs
+        if last:
+            yield settled(rows[:last])
+        held = rows[last:]
+        if len(held) > HELD:
+            passing = held[0, 0]
+            yield out(held[:, 0], held[:, 1])
+            held = held[:0]
+    if len(held):
+        yield settled(held)
+
+
+def near(lines: list[bytes]) -> tuple[list[int], list[int], np.ndarray]:
+    """Links (indices) from the members of each component by exact Jaccard likeness to its first line, and each line's first."""
+    windows, starts = shingles(lines)
+    _, flat = np.unique(windows, return_inverse=True)
+    line = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(windows))))
+    pairs = np.unique(line * (int(flat.max()) + 1) + flat)  # a line's shingle once
+    line, flat = np.divmod(pairs, int(flat.max()) + 1)
+    sizes = np.bincount(line, minlength=len(lines))
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    first = np.arange(len(lines))
+    rest, a, b = np.ones(len(lines), bool), [], []
+    for root in range(len(lines)):
+        if not rest[root]:
+            continue
+        rest[root] = False
+        todo = [root]
+        while todo and rest.any():
+            at = todo.pop()
+            own = flat[starts[at] : starts[at] + sizes[at]]
+            mark[own] = True
+            could = np.flatnonzero(rest & (sizes >= LIKENESS * sizes[at] - 1e-9) & (sizes * LIKENESS <= sizes[at] + 1e-9))
+            if len(could):
+                if 2 * len(could) > len(lines):
+                    shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)[could]
+                else:
+                    some = sizes[could]
+                    begins = np.cumsum(some) - some
+                    shared = np.add.reduceat(mark[flat[np.repeat(starts[could] - begins, some) + np.arange(int(some.sum()))]], begins, dtype=np.int64)
+                linked = could[shared >= LIKENESS * (sizes[could] + sizes[at] - shared) - 1e-9].tolist()
+                a += linked
+                b += [root] * len(linked)
+                first[linked] = root
+                rest[linked] = False
+                todo += linked
+            mark[own] = False
+    return a, b, first
+
+
+_LINK = "bucket long, a1 long, a2 long, b1 long, b2 long"
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cluster and tile: links between near lines."""
-    held: dict[tuple[int, int], bytes] = {}
-    now = None
-
-    def settle() -> pa.RecordBatch:
-        names = list(held)
-        a, b = near(list(held.values()))
-        cols = [[names[i][j] for i in side] for side in (a, b) for j in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a1", "a2", "b1", "b2"])
+    """Rows sorted by bucket and tile: links between near lines (bucket null), and lines (bucket, a1, a2) of a block without a link to a pivot."""
+    held: dict[tuple[int, int], tuple[bytes, bool | None]] = {}
+    now, out = None, [[] for _ in range(5)]
+
+    def settle() -> None:
+        who, kinds = list(held), [v[1] for v in held.values()]
+        a, b, first = near([v[0] for v in held.values()])
+        out[0].extend([None] * len(a))
+        for j, side in enumerate((a, b)):
+            for k in (0, 1):
+                out[1 + 2 * j + k].extend([who[i][k] for i in side])
+        if any(k is not None for k in kinds):  # a block of a large bucket
+            reached = {f for f, k in zip(first.tolist(), kinds, strict=True) if k}
+            lone = [w for w, f in zip(who, first.tolist(), strict=True) if f not in reached]
+            out[0].extend([now[0]] * len(lone))
+            for k in (0, 1):
+                out[1 + k].extend([w[k] for w in lone])
+                out[3 + k].extend([None] * len(lone))
+
+    def batch_of() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["bucket", "a1", "a2", "b1", "b2"])
+        for c in out:
+            c.clear()
+        return done
 
     for batch in batches:
-        for cluster, tile, h1, h2, line in zip(*(column(batch, c).to_pylist() for c in ("cluster", "tile", "h1", "h2", "line")), strict=True):
-            if now != (cluster, tile):
-                if len(held) > 1:
-                    yield settle()
-                held, now = {}, (cluster, tile)
-            held[h1, h2] = line
-    if len(held) > 1:
-        yield settle()
-
-
-def links(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """a, b: pairs of line names (h1, h2) that join the near lines of each component; equal lines have one name."""
-    spark, text = docs.sparkSession, docs.select("text")
-    met = text.mapInArrow(_band_rows, "key long, line long").repartition("key").sortWithinPartitions("key", "line").mapInArrow(_stars, "a long, b long")
-    cluster = components(met)
-    cluster = checkpoint(cluster.select(F.col("node").alias("h1"), F.col("component").alias("cluster")))
+        for bucket, tile, h1, h2, pivot, line in zip(*(column(batch, c).to_pylist() for c in ("bucket", "tile", "h1", "h2", "pivot", "line")), strict=True):
+            if now != (bucket, tile):
+                if len(held) > 1 or any(v[1] is not None for v in held.values()):
+                    settle()
+                held, now = {}, (bucket, tile)
+            held[h1, h2] = (line, pivot)
+        if len(out[0]) > 10_000:
+            yield batch_of()
+    if len(held) > 1 or any(v[1] is not None for v in held.values()):
+        settle()
+    yield batch_of()
+
+
+def _sought(held):
+    """Texts of the lines whose names a filter may hold, once a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
+        for batch in slices(batches):
+            lines = list({x for t in texts(column(batch, "text")) for line in t.split("\n") if (x := normal(line))})
+            name = names(lines)
+            at = name[:, 0] & ((1 << FILTER_BITS) - 1)
+            some = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+            yield pa.RecordBatch.from_arrays([pa.array(name[some, 0]), pa.array(name[some, 1]), pa.array([lines[i] for i in some.tolist()], pa.binary())], ["h1", "h2", "line"])
+
+    return run
+
+
+def _links(seen: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    spark = docs.sparkSession
+    members = seen.select("h1", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_buckets, "bucket long, h1 long")
+    members = checkpoint(members.distinct())
 
     # A bit for each value that a member's name can have, in words of 32 bits.
     place = F.col("h1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = cluster.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, int(h1 & 31))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = members.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, int(h1 & 31))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    filter_held = spark.sparkContext.broadcast(bits)
-
-    def member_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = filter_held.value
-        for batch in slices(batches):
-            lines = list({x for t in texts(column(batch, "text")) for line in t.split("\n") if (x := normal(line))})
-            names = np.array([_hash(x) for x in lines], np.int64).reshape(-1, 2)
-            at = names[:, 0] & ((1 << FILTER_BITS) - 1)
-            some = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some, 0]), pa.array(names[some, 1]), pa.array([lines[i] for i in some.tolist()], pa.binary())], ["h1", "h2", "line"])
-
-    found = text.mapInArrow(member_lines, "h1 long, h2 long, line binary").join(cluster, "h1")
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("n")).where(f"n > {limit}")
-    found = found.join(sizes, "cluster", "left")
-    blocks = F.ceil(F.col("n") * 2 / limit).cast("int")
-    block = F.pmod(F.col("h2"), blocks.cast("long")).cast("int")
-    tiles = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.least(b, block) * blocks + F.greatest(b, block)))
-    found = found.withColumn("tile", F.explode(tiles)).select("cluster", "tile", "h1", "h2", "line")
-    found = found.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "h1", "h2").mapInArrow(_verified, "a1 long, a2 long, b1 long, b2 long")
+    found = docs.select("text").mapInArrow(_sought(spark.sparkContext.broadcast(bits)), "h1 long, h2 long, line binary").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+
+    turns = [F.lit(int(c)) for c in np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, PIVOTS)]
+    large = members.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(F.col("h1").bitwiseXOR(t)).alias(f"p{i}") for i, t in enumerate(turns))).where(f"n > {limit}")
+    large = checkpoint(large.select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("blocks"), F.array(*(F.col(f"p{i}").bitwiseXOR(t) for i, t in enumerate(turns))).alias("pivots")))
+    some = not large.isEmpty()
+    if some:
+        members = checkpoint(members.join(large, "bucket", "left"))
+        own = F.array(F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
+        pivot = F.array_contains("pivots", F.col("h1"))
+        small = F.col("blocks").isNull()
+        tiles = F.when(small, F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
+        rows = members.select("bucket", "h1", F.when(~small, pivot).alias("pivot"), F.explode(tiles).alias("tile"))
+    else:
+        rows = members.select("bucket", "h1", F.lit(None).cast("boolean").alias("pivot"), F.lit(0).alias("tile"))
+
+    def verified(rows: DataFrame) -> DataFrame:
+        rows = rows.join(found, "h1").select("bucket", "tile", "h1", "h2", "pivot", "line")
+        return checkpoint(rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "h1", "h2").mapInArrow(_verified, _LINK))
+
+    if some:
+        found = checkpoint(found)
+    out = verified(rows)
+    links = out.where("bucket is null")
+    if some and not (lone := out.where("bucket is not null").select("bucket", F.col("a1").alias("h1")).distinct()).isEmpty():
+        lone = checkpoint(lone)
+        sides = lone.groupBy("bucket").agg(F.ceil(F.count("*") / limit).cast("int").alias("sides"))
+        sides = checkpoint(sides)
+        rest = members.where("blocks is not null").select("bucket", "h1", "blocks").join(sides, "bucket")
+        block = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
+        side = F.pmod(F.xxhash64(F.lit(1), "h1"), F.col("sides")).cast("int")
+        every = rest.select("bucket", "h1", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), block.alias("block"), "blocks")
+        alone = rest.join(lone, ["bucket", "h1"], "left_semi").select("bucket", "h1", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+        tile = (F.col("side").cast("long") * F.col("blocks") + F.col("block")).alias("tile")
+        both = every.unionByName(alone).select("bucket", "h1", F.lit(None).cast("boolean").alias("pivot"), tile).distinct()
+        links = links.unionByName(verified(both).where("bucket is null"))
     name = lambda x: F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")).alias(x)
-    return found.select(name("a"), name("b"))
+    return links.select(name("a"), name("b"))
 
 
 def dropped(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, th (the text's xxhash64), lines: the numbers of the lines that go, for documents that have any."""
     docs = of_rows(docs, "doc_id", "text").where("text is not null")
-    near_lines = components(links(docs, limit))
-    found = checkpoint(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_occurrences, "h1 long, h2 long, doc_id long, th long, line_no int"))
-    each = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("first"))
-    own = near_lines.select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), "component")
-    each = checkpoint(each.join(own, ["h1", "h2"], "left").where("n > 1 or component is not null"))
-    stays = each.where("component is not null").groupBy("component").agg(F.min("first").alias("stays"))
-    each = each.join(stays, "component", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
-    gone = found.join(each, ["h1", "h2"]).where(~F.struct("doc_id", "th", "line_no").eqNullSafe(F.col("stays")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("lines"))
-
-
-def deduplicated(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """All columns of docs, text without its dropped lines, and n_lines, n_dropped (of lines that aren't blank).
-
-    Columns of docs under the two latter names are replaced.
-    """
-    docs = docs.drop("n_lines", "n_dropped")
-    names = [c for c in docs.columns if c != "text"]
-    gone = dropped(docs, limit).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("lines").alias("__lines"))
-    rows = docs.withColumn("__key", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__doc"]) & (rows["__key"] == gone["__th"]), "left").select(*docs.columns, "__lines")
+    seen, path = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_seen, _SEEN), "lines")
+    near_lines = components(_links(seen, docs, limit)).select("node.h1", "node.h2", "component")
+    each = seen.select("h1", "h2", F.size("places").alias("n"), F.array_min("places").alias("first")).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    each = checkpoint(each.join(near_lines, ["h1", "h2"], "left").where("n > 1 or component is not null"))
+    # Written apart, so that the join of a large component's lines can be split.
+    stays = checkpoint(each.where("component is not null").groupBy("component").agg(F.min("first").alias("stays")))
+    each = checkpoint(each.join(stays, "component", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays")))
+    gone = seen.select("h1", "h2", "places").join(each, ["h1", "h2"]).select("stays", F.explode("places").alias("p")).where(~F.col("p").eqNullSafe(F.col("stays")))
+    gone = checkpoint(gone.groupBy("p.doc_id", "p.th").agg(F.collect_set("p.line_no").alias("lines")))
+    remove(docs.sparkSession, path)
+    return gone
+
+
+def _reduced(docs: DataFrame, limit: int) -> tuple[DataFrame, str, str]:
+    """docs, text without its dropped lines, and two columns: how many lines (not blank) there were, how many went."""
+    th, doc, key, lines, n_lines, n_dropped = private(docs, "th", "gone_doc", "gone_th", "gone_lines", "n_lines", "n_dropped")
+    gone = dropped(docs, limit).toDF(doc, key, lines)
+    rows = docs.withColumn(th, F.xxhash64(named("text")))
+    rows = rows.join(gone, named("doc_id").eqNullSafe(named(doc)) & (named(th) == named(key)), "left").select(*map(named, docs.columns), named(lines))
+    columns = docs.columns
+    place = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             kept, counts, drops = [], [], []
-            for text, lines in zip(column(batch, "text").to_pylist(), column(batch, "__lines").to_pylist(), strict=True):
-                parts, gone = (text or "").split("\n"), set(lines or ())
+            for text, gone in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                parts, gone = (text or "").split("\n"), set(gone or ())
                 counts.append(sum(1 for x in parts if x.strip()))
                 drops.append(len(gone))
                 kept.append("\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], [*names, "text", "n_lines", "n_dropped"])
+            arrays = batch.columns[:-1]
+            arrays[place] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(drops, pa.int64())], [*columns, n_lines, n_dropped])
+
+    schema = docs.select(*map(named, columns)).schema.add(n_lines, "long").add(n_dropped, "long")
+    return mapped(rows, run, schema), n_lines, n_dropped
 
-    schema = docs.select(*names).schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
-    return rows.mapInArrow(run, schema).select(*docs.columns, "n_lines", "n_dropped")
+
+def deduplicated(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """All columns of docs, text without its dropped lines, and n_lines, n_dropped (of lines that aren't blank).
+
+    Columns of docs under the two latter names are replaced.
+    """
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
+    return _reduced(docs, limit)[0]
 
 
 def remaining(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The columns of docs, text without its dropped lines, n_chars (if any) anew; a document that lost all its lines goes."""
-    rows = deduplicated(docs, limit).where("n_dropped = 0 or n_dropped < n_lines")
+    rows, n_lines, n_dropped = _reduced(docs, limit)
+    lines, gone = named(n_lines), named(n_dropped)
+    rows = rows.where((gone == 0) | (gone < lines))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[c for c in docs.columns if c in rows.columns])
+        rows = rows.withColumn("n_chars", F.when(gone > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*map(named, docs.columns))
