@@ -10,14 +10,9 @@ occurrence stays (by doc_id, text hash and line number), all others go.
    a band with probability 0.985, at 0.9 with more than 0.999.  In each slice of
    text equal lines are one row with all their places, so a line that is
    everywhere has one row a slice.
-2. A band's bucket is its key's distinct lines.  Buckets of one line go, equal
-   buckets count once.  A filter of fixed size (``FILTER_BITS``) spares most other
-   lines the shuffle that brings the texts of a bucket together, once a line.
-3. Exact Jaccard likeness within each bucket.  One of more than ``LIMIT`` lines is
-   dealt out in blocks, each with the bucket's pivots (its least lines in
-   ``PIVOTS`` orders); only lines that no chain of links joins to a pivot in their
-   block then meet the lines of all other blocks.
-4. Distributed union-find over the verified links, exact repeats by hash.
+2. The lines that meet in a band are a bucket, whose pairs are verified by exact
+   Jaccard likeness (``banding``).
+3. Distributed union-find over the verified links, exact repeats by hash.
 
 Nulls and empty texts have no line and stay.  Rows of one doc_id and equal text
 count as one; null doc_ids come first.  A very long text is a slice of its own;
@@ -37,17 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .banding import LIMIT, filtered, joined, links
 from .common import checkpoint, column, mapped, named, of_rows, private, remove, slices, texts, written
 from .components import components
 
 SHINGLE, LIKENESS = 8, 0.8
 BANDS, ROWS = 8, 4
-LIMIT, PIVOTS = 2000, 8
-FILTER_BITS = 24
 #: Shingles that are hashed at once, so that they stay in the processor's cache.
 CHUNK = 1 << 15
-#: Lines of one key that a task holds; of further ones it holds none.
-HELD = 1 << 17
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -140,135 +132,10 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, name) sorted by both: the members of keys with several names, under a hash of their set.
-
-    A key with more than ``HELD`` names passes through under its own value.
-    """
-    held = np.zeros((0, 2), np.int64)
-    passing = None
-
-    def distinct(rows: np.ndarray) -> np.ndarray:
-        return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
-
-    def settled(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
-        starts = np.flatnonzero(new)
-        sizes = np.diff(np.append(starts, len(rows)))
-        x = rows[:, 1].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        sums = np.add.reduceat(x * np.uint64(0x9E3779B97F4A7C15), starts).view(np.int64)
-        some = np.repeat(sizes > 1, sizes)
-        return out(np.repeat(sums, sizes)[some], rows[some, 1])
-
-    def out(bucket: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(name)], ["bucket", "h1"])
-
-    for batch in batches:
-        rows = np.stack([column(batch, "key").to_numpy(), column(batch, "h1").to_numpy()], axis=1)
-        if passing is not None:
-            own = rows[:, 0] == passing
-            if own.any():
-                yield out(rows[own, 0], rows[own, 1])
-            rows = rows[~own]
-            if not len(rows):
-                continue
-            passing = None
-        rows = distinct(np.concatenate([held, rows]))
-        if not len(rows):
-            continue
-        last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # rows are sorted as signed longs
-        if last:
-            yield settled(rows[:last])
-        held = rows[last:]
-        if len(held) > HELD:
-            passing = held[0, 0]
-            yield out(held[:, 0], held[:, 1])
-            held = held[:0]
-    if len(held):
-        yield settled(held)
-
-
 def near(lines: list[bytes]) -> tuple[list[int], list[int], np.ndarray]:
     """Links (indices) from the members of each component by exact Jaccard likeness to its first line, and each line's first."""
     windows, starts = shingles(lines)
-    _, flat = np.unique(windows, return_inverse=True)
-    line = np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(windows))))
-    pairs = np.unique(line * (int(flat.max()) + 1) + flat)  # a line's shingle once
-    line, flat = np.divmod(pairs, int(flat.max()) + 1)
-    sizes = np.bincount(line, minlength=len(lines))
-    starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    first = np.arange(len(lines))
-    rest, a, b = np.ones(len(lines), bool), [], []
-    for root in range(len(lines)):
-        if not rest[root]:
-            continue
-        rest[root] = False
-        todo = [root]
-        while todo and rest.any():
-            at = todo.pop()
-            own = flat[starts[at] : starts[at] + sizes[at]]
-            mark[own] = True
-            could = np.flatnonzero(rest & (sizes >= LIKENESS * sizes[at] - 1e-9) & (sizes * LIKENESS <= sizes[at] + 1e-9))
-            if len(could):
-                if 2 * len(could) > len(lines):
-                    shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)[could]
-                else:
-                    some = sizes[could]
-                    begins = np.cumsum(some) - some
-                    shared = np.add.reduceat(mark[flat[np.repeat(starts[could] - begins, some) + np.arange(int(some.sum()))]], begins, dtype=np.int64)
-                linked = could[shared >= LIKENESS * (sizes[could] + sizes[at] - shared) - 1e-9].tolist()
-                a += linked
-                b += [root] * len(linked)
-                first[linked] = root
-                rest[linked] = False
-                todo += linked
-            mark[own] = False
-    return a, b, first
-
-
-_LINK = "bucket long, a1 long, a2 long, b1 long, b2 long"
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and tile: links between near lines (bucket null), and lines (bucket, a1, a2) of a block without a link to a pivot."""
-    held: dict[tuple[int, int], tuple[bytes, bool | None]] = {}
-    now, out = None, [[] for _ in range(5)]
-
-    def settle() -> None:
-        who, kinds = list(held), [v[1] for v in held.values()]
-        a, b, first = near([v[0] for v in held.values()])
-        out[0].extend([None] * len(a))
-        for j, side in enumerate((a, b)):
-            for k in (0, 1):
-                out[1 + 2 * j + k].extend([who[i][k] for i in side])
-        if any(k is not None for k in kinds):  # a block of a large bucket
-            reached = {f for f, k in zip(first.tolist(), kinds, strict=True) if k}
-            lone = [w for w, f in zip(who, first.tolist(), strict=True) if f not in reached]
-            out[0].extend([now[0]] * len(lone))
-            for k in (0, 1):
-                out[1 + k].extend([w[k] for w in lone])
-                out[3 + k].extend([None] * len(lone))
-
-    def batch_of() -> pa.RecordBatch:
-        done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["bucket", "a1", "a2", "b1", "b2"])
-        for c in out:
-            c.clear()
-        return done
-
-    for batch in batches:
-        for bucket, tile, h1, h2, pivot, line in zip(*(column(batch, c).to_pylist() for c in ("bucket", "tile", "h1", "h2", "pivot", "line")), strict=True):
-            if now != (bucket, tile):
-                if len(held) > 1 or any(v[1] is not None for v in held.values()):
-                    settle()
-                held, now = {}, (bucket, tile)
-            held[h1, h2] = (line, pivot)
-        if len(out[0]) > 10_000:
-            yield batch_of()
-    if len(held) > 1 or any(v[1] is not None for v in held.values()):
-        settle()
-    yield batch_of()
+    return joined(np.repeat(np.arange(len(lines)), np.diff(np.append(starts, len(windows)))), windows, len(lines), LIKENESS)
 
 
 def _sought(held):
@@ -279,68 +146,18 @@ def _sought(held):
         for batch in slices(batches):
             lines = list({x for t in texts(column(batch, "text")) for line in t.split("\n") if (x := normal(line))})
             name = names(lines)
-            at = name[:, 0] & ((1 << FILTER_BITS) - 1)
-            some = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array(name[some, 0]), pa.array(name[some, 1]), pa.array([lines[i] for i in some.tolist()], pa.binary())], ["h1", "h2", "line"])
+            some = filtered(name, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(name[some, 0]), pa.array(name[some, 1]), pa.array([lines[i] for i in some.tolist()], pa.binary())], ["h1", "h2", "item"])
 
     return run
 
 
-def _links(seen: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-    spark = docs.sparkSession
-    members = seen.select("h1", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_buckets, "bucket long, h1 long")
-    members = checkpoint(members.distinct())
-
-    # A bit for each value that a member's name can have, in words of 32 bits.
-    place = F.col("h1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = members.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, int(h1 & 31))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    found = docs.select("text").mapInArrow(_sought(spark.sparkContext.broadcast(bits)), "h1 long, h2 long, line binary").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-
-    turns = [F.lit(int(c)) for c in np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, PIVOTS)]
-    large = members.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(F.col("h1").bitwiseXOR(t)).alias(f"p{i}") for i, t in enumerate(turns))).where(f"n > {limit}")
-    large = checkpoint(large.select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("blocks"), F.array(*(F.col(f"p{i}").bitwiseXOR(t) for i, t in enumerate(turns))).alias("pivots")))
-    some = not large.isEmpty()
-    if some:
-        members = checkpoint(members.join(large, "bucket", "left"))
-        own = F.array(F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
-        pivot = F.array_contains("pivots", F.col("h1"))
-        small = F.col("blocks").isNull()
-        tiles = F.when(small, F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
-        rows = members.select("bucket", "h1", F.when(~small, pivot).alias("pivot"), F.explode(tiles).alias("tile"))
-    else:
-        rows = members.select("bucket", "h1", F.lit(None).cast("boolean").alias("pivot"), F.lit(0).alias("tile"))
-
-    def verified(rows: DataFrame) -> DataFrame:
-        rows = rows.join(found, "h1").select("bucket", "tile", "h1", "h2", "pivot", "line")
-        return checkpoint(rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "h1", "h2").mapInArrow(_verified, _LINK))
-
-    if some:
-        found = checkpoint(found)
-    out = verified(rows)
-    links = out.where("bucket is null")
-    if some and not (lone := out.where("bucket is not null").select("bucket", F.col("a1").alias("h1")).distinct()).isEmpty():
-        lone = checkpoint(lone)
-        sides = lone.groupBy("bucket").agg(F.ceil(F.count("*") / limit).cast("int").alias("sides"))
-        sides = checkpoint(sides)
-        rest = members.where("blocks is not null").select("bucket", "h1", "blocks").join(sides, "bucket")
-        block = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
-        side = F.pmod(F.xxhash64(F.lit(1), "h1"), F.col("sides")).cast("int")
-        every = rest.select("bucket", "h1", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), block.alias("block"), "blocks")
-        alone = rest.join(lone, ["bucket", "h1"], "left_semi").select("bucket", "h1", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-        tile = (F.col("side").cast("long") * F.col("blocks") + F.col("block")).alias("tile")
-        both = every.unionByName(alone).select("bucket", "h1", F.lit(None).cast("boolean").alias("pivot"), tile).distinct()
-        links = links.unionByName(verified(both).where("bucket is null"))
-    name = lambda x: F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")).alias(x)
-    return links.select(name("a"), name("b"))
-
-
 def dropped(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, th (the text's xxhash64), lines: the numbers of the lines that go, for documents that have any."""
     docs = of_rows(docs, "doc_id", "text").where("text is not null")
     seen, path = written(docs.withColumn("th", F.xxhash64("text")).mapInArrow(_seen, _SEEN), "lines")
-    near_lines = components(_links(seen, docs, limit)).select("node.h1", "node.h2", "component")
+    found = links(seen.select("h1", "keys"), lambda held: docs.select("text").mapInArrow(_sought(held), "h1 long, h2 long, item binary"), near, limit)
+    near_lines = components(found).select("node.h1", "node.h2", "component")
     each = seen.select("h1", "h2", F.size("places").alias("n"), F.array_min("places").alias("first")).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     each = checkpoint(each.join(near_lines, ["h1", "h2"], "left").where("n > 1 or component is not null"))
     # Written apart, so that the join of a large component's lines can be split.
