@@ -11,7 +11,11 @@ a common run of ``RUN`` characters (of the shorter one's length, if below).
 Signatures of one text have at most 64 characters: what comes after the 63rd
 piece is one last piece, so every byte counts.  Runs of more than three equal
 characters count as three in comparisons.  Null and empty texts have the
-fingerprint ``3::``; equal fingerprints have likeness one.
+fingerprint ``3::``; equal fingerprints have likeness one.  A very long text has
+64 pieces like any other.  Repeated rows are each judged, and follow one another;
+documents of equal doc_id come by text, null doc_ids first.  The last
+document's next is the first, which may be itself.  An empty table gives an empty
+one; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -20,13 +24,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, of_rows, slices
+from .common import column, of_rows, slices, texts, written
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SMALLEST, PIECES, LONGEST, WINDOW, RUN = 3, 64, 64, 7, 4
@@ -128,7 +132,10 @@ def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
+#: A document, or (is_last not null) the text of the first or last one of a range.
+_SCHEMA = _RESULT + ", bucket int, is_last boolean, text string"
 
 
 def _edited(text: str, after: str) -> str:
@@ -136,71 +143,71 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket in order; a row with ``own`` false only serves the row before it."""
-    before: tuple | None = None  # bucket, doc_id, text, fingerprint, own
-    for batch in slices(batches):
-        rows = []
-        for bucket, doc, text, own in zip(*(column(batch, c).to_pylist() for c in ("bucket", "doc_id", "text", "own")), strict=True):
-            now = (bucket, doc, text or "", fingerprint((text or "").encode()), own)
-            if before is not None and before[4] and before[0] == bucket:
-                edited = _edited(before[2], now[2])
-                rows.append((before[1], len(before[2]), hashlib.sha256(edited.encode()).hexdigest(), before[3], fingerprint(edited.encode()), now[3]))
-            before = now
-        near_edited, near_next = likeness([(r[3], r[4]) for r in rows]), likeness([(r[3], r[5]) for r in rows])
-        cols = list(zip(*(r[:5] for r in rows), strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(near_edited), pa.array(near_next)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-
-
-def by_range(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text, bucket: buckets hold ascending ranges of doc_id, cut at approximate quantiles; nulls are in bucket 0."""
-    docs = of_rows(docs, "doc_id", "text")
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    edges = [int(c) for c in cuts]
+def compare(pairs: list[tuple[int | None, str, str]]) -> list[list]:
+    """The result's columns for documents (doc_id, text, next text)."""
+    own, after = [fingerprint(t.encode()) for _, t, _ in pairs], {}
+    edits = [_edited(t, n) for _, t, n in pairs]
+    changed = [fingerprint(e.encode()) for e in edits]
+    for (_, t, _), f in zip(pairs, own, strict=True):
+        after[t] = f
+    following = [after[n] if n in after else fingerprint(n.encode()) for *_, n in pairs]
+    near = [likeness(list(zip(own, x, strict=True))).tolist() for x in (changed, following)]
+    return [[d for d, *_ in pairs], [len(t) for _, t, _ in pairs], [hashlib.sha256(e.encode()).hexdigest() for e in edits], own, changed, *near]
 
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        return pd.Series(np.where(known, np.searchsorted(edges, ids.where(known, 0).astype("int64"), "right"), 0).astype("int32"))
 
-    return docs.withColumn("bucket", bucket_of("doc_id"))
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
 
-def buckets_of(docs: DataFrame) -> int:
-    return 4 * max(8, docs.rdd.getNumPartitions())
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of documents in order: all but the last are compared with the next; the first and last are handed on."""
+    bucket, before = TaskContext.get().partitionId(), None
 
+    def handed(doc: int | None, text: str, is_last: bool) -> pa.RecordBatch:
+        none = [pa.array([doc], pa.int64()), *(pa.array([None], k) for k in _KINDS[1:])]
+        return pa.RecordBatch.from_arrays([*none, pa.array([bucket], pa.int32()), pa.array([is_last]), pa.array([text], pa.string())], [*_NAMES, "bucket", "is_last", "text"])
 
-def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """doc_id, text, bucket, with each bucket in one partition, by doc_id and then text."""
-    dealt = by_range(docs, buckets or buckets_of(docs))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    for batch in slices(batches):
+        rows = list(zip(column(batch, "doc_id").to_pylist(), texts(column(batch, "text")), strict=True))
+        if before is None and rows:
+            yield handed(*rows[0], False)
+        rows = rows if before is None else [before, *rows]
+        pairs = [(d, t, n) for (d, t), (_, n) in zip(rows, rows[1:], strict=False)]
+        before, m = rows[-1] if rows else before, len(pairs)
+        cols = [pa.array(c, k) for c, k in zip(compare(pairs), _KINDS, strict=True)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.string())], [*_NAMES, "bucket", "is_last", "text"])
+    if before is not None:
+        yield handed(*before, True)
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        pairs = list(zip(column(batch, "doc_id").to_pylist(), texts(column(batch, "text")), texts(column(batch, "after")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(compare(pairs), _KINDS, strict=True)], _NAMES)
+
+
+def in_order(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """doc_id, text: each partition holds an ascending range of doc_id, nulls first, equal ids by text.
+
+    Ranges are cut between rows of one doc_id too, where their texts begin differently.
+    """
+    docs = of_rows(docs, "doc_id", "text")
+    keys = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()]
+    dealt = docs.repartitionByRange(ranges, *keys) if ranges else docs.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, doc_id, text, own: each bucket holds a range of doc_id in order, and then the first row after it.
+def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Each document's fingerprint, that of its edited text, and the likenesses to that and to the next document's.
 
-    The ranges come from approximate quantiles of doc_id; the rows that begin
-    them are found by an aggregate of one row a bucket, so no window spans the
-    table.  The last bucket is closed by the first row of all.  Rows of one
-    doc_id stay in one bucket, ordered by text; null doc_ids come first.
+    One range partitioning by doc_id; each range's last document meets the next
+    range's first one in an equality join of two rows a range.  The rows are
+    written once, as what is in a range must not be drawn anew.
     """
-    dealt = by_range(docs, buckets)
-    firsts = dealt.groupBy("bucket").agg(F.max(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("least")).orderBy("bucket").collect()
-    serves = {}  # bucket -> the bucket before it that is not empty, around the end
-    for i, r in enumerate(firsts):
-        serves[r.bucket] = (firsts[i - 1].bucket, None if r.nulls else r.least)
-    if not serves:
-        return dealt.select("bucket", "doc_id", "text", F.lit(True).alias("own"), F.lit(0).alias("turn"))
-    previous = F.create_map(*[F.lit(x) for b, (p, _) in serves.items() for x in (b, p)])
-    is_first = F.coalesce(F.col("doc_id").isin([first for _, first in serves.values() if first is not None]), F.lit(False))
-    if any(first is None for _, first in serves.values()):
-        is_first = is_first | F.col("doc_id").isNull()
-    guests = dealt.where(is_first).select(F.element_at(previous, F.col("bucket")).alias("bucket"), "doc_id", "text", F.lit(False).alias("own"), F.lit(1).alias("turn"))
-    return dealt.select("bucket", "doc_id", "text", F.lit(True).alias("own"), F.lit(0).alias("turn")).unionByName(guests)
-
-
-def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and the likenesses to that and to the next document's."""
-    rows = with_next(docs, buckets or buckets_of(docs))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "turn", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(_run, _SCHEMA)
+    rows, _ = written(in_order(docs, ranges).mapInArrow(_run, _SCHEMA), "piecewise")
+    ends = rows.where("is_last is not null").select("bucket", "is_last", "doc_id", "text")
+    turn = Window.orderBy("bucket")
+    order = ends.where("not is_last").select("bucket", F.lead("bucket").over(turn).alias("then"), F.min("bucket").over(turn).alias("least"))
+    order = order.select("bucket", F.coalesce("then", "least").alias("then"))
+    heads = ends.where("not is_last").select(F.col("bucket").alias("then"), F.col("text").alias("after"))
+    met = ends.where("is_last").join(order, "bucket").join(heads, "then").select("doc_id", "text", "after")
+    return rows.where("is_last is null").select(*_NAMES).unionByName(met.mapInArrow(_meeting, _RESULT))

@@ -1,10 +1,12 @@
 """Operator 7: token ids in a compressed binary file.
 
 An adaptive range coder codes the ids of independently reset blocks.  A block's
-model mixes three predictions of the next id: order 2 and order 1 each name the
-id that followed their context, weighted by how often such predictions came
-true at that confidence; order 0 spreads the rest by adaptive counts of 256
-groups of ids.  Blocks are checksummed, so each can be read, and trusted, alone.
+model mixes three predictions of the next id.  Order 2 and order 1 each name the
+id that last followed their context, with a confidence (order 2 checks a hash of
+its context); order 0 counts ids.  The weights of the mixture are learnt within
+the block, one for each pair of confidences.  At its start a block's order 0 has
+the counts of its segment, which the segment's head states; the rest is empty.
+Blocks are checksummed, so each can be read, and trusted, alone.
 
 The coder works on all blocks of a segment in lockstep, one NumPy operation for
 all of them; carries are settled when the blocks end.
@@ -12,141 +14,183 @@ all of them; carries are settled when the blocks end.
 A file is a Parquet folder of segments, so that any store Spark writes to will
 do: ``bucket`` and ``part`` order the segments, ``n_ids`` counts, ``payload`` is
 
-    magic JWT1 | documents, ids, block length (u32 each) | CRC-32 of what follows to the blocks
+    magic JWT2 | documents, ids, block length, different ids (u32 each) | CRC-32 of what follows to the blocks
+    ids by falling count (u16 each) | eighths of the logarithm of their counts, base 2 (u8 each)
     doc_id (i64 each) | null flag (u8 each) | ids of each document (u32 each)
     for each block: words (u32), CRC-32 of its ids (u32)
     the blocks' 16-bit words, little-endian
 
-Documents come in ascending doc_id, nulls first, equal ids by text; each ends
-with the end id.  Null and empty texts have the end id alone.  Ids must be
-below 65536.
+Documents come in ascending doc_id, nulls first, equal ids by text; each ends with the end id.  Null and empty texts have the end id alone.  Repeated
+rows are each written.  Special tokens in a text are what the library makes of
+them.  A very long text lies in one segment.  Ids must be below 65536.  An empty
+table gives a file without segments.
 """
 
 from __future__ import annotations
 
+import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from .common import column, gather, of_rows, slices, texts
+from .common import SLICE_BYTES, column, gather, of_rows, scratch, slices, texts
 from .piecewise import in_order
 
-MAGIC, BLOCK, LANES, TABLE = b"JWT1", 1024, 1024, 1024
-#: What an id adds to its group's count; after how many ids the counts are summed anew.
-STEP, FRESH = 8, 16
-_SIXTEEN = np.arange(16)
+MAGIC = b"JWT2"
+#: Ids of a block; blocks that are coded in lockstep; slots of a block for order 2.
+BLOCK, LANES, TABLE = 1024, 4096, 1024
+#: Cells of all tables of one kind that a worker holds.
+CELLS = 10_000_000
+#: Sum of the counts that order 0 starts with; what an id adds; after how many ids they are summed anew.
+PRIOR, STEP, FRESH = 1 << 15, 24, 256
+#: Weights move by this power of two towards what came true.
+RATE = 5
 #: A character that is a token by itself.
 MARK = "|"
 #: Chunks of text that a worker keeps with their ids.
 KEPT = 400_000
 
 
-#: Weight of a prediction against what lies below it, in 256ths, by its confidence.
-_ODDS = np.array([0, 64, 160, 256, 384, 512, 640, 768], np.int64)
-
-
 class Model:
-    """The adaptive models of ``m`` blocks.
+    """The adaptive models of ``m`` blocks, in lockstep.  Ids are ranks in the segment's table of ids.
 
-    The next id's interval begins with the weights of the order-2 and the
-    order-1 prediction; then come all ids by order 0.  The groups' counts enter
-    their sums after every ``FRESH`` ids.
+    The next id's interval is split by weights learnt in the block for each pair
+    of confidences: the order-2 prediction's part, the order-1 prediction's, and
+    the rest by order 0.  Order 0 starts from the segment's counts and adds the
+    block's own, summed anew at steps that double and then every ``FRESH`` ids.
     """
 
-    def __init__(self, m: int) -> None:
+    def __init__(self, m: int, prior: np.ndarray) -> None:
+        d = self.d = len(prior)
         self.rows = np.arange(m)
-        self.table, self.wide, self.narrow = self.rows * TABLE, self.rows * 257, self.rows * 256
-        self.upto = np.tile(np.arange(257, dtype=np.int64), (m, 1))  # of the groups before each
-        self.coarse = np.ascontiguousarray(self.upto[:, :256:16])
-        self.flat, self.new = self.upto.ravel(), []
-        self.seen = [np.zeros(m * TABLE, np.int32) for _ in range(2)]  # 8 * id + confidence
+        self.one, self.two, self.wide, self.mix = self.rows * d, self.rows * TABLE, self.rows * (d + 1), self.rows * 128
+        self.count = np.tile(prior.astype(np.int32), (m, 1))
+        self.weights = self.count.ravel()
+        self.upto = np.zeros((m, d + 1), np.int32)  # of the ids before each
+        self.flat, self.t = self.upto.ravel(), 0
+        self.sum()
+        # Slots hold an id (16 bits), its confidence (3), and in order 2 a check of the context (13).
+        self.seen = np.zeros(m * d, np.uint32), np.zeros(m * TABLE, np.uint32)
+        sure = np.arange(128) & 63
+        first = np.minimum(700 + 420 * np.arange(8), 3500)
+        second = np.where(sure >> 3 > 0, first[sure >> 3], 0)
+        lesser = np.where((sure & 7 > 0) & (np.arange(128) < 64), first[sure & 7], 0)
+        self.trust = np.tile(second.astype(np.int64), m), np.tile(lesser.astype(np.int64), m)
         self.last, self.before = np.zeros(m, np.int64), np.zeros(m, np.int64)
 
+    def sum(self) -> None:
+        np.cumsum(self.count, axis=1, out=self.upto[:, 1:])
+
     def predict(self, n: int) -> None:
-        """The weights of both predictions, and of all."""
-        table, last = self.table[:n], self.last[:n]
-        self.at = (table + (last & (TABLE - 1)), table + ((last * 40503 + self.before[:n] * 30011 >> 4) & (TABLE - 1)))
-        self.met = (self.seen[0].take(self.at[0]), self.seen[1].take(self.at[1]))
-        self.sure = (self.met[0] & 7, self.met[1] & 7)
-        self.base = self.upto[:n, 256] << 8
-        self.one = self.base * _ODDS.take(self.sure[0]) >> 8
-        self.two = (self.base + self.one) * _ODDS.take(self.sure[1]) >> 8
-        self.both = self.one + self.two
-        self.room = self.base + self.both
+        """Both predictions, and how 4096 parts are split."""
+        last = self.last[:n]
+        context = last * 0x9E3779B1 + self.before[:n] * 0x85EBCA77
+        self.at = self.one[:n] + last, self.two[:n] + (context >> 16 & TABLE - 1)
+        self.check = context >> 32 & 0x1FFF
+        met = self.met = self.seen[0].take(self.at[0]).astype(np.int64), self.seen[1].take(self.at[1]).astype(np.int64)
+        one, two = met[0] & 0xFFFF, met[1] & 0xFFFF
+        sure_one, sure_two = met[0] >> 16, np.where(met[1] >> 19 == self.check, met[1] >> 16 & 7, 0)
+        same = (one == two) & (sure_two > 0)
+        self.said, self.sure = (one, two), (sure_one, sure_two)
+        self.usable = (sure_one > 0) & ~same, sure_two > 0
+        self.place = self.mix[:n] + (sure_two << 3) + sure_one + (same << 6)
+        self.p = self.trust[0].take(self.place), self.trust[1].take(self.place)
+        self.first = self.p[0]
+        self.second = (4096 - self.first) * self.p[1] >> 12
+        self.rest = 4096 - self.first - self.second
+        self.total = self.flat.take(self.wide[:n] + self.d).astype(np.int64)
+        self.room = self.total << 12
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids lie among ``room``, and how wide."""
-        at = self.wide[: len(ids)] + (ids >> 8)
-        start = self.flat.take(at)
-        own = self.flat.take(at + 1) - start
-        start = (start << 8) + (ids & 255) * own + self.both
-        for met, weight, first in ((self.met[0], self.one, self.two), (self.met[1], self.two, None)):
-            said = np.flatnonzero((met >> 3 == ids) & (weight > 0))
-            start[said] = 0 if first is None else first[said]
-            own[said] = weight[said]
-        return start, own
+        at = self.wide[: len(ids)] + ids
+        low = self.flat.take(at).astype(np.int64)
+        start = (self.first + self.second) * self.total + self.rest * low
+        size = self.rest * (self.flat.take(at + 1) - low)
+        one = np.flatnonzero((self.said[0] == ids) & self.usable[0] & (self.second > 0))
+        start[one] = (self.first * self.total)[one]
+        size[one] = (self.second * self.total)[one]
+        two = np.flatnonzero((self.said[1] == ids) & self.usable[1] & (self.first > 0))
+        start[two] = 0
+        size[two] = (self.first * self.total)[two]
+        return start, size
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids that lie at these places, where they begin, and how wide they are."""
-        n = len(at)
-        base = at - self.both
-        unit = (base >> 8)[:, None]
-        high = np.maximum((self.coarse[:n] <= unit).sum(axis=1), 1) - 1 << 4
-        place = self.wide[:n] + high
-        place += np.maximum((self.flat.take(place[:, None] + _SIXTEEN) <= unit).sum(axis=1), 1) - 1
-        start = self.flat.take(place)
-        own = self.flat.take(place + 1) - start
-        low = (base - (start << 8)) // own
-        ids = (place - self.wide[:n] << 8) + low
-        start = (start << 8) + low * own + self.both
-        for met, weight, end, first in ((self.met[0], self.one, self.both, self.two), (self.met[1], self.two, self.two, None)):
-            said = np.flatnonzero(at < end)
-            ids[said] = met[said] >> 3
-            start[said] = 0 if first is None else first[said]
-            own[said] = weight[said]
-        return ids, start, own
+        upper, both = self.first * self.total, (self.first + self.second) * self.total
+        two = at < upper
+        ids, start, size = np.where(two, self.said[1], self.said[0]), np.where(two, 0, upper), np.where(two, upper, both - upper)
+        some = np.flatnonzero(at >= both)
+        if len(some):
+            x = (at[some] - both[some]) // self.rest[some]
+            row, found = self.wide[some], np.zeros(len(some), np.int64)
+            step = 1 << max(0, self.d.bit_length() - 1)
+            while step:
+                next_ = np.minimum(found + step, self.d)
+                found = np.where(self.flat.take(row + next_) <= x, next_, found)
+                step >>= 1
+            low = self.flat.take(row + found).astype(np.int64)
+            ids[some] = found
+            start[some] = both[some] + self.rest[some] * low
+            size[some] = self.rest[some] * (self.flat.take(row + found + 1) - low)
+        return ids, start, size
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
-        self.new.append(self.narrow[:n] + (ids >> 8))
-        if len(self.new) == FRESH:
-            m = len(self.rows)
-            counts = np.bincount(np.concatenate(self.new), minlength=256 * m).reshape(m, 256)
-            np.cumsum(counts, axis=1, out=counts)
-            self.upto[:, 1:] += STEP * counts
-            self.coarse = np.ascontiguousarray(self.upto[:, :256:16])
-            self.new = []
-        for seen, at, met, sure in zip(self.seen, self.at, self.met, self.sure, strict=True):
-            fresh = np.where(sure > 1, met - (sure + 1 >> 1), (ids << 3 | 1).astype(np.int32))
-            seen[at] = np.where((met >> 3 == ids) & (sure > 0), met + (sure < 7), fresh)
+        right = (self.said[0] == ids) & (self.sure[0] > 0), (self.said[1] == ids) & (self.sure[1] > 0)
+        two, one = self.p
+        self.trust[0][self.place] = two + ((4095 * right[1] - two) >> RATE)
+        self.trust[1][self.place] = np.where(right[1], one, one + ((4095 * (right[0] & self.usable[0]) - one) >> RATE))
+        for order in (0, 1):
+            met, sure = self.met[order], self.sure[order]
+            fresh = ids | 1 << 16
+            if order:
+                fresh |= self.check << 19
+            other = np.where(sure > 1, met - ((sure + 1 >> 1) << 16), fresh)
+            self.seen[order][self.at[order]] = np.where(right[order], met + ((sure < 7) << 16), other)
+        self.weights[self.one[:n] + ids] += STEP
         self.before[:n], self.last[:n] = self.last[:n], ids
+        self.t += 1
+        if self.t % FRESH == 0 or self.t in (32, 64, 128):
+            self.sum()
+
+
+_RENEW, _LOW = np.uint64(1 << 44), np.uint64((1 << 44) - 1)
+_FOUR = np.uint64(15)
+_4, _12, _16, _44 = np.uint64(4), np.uint64(12), np.uint64(16), np.uint64(44)
 
 
-_RENEW, _LOW = np.uint64(1 << 32), np.uint64((1 << 32) - 1)
-_16, _32 = np.uint64(16), np.uint64(32)
+def _group(d: int) -> int:
+    """How many blocks are coded at once: their tables have ``CELLS`` cells at most."""
+    return max(16, min(LANES, CELLS // max(d, TABLE)))
 
 
-def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[list[np.ndarray], list[int]]:
-    """For each block of ids its words and checksum."""
+def _prior(sizes: np.ndarray) -> np.ndarray:
+    """Counts at the start of a block, from a byte for each id: eighths of the logarithm of its count in the segment."""
+    share = np.exp2(sizes.astype(np.float64) / 8)
+    return np.maximum(1, np.floor(share * (PRIOR / max(share.sum(), 1.0)))).astype(np.int64)
+
+
+def _compress(ids: np.ndarray, block: int, prior: np.ndarray) -> list[np.ndarray]:
     m = -(-len(ids) // block)
     tokens = np.zeros((m, block), np.int64)
     tokens.ravel()[: len(ids)] = ids
     steps = np.ascontiguousarray(tokens.T)
     tail = len(ids) - (m - 1) * block
-    model = Model(m)
-    low, wide = np.zeros(m, np.uint64), np.full(m, np.uint64(1 << 48))
-    out, used = np.zeros((m, 2 * block + 4), np.uint32), np.zeros(m, np.int64)
+    model = Model(m, prior)
+    low, wide = np.zeros(m, np.uint64), np.full(m, np.uint64(1 << 60))
+    out, used = np.zeros((m, 2 * block + 8), np.uint32), np.zeros(m, np.int64)
 
     def emit(who: np.ndarray) -> None:
         now = low[who]
-        out[who, used[who]] = now >> _32
+        out[who, used[who]] = now >> _44
         used[who] += 1
         low[who] = (now & _LOW) << _16
 
@@ -159,78 +203,102 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[list[np.ndarray], lis
         low[:n] += r * start.astype(np.uint64)
         wide[:n] = r * size.astype(np.uint64)
         model.update(now)
-        for _ in range(2):
-            who = np.flatnonzero(wide[:n] < _RENEW)
-            if not len(who):
-                break
+        while len(who := np.flatnonzero(wide[:n] < _RENEW)):
             emit(who)
             wide[who] <<= _16
-    for _ in range(3):
+    for _ in range(4):
         emit(model.rows)
     for j in range(int(used.max()) - 1, 0, -1):  # carries
         out[:, j - 1] += out[:, j] >> np.uint32(16)
         out[:, j] &= np.uint32(0xFFFF)
-    sums = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(m)]
-    return [out[i, : used[i]].astype("<u2") for i in range(m)], sums
+    return [out[i, : used[i]].astype("<u2") for i in range(m)]
 
 
-def expand(words: np.ndarray, sizes: np.ndarray, sums: np.ndarray, count: int, block: int) -> np.ndarray:
-    """The ids of all blocks; a wrong checksum is an error."""
+def _expand(words: np.ndarray, sizes: np.ndarray, count: int, block: int, prior: np.ndarray) -> np.ndarray:
     m = len(sizes)
-    if not m:
-        return np.zeros(0, np.int64)
-    words = np.append(words.astype(np.uint64), np.zeros(4, np.uint64))
+    words = np.append(words.astype(np.uint64), np.zeros(8, np.uint64))
     ends = np.cumsum(sizes)
     at = ends - sizes
-    code = np.zeros(m, np.uint64)
-    for _ in range(3):
-        code = (code << _16) | words[at]
-        at = at + 1
+    # 60 bits are four words less four bits, which wait in ``left``.
+    code, left = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+
+    def take(who: np.ndarray) -> None:
+        got = np.where(at[who] < ends[who], words[np.minimum(at[who], len(words) - 1)], np.uint64(0))
+        code[who] = (code[who] << _16) | (left[who] << _12) | (got >> _4)
+        left[who] = got & _FOUR
+        at[who] += 1
+
+    for _ in range(4):
+        take(np.arange(m))
     tail = count - (m - 1) * block
-    model, wide = Model(m), np.full(m, np.uint64(1 << 48))
+    model, wide = Model(m, prior), np.full(m, np.uint64(1 << 60))
     out = np.zeros((block, m), np.int64)
     for t in range(block if m > 1 else tail):
         n = m if t < tail else m - 1
         model.predict(n)
         room = model.room.astype(np.uint64)
         r = wide[:n] // room
-        found, start, size = model.find(np.minimum(code[:n] // r, room - np.uint64(1)).astype(np.int64))
+        found, start, size = model.find(np.minimum((code[:n]) // r, room - np.uint64(1)).astype(np.int64))
         code[:n] -= r * start.astype(np.uint64)
         wide[:n] = r * size.astype(np.uint64)
         out[t, :n] = found
         model.update(found)
-        for _ in range(2):
-            who = np.flatnonzero(wide[:n] < _RENEW)
-            if not len(who):
-                break
-            code[who] = (code[who] << _16) | np.where(at[who] < ends[who], words[np.minimum(at[who], len(words) - 1)], np.uint64(0))
-            at[who] += 1
+        while len(who := np.flatnonzero(wide[:n] < _RENEW)):
+            take(who)
             wide[who] <<= _16
-    ids = out.T.ravel()[:count]
-    for i in range(m):
-        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != int(sums[i]):
+    return out.T.ravel()[:count]
+
+
+def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
+    """The segment's table of ids, a byte of count for each, and for each block of ids its words and checksum."""
+    counts = np.bincount(ids)
+    table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    place = np.zeros(len(counts), np.int64)
+    place[table] = np.arange(len(table))
+    sizes, rank = np.round(8 * np.log2(counts[table])).astype(np.uint8), place[ids]
+    prior, words, at_once = _prior(sizes), [], _group(len(table)) * block
+    for a in range(0, len(ids), at_once):
+        words += _compress(rank[a : a + at_once], block, prior)
+    sums = [zlib.crc32(ids[i : i + block].astype("<u4").tobytes()) for i in range(0, len(ids), block)]
+    return table, sizes, words, sums
+
+
+def expand(table: np.ndarray, counts: np.ndarray, words: np.ndarray, sizes: np.ndarray, sums: np.ndarray, count: int, block: int) -> np.ndarray:
+    """The ids of all blocks; a wrong checksum is an error."""
+    prior, group, out = _prior(counts), _group(len(table)), []
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for a in range(0, len(sizes), group):
+        b = min(a + group, len(sizes))
+        rank = _expand(words[ends[a] : ends[b]], sizes[a:b], min(count, b * block) - a * block, block, prior)
+        out.append(table[np.minimum(rank, len(table) - 1)])
+    ids = np.concatenate(out) if out else np.zeros(0, np.int64)
+    for i, wanted in enumerate(sums.tolist()):
+        if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != wanted:
             raise ValueError(f"block {i} fails its checksum")
     return ids
 
 
 def pack(docs: list[int | None], sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    words, sums = compress(ids, block)
-    index = np.array([d or 0 for d in docs], "<i8").tobytes() + np.array([d is None for d in docs], np.uint8).tobytes() + sizes.astype("<u4").tobytes() + np.array([[len(w), s] for w, s in zip(words, sums, strict=True)], "<u4").tobytes()
-    return MAGIC + np.array([len(docs), len(ids), block, zlib.crc32(index)], "<u4").tobytes() + index + b"".join(w.tobytes() for w in words)
+    table, counts, words, sums = compress(ids, block)
+    index = table.astype("<u2").tobytes() + counts.tobytes()
+    index += np.array([d or 0 for d in docs], "<i8").tobytes() + np.array([d is None for d in docs], np.uint8).tobytes() + sizes.astype("<u4").tobytes() + np.array([[len(w), s] for w, s in zip(words, sums, strict=True)], "<u4").tobytes()
+    return MAGIC + np.array([len(docs), len(ids), block, len(table), zlib.crc32(index)], "<u4").tobytes() + index + b"".join(w.tobytes() for w in words)
 
 
 def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """doc_ids, how many ids each has, the ids."""
     if payload[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
-    n, count, block, crc = np.frombuffer(payload, "<u4", 4, 4).tolist()
+    n, count, block, d, crc = np.frombuffer(payload, "<u4", 5, 4).tolist()
     m = -(-count // block)
-    end = 20 + 13 * n + 8 * m
-    if zlib.crc32(payload[20:end]) != crc:
+    at = 24 + 3 * d
+    end = at + 13 * n + 8 * m
+    if zlib.crc32(payload[24:end]) != crc:
         raise ValueError("a segment's index fails its checksum")
-    docs, nulls = np.frombuffer(payload, "<i8", n, 20), np.frombuffer(payload, np.uint8, n, 20 + 8 * n)
-    sizes, blocks = np.frombuffer(payload, "<u4", n, 20 + 9 * n), np.frombuffer(payload, "<u4", 2 * m, 20 + 13 * n).reshape(-1, 2)
-    ids = expand(np.frombuffer(payload, "<u2", offset=end), blocks[:, 0].astype(np.int64), blocks[:, 1], count, block)
+    table, counts = np.frombuffer(payload, "<u2", d, 24).astype(np.int64), np.frombuffer(payload, np.uint8, d, 24 + 2 * d)
+    docs, nulls = np.frombuffer(payload, "<i8", n, at), np.frombuffer(payload, np.uint8, n, at + 8 * n)
+    sizes, blocks = np.frombuffer(payload, "<u4", n, at + 9 * n), np.frombuffer(payload, "<u4", 2 * m, at + 13 * n).reshape(-1, 2)
+    ids = expand(table, counts, np.frombuffer(payload, "<u2", offset=end), blocks[:, 0].astype(np.int64), blocks[:, 1], count, block)
     return [None if z else d for d, z in zip(docs.tolist(), nulls.tolist(), strict=True)], sizes.astype(np.int64), ids
 
 
@@ -245,7 +313,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.end, self.chunks = end, re.compile(r"[^ \n\t\r]+").findall
         self.clear()
@@ -301,30 +368,24 @@ def write(docs: DataFrame, definition: str, path: str, end: int = 2, block: int
     held = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = Tokens(held.value, end)
-        now, part = None, 0
+        tokens, bucket, part = Tokens(held.value, end), TaskContext.get().partitionId(), 0
         docs_in, sizes_in, ids_in, count = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
             payload = pack(docs_in, np.concatenate(sizes_in), np.concatenate(ids_in), block)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.array([payload])], ["bucket", "part", "n_ids", "payload"])
-
-        for batch in slices(batches):
-            buckets = column(batch, "bucket").to_numpy()
-            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist()], [*cuts[1:], len(buckets)], strict=True):
-                if now is not None and now != buckets[a] or count >= lanes * block:
-                    yield segment()
-                    part = part + 1 if now == buckets[a] else 0
-                    docs_in, sizes_in, ids_in, count = [], [], [], 0
-                now = int(buckets[a])
-                ids, sizes = tokens.encode(texts(column(batch, "text").slice(a, b - a)))
-                docs_in += column(batch, "doc_id").slice(a, b - a).to_pylist()
-                sizes_in.append(sizes), ids_in.append(ids)
-                count += len(ids)
-        if now is not None:
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.array([payload])], ["bucket", "part", "n_ids", "payload"])
+
+        for batch in slices(batches, limit=min(SLICE_BYTES, lanes * block)):
+            ids, sizes = tokens.encode(texts(column(batch, "text")))
+            docs_in += column(batch, "doc_id").to_pylist()
+            sizes_in.append(sizes), ids_in.append(ids)
+            count += len(ids)
+            if count >= lanes * block:
+                yield segment()
+                part += 1
+                docs_in, sizes_in, ids_in, count = [], [], [], 0
+        if docs_in:
             yield segment()
 
     in_order(docs).mapInArrow(run, "bucket int, part int, n_ids long, payload binary").write.parquet(path)
@@ -349,27 +410,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def positions(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from a file.
 
-    The segments' sizes, a column of the file, give where each begins: a running
-    sum over one small row for each segment.
+    Where segments begin is a running sum in two levels, over one row a bucket and
+    over each bucket's segments; their sizes are a column of the file.
     """
-    files = spark.read.parquet(path)
-    sizes = files.groupBy("bucket", "part").agg(F.sum("n_ids").alias("n")).orderBy("bucket", "part").collect()
-    starts, total = [], 0
-    for r in sizes:
-        starts.append((r.bucket, r.part, total))
-        total += r.n
-    starts = spark.createDataFrame(starts, "bucket int, part int, before long")
+    files = spark.read.parquet(path).select("bucket", "part", "n_ids")
+    whole = files.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
+    whole = whole.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - col("n")).alias("upto"))
+    inner = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("part")) - col("n_ids")
+    starts = files.withColumn("inner", inner).join(whole, "bucket").select("bucket", "part", (col("upto") + col("inner")).alias("before"))
     rows = read(spark, path).drop("ids").join(starts, ["bucket", "part"])
     return rows.select("doc_id", (col("before") + col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path among the checkpoints, which all executors share."""
-    from .common import shared_folder
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def round_trip(docs: DataFrame, definition: str, end: int = 2) -> DataFrame:
     """Write all documents to a new file in the shared folder and read it back."""
     docs = of_rows(docs, "doc_id", "text")

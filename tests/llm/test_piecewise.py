@@ -51,3 +51,69 @@ def test_next_documents(spark):
             assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.edited_fingerprint == P.fingerprint(edited.encode())
             assert r.near_next == P.likeness([(r.fingerprint, P.fingerprint(after.encode()))])[0]
     assert P.compared(docs.limit(0)).count() == 0
+
+
+def plain_fingerprint(raw):
+    """A fingerprint byte by byte, from the method's description."""
+    import xxhash
+
+    def rolled(i):
+        h = 0
+        for back in range(min(7, i + 1)):
+            h += raw[i - back] * pow(0x01000193, back + 1, 1 << 32)
+        h &= 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & 0xFFFFFFFF
+        return h ^ h >> 13
+
+    hashes = [rolled(i) for i in range(len(raw))]
+
+    def pieces(block):
+        cuts = [i + 1 for i, h in enumerate(hashes) if h % block == block - 1]
+        bounds = [0, *cuts[:63]]
+        if bounds[-1] < len(raw):
+            bounds.append(len(raw))
+        return len(cuts), "".join(chr(P.ALPHABET[xxhash.xxh32_intdigest(raw[a:b]) % 64]) for a, b in zip(bounds, bounds[1:], strict=False))
+
+    block = 3
+    while 64 * block < len(raw):
+        block *= 2
+    while block > 3 and pieces(block)[0] < 32:
+        block //= 2
+    return f"{block}:{pieces(block)[1]}:{pieces(2 * block)[1]}"
+
+
+def test_fingerprint_byte_by_byte():
+    rng = random.Random(8)
+    for n in (0, 1, 6, 7, 100, 900, 5000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz \n"):
+            raw = "".join(rng.choices(letters, k=n)).encode()
+            assert P.fingerprint(raw) == plain_fingerprint(raw)
+
+
+def test_likeness_from_edit_distance():
+    """One less the distance over the longer signature, the best of the block sizes in common."""
+    rng = random.Random(11)
+    for _ in range(40):
+        base = "".join(rng.choices("abcdefgh ", k=rng.randrange(200, 4000)))
+        at = rng.randrange(len(base))
+        x, y = P.fingerprint(base.encode()), P.fingerprint((base[:at] + "zzz" + base[at + rng.randrange(40) :]).encode())
+        sides = []
+        for f in (x, y):
+            block, *signatures = f.split(":")
+            sides.append({int(block): P._squeezed(signatures[0]), 2 * int(block): P._squeezed(signatures[1])})
+        best = 0.0
+        for block in sides[0].keys() & sides[1].keys():
+            s, t = sides[0][block], sides[1][block]
+            n = min(4, len(s), len(t))
+            if n and {s[i : i + n] for i in range(len(s) - n + 1)} & {t[i : i + n] for i in range(len(t) - n + 1)}:
+                best = max(best, 1 - edit(s.encode(), t.encode()) / max(len(s), len(t)))
+        assert abs(P.likeness([(x, y)])[0] - (1.0 if x == y else best)) < 1e-12
+
+
+def test_long_and_repeated(spark):
+    long = "".join(random.Random(3).choices("abcdefgh \n", k=1_500_000))
+    docs = spark.createDataFrame([(1, long), (2, "b"), (2, "b"), (None, "c"), (None, "c")], "doc_id long, text string")
+    got = P.compared(docs, 3).collect()
+    assert len(got) == 5 and sum(r.doc_id is None for r in got) == 2
+    assert [r for r in got if r.doc_id == 1][0].edited_sha256 == hashlib.sha256((long[:750_000] + "b").encode()).hexdigest()
