@@ -7,16 +7,20 @@ numbers of different characters that precede.  Probabilities stand in sorted
 arrays of packed n-grams, found by binary search.  A text goes to the language
 of the lowest cross-entropy a character.
 
-Calibration: over all learning rows, mean and deviation of the cross-entropy
-under the row's own language; a text whose cross-entropy lies more than
-``DEVIATIONS`` above the mean of its language is marked rejected (its language is
-still given).  The score is the share of the language's likelihood among all
+Calibration: one learning row in ``FOLDS``, by hash of its id and text, is held
+back from a second set of counts, gathered in the same pass.  Models of these
+give the mean and deviation of the cross-entropy of the rows held back under
+their own language; a text whose cross-entropy lies more than ``DEVIATIONS``
+above the mean of its language is marked rejected (its language is still given).
+A language without rows held back rejects nothing.  The score is the share of the language's likelihood among all
 languages', with the evidence of a text held at ``EVIDENCE`` characters.
 
 All n-grams count, however many.  The model passes through the driver and goes to
 all workers; one that doesn't fit there ends in an error, never in fewer n-grams.
 
-A null text, and one without a letter, is ``und`` with score 0.  Rows with a
+A null text, and one without a letter (as ``str.isalpha`` has it), is ``und`` with
+score 0.  A very long text is scored whole, word by word.  An empty table gives an
+empty one; further columns are not carried.  Rows with a
 null language or text teach nothing; without any learning row all is ``und``.
 Repeated rows are each judged; equal cross-entropies go to the first language by
 name.  Characters enter n-grams as 16 bits, so some rare ones share a place.
@@ -24,7 +28,6 @@ name.  Characters enter n-grams as 16 bits, so some rare ones share a place.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,10 +39,9 @@ from pyspark.sql import functions as F
 from .common import column, of_rows, slices, texts
 
 ORDER = 4
-DEVIATIONS, EVIDENCE = 4.0, 40
+DEVIATIONS, EVIDENCE, FOLDS = 4.0, 40, 8
 #: Words that a worker keeps with their scores.
 KEPT = 400_000
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -70,32 +72,35 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """lang, gram, n over all rows (columns lang and text); each task sums its own first."""
+    """lang, gram, n, fit over all rows (columns lang, text and back); each task sums its own first.
+
+    n counts all rows, fit those that aren't held back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (keys, counts) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+            for (lang, back), (keys, counts) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(0 * counts if back else counts)], ["lang", "gram", "n", "fit"])
 
         for batch in slices(batches):
-            words: dict[str, Counter] = {}
-            for lang, text in zip(column(batch, "lang").to_pylist(), texts(column(batch, "text")), strict=True):
-                words.setdefault(lang, Counter()).update(text.lower().split())
-            for lang, found in words.items():
+            words: dict[tuple[str, bool], Counter] = {}
+            for lang, text, back in zip(column(batch, "lang").to_pylist(), texts(column(batch, "text")), column(batch, "back").to_pylist(), strict=True):
+                words.setdefault((lang, back), Counter()).update(text.lower().split())
+            for which, found in words.items():
                 if not found:
                     continue
                 keys, sizes = grams(list(found))
                 counts = np.repeat(np.fromiter(found.values(), np.int64, len(found)), sizes)
-                before = held.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-                held[lang] = _summed(np.concatenate([before[0], keys]), np.concatenate([before[1], counts]))
+                before = held.get(which, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                held[which] = _summed(np.concatenate([before[0], keys]), np.concatenate([before[1], counts]))
             if sum(len(k) for k, _ in held.values()) > 2_000_000:
                 yield from out()
                 held = {}
         yield from out()
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text", "back").mapInArrow(run, "lang string, gram long, n long, fit long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
 
 
 class Model:
@@ -138,24 +143,20 @@ class Model:
         return -np.log2(p)
 
 
-def learned(rows: DataFrame, most: int | None = None) -> dict[str, Model]:
-    """A model for each language of rows (columns lang and text, not null), of all n-grams.
+def learned(rows: DataFrame) -> tuple[dict[str, Model], dict[str, Model]]:
+    """Models for each language of rows (columns lang and text, not null): of all n-grams, and of those of rows not held back.
 
-    Only a caller that gives ``most`` has the rarest left out above it.
+    A column ``back`` says which rows are held back; without it none are.
     """
-    counts = gram_counts(rows)
-    if most is None:
-        found = counts.toPandas()
-    else:
-        counts, total, least = counts.persist(), 0, 1
-        for r in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.col("n").desc()).collect():
-            total += r.m
-            if total > most:
-                least = r.n + 1
-                break
-        found = counts.where(F.col("n") >= least).toPandas()
-        counts.unpersist()
-    return {lang: Model(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64)) for lang, own in sorted(found.groupby("lang"))}
+    rows = rows if "back" in rows.columns else rows.withColumn("back", F.lit(False))
+    found = gram_counts(rows).toPandas()
+    every, fit = {}, {}
+    for lang, own in sorted(found.groupby("lang")):
+        keys, counts, part = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64), own["fit"].to_numpy(np.int64)
+        every[lang] = Model(keys, counts)
+        if part.any():
+            fit[lang] = every[lang] if (part == counts).all() else Model(keys[part > 0], part[part > 0])
+    return every, fit
 
 
 class Scorer:
@@ -197,7 +198,7 @@ class Scorer:
 
 
 def calibrated(rows: DataFrame, held) -> dict[str, tuple[float, float]]:
-    """Mean and deviation of the cross-entropy of rows under their own language, over all of them."""
+    """Mean and deviation of the cross-entropy of rows under their own language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = held.value
@@ -221,10 +222,11 @@ def identified(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
     learn: which rows teach (their text and lang); held_out: a column to carry.
     """
     spark = docs.sparkSession
-    teachers = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    models = learned(teachers)
+    back = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)) == 0
+    teachers = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("back", back)
+    models, fit = learned(teachers)
     held = spark.sparkContext.broadcast(models)
-    calm = calibrated(teachers, held) if models else {}
+    calm = calibrated(teachers.where("back"), spark.sparkContext.broadcast(fit)) if fit else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = held.value
@@ -233,7 +235,7 @@ def identified(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
         for batch in slices(batches):
             block = texts(column(batch, "text"))
             n = len(block)
-            known = np.array([bool(names) and _LETTER.search(t) is not None for t in block], bool)
+            known = np.array([bool(names) and any(map(str.isalpha, t)) for t in block], bool)
             best, score, least = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             if names:
                 entropy, size = scorer.entropies(block)

@@ -63,11 +63,13 @@ WITH RECURSIVE rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('bl
 named AS (SELECT page_id, html, coalesce(url, '') AS url FROM pages),
 split AS (SELECT page_id, url, html,
   translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM named),
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+  CASE WHEN contains(url, '://') THEN lower(regexp_extract(url, '^([^:/?#]*)://', 1)) || '://' || translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(url, '://[^/?#]*([^#]*)', 1) END AS node FROM named),
 links AS (
-  SELECT url AS a, regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM split
-  UNION SELECT url, regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM split),
-both_ways AS (SELECT a, b FROM links WHERE b LIKE '%://%' AND a <> b UNION SELECT b, a FROM links WHERE b LIKE '%://%' AND a <> b),
+  SELECT url, node, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS b FROM (SELECT url, node, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|''(?:[^''>]*\s)?canonical(?:\s[^''>]*)?''|canonical(?:\s|/?>))[^>]*>?')) AS tag FROM split)
+  UNION SELECT url, node, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM (SELECT url, node, unnest(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag FROM split)),
+targets AS (SELECT node AS a, lower(regexp_extract(b, '^([^:/?#]*)://', 1)) || '://' || translate(regexp_extract(b, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(b, '://[^/?#]*([^#]*)', 1) AS b FROM links WHERE regexp_matches(b, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+both_ways AS (SELECT a, b FROM targets WHERE a <> b UNION SELECT b, a FROM targets WHERE a <> b),
 reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
 target AS (SELECT a, b, translate(regexp_extract(b, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(b, '://[^/?#]*([^?#]*)', 1) AS path FROM reach),
 ruled AS (SELECT t.a, arg_max(r.verdict, length(r.host) + length(r.path)) AS verdict FROM target t JOIN rules r ON (t.host = r.host OR ends_with(t.host, '.' || r.host)) AND starts_with(t.path, r.path) GROUP BY t.a, t.b),
@@ -75,6 +77,6 @@ alias AS (SELECT a, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'bloc
 own AS (SELECT s.host, s.path, arg_max(r.host || r.path, length(r.host) + length(r.path)) AS rule, arg_max(r.verdict, length(r.host) + length(r.path)) AS verdict
   FROM (SELECT DISTINCT host, path FROM split) s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.host, s.path)
 SELECT s.page_id, s.host, s.path, o.rule, coalesce(o.verdict, a.verdict, 'allow') AS verdict
-FROM split s LEFT JOIN own o ON s.host = o.host AND s.path = o.path LEFT JOIN alias a ON s.url = a.a
+FROM split s LEFT JOIN own o ON s.host = o.host AND s.path = o.path LEFT JOIN alias a ON s.node = a.a
 """,
 }

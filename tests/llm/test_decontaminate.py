@@ -21,7 +21,7 @@ def brute(docs, items, rate=D.RATE):
             p = D.normal(words or "")
             if not p:
                 continue
-            k = max(0, min(int(len(p) * rate), len(p) // D.KEY - 1))
+            k = int(len(p) * rate + 1e-9)  # a tenth of the bytes, whatever the length
             t = D.normal(text or "")
             if len(p) < D.KEY:
                 if b" " + p + b" " in b" " + t + b" ":
@@ -79,3 +79,31 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "lorem ipsum " * 200_000 + "the quick brown fox jumps over it")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "The quick, brown fox jumped over it")], "item_id long, text string")
     assert D.matches(docs, bench).first().distance == 2
+
+
+def test_short_items(spark):
+    """Items of 1 to 60 bytes have the whole budget of a tenth, pieces below eight bytes included."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("abcde fgh") for _ in range(n))
+    items = [(n, ("x" + say(n) + "y")[: n - 1] + "z") for n in range(1, 61)]
+    docs = []
+    for i, (n, t) in enumerate(items * 2):
+        docs.append((i, say(30) + " " + edited(rng, t, rng.randrange(0, 2 + n // 10)) + " " + say(30)))
+    expected = brute(docs, items)
+    assert {len(D.normal(dict(items)[x])) // 10 for _, x in expected} >= {0, 1, 2, 3, 4, 5}
+    got = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == expected
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "it holds benchmark words", 2), (2, "it holds none", 3), (None, None, None)], ["doc_id", "text", "a.b"])
+    bench = spark.createDataFrame([(None, "benchmark words"), (4, "  ")], "item_id long, text string")
+    assert [tuple(r) for r in D.clean(docs, bench).orderBy("doc_id").collect()] == [(None, None, None), (2, "it holds none", 3)]
+
+
+def test_first_of_equal_places():
+    own = D.Items([D.normal("the river walks under glass")], 0.1)
+    text = "a the river walks under glass b the river walks under glass"
+    import pyarrow as pa
+
+    assert own.matches(*D.normalised(pa.array([text]))) == {(0, 0): (0, 29)}
