@@ -10,7 +10,9 @@ from the words'.
 
 Words already replayed by a worker are kept (up to ``KEPT`` of them), so common
 words are replayed once.  Null and empty texts have no ids.  Rows with a null
-doc_id are encoded as others.
+doc_id are encoded as others, repeated rows each.  A very long text is a block of
+its own.  Pairs of equal rank in a word merge from the left.  An empty table
+gives an empty one.  Further columns pass through under whatever name.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import column, gather, of_rows, slices, texts
+from .common import column, gather, mapped, named, of_rows, slices, texts
 
 #: Words that a worker keeps with their ids.
 KEPT = 400_000
@@ -188,35 +190,37 @@ class Encoder:
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """All columns of docs but text, and ids (array of long)."""
-    kept = [c for c in docs.columns if c != "text"]
+    """All columns of docs but text, and ids (array of int), in place of a column of that name."""
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() != "ids"])
+    place, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value, pattern)
         for batch in slices(batches):
-            ids, sizes = encoder.encode(texts(column(batch, "text")))
+            ids, sizes = encoder.encode(texts(batch.column(place)))
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], [*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], [*kept, "ids"])
 
-    return docs.mapInArrow(run, docs.select(*kept).schema.add("ids", ArrayType(IntegerType())))
+    return mapped(docs, run, docs.select(*map(named, kept)).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decoded(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """All columns of rows but ids, and text: the ids' bytes as UTF-8, invalid parts replaced.
+    """All columns of rows but ids, and text, in place of a column of that name: the ids' bytes as UTF-8, invalid parts replaced.
 
     A null array of ids gives a null text; an id without a token is an error.
     """
-    kept = [c for c in rows.columns if c != "ids"]
+    rows = rows.select(*[named(c) for c in rows.columns if c.lower() != "text"])
+    place, kept = rows.columns.index("ids"), [c for c in rows.columns if c != "ids"]
     held = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(held.value)
         for batch in batches:
-            found = [None if ids is None else vocabulary.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in column(batch, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(found, pa.string())], [*kept, "text"])
+            found = [None if ids is None else vocabulary.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(found, pa.string())], [*kept, "text"])
 
-    return rows.mapInArrow(run, rows.select(*kept).schema.add("text", "string"))
+    return mapped(rows, run, rows.select(*map(named, kept)).schema.add("text", "string"))
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:

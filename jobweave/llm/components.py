@@ -4,8 +4,10 @@ A round first links, at each node, all larger neighbours to the smallest node
 about it (large star), then all smaller neighbours to the smallest of them
 (small star); the edges then form stars about the smallest node of each
 component, after a number of rounds that grows with the logarithm of the size.
-Hubs are never gathered: a node's smallest neighbour is a pre-aggregated
-minimum, joined back to its edges, and adaptive execution can split that join.
+Whether they do shows in the nodes' smallest and largest neighbours, which the
+large star needs anyway.  Hubs are never gathered: a node's smallest neighbour is
+a pre-aggregated minimum, written, then joined back to its edges, so that
+adaptive execution can split that join.
 """
 
 from __future__ import annotations
@@ -16,23 +18,6 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether each node has one edge at most to a smaller node, and none that has one is itself such a node."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component for each node that has an edge to another; component is its smallest node.
 
@@ -43,7 +28,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = checkpoint(now)
     for _ in range(rounds):
-        if _stars(now):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"), F.max(F.when(F.col("v") < F.col("u"), F.col("v"))).alias("below")))
+        if ends.where("m < u and (top > u or m <> below)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        now = checkpoint(_small(_large(now)).distinct())
+        large = both.join(ends.select("u", F.least("u", "m").alias("m")), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = checkpoint(large)
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = checkpoint(small.distinct())
     raise RuntimeError(f"no stable components after {rounds} rounds")

@@ -4,9 +4,13 @@ Patterns give the base spans.  The method adds spans by sliding-window Shannon
 entropy: over each candidate string a window of ``WINDOW`` characters moves by
 one; the counts of its characters, and with them the entropy, change in
 constant time; runs of windows above the threshold of the string's character
-class become a span, unless an allow-list pattern fits the candidate.
+class become a span, unless an allow-list pattern fits the candidate.  In a URL
+the host after ``://`` is no candidate, unless it is a user before ``@`` or ``:``;
+what follows the host is one.
 
-Nulls and empty texts have no span.  Repeated rows give repeated rows.
+Nulls and empty texts have no span.  Repeated rows give repeated rows.  A very
+long text is scanned whole.  Spans of equal start are in the order of kinds.  An
+empty table gives an empty one; further columns are not carried.
 """
 
 from __future__ import annotations
@@ -74,15 +78,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Where candidate strings begin, and they."""
+    for m in CANDIDATE.finditer(text):
+        start, word = m.start(), m.group()
+        if word.startswith("//") and text[start - 1 : start] == ":":
+            host, slash, rest = word[2:].partition("/")
+            if slash:
+                start, word = start + 3 + len(host), rest
+            elif text[m.end() : m.end() + 1] in ("@", ":"):
+                start, word = start + 2, host
+            else:
+                continue
+            if len(word) < WINDOW:
+                continue
+        yield start, word
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], allowed: re.Pattern) -> list[tuple[int, int, int]]:
     found = []
-    for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if allowed.fullmatch(word) or "://" in text[max(0, m.start() - 3) : m.start() + 2]:
+    for at, word in candidates(text):
+        if allowed.fullmatch(word):
             continue
         kind = next(k for k, p in CLASSES if p.match(word))
         for start, end in entropy_runs(word, THRESHOLDS[kind]):
-            start, end = start + m.start(), end + m.start()
+            start, end = start + at, end + at
             if not any(s <= start and end <= e for s, _, e in base):
                 found.append((start, 3, end))
     return found

@@ -8,14 +8,21 @@ each of its bits with that bit wildcarded, an equality join on these variants
 finds all links, and bit_count verifies them.
 
 Work is done on distinct fingerprints, so exact copies cost nothing further.
-Buckets of two are settled by their minimum and maximum; buckets of up to
-``LIMIT`` are searched for components in one task; fingerprints of larger
-buckets are linked through points between them (a text within bits // 2 of a
-point links to all within the rest), which is linear in their number.
+Buckets of two are settled by their minimum and maximum, buckets of up to
+``LIMIT`` are searched for components in one task.  The fingerprints of a larger
+bucket, of which each would be compared with thousands, are joined by equality
+too: a fingerprint within bits // 2 of a point links to all within the rest of
+it, so each is dealt to the points about it (at three bits 65 and 2,081), however
+many there are, and meets the least fingerprint of each.  This loses no link and
+adds none, like the comparison that it stands for.
 
 Null and empty texts, and texts of white space, have fingerprint zero, linked
-as any other.  Rows with equal doc_id are each kept; a null doc_id is never a
-component's id unless all its ids are null.
+as any other.  A very long text is one fingerprint, by counts over all its
+shingles.  Rows with equal doc_id are each kept; a null doc_id is never a
+component's id unless all its ids are null.  Ties in bits (exactly half) are 0.
+Empty tables give empty ones.  Further columns pass through ``signatures`` and
+``representatives`` under whatever name, but that ``signatures`` replaces text and
+``fingerprint``.
 """
 
 from __future__ import annotations
@@ -28,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column, of_rows, slices, utf8
+from .common import checkpoint, column, mapped, named, of_rows, private, slices, utf8
 from .components import components
 
 WORDS, BITS = 3, 3
-#: Members of a bucket that one task compares; larger buckets go another way.
+#: Members of a bucket that one task compares; larger buckets go through points.
 LIMIT = 4096
 
 #: Each bit of a byte in a byte of its own.
@@ -78,17 +85,17 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """All columns of docs but text, and fingerprint (long, the unsigned value's bits)."""
-    kept = [c for c in docs.columns if c != "text"]
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() != "fingerprint"])
+    place, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            data, offsets = utf8(column(batch, "text"))
+            data, offsets = utf8(batch.column(place))
             raw = data.tobytes()
             prints = fingerprints([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], words)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(prints.view(np.int64))], [*kept, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != place), pa.array(prints.view(np.int64))], [*kept, "fingerprint"])
 
-    schema = docs.select(*kept).schema.add("fingerprint", "long")
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, docs.select(*map(named, kept)).schema.add("fingerprint", "long"))
 
 
 def variants(bits: int) -> list:
@@ -147,7 +154,9 @@ def _runs(bits: int):
 
 def links(prints: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     """Edges (a, b) that join the fingerprints (column fp, distinct) of each component."""
-    keys = prints.select("fp", F.explode(F.array(*variants(bits))).alias("key"))
+    # Dealt out by number first, since each row becomes many.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = prints.repartition(parts, "fp").select("fp", F.explode(F.array(*variants(bits))).alias("key"))
     buckets = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = buckets.where(f"n = 2 and bit_count(a ^ b) <= {bits}").select("a", "b")
     middle = keys.join(buckets.where(f"n > 2 and n <= {limit}").select("key"), "key", "left_semi")
@@ -188,9 +197,12 @@ def _classes(prints: DataFrame, bits: int, limit: int, name: str = "component_id
     if name == "class":
         each = each.join(member.select(F.col("fp").alias("node"), "component"), each.fp == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias(name))
     else:
-        ids = member.groupBy("component").agg(F.min("least").alias(name))
+        member = checkpoint(member)
+        ids = checkpoint(member.groupBy("component").agg(F.min("least").alias(name)))
         of = member.join(ids, "component").select(F.col("fp").alias("node"), name)
         each = each.join(of, each.fp == of.node, "left").select("fp", F.coalesce(name, "least").alias(name))
+    # Written, so that the join of a fingerprint with very many rows can be split.
+    each = checkpoint(each)
     return prints.join(each, prints.fingerprint == each.fp).drop("fp")
 
 
@@ -201,7 +213,8 @@ def representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS, limit
     """
     rows = of_rows(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
     prints = checkpoint(signatures(rows, words))
-    kept = _classes(prints, bits, limit, "class").groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias("__doc"), F.col("k.th").alias("__th"))
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(kept["__doc"]) & (keyed["__text"] == kept["__th"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    doc, text, th = private(docs, "kept_doc", "kept_th", "th")
+    kept = _classes(prints, bits, limit, "class").groupBy("class").agg(F.min(F.struct("doc_id", "th")).alias("k")).select(F.col("k.doc_id").alias(doc), F.col("k.th").alias(text))
+    keyed = docs.withColumn(th, F.xxhash64(named("text")))
+    same = named("doc_id").eqNullSafe(named(doc)) & named(th).eqNullSafe(named(text))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", th]).select(*map(named, docs.columns))

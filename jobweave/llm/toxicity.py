@@ -14,7 +14,9 @@ hash of doc_id; the bias is set back to the labels' share over all learning rows
 
 Null and empty texts have one empty window.  Null labels and null ids teach
 nothing.  With labels of one kind only, or none, every score is that share (0
-without labels).  Repeated rows are each scored.
+without labels).  Repeated rows are each scored.  A very long text has as many
+windows as it needs.  Of windows that score equally the first teaches.  Empty
+tables give empty ones.  Further columns pass through under whatever name.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import column, of_rows, slices, texts
+from .common import mapped, named, of_rows, private, slices, texts
 from .langid import grams, remainder
 
 WINDOW, STRIDE = 64, 32
@@ -313,20 +316,20 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAM
     return p, float(np.log(share[1] / share[0]) - np.log(kinds[1] / kinds[0]))
 
 
-def scored(docs: DataFrame, p: Params | None, shift: float) -> DataFrame:
-    """All columns of docs but ``score`` if it has one, and score, 0 to 1."""
-    docs = docs.drop("score")
-    names = docs.columns
+def scored(docs: DataFrame, p: Params | None, shift: float, name: str = "score") -> DataFrame:
+    """All columns of docs but ``name`` if it has one, and ``name``, 0 to 1."""
+    docs = docs.select(*[named(c) for c in docs.columns if c.lower() != name.lower()])
+    names, place = docs.columns, docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value) if held.value is not None else None
         for batch in slices(batches):
-            block = texts(column(batch, "text"))
+            block = texts(batch.column(place))
             logit = scorer.logits(block).astype(np.float64) if scorer else np.zeros(len(block))
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names), pa.array(sigmoid(logit + shift))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(logit + shift))], [*names, name])
 
-    return docs.mapInArrow(run, docs.select(*names).schema.add("score", "double"))
+    return mapped(docs, run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -344,6 +347,5 @@ def folded(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that score below 0.5."""
     p, shift = learned(docs, labels, ~held_out(F.col("doc_id")))
-    names = docs.columns
-    rows = scored(docs.withColumnRenamed("score", "__score") if "score" in names else docs, p, shift).where("score < 0.5").drop("score")
-    return (rows.withColumnRenamed("__score", "score") if "score" in names else rows).select(*names)
+    (name,) = private(docs, "score")
+    return scored(docs, p, shift, name).where(named(name) < 0.5).select(*map(named, docs.columns))

@@ -56,3 +56,14 @@ def test_added_and_allowed(spark):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(None, "x", 1, "y")], "doc_id long, text string, n_hex int, spans string")
     assert S.scan(docs).first().n_hex == 0 and S.scan(docs.limit(0)).count() == 0
+
+
+def test_candidates_in_urls(spark):
+    key = "aB3xK9mQ2pL7vR4tY8wZ1n"
+    assert list(S.candidates(f"http://localhost/{key}")) == [(17, key)]
+    assert list(S.candidates(f"https://{key}@host/")) == [(8, key)]
+    assert list(S.candidates(f"https://{key}/x")) == [] and list(S.candidates(f"https://{key} x")) == []
+    assert list(S.candidates(f"https://me:{key}@host/")) == [(11, key)]
+    rows = [(1, f"http://localhost/{key}"), (2, f"https://{key}/"), (3, "x " * 500_000 + f"http://localhost/{key}"), (3, None)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "spans").collect()
+    assert [r.spans for r in got] == [f"entropy:17:{17 + len(key)}", "", "", f"entropy:1000017:{1000017 + len(key)}"]

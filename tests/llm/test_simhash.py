@@ -94,3 +94,26 @@ def test_representatives(spark):
     assert sorted(((r.doc_id or 0, r.text, r.fingerprint) for r in got.collect()), key=str) == [(0, None, "n"), (1, "same text here now", "y"), (5, "quite another text about stones", "z")]
     assert S.grouped(docs).where(F.col("doc_id").isNull()).first().component_id == 9
     assert S.grouped(docs.limit(0)).count() == 0 and S.representatives(docs.limit(0)).count() == 0
+
+
+def test_dense_bucket(spark):
+    """Half the bits in common and the rest dense: large buckets only."""
+    rng = random.Random(21)
+    prints = sorted({(rng.getrandbits(9) << 20) | (rng.getrandbits(2) << 50) for _ in range(600)})
+    frame = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint long")
+    got = {r.doc_id: r.component_id for r in S._classes(frame, 3, 5).collect()}
+    assert got == plain_components(dict(enumerate(prints)), 3)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 2, "x"), (2, "a b c d", 3, "y")], ["doc_id", "text", "a.b", "Fingerprint"])
+    got = S.signatures(docs)
+    assert got.columns == ["doc_id", "a.b", "fingerprint"] and {r["a.b"] for r in got.collect()} == {2, 3}
+    assert [tuple(r) for r in S.representatives(docs).collect()] == [(1, "a b c d", 2, "x")]
+
+
+def test_long_text_and_repeats(spark):
+    text = " ".join(f"w{i * 7919 % 4099}" for i in range(300_000))
+    docs = spark.createDataFrame([(4, text), (4, text), (6, "short")], "doc_id long, text string")
+    got = S.grouped(docs).collect()
+    assert len(got) == 3 and {r.fingerprint for r in got if r.doc_id == 4} == {f"{plain_print(text):016x}"}

@@ -74,3 +74,41 @@ def test_edges(spark):
     assert {r.predicted for r in X.folded(docs, labels.limit(0)).collect()} == {0}
     assert {r.predicted for r in X.folded(docs, labels.where("toxic = 1")).collect()} == {1}
     assert X.folded(docs.limit(0), labels).count() == 0
+
+
+def test_forward_pass_by_loops():
+    """The network's logit for one window, number by number, from its definition."""
+    import math
+
+    p, words, h = X.fresh(3), X.Words(), X.HIDDEN
+    text = "you are a moron, a stone under glass"
+    at, counts, _ = words.numbers([text])
+    vectors = words.vectors(p)
+    own = [[float(v) for v in vectors[i]] for i in at.tolist()]
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def layer(d, xs):
+        state, out = [0.0] * h, []
+        for x in xs:
+            a = [sum(x[i] * float(p[f"in_{d}"][i, j]) for i in range(len(x))) + float(p[f"bias_{d}"][j]) for j in range(3 * h)]
+            b = [sum(state[i] * float(p[f"own_{d}"][i, j]) for i in range(h)) for j in range(3 * h)]
+            z = [sig(a[j] + b[j]) for j in range(h)]
+            r = [sig(a[h + j] + b[h + j]) for j in range(h)]
+            m = [math.tanh(a[2 * h + j] + r[j] * b[2 * h + j]) for j in range(h)]
+            state = [z[j] * state[j] + (1 - z[j]) * m[j] for j in range(h)]
+            out.append(state)
+        return out
+
+    forward, backward = layer("f", own), layer("b", own[::-1])[::-1]
+    both = [f + b for f, b in zip(forward, backward, strict=True)]
+    asked = []
+    for s in both:
+        seen = [math.tanh(sum(s[i] * float(p["look"][i, j]) for i in range(2 * h)) + float(p["look_bias"][j])) for j in range(X.ATTENTION)]
+        asked.append(math.exp(sum(x * float(w) for x, w in zip(seen, p["ask"], strict=True))))
+    pooled = [sum(w * s[i] for w, s in zip(asked, both, strict=True)) / sum(asked) for i in range(2 * h)]
+    expected = sum(x * float(w) for x, w in zip(pooled, p["out"], strict=True)) + float(p["out_bias"][0])
+    assert abs(X.Scorer(p).logits([text])[0] - expected) < 1e-4
+    # A long text has the logit of its most toxic window.
+    long = " ".join(["stone"] * 100 + text.split() + ["glass"] * 70)
+    every = [X.Scorer(p).logits([" ".join(long.split()[i : i + X.WINDOW])])[0] for i in range(0, len(long.split()) - X.STRIDE, X.STRIDE)]
+    assert abs(X.Scorer(p).logits([long])[0] - max(every)) < 1e-4
