@@ -10,11 +10,13 @@ from collections.abc import Iterable
 
 from .vocabulary import HANGUL, PARTICLES
 
-NEVER = "(?!x)x"
+#: Matches nothing: no character comes before the text's beginning.
+NEVER = r"[\s\S]\A"
 #: What Unicode strips from both ends: white space and the separators U+001C to U+001F.
 OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 BULLETS = "^[ \\-\\u2022\\u00b7*\\t]+|[ \\-\\u2022\\u00b7*\\t]+\\z"
+# How years of experience, calendar years, versions, sentences and a model's answer are written.
 EXPERIENCE = r"(?U)(\d+)\s*년\s*(?:이상|이하|차)?"
 YEAR = r"(?U)(?<!\d)(19[8-9]\d|20[0-2]\d)(?=년|[\s.\-/,)\]]|$)"
 VERSION = r"(?U)\bv?(\d+(?:\.\d+){0,2})\b"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +24,15 @@ def itemsets(baskets: DataFrame, min_support: float = 0.2, items: str = "items")
 
     Empty baskets count in the denominator; repeats within a basket don't.
     """
-    rows = baskets.select(F.array_sort(F.array_distinct(F.coalesce(items, F.array().cast("array<string>")))).alias("items"))
+    # Kept for the count and the two passes of the fit; a lost part is computed again.
+    rows = baskets.select(F.array_sort(F.array_distinct(F.coalesce(items, F.array().cast("array<string>")))).alias("items")).persist(StorageLevel.MEMORY_AND_DISK)
     total = rows.count()
     if not total:
+        rows.unpersist()
         return baskets.sparkSession.createDataFrame([], _ITEMSETS)
     # Slightly below the threshold, since FP-growth rounds it up; the exact test follows.
     model = FPGrowth(itemsCol="items", minSupport=max(0.0, min_support - 0.5 / total), minConfidence=1.0).fit(rows)
+    rows.unpersist()
     support = F.col("freq") / F.lit(total)
     return model.freqItemsets.select(F.array_sort("items").alias("items"), "freq", support.alias("support")).where(support >= min_support)
 
@@ -65,3 +69,19 @@ def implied(rules: DataFrame, target: Iterable[str]) -> DataFrame:
     target = list(target)
     known = F.array(*map(F.lit, target)).cast("array<string>")
     return applicable(rules, target).select(F.explode(F.array_except("consequent", known)).alias("item")).distinct().orderBy("item")
+
+
+def implied_each(rules: DataFrame, targets: DataFrame, key: str, items: str = "items") -> DataFrame:
+    """key, item: what the rules add to each target's items, for all targets at once.
+
+    A rule applies where its antecedent's items are all met: an equality join by
+    item and a count, so neither rules nor targets pass through the driver.
+    Repeated keys count as one target each with the items of all their rows.
+    """
+    known = rules.select(F.xxhash64("antecedent", "consequent").alias("_rule"), "antecedent", "consequent")
+    asked = targets.select(F.col(key).alias("_key"), F.explode(F.array_distinct(items)).alias("item")).where("item is not null").distinct()
+    parts = known.select("_rule", F.size("antecedent").alias("_size"), F.explode("antecedent").alias("item"))
+    met = asked.join(parts, "item").groupBy("_key", "_rule").agg(F.count("*").alias("n"), F.first("_size").alias("_size")).where("n = _size")
+    # Each consequent once a key, before those that the target has already go.
+    added = met.join(known.select("_rule", "consequent"), "_rule").select("_key", F.explode("consequent").alias("item")).distinct()
+    return added.join(asked, ["_key", "item"], "left_anti").select(F.col("_key").alias(key), "item")

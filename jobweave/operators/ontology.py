@@ -29,12 +29,17 @@ class Tech:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON array with their position; a missing file is empty."""
+    """Entries of a JSON array with their position; a missing file is empty, a malformed one an error.
+
+    Years may be numbers or strings of digits; any other is an error.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], schemas.ONTOLOGY).withColumn("position", F.lit(0))
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<{schemas.ONTOLOGY.simpleString()}>").alias("entries"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<{schemas.ONTOLOGY_FILE.simpleString()}>", {"mode": "FAILFAST"}).alias("entries"))
     rows = text.select(F.posexplode("entries").alias("position", "e"))
-    return rows.select("e.name", "e.released_year", F.coalesce("e.category", F.lit("")).alias("category"), F.coalesce("e.versions", F.create_map().cast("map<string,int>")).alias("versions"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), "position")
+    year = lambda c: F.when(c.isNotNull(), F.coalesce(strip(c).try_cast("int"), F.raise_error(F.concat(F.lit("no year: "), c)).cast("int")))
+    versions = F.transform_values(F.coalesce("e.versions", F.create_map().cast("map<string,string>")), lambda _, v: year(v))
+    return rows.select("e.name", year(F.col("e.released_year")).alias("released_year"), F.coalesce("e.category", F.lit("")).alias("category"), versions.alias("versions"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), "position")
 
 
 def entries(ontology: DataFrame) -> list[Tech]:
@@ -65,6 +70,11 @@ def category_histogram(ontology: DataFrame) -> DataFrame:
     return ontology.groupBy("category").agg(F.count("*").alias("n"))
 
 
+def unique_names(ontology: DataFrame) -> DataFrame:
+    """One row, n: how many different names there are, in small letters."""
+    return ontology.agg(F.count_distinct(F.lower("name")).alias("n"))
+
+
 def duplicated(rows: DataFrame, name: str) -> DataFrame:
     """name (small letters), n of those that occur more than once."""
     return rows.groupBy(F.lower(name).alias("name")).agg(F.count("*").alias("n")).where("n > 1")

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.vocabulary import IMPLIED_PROMPT, NO_SKILLS
 from ..operators import audit, mining, ontology, scoring, skills
 from ..operators.ontology import Tech
+from ..sources import crawl
+from .pipelines import ClaimAudit, requirements
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,6 +152,14 @@ def implied_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.implied(mining.mined(_baskets(spark, sf_dir), 0.05, 0.2), ("PROMO", "SMALL"))
 
 
+@query(f"""WITH {_RULES}, targets AS (SELECT p_partkey, string_split(p_type, ' ') AS items FROM part)
+SELECT DISTINCT p_partkey, item FROM (SELECT p_partkey, items, unnest(consequent) AS item FROM targets JOIN rules ON list_has_all(items, antecedent)) WHERE NOT list_contains(items, item)""")
+def implied_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules add to each part's own words."""
+    targets = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("items"))
+    return mining.implied_each(mining.mined(_baskets(spark, sf_dir), 0.05, 0.2), targets, "p_partkey")
+
+
 @query("""SELECT p_partkey, CASE WHEN p_type IS NULL OR p_type = '' THEN 'none'
 WHEN regexp_matches(p_type, '(?i)(^|[^a-z0-9])(steel|tin|copper|nickel|brass)([^a-z0-9]|$)') THEN 'metal'
 WHEN regexp_matches(p_type, '(?i)(^|[^a-z0-9])promo([^a-z0-9]|$)') THEN 'promo'
@@ -212,16 +223,21 @@ def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "v.tech", "v.claimed_year", "v.actual_year", "v.kind")
 
 
+@query(f"""WITH {_CLAIMS} SELECT l_orderkey, l_linenumber, kind, CASE kind WHEN 'release_year' THEN tech || '는 ' || actual_year || '년에 공개되었으나 문장은 ' ELSE tech || ' 3는 ' || actual_year || '년에 출시되었으나 문장은 ' END || claimed_year || '년을 주장합니다.' AS message FROM bad""")
+def claim_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit says of each violation."""
+    return audit.violations(_claims(spark, sf_dir).withColumn("line", F.struct("l_orderkey", "l_linenumber")), BRANDS, "line").select("line.l_orderkey", "line.l_linenumber", "kind", "message")
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text for each customer: the sentences of up to three of its orders' lines, in order."""
-    each = _claims(spark, sf_dir).groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "text"))), 1, 3).alias("s"))
+    """One text for each customer: the sentences of all its orders' lines, in order."""
+    each = _claims(spark, sf_dir).groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "text"))).alias("s"))
     return each.select("o_custkey", F.array_join("s.text", "\n").alias("text"))
 
 
 _SCORES = f"""{_CLAIMS},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, y, p_brand) AS r FROM claims),
 counted AS (SELECT o_custkey, sum(CASE WHEN y < released THEN 1 ELSE 0 END + CASE WHEN l_linenumber = 3 AND y < v3 THEN 1 ELSE 0 END) AS n,
-  count(DISTINCT CASE WHEN y < released OR l_linenumber = 3 AND y < v3 THEN 'In ' || y || ' we sold ' || name || ' v' || l_linenumber || '.' END) AS spans FROM ranked WHERE r <= 3 GROUP BY o_custkey),
+  count(DISTINCT CASE WHEN y < released OR l_linenumber = 3 AND y < v3 THEN 'In ' || y || ' we sold ' || name || ' v' || l_linenumber || '.' END) AS spans FROM claims GROUP BY o_custkey),
 scored AS (SELECT o_custkey, n, spans, 100 - least(60, 15 * n) AS score FROM counted)
 """
 
@@ -233,11 +249,11 @@ def trust_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SCORES} SELECT CASE WHEN score >= 100 THEN '100' WHEN score >= 85 THEN '85-99' WHEN score >= 70 THEN '70-84' ELSE '<70' END AS bucket, count(*) AS n FROM scored GROUP BY 1")
 def trust_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.report(_letters(spark, sf_dir), BRANDS).groupBy(F.col("trust_bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    return ClaimAudit(BRANDS, key="o_custkey").run(_letters(spark, sf_dir)).groupBy(F.col("trust_bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_SCORES}, kept AS (SELECT r.* FROM ranked r WHERE r <= 3),
-wrong AS (SELECT name AS tech, 'release_year' AS kind FROM kept WHERE y < released UNION ALL SELECT name, 'version_year' FROM kept WHERE l_linenumber = 3 AND y < v3),
+@query(f"""WITH {_SCORES},
+wrong AS (SELECT name AS tech, 'release_year' AS kind FROM claims WHERE y < released UNION ALL SELECT name, 'version_year' FROM claims WHERE l_linenumber = 3 AND y < v3),
 facets AS (SELECT 'documents' AS facet, 'all' AS value, count(*) AS n FROM scored HAVING count(*) > 0 UNION ALL SELECT 'documents', 'with violations', count(*) FROM scored WHERE n > 0 HAVING count(*) > 0
 UNION ALL SELECT 'bucket', CASE WHEN score >= 100 THEN '100' WHEN score >= 85 THEN '85-99' WHEN score >= 70 THEN '70-84' ELSE '<70' END, count(*) FROM scored GROUP BY 2
 UNION ALL SELECT 'tech', tech, count(*) FROM wrong GROUP BY 2 UNION ALL SELECT 'kind', kind, count(*) FROM wrong GROUP BY 2)
@@ -292,7 +308,7 @@ def category_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)")
 def unseen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(seen, "id", "left_anti")
+    return crawl.unseen(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), seen)
 
 
 @query("SELECT source, count(*) AS n, cast(sum(length(text)) AS BIGINT) AS chars FROM (SELECT 'conversation' AS source, text FROM conversations UNION ALL SELECT 'document', text FROM documents) WHERE regexp_matches(text, '\\S') GROUP BY source")
@@ -302,6 +318,24 @@ def union_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.with_text(both).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+_PROMPT = [x.replace("'", "''") for x in (IMPLIED_PROMPT.partition("{job_text}")[0], IMPLIED_PROMPT.partition("{job_text}")[2].partition("{explicit_skills}")[0], IMPLIED_PROMPT.partition("{explicit_skills}")[2])]
+
+
+@query(f"""SELECT doc_id, md5('{_PROMPT[0]}' || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || '{_PROMPT[1]}' || CASE WHEN doc_id % 2 = 0 THEN source || ', ' || lang ELSE '{NO_SKILLS}' END || '{_PROMPT[2]}') AS digest FROM documents""")
+def implied_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt for each document, with its source and language for skills, or without any."""
+    skills = F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.implied_prompt(F.col("text"), skills).cast("binary")).alias("digest"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_filter([{", ".join(f"'{w}'" for w in sorted(WORDS))}], lambda w: regexp_matches(text, '(?i)(^|[^a-zA-Z0-9])' || w || '([^a-zA-Z0-9]|$)'))), ',') AS tech_stack,
+cast(0 AS INTEGER) AS n_years, cast(0 AS INTEGER) AS n_qualifications FROM documents""")
+def document_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit requirements of each document; none states Korean years, and no entity model is given."""
+    rows = requirements(table(spark, sf_dir, "documents").select("doc_id", "text"), words=WORDS)
+    return rows.select("doc_id", F.array_join("tech_stack", ",").alias("tech_stack"), F.size("experience_years").alias("n_years"), F.size("qualifications").alias("n_qualifications"))
+
+
 _POSTINGS = """posting AS (SELECT p_partkey, p_name, p_type, lower(trim(p_brand)) AS tag FROM part)"""
 
 

@@ -2,8 +2,8 @@
 
 The transport, a picklable object, makes the calls, so tests and other services
 can bring their own: ``page(job_group, offset, limit) -> list[dict]`` and
-``job(id) -> dict``.  Each page is a partition; jobs are fetched where their ids
-are.
+``job(id) -> dict``.  Pages are asked for one after the other, up to the first that
+fails or is empty; jobs are fetched where their ids are.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import json
 import time
 import urllib.parse
 import urllib.request
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,29 +47,27 @@ class HttpTransport:
         return self._get(f"/jobs/{job_id}").get("job") or {}
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int) -> None:
-        super().__init__(number)
-
-
 class PageReader(DataSourceReader):
+    """All pages in one partition, since whether a page is asked for depends on the one before."""
+
     def __init__(self, transport, job_group: int, pages: int, size: int) -> None:
         self.transport, self.job_group, self.pages, self.size = transport, job_group, pages, size
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(self.pages)]
+        return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            found = self.transport.page(self.job_group, partition.value * self.size, self.size)
-        except Exception as error:  # a failed page ends the crawl there
-            yield (partition.value, None, f"{type(error).__name__}: {error}")
-            return
-        if not found:
-            yield (partition.value, None, None)
-        for item in found:
-            if isinstance(item.get("id"), int):
-                yield (partition.value, item["id"], None)
+        for number in range(self.pages):
+            try:
+                found = self.transport.page(self.job_group, number * self.size, self.size)
+            except Exception as error:
+                yield (number, None, f"{type(error).__name__}: {error}")
+                return
+            if not found:
+                return
+            for item in found:
+                if isinstance(item.get("id"), int):
+                    yield (number, item["id"], None)
 
 
 def page_source(transport) -> type[DataSource]:
@@ -90,11 +89,14 @@ def page_source(transport) -> type[DataSource]:
 
 
 def listed(spark: SparkSession, transport, job_group: int = 518, pages: int = 5, page_size: int = 60) -> DataFrame:
-    """page and id of all jobs listed before the first page that failed or was empty."""
+    """page, id, error: all jobs listed before the first page that failed or was empty; one that failed is the last row, without id."""
     spark.dataSource.register(page_source(transport))
-    rows = spark.read.format("job_pages").option("job_group", job_group).option("pages", pages).option("page_size", page_size).load()
-    end = rows.where("id is null").agg(F.min("page")).scalar()
-    return rows.where(F.col("id").isNotNull() & (F.col("page") < F.coalesce(end, F.lit(pages)))).select("page", "id")
+    return spark.read.format("job_pages").option("job_group", job_group).option("pages", pages).option("page_size", page_size).load()
+
+
+def unseen(ids: DataFrame, seen: DataFrame) -> DataFrame:
+    """The rows of ids whose id isn't among those seen."""
+    return ids.join(seen.select("id"), "id", "left_anti")
 
 
 def seen_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -129,14 +131,21 @@ def fetched(ids: DataFrame, transport, sleep: float = 1.0) -> DataFrame:
 def crawl(spark: SparkSession, transport, out_path: str, raw_path: str, job_group: int = 518, pages: int = 5, page_size: int = 60, sleep: float = 1.0, resume: bool = False) -> None:
     """Fetch listed jobs that aren't stored yet; write them raw and as postings.
 
-    Jobs listed twice in one run are stored twice.
+    Jobs listed twice in one run are stored twice.  A page that fails ends the
+    crawl with a warning.
     """
-    ids = listed(spark, transport, job_group, pages, page_size)
+    # Kept, so that each page is asked for once; at most ``pages`` times ``page_size`` rows.
+    pages_read = listed(spark, transport, job_group, pages, page_size).persist()
+    for failed in pages_read.where("error is not null").collect():
+        warnings.warn(f"page {failed.page} failed, the crawl ends there: {failed.error}", stacklevel=2)
+    # Dealt out again, since the pages came in one partition.
+    ids = pages_read.where("id is not null").select("id").repartition(spark.sparkContext.defaultParallelism)
     if resume:
-        ids = ids.join(seen_ids(spark, out_path), "id", "left_anti")
+        ids = unseen(ids, seen_ids(spark, out_path))
     # Kept between the two writes; a lost part is fetched again.
     raw = fetched(ids, transport, sleep).persist()
     raw.write.mode("append" if resume else "overwrite").text(raw_path)
     jobs = raw.select(F.from_json("job", schemas.API_JOB).alias("j")).select("j.*")
     write_lines(normalized_jobs(jobs), out_path, resume)
     raw.unpersist()
+    pages_read.unpersist()

@@ -122,3 +122,13 @@ def normalized_jobs(jobs: DataFrame, site: str = "https://www.wanted.co.kr/wd/")
 def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines; appended to or in place of what is there."""
     rows.write.mode("append" if append else "overwrite").json(path)
+
+
+def category_rules(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """Category rules for ``normalize_category`` from a JSON array of {category, patterns}, in the file's order.
+
+    A missing or malformed file is an error.
+    """
+    kind = "array<struct<category:string,patterns:array<string>>>"
+    rules = spark.read.text(path, wholetext=True).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).first().r
+    return [(r.category, list(r.patterns or [])) for r in rules or []]

@@ -50,3 +50,7 @@ ONTOLOGY = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("released_year", T.IntegerType()), T.StructField("category", T.StringType()),
     T.StructField("versions", T.MapType(T.StringType(), T.IntegerType())), T.StructField("aliases", _TEXTS),
 ])
+#: As a file has it: years may be numbers or strings.
+ONTOLOGY_FILE = T.StructType([
+    *_struct("name", "released_year", "category").fields, T.StructField("versions", T.MapType(T.StringType(), T.StringType())), T.StructField("aliases", _TEXTS),
+])

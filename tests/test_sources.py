@@ -86,6 +86,56 @@ def test_crawl(spark, tmp_path):
     assert crawl.seen_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+class Counting(Fake):
+    """Writes down each page that is asked for; the second is empty."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def page(self, job_group, offset, limit):
+        with open(self.path, "a") as f:
+            f.write(f"{offset // limit}\n")
+        if offset // limit == 1:
+            raise OSError("down")
+        return [{"id": 1}]
+
+
+def test_each_page_once_and_none_after_a_failure(spark, tmp_path):
+    log = tmp_path / "pages"
+    with pytest.warns(UserWarning, match="page 1 failed.*down"):
+        crawl.crawl(spark, Counting(str(log)), str(tmp_path / "o"), str(tmp_path / "r"), pages=5, page_size=1, sleep=0)
+    assert log.read_text().split() == ["0", "1"]
+
+
+def test_category_rules(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps([{"category": "X", "patterns": ["dev", "개발"]}, {"category": "Y", "patterns": ["it"]}]), encoding="utf-8")
+    rules = files.category_rules(spark, str(path))
+    assert rules == [("X", ["dev", "개발"]), ("Y", ["it"])]
+
+    from jobweave.functions.text import normalize_category
+
+    rows = spark.createDataFrame([("웹개발자",), ("IT 지원",), ("visit",), (None,)], "t string")
+    assert [r[0] for r in rows.select(normalize_category(F.col("t"), rules)).collect()] == ["X", "Y", "기타", "미분류"]
+    path.write_text("[{", encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.category_rules(spark, str(path))
+
+
+def test_ontology_file_years_and_errors(spark, tmp_path):
+    from jobweave.operators import ontology
+
+    path = tmp_path / "o.json"
+    path.write_text(json.dumps([{"name": "A", "released_year": "2013", "versions": {"2": "2015", "3": 2016}}, {"name": "a", "released_year": 2014}]))
+    known = ontology.load(spark, str(path))
+    assert [(t.released_year, t.versions) for t in known] == [(2013, {"2": 2015, "3": 2016}), (2014, {})]
+    assert ontology.unique_names(ontology.read(spark, str(path))).first().n == 1
+    for broken in ("[{", '[{"name": "A", "released_year": "soon"}]'):
+        path.write_text(broken)
+        with pytest.raises(Exception, match="(?i)malformed|parse|no year"):
+            ontology.load(spark, str(path))
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines(tmp_path / "in" / "a.jsonl", [{"raw_text": "Python and Docker", "skills": ["K8S"]}])
