@@ -16,8 +16,8 @@ from ..functions import text as T
 from ..functions.vocabulary import IMPLIED_PROMPT, NO_SKILLS
 from ..operators import audit, mining, ontology, scoring, skills
 from ..operators.ontology import Tech
-from ..sources import crawl
-from .pipelines import ClaimAudit, requirements
+from ..sources import crawl, files
+from .pipelines import ClaimAudit, requirements, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,3 +362,78 @@ def ontology_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, replace(substr(text, 1, 120), chr(10), ' ') AS preview FROM documents")
 def snippet_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+
+
+def _part_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as postings: every third has a category of technology, every other one of the rest a title of it."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key, F.col("p_name").alias("raw_text"), F.split("p_type", " ").alias("responsibilities"), F.lit(None).cast("array<string>").alias("requirements"), F.array("p_brand").alias("preferred"),
+        F.when(key % 3 == 0, "백엔드 개발").otherwise("영업").alias("category"), F.when(key % 2 == 0, "Data Engineer 데이터").otherwise("sales").alias("job_title"), F.array("p_brand").alias("skills"),
+    )
+
+
+@query("SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part")
+def posting_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of a posting's text in one string; a missing list adds nothing."""
+    rows = _part_postings(spark, sf_dir)
+    return rows.select("p_partkey", files.posting_text(rows).alias("text"))
+
+
+@query("""WITH items AS (SELECT array_to_string(list_sort(list_distinct(list_concat(list_filter(['steel', 'tin', 'copper', 'small', 'large'],
+  lambda k: regexp_matches(p_name || ' ' || p_type || ' ' || p_brand, '(?i)(^|[^a-zA-Z0-9])' || k || '([^a-zA-Z0-9]|$)')), [lower(p_brand)]))), ',') AS items FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0)
+SELECT items, count(*) AS n FROM items WHERE contains(items, ',') GROUP BY 1""")
+def it_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill sets of postings of technology that have two skills at least."""
+    rows = skills.transactions(_part_postings(spark, sf_dir), it_only=True, words=("steel", "tin", "copper", "small", "large"))
+    return rows.groupBy(F.array_join("items", ",").alias("items")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH sections AS (SELECT conv_id, string_agg('[' || turn || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) || ' ' || CASE WHEN conv_id % 2 = 0 THEN 'cert' ELSE '' END AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
+SELECT conv_id, md5(text) AS digest FROM sections""")
+def resume_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as résumés: turns for sections, a certification for every other one."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    section = F.struct("turn", "role", "text")
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(section)).alias("s"))
+    named = F.transform("s", lambda t: F.struct(t["turn"].cast("string").alias("number"), t["role"].alias("question"), t["text"].alias("answer")))
+    spec = F.struct(F.when(F.col("conv_id") % 2 == 0, "cert").alias("certifications"))
+    rows = files.index_text(rows.select("conv_id", named.alias("sections"), spec.alias("pass_spec")))
+    return rows.select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+#: Korean names of technologies, and what follows the name: particles, or letters that make another word of it.
+KOREAN = (Tech("스프링", 1994, "framework"), Tech("도커", 1996, "tool", {}, ("docker",)))
+FOLLOWS = ("을", "에서", "부트", " ", "docker")
+
+
+@query("""WITH claims AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderkey % 2 AS tool, o_orderkey % 5 AS f FROM orders),
+named AS (SELECT o_orderkey, y, '스프링' AS tech, 1994 AS released FROM claims WHERE tool = 0 AND f IN (0, 1, 3, 4)
+  UNION ALL SELECT o_orderkey, y, '도커', 1996 FROM claims WHERE tool = 1 AND f IN (0, 1, 3) OR f = 4)
+SELECT o_orderkey, tech, cast(y AS INTEGER) AS claimed_year, released AS actual_year FROM named WHERE y < released""")
+def korean_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Korean names count with particles or Latin letters after them, but not as part of a longer Korean word; a Latin alias may follow Korean letters."""
+    key = F.col("o_orderkey")
+    follows = F.array(*map(F.lit, FOLLOWS))[(key % 5).cast("int")]
+    text = F.concat(F.year("o_orderdate").cast("string"), F.lit("년에 "), F.when(key % 2 == 0, "스프링").otherwise("도커"), follows, F.lit(" 썼다."))
+    rows = table(spark, sf_dir, "orders").select(key, F.explode(audit.violations_of(text, KOREAN)).alias("v"))
+    return rows.select("o_orderkey", "v.tech", "v.claimed_year", "v.actual_year")
+
+
+@query("SELECT o_orderkey, cast(greatest(0, 100 - least(60, 15 * (o_orderkey % 6)) - CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE round_even(30 * ((o_orderkey % 101) / 100.0::DOUBLE), 0) END) AS INTEGER) AS trust_score FROM orders")
+def trust_of_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all mixtures of violations and generated text; some have no probability."""
+    key = F.col("o_orderkey")
+    probability = F.when(key % 7 != 0, (key % 101) / 100.0)
+    return table(spark, sf_dir, "orders").select(key, T.trust_score((key % 6).cast("int"), probability).alias("trust_score"))
+
+
+@query("SELECT count(DISTINCT lower(p_name)) AS n FROM part")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ontology.unique_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 20")
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a stable order."""
+    return sample(table(spark, sf_dir, "orders"), 20, "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey")
