@@ -28,6 +28,7 @@ table gives a file without segments.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from .common import SLICE_BYTES, column, gather, of_rows, scratch, slices, texts
+from .common import SLICE_BYTES, column, gather, of_rows, scratch, slices, utf8
 from .piecewise import in_order
 
 MAGIC = b"JWT2"
@@ -306,70 +308,109 @@ class Tokens:
     """Ids of texts by a tokenizer of the tokenizers library that drops white space.
 
     Chunks between white space are tokenized once and kept; the result is as if
-    whole texts were, as its pattern has no match across white space.
+    whole texts were, as its pattern has no match across white space.  Of chunks
+    in ASCII alone the lower-case form is kept, and goes to a tokenizer without
+    the normalizer, which has nothing to do there.  Chunks with ``<|`` stay as
+    they are, since special tokens are matched before letters are lowered.
     """
 
     def __init__(self, definition: str, end: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.end, self.chunks = end, re.compile(r"[^ \n\t\r]+").findall
+        self.whole = Tokenizer.from_str(definition)
+        parts = json.loads(definition)
+        self.lowers = _lowers(parts.get("normalizer"))
+        self.simple = Tokenizer.from_str(json.dumps({**parts, "normalizer": None})) if self.lowers else self.whole
+        (self.mark,) = self.whole.encode(MARK, add_special_tokens=False).ids
+        self.end, self.printable = end, re.compile("[!-{}~]+").fullmatch  # without the mark
         self.clear()
 
     def clear(self) -> None:
-        self.number = {"": 0}  # the end id
-        self.ids, self.starts, self.sizes = np.array([self.end], np.int64), np.array([0]), np.array([1])
+        self.number = {"": 0, " ": 1}  # what is left of white space; the end of a text, which no chunk is
+        self.ids, self.starts, self.sizes = np.array([self.end], np.int64), np.array([0, 0]), np.array([0, 1])
 
     def learn(self, new: list[str]) -> None:
         """Tokenize new chunks, many to a text, told apart by a mark that none of these holds."""
-        encode, ids, sizes = self.tokenizer.encode_batch_fast, [], np.zeros(len(new), np.int64)
-        plain = [i for i, w in enumerate(new) if MARK not in w]
-        odd = [i for i, w in enumerate(new) if MARK in w]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        ids, sizes = [], np.zeros(len(new), np.int64)
+        simple = [i for i, w in enumerate(new) if self.printable(w)]
+        rest = sorted(set(range(len(new))).difference(simple))
+        plain = [i for i in rest if MARK not in new[i]]
+        odd = [i for i in rest if MARK in new[i]]
         mark = f" {MARK} "
-        for of, e in zip(groups, encode([mark.join(new[i] for i in g) + mark for g in groups], add_special_tokens=False), strict=True):
-            flat = np.array(e.ids, np.int64)
-            ends = np.flatnonzero(flat == self.mark)
-            sizes[of] = np.diff(ends, prepend=-1) - 1
-            ids.append(flat[flat != self.mark])
-        for i, e in zip(odd, encode([new[i] for i in odd], add_special_tokens=False), strict=True):
+        for tokenizer, of in ((self.simple, simple), (self.whole, plain)):
+            groups = [of[i : i + 256] for i in range(0, len(of), 256)]
+            for group, e in zip(groups, tokenizer.encode_batch_fast([mark.join(new[i] for i in g) + mark for g in groups], add_special_tokens=False), strict=True):
+                flat = np.array(e.ids, np.int64)
+                ends = np.flatnonzero(flat == self.mark)
+                sizes[group] = np.diff(ends, prepend=-1) - 1
+                ids.append(flat[flat != self.mark])
+        for i, e in zip(odd, self.whole.encode_batch_fast([new[i] for i in odd], add_special_tokens=False), strict=True):
             sizes[i] = len(e.ids)
             ids.append(np.array(e.ids, np.int64))
-        order = np.array(plain + odd, np.int64)
+        order = np.array(simple + plain + odd, np.int64)
         starts = np.empty(len(new), np.int64)
         starts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
         self.starts, self.sizes, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, *ids])
 
-    def encode(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
         if len(self.number) > KEPT:
             self.clear()
-        number, new, at, words = self.number, [], [], []
-        for text in block:
-            found = self.chunks(text)
-            words.append(len(found) + 1)
-            for w in found:
-                n = number.get(w)
-                if n is None:
-                    n = number[w] = len(number)
-                    new.append(w)
-                at.append(n)
-            at.append(0)
+        data, offsets = utf8(block)
+        bound = np.zeros(len(data) + 1, bool)
+        bound[1:] = _SPACE[data]
+        bound[offsets] = True
+        cut = np.flatnonzero(bound)
+        pieces = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        chunks = pc.utf8_rtrim(pieces.dictionary, " \n\t\r")
+        if self.lowers:
+            free = pc.and_not(pc.string_is_ascii(chunks), pc.match_substring(chunks, "<|"))
+            chunks = pc.if_else(free, pc.ascii_lower(chunks), chunks)
+        number, new, known = self.number, [], []
+        for w in chunks.to_pylist():
+            n = number.get(w)
+            if n is None:
+                n = number[w] = len(number)
+                new.append(w)
+            known.append(n)
         if new:
             self.learn(new)
-        at = np.array(at, np.int64)
+        at = np.array(known, np.int64)[pieces.indices.to_numpy()]
+        words = np.searchsorted(cut, offsets[1:])
+        at = np.insert(at, words, 1)
         sizes = self.sizes[at]
-        ends = np.cumsum(np.concatenate([[0], sizes]))[np.cumsum(words)]
+        ends = np.cumsum(sizes)[words + np.arange(len(words))]
         return gather(self.ids, self.starts[at], sizes), np.diff(ends, prepend=0)
 
 
+#: The last tokenizer of this worker with its chunks; a worker's later tasks go on with them.
+_HELD: dict[tuple[str, int], Tokens] = {}
+
+
+def _tokens(definition: str, end: int) -> Tokens:
+    if (definition, end) not in _HELD:
+        _HELD.clear()
+        _HELD[definition, end] = Tokens(definition, end)
+    return _HELD[definition, end]
+
+
+_SPACE = np.isin(np.arange(256), list(b" \n\t\r"))
+
+
+def _lowers(normalizer: dict | None) -> bool:
+    """Whether all that a normalizer does to printable ASCII is to lower its letters."""
+    steps = normalizer.get("normalizers", [normalizer]) if normalizer else []
+    idle = lambda step: step["type"] in ("NFC", "NFKC", "NFD", "NFKD") or (step["type"], step.get("pattern")) == ("Replace", {"Regex": r"\s+"})
+    return any(s["type"] == "Lowercase" for s in steps) and all(s["type"] == "Lowercase" or idle(s) for s in steps)
+
+
 def write(docs: DataFrame, definition: str, path: str, end: int = 2, block: int = BLOCK, lanes: int = LANES) -> None:
     """Write the ids of all documents, in ascending doc_id order, to path."""
     held = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens, bucket, part = Tokens(held.value, end), TaskContext.get().partitionId(), 0
+        tokens, bucket, part = _tokens(held.value, end), TaskContext.get().partitionId(), 0
         docs_in, sizes_in, ids_in, count = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
@@ -377,7 +418,7 @@ def write(docs: DataFrame, definition: str, path: str, end: int = 2, block: int
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.array([payload])], ["bucket", "part", "n_ids", "payload"])
 
         for batch in slices(batches, limit=min(SLICE_BYTES, lanes * block)):
-            ids, sizes = tokens.encode(texts(column(batch, "text")))
+            ids, sizes = tokens.encode(column(batch, "text"))
             docs_in += column(batch, "doc_id").to_pylist()
             sizes_in.append(sizes), ids_in.append(ids)
             count += len(ids)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,7 +63,7 @@ def test_file(spark, definition, tmp_path):
 def test_against_zlib_at_equal_blocks(spark, definition):
     """Ids of the documents of sf0.001: fewer bytes than zlib at blocks of the same ids."""
     rows = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").orderBy("doc_id").collect()
-    ids, sizes = K.Tokens(definition, 2).encode([r.text or "" for r in rows])
+    ids, sizes = K.Tokens(definition, 2).encode(pa.array([r.text for r in rows], pa.string()))
     assert ids.tolist() == [i for r in rows for i in [*Tokenizer.from_str(definition).encode(r.text or "", add_special_tokens=False).ids, 2]]
     rival = sum(len(zlib.compress(ids[i : i + K.BLOCK].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), K.BLOCK))
     payload = K.pack([r.doc_id for r in rows], sizes, ids)
@@ -70,6 +71,20 @@ def test_against_zlib_at_equal_blocks(spark, definition):
     assert (K.unpack(payload)[2] == ids).all()
 
 
+def test_chunks_as_the_library(definition):
+    """Letters of either case, marks, all kinds of white space, combining marks, special tokens and what only looks like them."""
+    rng, library, tokens = np.random.default_rng(5), Tokenizer.from_str(definition), K.Tokens(definition, 2)
+    parts = [*"aAbIİKk'st '|<>\t\n\r\x0b\x0c\x1c\x85\u2028\u3000é日1²ſΣσς\u0307\u0301\x7f\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(3000)] + [None, "", " \n "]
+    ids, sizes = tokens.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    for text, a, b in zip(texts, ends - sizes, ends, strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    again = tokens.encode(pa.array(texts).slice(100, 50))
+    assert again[0].tolist() == ids[ends[99] : ends[149]].tolist()
+    assert tokens.encode(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_blocks_are_independent():
     """A block's words don't depend on the blocks beside it."""
     rng = np.random.default_rng(2)
