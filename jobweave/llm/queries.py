@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, piecewise, secrets, simhash, tokenfile, toxicity, urlfilter
+from . import bpe, decontaminate, exactdedup, langid, linededup, piecewise, secrets, simhash, tokenfile, toxicity, urlfilter
 from .common import table
 
 
@@ -55,7 +56,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.folded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter, op9_langid, op10_toxicity)}
+def op12_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(exactdedup.normalized(F.col("text")).cast("binary"), 256)
+    return exactdedup.grouped(table(spark, sf_dir, "documents"), {"text_sha256": digest})
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter, op9_langid, op10_toxicity, op12_exactdedup)}
 #: The aliases' part follows canonical and refresh edges that name an absolute URL.
 ORACLE_SQL: dict[str, str] = {
     "op8_urlfilter": r"""
@@ -78,5 +84,10 @@ own AS (SELECT s.host, s.path, arg_max(r.host || r.path, length(r.host) + length
   FROM (SELECT DISTINCT host, path FROM split) s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.host, s.path)
 SELECT s.page_id, s.host, s.path, o.rule, coalesce(o.verdict, a.verdict, 'allow') AS verdict
 FROM split s LEFT JOIN own o ON s.host = o.host AND s.path = o.path LEFT JOIN alias a ON s.node = a.a
+""",
+    "op12_exactdedup": """
+WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
 """,
 }
