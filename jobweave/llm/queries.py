@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdedup, langid, linededup, piecewise, secrets, simhash, tokenfile, toxicity, urlfilter
+from . import bpe, decontaminate, exactdedup, filteraudit, langid, linededup, piecewise, secrets, simhash, tokenfile, toxicity, urlfilter
 from .common import table
 
 
@@ -56,12 +56,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.folded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(exactdedup.normalized(F.col("text")).cast("binary"), 256)
     return exactdedup.grouped(table(spark, sf_dir, "documents"), {"text_sha256": digest})
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter, op9_langid, op10_toxicity, op12_exactdedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter, op9_langid, op10_toxicity, op11_filteraudit, op12_exactdedup)}
 #: The aliases' part follows canonical and refresh edges that name an absolute URL.
 ORACLE_SQL: dict[str, str] = {
     "op8_urlfilter": r"""
@@ -84,6 +88,24 @@ own AS (SELECT s.host, s.path, arg_max(r.host || r.path, length(r.host) + length
   FROM (SELECT DISTINCT host, path FROM split) s JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.host, s.path)
 SELECT s.page_id, s.host, s.path, o.rule, coalesce(o.verdict, a.verdict, 'allow') AS verdict
 FROM split s LEFT JOIN own o ON s.host = o.host AND s.path = o.path LEFT JOIN alias a ON s.node = a.a
+""",
+    "op11_filteraudit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS smallest FROM d),
+m AS (SELECT doc_id, part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN smallest < doc_id THEN 16 ELSE 0 END) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+counted AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN mask & bit = 0 AND mask & earlier::INTEGER = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & earlier::INTEGER = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
 """,
     "op12_exactdedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
