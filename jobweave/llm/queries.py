@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exactdedup, filteraudit, langid, linededup, piecewise, secrets, simhash, tokenfile, toxicity, urlfilter
+from . import bpe, decontaminate, exactdedup, filteraudit, langid, linededup, piecewise, secrets, simhash, tokenfile, toxicity, turnrepair, urlfilter
 from .common import table
 
 
@@ -65,7 +65,11 @@ def op12_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.grouped(table(spark, sf_dir, "documents"), {"text_sha256": digest})
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter, op9_langid, op10_toxicity, op11_filteraudit, op12_exactdedup)}
+def op13_turnrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.summaries(turnrepair.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_linededup, op3_bpe, op4_piecewise, op5_secrets, op6_simhash, op7_tokenfile, op8_urlfilter, op9_langid, op10_toxicity, op11_filteraudit, op12_exactdedup, op13_turnrepair)}
 #: The aliases' part follows canonical and refresh edges that name an absolute URL.
 ORACLE_SQL: dict[str, str] = {
     "op8_urlfilter": r"""
@@ -111,5 +115,35 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)
+""",
+    # States: 0 nothing, 1 a system turn alone, 2 a user turn last, 3 an assistant turn last.
+    "op13_turnrepair": r"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+kinds AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], [ascii(x)::BIGINT FOR x IN string_split(key, '')]),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT FOR i IN range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM keyed),
+hurt AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM hurt),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered),
+marked AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN bare = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+runs(q, k, mid) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+moves AS (SELECT q, mid AS q2, 2 * k + 3 AS price, repeat('I', k) || 'D' AS code, 'D' AS edit, NULL AS need FROM runs
+  UNION ALL SELECT q, CASE mid WHEN 2 THEN 3 ELSE 2 END, 2 * k + 2, repeat('I', k) || 'R', 'R', NULL FROM runs
+  UNION ALL SELECT q, CASE mid WHEN 2 THEN 3 ELSE 2 END, 2 * k, repeat('I', k) || 'K', 'K', CASE mid WHEN 2 THEN 'a' ELSE 'u' END FROM runs
+  UNION ALL SELECT q, 1, 2 * k, repeat('I', k) || 'K', 'K', 's' FROM runs WHERE mid = 0),
+reach(conv_id, i, q, s) AS (SELECT conv_id, 0::BIGINT, 0, {'cost': 0, 'audit': ''} FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT r.conv_id, m.i, v.q2, min({'cost': r.s.cost + v.price + CASE WHEN m.fault = 'truncated' AND v.edit <> 'D' THEN 1 ELSE 0 END, 'audit': r.s.audit || v.code})
+  FROM reach r JOIN marked m ON m.conv_id IS NOT DISTINCT FROM r.conv_id AND m.i = r.i + 1 JOIN moves v ON v.q = r.q AND (v.edit = 'D' OR m.fault NOT IN ('blank', 'duplicate')) AND (v.need IS NULL OR v.need = m.initial) GROUP BY r.conv_id, m.i, v.q2),
+ends AS (SELECT conv_id, i, {'cost': s.cost + 2 * tail, 'audit': s.audit || repeat('I', tail)} AS s FROM reach JOIN (VALUES (0, 0), (1, 2), (2, 1), (3, 0)) t(state, tail) ON q = state),
+best AS (SELECT conv_id, min(s) AS s FROM (SELECT *, max(i) OVER (PARTITION BY conv_id) AS last FROM ends) WHERE i = last GROUP BY conv_id),
+letters AS (SELECT conv_id, s.audit AS audit, unnest(range(1, length(s.audit) + 1)) AS n FROM best),
+spelled AS (SELECT conv_id, substr(audit, n, 1) AS edit, length(replace(substr(audit, 1, n), 'I', '')) AS i, length(replace(substr(audit, 1, n), 'D', '')) AS place, length(replace(audit, 'D', '')) AS size FROM letters),
+lines AS (SELECT p.conv_id, p.place, CASE WHEN p.edit = 'K' THEN m.role WHEN (p.place + p.size) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN p.edit = 'I' THEN '' ELSE m.text END AS line
+  FROM spelled p LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i WHERE p.edit <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS text FROM lines GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND substr(before, 1, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT b.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal,
+  b.s.cost::BIGINT AS cost, b.s.audit AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
 """,
 }
