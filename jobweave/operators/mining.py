@@ -1,21 +1,23 @@
 """Frequent itemsets and association rules.
 
 Itemsets come from parallel FP-growth.  Its own rules have single consequents,
-so rules are built from the itemsets: every split of an itemset in two, joined
-twice with the itemsets' supports.
+so rules are grown from the itemsets: consequents of one item first, then larger
+ones of those that are confident enough, each level one equality join with the
+itemsets' supports.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A larger itemset has too many splits, and is an error.
-MOST_ITEMS = 16
+from .shared import checkpoint
+
 _ITEMSETS = "items array<string>, freq long, support double"
 
 
@@ -38,15 +40,29 @@ def itemsets(baskets: DataFrame, min_support: float = 0.2, items: str = "items")
 
 
 def rules(itemsets: DataFrame, min_confidence: float = 0.6) -> DataFrame:
-    """antecedent, consequent, support, confidence, lift of all rules with at least this confidence."""
+    """antecedent, consequent, support, confidence, lift of all rules with at least this confidence.
+
+    Moving an item from antecedent to consequent never raises the confidence, so
+    a consequent is grown only from one that suffices, by a later item of its
+    itemset.  Each is reached once, and levels end when none suffices.
+    """
     known = itemsets.select("items", "support")
-    large = known.where(F.size("items") > 1)
-    checked = large.select(F.when(F.size("items") > MOST_ITEMS, F.raise_error(F.lit(f"an itemset has more than {MOST_ITEMS} items; raise the support"))).otherwise(F.col("items")).alias("items"), "support")
-    part = lambda bit: F.expr(f"filter(items, (x, i) -> getbit(mask, i) = {bit})")
-    split = checked.select("items", "support", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")).alias("mask")).select(part(1).alias("antecedent"), part(0).alias("consequent"), "support")
-    of = lambda column: known.select(F.col("items").alias(column), F.col("support").alias(f"{column}_support"))
-    found = split.join(of("antecedent"), "antecedent").withColumn("confidence", F.col("support") / F.col("antecedent_support")).where(F.col("confidence") >= min_confidence)
-    return found.join(of("consequent"), "consequent").select("antecedent", "consequent", "support", "confidence", (F.col("support") / (F.col("antecedent_support") * F.col("consequent_support"))).alias("lift"))
+    of = known.select(F.col("items").alias("antecedent"), F.col("support").alias("antecedent_support"))
+    grown = known.where(F.size("items") > 1).select("support", F.array().cast("array<string>").alias("consequent"), F.col("items").alias("antecedent"))
+    levels = []
+    while True:
+        # One item more, in the order of the items; an antecedent of one item stays.
+        later = F.filter("antecedent", lambda x: F.coalesce(x > F.try_element_at("consequent", F.lit(-1)), F.lit(True)))
+        more = grown.where(F.size("antecedent") > 1).select("support", "consequent", "antecedent", F.explode(later).alias("item"))
+        more = more.select("support", F.concat("consequent", F.array("item")).alias("consequent"), F.array_remove("antecedent", F.col("item")).alias("antecedent"))
+        grown = more.join(of, "antecedent").withColumn("confidence", F.col("support") / F.col("antecedent_support")).where(F.col("confidence") >= min_confidence)
+        grown = checkpoint(grown)
+        if grown.isEmpty():
+            break
+        levels.append(grown)
+    found = reduce(DataFrame.unionByName, levels or [grown])
+    then = known.select(F.col("items").alias("consequent"), F.col("support").alias("consequent_support"))
+    return found.join(then, "consequent").select("antecedent", "consequent", "support", "confidence", (F.col("support") / (F.col("antecedent_support") * F.col("consequent_support"))).alias("lift"))
 
 
 def mined(baskets: DataFrame, min_support: float = 0.2, min_confidence: float = 0.6, items: str = "items") -> DataFrame:
@@ -74,14 +90,24 @@ def implied(rules: DataFrame, target: Iterable[str]) -> DataFrame:
 def implied_each(rules: DataFrame, targets: DataFrame, key: str, items: str = "items") -> DataFrame:
     """key, item: what the rules add to each target's items, for all targets at once.
 
-    A rule applies where its antecedent's items are all met: an equality join by
-    item and a count, so neither rules nor targets pass through the driver.
-    Repeated keys count as one target each with the items of all their rows.
+    A rule is tried only on targets that have its antecedent's rarest item: one
+    equality join, and a test of the whole antecedent on what it finds.  Rules of
+    equal antecedent are one, with all their consequents.  A rule without an
+    antecedent applies to every target.  Neither rules nor targets pass through
+    the driver.  Repeated keys, null included, are one target with the items of
+    all their rows; null items don't count.
     """
-    known = rules.select(F.xxhash64("antecedent", "consequent").alias("_rule"), "antecedent", "consequent")
-    asked = targets.select(F.col(key).alias("_key"), F.explode(F.array_distinct(items)).alias("item")).where("item is not null").distinct()
-    parts = known.select("_rule", F.size("antecedent").alias("_size"), F.explode("antecedent").alias("item"))
-    met = asked.join(parts, "item").groupBy("_key", "_rule").agg(F.count("*").alias("n"), F.first("_size").alias("_size")).where("n = _size")
-    # Each consequent once a key, before those that the target has already go.
-    added = met.join(known.select("_rule", "consequent"), "_rule").select("_key", F.explode("consequent").alias("item")).distinct()
-    return added.join(asked, ["_key", "item"], "left_anti").select(F.col("_key").alias(key), "item")
+    none = F.array().cast("array<string>")
+    asked = targets.select(F.col(key).alias("_key"), F.explode_outer(F.array_compact(F.coalesce(items, none))).alias("item"))
+    asked = asked.groupBy("_key").agg(F.collect_set("item").alias("have"))
+    # Antecedents are compared as arrays: a hash of arrays doesn't tell ['a'], ['b', 'c'] from ['a', 'b'], ['c'].
+    known = rules.select(F.array_sort(F.array_distinct("antecedent")).alias("antecedent"), F.explode("consequent").alias("item")).groupBy("antecedent").agg(F.collect_set("item").alias("adds"))
+    always = known.where(F.size("antecedent") == 0).select("adds")
+    common = asked.select(F.explode("have").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+    # An item that no target has drops its rules here.
+    parts = known.where(F.size("antecedent") > 0).select("antecedent", "adds", F.explode("antecedent").alias("item")).join(common, "item", "left")
+    rarest = parts.groupBy("antecedent").agg(F.min_by("item", F.struct(F.coalesce("n", F.lit(0)), "item")).alias("item"), F.first("adds").alias("adds"))
+    tried = asked.select("_key", "have", F.explode("have").alias("item")).join(rarest, "item").where(F.size(F.array_except("antecedent", "have")) == 0)
+    added = tried.select("_key", F.explode(F.array_except("adds", "have")).alias("item"))
+    free = asked.select("_key", F.explode(F.array_except(F.coalesce(always.scalar(), none), "have")).alias("item"))
+    return added.unionByName(free).distinct().select(F.col("_key").alias(key), "item")

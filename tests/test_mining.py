@@ -83,3 +83,63 @@ def test_transactions(spark):
     postings = spark.createDataFrame(rows, "category string, job_title string, raw_text string, responsibilities array<string>, requirements array<string>, preferred array<string>, skills array<string>")
     assert skills.transactions(postings).count() == 2
     assert [r["items"] for r in skills.transactions(postings, it_only=True).collect()] == [["docker", "python"]]
+
+
+def test_itemsets_of_twenty(spark):
+    """One itemset of twenty items, with weak items in it: far from all of its splits are tried."""
+    items = [f"i{k:02}" for k in range(20)]
+    rows = [(items[:-2], 50, 0.5)] + [(list(c), 50, 0.5) for k in range(1, 3) for c in combinations(items[:18], k)]
+    # As if only single items and pairs had a support above the whole set's.
+    rows += [(list(c), 100 if len(c) == 17 else 90, 1.0 if len(c) == 17 else 0.9) for k in (16, 17) for c in combinations(items[:18], k)]
+    sets = spark.createDataFrame(rows, "items array<string>, freq long, support double")
+    got = mining.rules(sets.where("size(items) >= 16 or size(items) <= 2"), 0.5).collect()
+    whole = [r for r in got if len(r.antecedent) + len(r.consequent) == 18]
+    assert {(tuple(r.antecedent), tuple(r.consequent)) for r in whole} == {(tuple(x for x in items[:18] if x not in c), c) for k in (1, 2) for c in combinations(items[:18], k)}
+
+
+def test_rules_of_one_large_itemset(spark):
+    """All subsets of twelve equal items: 2**12 - 2 rules, each once."""
+    baskets = [[f"i{k:02}" for k in range(12)]] * 3
+    rules = mining.mined(frame(spark, baskets), 0.9, 0.9)
+    whole = rules.where("size(antecedent) + size(consequent) = 12")
+    assert whole.count() == whole.distinct().count() == 2**12 - 2
+
+
+RULE = "antecedent array<string>, consequent array<string>"
+
+
+def plain_implied(rules, targets):
+    items = {}
+    for key, have in targets:
+        items.setdefault(key, set()).update(x for x in have or [] if x is not None)
+    return {(k, x) for k, have in items.items() for a, c in rules if set(a) <= have for x in set(c) - have}
+
+
+@pytest.mark.parametrize("order", (1, -1))
+def test_rules_that_hash_alike(spark, order):
+    """['a'] to ['b', 'c'] and ['a', 'b'] to ['c'] are different rules, in whatever order they come."""
+    rules = [(["a"], ["b", "c"]), (["a", "b"], ["c"])][::order]
+    targets = [(1, ["a"]), (2, ["a", "b"]), (3, ["b"])]
+    got = mining.implied_each(spark.createDataFrame(rules, RULE), spark.createDataFrame(targets, "id int, items array<string>"), "id")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "b"), (1, "c"), (2, "c")]
+
+
+def test_implied_each_against_loops(spark):
+    import random
+
+    rng = random.Random(6)
+    some = lambda most: [rng.choice("abcdefgh") for _ in range(rng.randint(0, most))]
+    rules = [(some(3), some(4)) for _ in range(60)]
+    targets = [(rng.choice((None, *range(30))), rng.choice((None, [], some(5), [*some(4), None]))) for _ in range(60)]
+    frames = lambda: (spark.createDataFrame(rules, RULE), spark.createDataFrame(targets, "id int, items array<string>"))
+    got = [tuple(r) for r in mining.implied_each(*frames(), "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_implied(rules, targets)
+    nothing = frames()
+    assert mining.implied_each(nothing[0].limit(0), nothing[1], "id").count() == 0 == mining.implied_each(nothing[0], nothing[1].limit(0), "id").count()
+
+
+def test_implied_each_of_top_rules(spark):
+    rules = mining.top_rules(mining.mined(frame(spark, BASKETS), 0.4, 0.7), 6)
+    targets = [(i, list(b[:2])) for i, b in enumerate(BASKETS)]
+    got = mining.implied_each(rules, spark.createDataFrame(targets, "id int, items array<string>"), "id").collect()
+    assert {tuple(r) for r in got} == plain_implied([(r.antecedent, r.consequent) for r in rules.collect()], targets)
