@@ -11,7 +11,6 @@ equal.
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterable
 from functools import cache
 
@@ -26,7 +25,7 @@ _PATTERNS = {RUN: ("[a-z0-9]+", 0), PAIR: ("(?=([^a-z0-9]{2}))", 1), SINGLE: ("[
 def _equal() -> tuple[str, str]:
     """Characters that are another's equal through their capital, like the long s, and that other."""
     one = lambda c: len(c.upper()) == 1 == len(c.upper().lower()) and c.upper().lower() != c.lower()
-    chars = [c for c in map(chr, range(sys.maxunicode + 1)) if one(c)]
+    chars = [c for c in map(chr, range(0x20000)) if one(c)]  # no script above has cases
     return "".join(chars), "".join(c.upper().lower() for c in chars)
 
 
@@ -35,6 +34,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.lower(F.translate(text, "İ", "i")), *_equal())
 
 
+def folded(text: str) -> str:
+    """``fold`` of a text at hand."""
+    return text.replace("İ", "i").lower().translate(str.maketrans(*_equal()))
+
+
 def _found(folded: Column, kind: str) -> Column:
     pattern, group = _PATTERNS[kind]
     return F.regexp_extract_all(folded, F.lit(pattern), group)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .vocabulary import HANGUL, PARTICLES
 
 #: Matches nothing: no character comes before the text's beginning.
@@ -54,6 +57,22 @@ def name(word: str) -> str:
     return f"(?<![{HANGUL}a-zA-Z0-9]){quoted(word)}(?:[{PARTICLES}]{{1,2}}(?![{HANGUL}])|(?![{HANGUL}]))"
 
 
+#: A text of ASCII characters alone.
+ASCII = r"\A[\x00-\x7f]*\z"
+
+
+def quoted_of(text: Column) -> Column:
+    """``quoted`` for the texts of a column."""
+    return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def name_of(word: Column) -> Column:
+    """``name`` for the names of a column, with flags."""
+    plain = F.concat(F.lit("(?iu)(?<![a-zA-Z0-9])"), quoted_of(word), F.lit("(?![a-zA-Z0-9])"))
+    korean = F.concat(F.lit(f"(?iu)(?<![{HANGUL}a-zA-Z0-9])"), quoted_of(word), F.lit(f"(?:[{PARTICLES}]{{1,2}}(?![{HANGUL}])|(?![{HANGUL}]))"))
+    return F.when(word.rlike(ASCII), plain).otherwise(korean)
+
+
 def any_name(words: Iterable[str]) -> str:
     """Any of an entry's names; no name never matches."""
     known = [w for w in words if w]

@@ -1,7 +1,10 @@
 """Claims in résumés against the ontology's release years.
 
-A document is judged within its row: sentences, years, matching entries and
-versions are array expressions, so an audit needs no shuffle and no join.
+With a list of technologies a document is judged within its row: sentences, years,
+matching entries and versions are array expressions, so an audit needs no shuffle
+and no join, but its plan grows with the list.  With a table of technologies,
+of whatever size, the sentences that name a year meet the entries by an index of
+keys (``functions.keys``), and patterns run on the pairs so found.
 """
 
 from __future__ import annotations
@@ -12,9 +15,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import patterns
+from ..functions import keys, patterns
 from ..functions.text import audit_sentences, claim_years, trust_bucket, trust_score, version_tokens
 from .ontology import Tech
+from .shared import checkpoint
 
 VIOLATION = "struct<sentence_no:int,tech:string,claimed_year:int,actual_year:int,snippet:string,kind:string,message:string>"
 
@@ -43,11 +47,6 @@ def _judged(s: Column, entry: Column) -> Column:
     return F.filter(F.concat(release, F.transform(s["versions"], of)), lambda v: v.isNotNull())
 
 
-def _small(text: Column) -> Column:
-    """text as names are sought in it: small letters, long s as s, like matching without regard to case."""
-    return F.translate(F.lower(text), "ſ", "s")
-
-
 def _named(s: Column, ontology: Sequence[Tech]) -> Column:
     """Places in the ontology of the entries that a sentence names.
 
@@ -58,9 +57,9 @@ def _named(s: Column, ontology: Sequence[Tech]) -> Column:
         names = [n for n in (tech.name, *tech.aliases) if n]
         if not names:
             continue
-        there = s["low"].contains(names[0].lower().replace("ſ", "s"))
+        there = s["low"].contains(keys.folded(names[0]))
         for n in names[1:]:
-            there = there | s["low"].contains(n.lower().replace("ſ", "s"))
+            there = there | s["low"].contains(keys.folded(n))
         found.append(F.when(there & s["text"].rlike(patterns.any_name(names)), F.lit(i)))
     return F.filter(F.array(*found), lambda i: i.isNotNull())
 
@@ -77,20 +76,66 @@ def violations_of(text: Column, ontology: Sequence[Tech]) -> Column:
     # Each step binds what the next one reads, so no pattern runs twice on a sentence.
     # Years first: only sentences with a year meet the entries.
     dated = F.transform(audit_sentences(text), lambda s, n: F.struct(n.alias("no"), s.alias("text"), claim_years(s).alias("years")))
-    low = F.transform(F.filter(dated, lambda s: F.size(s["years"]) > 0), lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), F.array_min(s["years"]).alias("claimed"), _small(s["text"]).alias("low")))
+    low = F.transform(F.filter(dated, lambda s: F.size(s["years"]) > 0), lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), F.array_min(s["years"]).alias("claimed"), keys.fold(s["text"]).alias("low")))
     named = F.transform(low, lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), s["claimed"].alias("claimed"), _named(s, list(known.values())).alias("entries")))
     ready = F.transform(F.filter(named, lambda s: F.size(s["entries"]) > 0), lambda s: F.struct(s["no"].alias("no"), s["text"].alias("text"), s["claimed"].alias("claimed"), s["entries"].alias("entries"), version_tokens(s["text"]).alias("versions")))
     return F.flatten(F.transform(ready, lambda s: F.flatten(F.transform(s["entries"], lambda i: _judged(s, F.get(table, i))))))
 
 
-def violations(docs: DataFrame, ontology: Sequence[Tech], key: str = "doc_id", text: str = "text") -> DataFrame:
+def _dated(text: Column) -> Column:
+    """The sentences that have a year: no, text, claimed (their first year in time)."""
+    each = F.transform(audit_sentences(text), lambda s, n: F.struct(n.alias("no"), s.alias("text"), F.array_min(claim_years(s)).alias("claimed")))
+    return F.filter(each, lambda s: s["claimed"].isNotNull())
+
+
+def _names(ontology: DataFrame) -> DataFrame:
+    """name_text, pattern, order, entry: each name and alias of the entries, of which the first counts for each name."""
+    entry = F.struct("name", F.col("released_year").alias("year"), "versions").alias("entry")
+    first = ontology.groupBy("name").agg(F.min_by(F.struct(F.col("position").alias("order"), entry, "aliases"), "position").alias("e")).select("e.*")
+    aliases = F.coalesce("aliases", F.array().cast("array<string>"))
+    names = first.select("order", "entry", F.explode(F.array_distinct(F.concat(F.array("entry.name"), aliases))).alias("name_text")).where("name_text <> ''")
+    return names.withColumn("pattern", patterns.name_of(F.col("name_text")))
+
+
+def indexed_violations(docs: DataFrame, ontology: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, position, and the fields of each violation, for a table of technologies (``ontology.read``).
+
+    The same rows as ``violations`` gives for the table's entries, if keys don't
+    repeat.  Sentences with a year are kept once; their keys meet one key a name,
+    the rarest; names and sentences so met are compared by the name's pattern.
+    """
+    sentences = docs.select(F.col(key).alias("_key"), F.explode(_dated(F.col(text))).alias("s")).select("_key", "s.*")
+    sentences = checkpoint(sentences.withColumn("id", F.monotonically_increasing_id()))
+    names = checkpoint(_names(ontology))
+    index = checkpoint(keys.index(names, "name_text", open_end=~F.col("name_text").rlike(patterns.ASCII)))
+    tokens = sentences.select("id", F.explode(keys.text_keys(F.col("text"), keys.kinds_of(index))).alias("key"))
+    met = tokens.join(index.select(F.col("name").alias("name_text"), "key"), "key").join(names, "name_text").select("id", "order", "entry", "pattern")
+    named = sentences.join(met, "id").where(F.rlike("text", F.col("pattern"))).dropDuplicates(["id", "order"])
+    said = F.struct("no", "text", "claimed", version_tokens(F.col("text")).alias("versions"))
+    found = named.select("_key", "no", "order", said.alias("s"), "entry").select("_key", "no", "order", F.posexplode(_judged(F.col("s"), F.col("entry"))).alias("n", "v"))
+    each = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("no", "order", "n", "v"))).alias("all"))
+    return each.select(F.col("_key").alias(key), F.posexplode("all").alias("position", "f")).select(key, "position", "f.v.*")
+
+
+def violations(docs: DataFrame, ontology: Sequence[Tech] | DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, position, and the fields of each violation."""
+    if isinstance(ontology, DataFrame):
+        return indexed_violations(docs, ontology, key, text)
     return docs.select(key, F.posexplode(violations_of(F.col(text), ontology)).alias("position", "v")).select(key, "position", "v.*")
 
 
-def report(docs: DataFrame, ontology: Sequence[Tech], text: str = "text", probability: str | None = None) -> DataFrame:
-    """docs with violations, n_violations, suspect_spans, trust_score and trust_bucket."""
-    rows = docs.withColumn("violations", violations_of(F.col(text), ontology))
+def report(docs: DataFrame, ontology: Sequence[Tech] | DataFrame, text: str = "text", probability: str | None = None, key: str = "doc_id") -> DataFrame:
+    """docs with violations, n_violations, suspect_spans, trust_score and trust_bucket.
+
+    With a table of technologies, key names the documents, each once.
+    """
+    if isinstance(ontology, DataFrame):
+        fields = [f.split(":")[0] for f in VIOLATION[len("struct<") : -1].split(",")]
+        found = indexed_violations(docs, ontology, key, text).select(F.col(key).alias("_key"), F.struct("position", F.struct(*fields).alias("v")).alias("p"))
+        found = found.groupBy("_key").agg(F.array_sort(F.collect_list("p")).alias("_all"))
+        rows = docs.join(found, docs[key].eqNullSafe(F.col("_key")), "left").withColumn("violations", F.coalesce("_all.v", F.array().cast(f"array<{VIOLATION}>"))).drop("_key", "_all")
+    else:
+        rows = docs.withColumn("violations", violations_of(F.col(text), ontology))
     count = F.size("violations")
     score = trust_score(count, F.col(probability) if probability else None)
     return rows.withColumns({"n_violations": count, "suspect_spans": F.array_sort(F.array_distinct(F.transform("violations", lambda v: v["snippet"]))), "trust_score": score, "trust_bucket": trust_bucket(score)})

@@ -12,7 +12,7 @@ from ..functions.text import strip
 from ..sources import schemas
 from ..sources.files import exists
 
-#: Entries are compiled into expressions, so their number is bounded.
+#: A list of entries is compiled into expressions, so their number is bounded; a table of any size serves as it is.
 MOST_ENTRIES = 5000
 REQUIRED = ("aliases", "category", "name", "released_year", "versions")
 
@@ -46,7 +46,7 @@ def entries(ontology: DataFrame) -> list[Tech]:
     """The entries on the driver, in order; more than ``MOST_ENTRIES`` are refused."""
     rows = ontology.orderBy("position").limit(MOST_ENTRIES + 1).collect()
     if len(rows) > MOST_ENTRIES:
-        raise ValueError(f"the ontology has more than {MOST_ENTRIES} entries")
+        raise ValueError(f"the ontology has more than {MOST_ENTRIES} entries; give the audit its table instead")
     return [Tech(r.name, r.released_year, r.category, dict(r.versions), tuple(r.aliases)) for r in rows]
 
 

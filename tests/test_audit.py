@@ -74,6 +74,51 @@ def test_message(reports):
     assert v.message == "Docker는 2013년에 공개되었으나 문장은 2010년을 주장합니다."
 
 
+def tech_table(spark, entries):
+    rows = [(t.name, t.released_year, t.category, t.versions, list(t.aliases), i) for i, t in enumerate(entries)]
+    return spark.createDataFrame(rows, "name string, released_year int, category string, versions map<string,int>, aliases array<string>, position int")
+
+
+def test_table_of_technologies(spark):
+    """The index finds what the expressions find: odd names, cases, particles, aliases shared or repeated."""
+    odd = [
+        Tech("C", 2020), Tech("C++", 2021, "", {"3": 2025}), Tech("++", 2022), Tech("+", 2022), Tech("Objective C", 2023, "", {}, ("ObjC", "objc", "C")), Tech("C언어", 2020), Tech("카프카2", 2020), Tech("스프링 부트", 2021), Tech("도", 2020), Tech("日本", 2022),
+        Tech("Straße", 2020), Tech("kiosk", 2024), Tech("line", 2024), Tech("Docker", 2029, "", {}, ("dock",)), Tech("a\\E.b", 2020), Tech("Σας", 2021), Tech("", 2020, "", {}, ("alias only",)), Tech("no match", 2020),
+    ]
+    texts = [
+        *CASES, "2010 we used C, c++ 3 and objective c.", "2011 ++ + a++b", "2012년 C언어를 카프카2345 카프카2도 스프링 부트에서 스프링부트", "2012년 도 도를 도서", "2013 日本 日本語", "2014 STRASSE strasse Straße ßC", "2015 KIOSK \u212aIO\u017f\u212a LİNE lıne",
+        "2016 a\\E.b A\\e.B\nno year: docker\n2017 docker dock", "2018 ΣΑΣ σας σασ", "2019 alias only ALIAS ONLY", "2020년에 Docker 3.1 2011. 2009 docker!", "1990 1.1 docker v1 v1",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    entries = [*ONTOLOGY, *odd]
+    rows = lambda found: sorted(tuple(r) for r in found.collect())
+    expected = rows(audit.violations(docs, entries))
+    assert len(expected) > 35 and rows(audit.violations(docs, tech_table(spark, entries))) == expected
+    reports = [ClaimAudit(o).run(docs).orderBy("doc_id").collect() for o in (entries, tech_table(spark, entries))]
+    assert reports[0] == reports[1]
+    assert rows(audit.violations(docs, tech_table(spark, []))) == [] == rows(audit.violations(docs.limit(0), tech_table(spark, entries)))
+
+
+def test_hundred_thousand_technologies(spark):
+    """Plan and patterns don't grow with the table; the list is refused."""
+    size = 100_000
+    table = spark.range(size).select(
+        F.concat(F.lit("Tool "), F.col("id").cast("string")).alias("name"), (F.lit(2000) + F.col("id") % 20).cast("int").alias("released_year"), F.lit("").alias("category"),
+        F.create_map(F.lit("2"), F.lit(2021)).alias("versions"), F.array(F.concat(F.col("id").cast("string"), F.lit("번별명"))).alias("aliases"), F.col("id").cast("int").alias("position"),
+    )
+    said = [(i, f"In 2001 we used tool {10007 + i * 797} and Tool {10012 + i * 797} v2. 1999년에 {30000 + i * 31}번별명을 썼다.") for i in range(100)]
+    got = {(r.doc_id, r.tech, r.kind) for r in audit.violations(spark.createDataFrame(said, "doc_id int, text string"), table).collect()}
+    expected = set()
+    for i, _ in said:
+        for k in (10007 + i * 797, 10012 + i * 797):
+            expected |= {(i, f"Tool {k}", "release_year")} if 2000 + k % 20 > 2001 else set()
+            expected |= {(i, f"Tool {k}", "version_year")}
+        expected.add((i, f"Tool {30000 + i * 31}", "release_year"))
+    assert got == expected
+    with pytest.raises(ValueError, match="more than"):
+        ontology.entries(table)
+
+
 def test_no_ontology(spark):
     assert audit.violations(spark.createDataFrame([(1, "2010년 Docker")], "doc_id int, text string"), []).count() == 0
 
@@ -127,6 +172,35 @@ def test_implied_pipeline(spark):
     assert (bare.implicit_arm, bare.implicit_llm, bare.implicit_union) == ([], [], [])
 
 
+def test_implied_skills_of_many_postings(spark):
+    corpus = spark.createDataFrame([(t,) for t in ("Python Django Docker PostgreSQL", "Python Django Docker Redis", "Python Django Git", "Java Spring")], "text string")
+    texts = ["Python과 Django 3년 이상", "Java 5년 이상, Spring", "nothing", None, "docker"]
+    targets = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id int, text string, more string")
+
+    class Client:
+        def complete(self, prompt):
+            return 'IMPLICIT: ["kubernetes"]' if "django" in prompt else "no"
+
+    skills = ImpliedSkills(client=Client)
+    rules = skills.rules(corpus)
+    got = {r.doc_id: r for r in skills.run_all(targets, rules).collect()}
+    assert len(got) == len(texts) and got[0].more == "kept"
+    assert (got[0].experience_years, got[1].experience_years, got[0].implicit_llm) == ([3], [5], ["kubernetes"])
+    for i, text in enumerate(texts):
+        one = ImpliedSkills(client=Client).run(spark, text, corpus).first()
+        assert (got[i].tech_stack, got[i].implicit_arm, got[i].implicit_union) == (one.explicit, one.implicit_arm, one.implicit_union)
+    assert [r.implicit_arm for r in ImpliedSkills().run_all(targets).collect()] == [[]] * 5
+
+
+def test_own_extractor_and_auditor(spark):
+    docs = spark.createDataFrame([(1, "x y"), (2, "x")], "doc_id int, text string")
+    split = lambda rows, text: rows.withColumn("tech_stack", F.split(text, " "))
+    rules = spark.createDataFrame([(["x"], ["y", "z"])], "antecedent array<string>, consequent array<string>")
+    assert [r.implicit_union for r in ImpliedSkills(extractor=split).run_all(docs, rules).orderBy("doc_id").collect()] == [["z"], ["y", "z"]]
+    mine = lambda rows, text, probability: rows.withColumn("trust_score", F.length(text) + F.coalesce(F.col(probability) if probability else F.lit(0), F.lit(0)))
+    assert [r.trust_score for r in ClaimAudit(auditor=mine).run(docs).orderBy("doc_id").collect()] == [3, 1]
+
+
 def test_requirements(spark):
     docs = spark.createDataFrame([("Python 3년 이상, 정보처리기사",)], "text string")
     ner = lambda: lambda texts: [[{"entity_group": "CVL", "word": "정보처리기사", "score": 0.9, "start": 0, "end": 6}, {"entity_group": "PER", "word": "x", "score": 0.9, "start": 0, "end": 1}, {"entity_group": "QT", "word": " ", "score": 0.9, "start": 0, "end": 1}] for _ in texts]
