@@ -1,4 +1,9 @@
-"""Skills over a corpus: document frequency, recall, transactions."""
+"""Skills over a corpus: document frequency, recall, transactions.
+
+A list of words is compiled into one pattern.  A table of words, of whatever
+size, is met by an index of keys (``functions.keys``) instead, and each text is
+searched for the few words whose keys it has.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import find_keywords, normalize_category, posting_skills, strip
+from ..functions import keys, patterns
+from ..functions.text import find_keywords, normalize_category, or_empty, posting_skills, strip
 from ..functions.vocabulary import IT_CATEGORIES, TECH_KEYWORDS
 from ..sources.files import posting_text
+from .shared import checkpoint
 
 
 def with_text(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -17,9 +24,36 @@ def with_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]"))
 
 
-def document_frequency(docs: DataFrame, words: Iterable[str] = TECH_KEYWORDS, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by,) skill, doc_count: how many texts hold each skill.  One shuffle, of partial counts."""
-    found = with_text(docs, text).select(*by, F.explode(find_keywords(F.col(text), words)).alias("skill"))
+def with_keywords(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:
+    """docs with skills: what ``find_keywords`` finds by a table of words.
+
+    A word can only match where its key is, so the pattern of a text's own
+    candidates matches what the pattern of all words would, the longest word
+    first.  Rows of one key share their candidates.
+    """
+    known = words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(F.lower(word).alias("name")).distinct()
+    index = checkpoint(keys.index(known))
+    tokens = docs.select(F.col(key).alias("_key"), F.explode(keys.text_keys(F.col(text), keys.kinds_of(index))).alias("key")).distinct()
+    ranked = F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), F.col("name"))))
+    candidates = tokens.join(index, "key").groupBy("_key").agg(ranked.alias("_ranked"))
+    any_of = F.array_join(F.transform("_ranked", lambda w: patterns.quoted_of(w["name"])), "|")
+    pattern = F.concat(F.lit("(?iu)(?<![a-zA-Z0-9])("), any_of, F.lit(")(?![a-zA-Z0-9])"))
+    rows = docs.join(candidates, docs[key].eqNullSafe(F.col("_key")), "left")
+    hits = F.regexp_extract_all(or_empty(F.col(text)), F.coalesce(pattern, F.lit(f"({patterns.NEVER})")), 1)
+    return rows.withColumn("skills", F.array_sort(F.array_distinct(F.transform(hits, F.lower)))).drop("_key", "_ranked")
+
+
+def document_frequency(docs: DataFrame, words: Iterable[str] | DataFrame = TECH_KEYWORDS, text: str = "text", by: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
+    """(by,) skill, doc_count: how many texts hold each skill.
+
+    With a list of words, one shuffle, of partial counts.  With a table of them
+    (column word), key names the documents.
+    """
+    rows = with_text(docs, text)
+    if isinstance(words, DataFrame):
+        found = with_keywords(rows.select(*by, F.col(key).alias("_doc"), text), words, "_doc", text).select(*by, F.explode("skills").alias("skill"))
+    else:
+        found = rows.select(*by, F.explode(find_keywords(F.col(text), words)).alias("skill"))
     return found.groupBy(*by, "skill").agg(F.count("*").alias("doc_count"))
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocabulary import IMPLIED_PROMPT, NO_SKILLS
-from ..operators import audit, mining, ontology, scoring, skills
+from ..operators import audit, categories, mining, ontology, scoring, skills
 from ..operators.ontology import Tech
 from ..sources import crawl, files
-from .pipelines import ClaimAudit, requirements, sample
+from .pipelines import ClaimAudit, ImpliedSkills, requirements, sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -437,3 +437,121 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows of a stable order."""
     return sample(table(spark, sf_dir, "orders"), 20, "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+# Tables in place of lists: vocabularies, ontologies and rules of any size.
+
+_RUNS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark"
+
+
+@query(f"""WITH words AS ({_RUNS}), found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS skill FROM documents)
+SELECT skill, count(*) AS doc_count FROM found WHERE skill IN (SELECT word FROM words) GROUP BY skill""")
+def vocabulary_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many documents each word of the benchmark occurs."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).distinct()
+    return skills.document_frequency(table(spark, sf_dir, "documents"), words)
+
+
+@query(ORACLE_SQL["overlap_alternation"])
+def overlap_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """overlap_alternation by a table of phrases."""
+    return skills.document_frequency(table(spark, sf_dir, "documents"), spark.createDataFrame([(p,) for p in PHRASES], "word string"))
+
+
+def _part_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part as a technology, with a Korean alias and a third version."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.format_string("Item %07d", key).alias("name"), (1991 + key % 9).cast("int").alias("released_year"), F.col("p_type").alias("category"), F.create_map(F.lit("3"), (1995 + F.col("p_size") % 7).cast("int")).alias("versions"),
+        F.array(F.concat(key.cast("string"), F.lit("번 품목"))).alias("aliases"), key.cast("int").alias("position"),
+    )
+
+
+@query("""WITH claims AS (SELECT l_orderkey, l_linenumber, year(o_orderdate) AS y, printf('Item %07d', p_partkey) AS tech, 1991 + p_partkey % 9 AS released, 1995 + p_size % 7 AS v3 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, tech, cast(y AS INTEGER) AS claimed_year, cast(released AS INTEGER) AS actual_year, 'release_year' AS kind FROM claims WHERE y < released
+UNION ALL SELECT l_orderkey, l_linenumber, tech, cast(y AS INTEGER), cast(v3 AS INTEGER), 'version_year' FROM claims WHERE l_linenumber = 3 AND y < v3""")
+def part_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence for each order line, audited against an ontology of all parts; every other line uses the Korean alias."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.col("l_partkey").cast("string"), F.lit("번 품목을"))).otherwise(F.format_string("iTEM %07d", F.col("l_partkey")))
+    text = F.concat(F.lit("In "), F.year("o_orderdate").cast("string"), F.lit(" we sold "), named, F.lit(" v"), F.col("l_linenumber").cast("string"), F.lit("."))
+    found = audit.violations(lines.select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("line"), text.alias("text")), _part_ontology(spark, sf_dir), "line")
+    return found.select("line.l_orderkey", "line.l_linenumber", "tech", "claimed_year", "actual_year", "kind")
+
+
+@query(f"""WITH {_RULES}, top AS (SELECT antecedent, consequent FROM rules ORDER BY rules.confidence DESC, rules.lift DESC, rules.antecedent, rules.consequent LIMIT 20),
+targets AS (SELECT DISTINCT o, list(item) AS items FROM b GROUP BY o)
+SELECT DISTINCT l_orderkey, item FROM (SELECT o AS l_orderkey, items, unnest(consequent) AS item FROM targets JOIN top ON list_has_all(items, antecedent)) WHERE NOT list_contains(items, item)""")
+def implied_of_top_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the twenty best rules add to each order's words."""
+    baskets = _baskets(spark, sf_dir)
+    return mining.implied_each(mining.top_rules(mining.mined(baskets, 0.05, 0.2), 20), baskets, "l_orderkey")
+
+
+@query(ORACLE_SQL["category_normalize"])
+def category_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """category_normalize by a table of rules."""
+    rules = spark.createDataFrame([(i, c, list(words)) for i, (c, words) in enumerate(CATEGORY_RULES)], "position int, category string, patterns array<string>")
+    found = categories.categorized(table(spark, sf_dir, "part"), categories.table(rules), "p_type", "found", "none", "other")
+    return found.select("p_partkey", F.col("found").alias("category"))
+
+
+@query("""WITH rules AS (SELECT lower(c_name) AS word, min(c_custkey) AS position, arg_min(c_mktsegment, c_custkey) AS category FROM customer GROUP BY 1),
+asked AS (SELECT o_orderkey, o_custkey, o_custkey * 7 % (SELECT count(*) FROM customer) AS other FROM orders)
+SELECT o_orderkey, CASE WHEN o_custkey <= other THEN a.category ELSE b.category END AS category FROM asked JOIN rules a ON a.position = o_custkey JOIN rules b ON b.position = other""")
+def category_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that name two customers each; a rule for each customer, the first of which counts."""
+    customer = table(spark, sf_dir, "customer")
+    rules = customer.select(F.col("c_custkey").alias("position"), F.col("c_mktsegment").alias("category"), F.col("c_name").alias("pattern"))
+    name = lambda key: F.format_string("CUSTOMER#%09d", key)
+    text = F.concat(F.lit("for "), name(F.col("o_custkey")), F.lit(", "), name(F.col("o_custkey") * 7 % customer.agg(F.count("*")).scalar()), F.lit("에게"))
+    found = categories.categorized(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), rules, "text", "category")
+    return found.select("o_orderkey", "category")
+
+
+PART_WORDS = ("small", "large", "medium", "standard", "promo", "economy", "hot", "widget", "gear", "plate", "red", "blue", "bolt", "rod", "ring", "gizmo", "old", "cold", "anvil", "new")
+
+
+class Assembler:
+    """Stands in for a language model: anvils need assembly."""
+
+    def complete(self, prompt: str) -> str:
+        return 'Thinking.\nIMPLICIT: ["assembly"]' if "anvil" in prompt else "nothing"
+
+
+@query(f"""WITH words AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS text, list_sort(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda w: w IN ({", ".join(f"'{w}'" for w in PART_WORDS)})))) AS items FROM part),
+total AS (SELECT count(*) AS n FROM words),
+b AS (SELECT p_partkey AS o, unnest(items) AS item FROM words),
+sets AS (SELECT [item] AS items, count(*) AS f FROM b GROUP BY ALL HAVING count(*) >= 0.015 * (SELECT n FROM total)
+  UNION ALL SELECT [x.item, y.item], count(*) FROM b x JOIN b y ON x.o = y.o AND x.item < y.item GROUP BY ALL HAVING count(*) >= 0.015 * (SELECT n FROM total)
+  UNION ALL SELECT [x.item, y.item, z.item], count(*) FROM b x JOIN b y ON x.o = y.o AND x.item < y.item JOIN b z ON x.o = z.o AND y.item < z.item GROUP BY ALL HAVING count(*) >= 0.015 * (SELECT n FROM total)),
+masks AS (SELECT items, f, unnest(range(1, (1 << len(items)) - 1)) AS mask FROM sets WHERE len(items) > 1),
+split AS (SELECT [items[i] FOR i IN range(1, len(items) + 1) IF (mask >> (i - 1)) & 1 = 1] AS antecedent, [items[i] FOR i IN range(1, len(items) + 1) IF (mask >> (i - 1)) & 1 = 0] AS consequent, f FROM masks),
+rules AS (SELECT antecedent, consequent FROM split s JOIN sets x ON x.items = s.antecedent WHERE s.f / x.f >= 0.15),
+added AS (SELECT p_partkey, list_sort(list(DISTINCT item)) AS arm FROM (SELECT p_partkey, items, unnest(consequent) AS item FROM words JOIN rules ON list_has_all(items, antecedent)) WHERE NOT list_contains(items, item) GROUP BY p_partkey)
+SELECT p_partkey, array_to_string(items, ',') AS explicit, '3' AS years, array_to_string(coalesce(arm, []), ',') AS implicit_arm, CASE WHEN contains(text, 'anvil') THEN 'assembly' ELSE '' END AS implicit_llm,
+  array_to_string(list_sort(list_concat(coalesce(arm, []), CASE WHEN contains(text, 'anvil') THEN ['assembly'] ELSE [] END)), ',') AS implicit_union FROM words LEFT JOIN added USING (p_partkey)""")
+def implied_of_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline for every part as a posting: what it states, what rules and a stand-in for a model add."""
+    text = F.concat(F.col("p_name"), F.lit(" "), F.col("p_type"), F.lit(" 3년 이상"))
+    postings = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    pipeline = ImpliedSkills(PART_WORDS, 0.015, 0.15, client=Assembler)
+    found = pipeline.run_all(postings, pipeline.rules(postings), "p_partkey")
+    flat = lambda c, name: F.array_join(c, ",").alias(name)
+    return found.select("p_partkey", flat("tech_stack", "explicit"), flat(F.col("experience_years").cast("array<string>"), "years"), *(flat(c, c) for c in ("implicit_arm", "implicit_llm", "implicit_union")))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Dev,' || o_orderpriority WHEN 1 THEN o_orderpriority ELSE '' END AS category, o_orderpriority AS job_title, CASE o_orderkey % 2 WHEN 0 THEN 'Seoul ' || o_custkey ELSE 'KR' END AS work_location,
+o_orderpriority || chr(10) || 'intro' || chr(10) || '- one' || chr(10) || '• ' || o_orderstatus || chr(10) || chr(10) AS raw_text, 'one|' || o_orderstatus AS responsibilities, o_orderstatus AS skills, 'https://www.wanted.co.kr/wd/' || o_orderkey AS url FROM orders""")
+def normalized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the jobs of a postings service, made into postings."""
+    key, other = F.col("o_orderkey"), lambda c, kind: F.lit(c).cast(kind)
+    tag = F.when(key % 3 == 0, F.array(F.lit('{"title":"Dev"}'), F.col("o_orderpriority"))).when(key % 3 == 1, F.array(F.col("o_orderpriority"), F.lit("")))
+    jobs = table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.col("o_orderpriority").alias("position"), other(None, "string").alias("due_time"), other(None, "int").alias("annual_from"), other(None, "int").alias("annual_to"),
+        F.struct(F.col("o_custkey").alias("id"), F.lit("c").alias("name")).alias("company"), F.struct(F.when(key % 2 == 0, F.concat(F.lit("Seoul "), F.col("o_custkey").cast("string"))).otherwise("").alias("full_location"), F.lit("KR").alias("country")).alias("address"),
+        F.struct(F.lit(" intro\n").alias("intro"), F.concat(F.lit("- one\n• "), F.col("o_orderstatus")).alias("main_tasks"), F.lit(" ").alias("requirements"), other(None, "string").alias("preferred_points")).alias("detail"),
+        F.array(F.struct(F.col("o_orderstatus").alias("title")), F.struct(F.lit("").alias("title"))).alias("skill_tags"), tag.alias("category_tags"),
+    )
+    rows = files.normalized_jobs(jobs)
+    return rows.select("meta.id", "category", "job_title", "work_location", "raw_text", F.array_join("responsibilities", "|").alias("responsibilities"), F.array_join("skills", "|").alias("skills"), "meta.url")

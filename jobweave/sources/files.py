@@ -124,11 +124,18 @@ def write_lines(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.write.mode("append" if append else "overwrite").json(path)
 
 
-def category_rules(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
-    """Category rules for ``normalize_category`` from a JSON array of {category, patterns}, in the file's order.
+_RULES = "array<struct<category:string,patterns:array<string>>>"
+
+
+def category_table(spark: SparkSession, path: str) -> DataFrame:
+    """position, category, patterns of the rules in a JSON array of {category, patterns}, for ``categories.table``.
 
     A missing or malformed file is an error.
     """
-    kind = "array<struct<category:string,patterns:array<string>>>"
-    rules = spark.read.text(path, wholetext=True).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("r")).first().r
-    return [(r.category, list(r.patterns or [])) for r in rules or []]
+    rules = spark.read.text(path, wholetext=True).select(F.from_json("value", _RULES, {"mode": "FAILFAST"}).alias("r"))
+    return rules.select(F.posexplode("r").alias("position", "r")).select("position", "r.category", F.coalesce("r.patterns", _none()).alias("patterns"))
+
+
+def category_rules(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """The same rules as a list, in the file's order, for ``normalize_category``."""
+    return [(r.category, list(r.patterns)) for r in category_table(spark, path).orderBy("position").collect()]

@@ -84,3 +84,46 @@ def test_posting_skills(spark):
 
 def test_names_are_json_safe(evaluate):
     assert json.loads(evaluate(lambda t: F.to_json(T.find_keywords(t)), ["c# Java"])[0]) == ["java"]
+
+
+def test_keywords_of_a_table(spark):
+    """The index finds what the alternation finds, overlaps, odd characters and cases included."""
+    from jobweave.functions.vocabulary import TECH_KEYWORDS
+    from jobweave.operators import skills
+
+    words = [*TECH_KEYWORDS, "c++", "c#", ".net", "++", "+", "파이썬", "파", "日本", "a b", "a b c", "b c d", "node", "js", "x\\Ey", "Straße", "σας", "kiosk", "", None, "PYTHON"]
+    texts = [*KEYWORDS, "C++ c# .NET asp.net a++b +", "파이썬을 파이 x파y 日本語", "a b c d; A B; b c d", "node.js js node", "x\\Ey X\\eY", "STRASSE straße ßc++", "ΣΑΣ σας", "\u212aiosk KIO\u017fK", "c" * 50_000 + " rust", "react/vue,react"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("skills", F.lit(0)).drop("skills")
+    got = {r.doc_id: r.skills for r in skills.with_keywords(docs, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    expected = {r.doc_id: r.s for r in docs.select("doc_id", T.find_keywords(F.col("text"), [w for w in words if w]).alias("s")).collect()}
+    assert got == expected
+    assert skills.with_keywords(docs, spark.createDataFrame([], "word string")).where("size(skills) > 0").count() == 0
+
+
+def test_hundred_thousand_keywords(spark):
+    from jobweave.operators import skills
+
+    words = spark.range(100_000).select(F.concat(F.lit("Skill "), F.col("id").cast("string")).alias("word"))
+    docs = spark.createDataFrame([(i, f"skill {i * 331} and SKILL  {i}, skill {i * 7}x") for i in range(200)], "doc_id int, text string")
+    got = {r.skill: r.doc_count for r in skills.document_frequency(docs, words).collect()}
+    assert got == {f"skill {i * 331}": 1 for i in range(200)}
+
+
+def test_categories_of_a_table(spark):
+    """As the chain of conditions decides, for the built-in rules and for many others."""
+    from jobweave.functions.vocabulary import JOB_CATEGORIES, OTHER
+    from jobweave.operators import categories
+
+    texts = ["", None, "Backend 개발", "데이터 분석 PM", "hr,인사", "nothing here", "QA엔지니어", "R&D 연구", "A/S 기사", "é ui/ux", "it", "bit", *(w for _, words in JOB_CATEGORIES for w in words), *(f"x{w}y" for _, words in JOB_CATEGORIES for w in words)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, category string")
+
+    def of(rules):
+        frame = spark.createDataFrame([(i, c, list(w)) for i, (c, w) in enumerate(rules)], "position int, category string, patterns array<string>")
+        return {r.i: r.normalized for r in categories.categorized(rows, categories.table(frame)).collect()}
+
+    assert of(JOB_CATEGORIES) == {r.i: r.v for r in rows.select("i", T.normalize_category(F.col("category")).alias("v")).collect()}
+    many = [(f"c{i}", [f"job {i}", f"직무{i}번"]) for i in range(9_000)]
+    texts[:] = [f"Job {i} 직무{i - 3}번 job {i + 5}" for i in range(10, 400, 13)] + ["job x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, category string")
+    assert list(of(many).values()).count(OTHER) == 1 and sorted(of(many).values()) == sorted([*(f"c{i - 3}" for i in range(10, 400, 13)), OTHER])
+    assert set(of([]).values()) == {OTHER}
