@@ -39,6 +39,9 @@ from .common import of_rows
 #: Bytes of text that a task chains before it sends them on.
 BLOCK_BYTES = 32 << 20
 
+#: Documents a task of the routed stage takes at most on average, however few partitions the session asks for.
+ROWS = 300_000
+
 #: A filter's letter, and whether a text (UTF-8) with these words fails it.
 Check = tuple[str, Callable[[bytes, list[bytes]], bool]]
 _SIGNS, _CAPITALS, _INNER = b"#$%&*|", bytes(range(ord("A"), ord("Z") + 1)), bytes(range(0x80, 0xC0))
@@ -129,15 +132,16 @@ def _order(key: tuple) -> tuple:
 
 
 def _partitions(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The session's number, or more if the documents (counted from file footers) are many."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-of_rows(docs, "doc_id").count() // ROWS))
 
 
-def masks(docs: DataFrame, part: str = "source", checks: tuple[Check, ...] = CHECKS) -> DataFrame:
+def masks(docs: DataFrame, part: str = "source", checks: tuple[Check, ...] = CHECKS, partitions: int | None = None) -> DataFrame:
     """doc_id, part, mask, n: what each row (n equal rows) fails; bit i is filter i, the bit above them a copy."""
     rows = of_rows(docs, "doc_id", part, "text").toDF("doc_id", "part", "text")
     rows = rows.select("doc_id", F.coalesce("part", F.lit("")), F.coalesce("text", F.lit("")).cast("binary"))
     records: RDD = rows.rdd.mapPartitions(partial(_settle_blocks, checks=checks))
-    dealt = records.repartitionAndSortWithinPartitions(_partitions(docs), lambda key: key[0], keyfunc=_order)
+    dealt = records.repartitionAndSortWithinPartitions(partitions or _partitions(docs), lambda key: key[0], keyfunc=_order)
     return docs.sparkSession.createDataFrame(dealt.mapPartitions(partial(_settle_chains, copy=1 << len(checks))), MASKS, verifySchema=False)
 
 
@@ -181,11 +185,11 @@ def audited(docs: DataFrame, labels: DataFrame, part: str = "source", checks: tu
     its filter alone; good_lost, toxic_lost: removed ones labelled quality 1 and
     toxic 1; shapley: what its filter removes, summed over all orders.
     """
-    letters = "".join(letter for letter, _ in checks) + COPY
+    letters, partitions = "".join(letter for letter, _ in checks) + COPY, _partitions(docs)
     label = lambda name: F.max(F.coalesce(F.col(name) == 1, F.lit(False)).cast("int")).alias(name)
     known = of_rows(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(label("quality"), label("toxic"))
-    rows = masks(docs, part, checks).join(known, "doc_id", "left").select("part", "mask", "n", F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0)))
+    rows = masks(docs, part, checks, partitions).join(known, "doc_id", "left").select("part", "mask", "n", F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0)))
     zeros = lambda row: _added(np.zeros((3, 2 << len(checks)), np.int64), row)
-    vectors = rows.rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(zeros, _added, _merged, _partitions(docs))
+    vectors = rows.rdd.map(lambda r: (r[0], tuple(r[1:]))).combineByKey(zeros, _added, _merged, partitions)
     found = vectors.flatMap(lambda kv: ((kv[0], *row) for row in _steps(kv[1], letters)))
     return docs.sparkSession.createDataFrame(found, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COUNTS), verifySchema=False)
