@@ -68,7 +68,9 @@ def grouped(docs: DataFrame, carried: dict[str, Column] | None = None) -> DataFr
     rows, _ = written(rows.select("doc_id", "size", digest.alias("digest"), *(c.alias(n) for n, c in carried.items())), "exactdedup-rows")
     for path in (sizes_path, lengths_path, heads_path):
         remove(spark, path)
+    # Written, so that the join has a shuffle of its own, which can be split where a group is large.
     same = rows.where("digest is not null").groupBy("size", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    same, _ = written(same, "exactdedup-groups")
     found = rows.join(same, ["size", "digest"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), *carried)
