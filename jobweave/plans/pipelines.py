@@ -97,7 +97,7 @@ class ClaimAudit:
         """docs with the columns of the audit report, and with a scorer those of the signal."""
         if self.scorer is None:
             return self._audited(docs, text, None)
-        signal = scoring.detected(docs, self.scorer, self.key, text)
+        signal = scoring.detected(docs, self.scorer, self.key, text).dropDuplicates([self.key])
         return self._audited(docs.join(signal, self.key, "left"), text, "ai_probability")
 
 

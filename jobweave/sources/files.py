@@ -18,6 +18,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, in any store that Spark reads; nothing if it isn't there."""
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -41,22 +48,29 @@ def company_positions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def posting_lines(spark: SparkSession, path: str) -> DataFrame:
+def posting_lines(spark: SparkSession, path: str, open_meta: bool = False) -> DataFrame:
     """Postings from JSON lines.  Blank lines are skipped, a malformed line is an error, a missing file is empty.
 
     Null texts and lists are empty; only a missing source becomes the default.
+    With ``open_meta`` meta is a variant with all keys of the file, whatever they
+    are, and is written back as it is; otherwise it has the known keys.
     """
-    if not exists(spark, path):
-        return spark.createDataFrame([], schemas.POSTING)
-    rows = spark.read.schema(schemas.POSTING).json(path, mode="FAILFAST")
+    schema = schemas.OPEN_POSTING if open_meta else schemas.POSTING
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST") if exists(spark, path) else spark.createDataFrame([], schema)
     texts = [F.coalesce("source", F.lit("wanted")).alias("source"), *(or_empty(F.col(n)).alias(n) for n in ("company", "category", "job_title", "work_location", "raw_text"))]
     return rows.select(*texts, *(F.coalesce(n, _none()).alias(n) for n in ("responsibilities", "requirements", "preferred", "skills")), "meta")
 
 
-def postings(spark: SparkSession, company_path: str, lines_path: str) -> DataFrame:
+def with_open_meta(postings: DataFrame) -> DataFrame:
+    """postings with meta as a variant of the keys that have a value."""
+    return postings.withColumn("meta", F.parse_json(F.to_json("meta")))
+
+
+def postings(spark: SparkSession, company_path: str, lines_path: str, open_meta: bool = False) -> DataFrame:
     """All postings of both files, as far as they exist."""
     found = [company_positions(spark, company_path)] if exists(spark, company_path) else []
-    return reduce(DataFrame.unionByName, [*found, posting_lines(spark, lines_path)])
+    found = [with_open_meta(f) for f in found] if open_meta else found
+    return reduce(DataFrame.unionByName, [*found, posting_lines(spark, lines_path, open_meta)])
 
 
 def _spec(raw: str) -> Column:

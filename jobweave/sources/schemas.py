@@ -19,6 +19,8 @@ POSTING = T.StructType([
     *(T.StructField(n, _TEXTS) for n in ("responsibilities", "requirements", "preferred", "skills")),
     T.StructField("meta", POSTING_META),
 ])
+#: A posting whose meta holds any keys.
+OPEN_POSTING = T.StructType([*POSTING.fields[:-1], T.StructField("meta", T.VariantType())])
 
 #: A file of one company's open positions.
 COMPANY_FILE = T.StructType([

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave.__main__ import main
-from jobweave.sources import crawl, files, schemas
+from jobweave.sources import crawl, files, pace, schemas
 from jobweave.sources.config import Config
 from jobweave.streaming import skills as stream
 
@@ -107,6 +107,132 @@ def test_each_page_once_and_none_after_a_failure(spark, tmp_path):
     assert log.read_text().split() == ["0", "1"]
 
 
+class Logged:
+    """Three pages of four jobs; writes down each call.  Job 6 breaks the task until the flag is there; job 9 fails once, 10 always."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def _log(self, call):
+        with open(f"{self.folder}/calls", "a") as f:
+            f.write(f"{call}\n")
+
+    def page(self, job_group, offset, limit):
+        self._log(f"page {offset // limit}")
+        return [{"id": offset + i} for i in range(4)] if offset < 12 else []
+
+    def job(self, job_id):
+        import os
+
+        self._log(f"job {job_id}")
+        if job_id == 6 and not os.path.exists(f"{self.folder}/flag"):
+            raise SystemExit("the executor is gone")
+        with open(f"{self.folder}/calls") as f:
+            tried = f.read().split("\n").count(f"job {job_id}")
+        if job_id == 10 or job_id == 9 and tried == 1:
+            raise OSError("no answer")
+        return {"id": job_id, "position": f"P{job_id}"}
+
+
+def test_a_broken_crawl_goes_on(spark, tmp_path):
+    """No page is asked for twice, no job of a stored page either; files agree and hold no line twice."""
+    out, raw, state = (str(tmp_path / n) for n in ("out", "raw", "state"))
+    run = lambda **more: crawl.crawl(spark, Logged(str(tmp_path)), out, raw, pages=9, page_size=4, sleep=0, state=state, lanes=1, attempts=2, **more)
+    with pytest.raises(Exception, match="(?s)."):
+        run()
+    ids = lambda path, column: sorted(r[0] for r in spark.read.json(path).select(column).collect())
+    assert ids(out, "meta.id") == ids(raw, "id") == [0, 1, 2, 3]
+    (tmp_path / "flag").touch()
+    run()
+    calls = (tmp_path / "calls").read_text().split("\n")
+    assert [c for c in calls if c.startswith("page")] == [f"page {i}" for i in range(4)]
+    assert all(calls.count(f"job {i}") == 1 for i in (0, 1, 2, 3, 7, 8, 11)) and calls.count("job 9") == calls.count("job 10") == 2
+    assert ids(out, "meta.id") == ids(raw, "id") == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
+    assert [tuple(r) for r in crawl.failed(spark, f"{out}.failures").collect()] == [(None, 10, "OSError: no answer", 2)]
+    run()  # nothing is left to do
+    assert (tmp_path / "calls").read_text().split("\n") == calls
+    crawl.crawl(spark, Logged(str(tmp_path)), out, raw, pages=9, page_size=4, sleep=0, resume=True, lanes=2)
+    again = (tmp_path / "calls").read_text().split("\n")[len(calls) - 1 :]
+    assert [c for c in again if c.startswith("job")] == ["job 10"] and ids(out, "meta.id") == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
+
+
+def test_a_kept_batch_is_not_fetched_again(spark, tmp_path):
+    """A driver lost between fetching and writing: run again, the batch makes no call."""
+    out, raw, state, failures = (str(tmp_path / n) for n in ("out", "raw", "state", "failures"))
+    batch = spark.createDataFrame([(0, 1, None), (0, 2, None), (1, None, "down")], "page int, id long, error string")
+    store = lambda transport: crawl._store(batch, 3, transport, out, raw, failures, state, {"sleep": 0, "lanes": 1})
+    store(Logged(str(tmp_path)))
+    before = sorted(r.value for r in spark.read.text(raw).select("value").collect())
+    crawl.delete(spark, raw)
+    store(None)  # a transport that would fail
+    assert sorted(r.value for r in spark.read.text(raw).select("value").collect()) == before and len(before) == 2
+    assert [tuple(r) for r in crawl.failed(spark, failures).collect()] == [(1, None, "down", 1)]
+
+
+class Ticks(pace.Clock):
+    def __init__(self, at):
+        self.at = at
+
+    def now(self):
+        return self.at
+
+    def sleep(self, seconds):
+        self.at += seconds
+
+
+def test_one_rate_for_all_lanes():
+    """Four lanes, some late and with slow calls, one that tries again: never two calls within a turn."""
+    calls = []
+    for lane, late, slow in ((0, 0, 0), (1, 7.3, 0.4), (2, 0, 5.7), (3, 2, 0)):
+        clock, last = Ticks(100.0 + late), None
+        shared = pace.Pace(1.0, 4, 100.0, clock)
+
+        def call(clock=clock, slow=slow, lane=lane):
+            calls.append(clock.now())
+            clock.sleep(slow)
+            if lane == 3:
+                raise OSError
+            return {}
+
+        for _ in range(20):
+            *_, made, last = pace.called(call, shared, lane, last, attempts=3)
+            assert made == (3 if lane == 3 else 1)
+    calls.sort()
+    assert len(calls) == 3 * 20 + 60 and min(b - a for a, b in zip(calls, calls[1:], strict=False)) > 1 - 1e-6
+
+
+def test_pause_between_pages():
+    clock = Ticks(0.0)
+
+    class Times:
+        def page(self, job_group, offset, limit):
+            seen.append(clock.now())
+            return [{"id": offset}]
+
+    seen = []
+    stream = crawl.PageStream(Times(), 1, 3, 1, 2.0, clock)
+    offset = stream.initialOffset()
+    for _ in range(5):
+        _, offset = stream.read(offset)
+    assert seen == [0.0, 2.0, 4.0] and offset["page"] == 3
+    assert list(crawl.PageReader(Times(), 1, 3, 1, 2.0, clock).read(None)) == [(0, 0, None), (1, 1, None), (2, 2, None)] and seen[3:] == [4.0, 6.0, 8.0]
+
+
+def test_open_meta(spark, tmp_path):
+    """Keys that no schema knows survive reading and writing."""
+    meta = {"id": 3, "tags": ["a", {"b": 1.5}], "crawledAt": "t", "none": None}
+    path = lines(tmp_path / "p.jsonl", [{"raw_text": "t", "meta": meta}, {"raw_text": "u"}])
+    files.write_lines(files.posting_lines(spark, path, open_meta=True), str(tmp_path / "out"))
+    back = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [r.get("meta") for r in sorted(back, key=lambda r: r["raw_text"])] == [meta, None]
+    assert sorted(r.id for r in crawl.seen_ids(spark, str(tmp_path / "out")).collect()) == [-1, 3]
+    company = tmp_path / "c.json"
+    company.write_text(json.dumps({"url": "u", "company": {"name": "Co"}, "positions": [{"job_title": "Dev", "headcount": "2"}]}))
+    rows = files.postings(spark, str(company), path, open_meta=True)
+    got = [json.loads(r[0]) if r[0] else None for r in rows.select(F.to_json("meta")).collect()]
+    assert sorted(got, key=lambda m: len(m or "")) == [None, {"headcount": "2", "url": "u"}, meta]
+
+
 def test_category_rules(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(json.dumps([{"category": "X", "patterns": ["dev", "개발"]}, {"category": "Y", "patterns": ["it"]}]), encoding="utf-8")
@@ -152,6 +278,28 @@ def test_config():
     assert Config.load({"JOBWEAVE_ONTOLOGY_PATH": "x"}).ontology_path == "x"
 
 
+def scorer_of(model):
+    """A factory as settings name it; the score of a sentence is the model's name's length."""
+    return lambda: lambda batch: [float(len(model)) for _ in batch]
+
+
+def test_plugins():
+    config = Config.load({"JOBWEAVE_SCORER": "tests.test_sources:scorer_of", "JOBWEAVE_PERPLEXITY_MODEL": "four"})
+    assert config.plugin("scorer", config.perplexity_model)()(["a", "b"]) == [4.0, 4.0]
+    assert Config.load({}).plugin("scorer", "x") is None
+    with pytest.raises(ValueError, match="module:name"):
+        Config.load({"JOBWEAVE_SCORER": "no colon"}).plugin("scorer", "x")
+
+
+def test_demo_with_a_scorer(spark, tmp_path, capsys, monkeypatch):
+    ontology = tmp_path / "o.json"
+    ontology.write_text("[]")
+    assert main(["demo", "--module", "audit", "--ontology", str(ontology), "--use-ml", "--scorer", "tests.test_sources:scorer_of"]) == 0
+    assert "ai_probability" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["demo", "--module", "audit", "--ontology", str(ontology), "--use-ml"])
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = lines(tmp_path / "p.jsonl", [{"raw_text": "Python Docker AWS"}] * 3)
     assert main(["mine", "--postings", path, "--company", str(tmp_path / "none")]) == 0
