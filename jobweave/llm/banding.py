@@ -5,13 +5,18 @@ bits and a key for each band; the items of one key are a bucket; links are
 verified by exact Jaccard likeness within buckets.
 
 A bucket of one item goes; equal buckets count once, by a hash of their members.
-A filter of fixed size (``FILTER_BITS``) says which items are in any bucket, so
-only their contents are shuffled, each once.  A bucket of more than ``limit``
-items is dealt out in blocks, each with the bucket's pivots (its least items in
-``PIVOTS`` orders); items that no chain of links joins to a pivot in their block
-then meet the items of all other blocks.  So a family of near items costs its
-size; a large bucket of items near to nothing costs the square of theirs, in
-blocks, and no pair that met goes unchecked.
+A filter says which items are in any bucket, so only their contents are shuffled,
+each once; it has eight bits a member up to ``MOST_BITS`` (8 MB), beyond which it
+lets more contents through, to the same result.
+
+A bucket of more than ``limit`` items is dealt out in blocks, each with the
+bucket's pivots (its least items in ``PIVOTS`` orders).  The links so verified
+give components; each large bucket has a main one, its largest.  Every item
+outside it then meets all items of the bucket, in tiles of a block and a side.  A
+pair that met in a bucket is therefore verified, or both are in the main
+component, joined already.  So components don't depend on ``limit``.  A family of
+near items costs its size; items outside a large bucket's largest family cost
+their number times the bucket's, in tiles.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, column
+from .components import components
 
 LIKENESS = 0.8
 LIMIT, PIVOTS = 2000, 8
-FILTER_BITS = 24
+#: Bits of the filter, as powers of two.
+LEAST_BITS, MOST_BITS = 16, 26
 #: Items of one key that a task holds; of further ones it holds none.
 HELD = 1 << 17
 
@@ -121,52 +128,44 @@ def joined(item: np.ndarray, element: np.ndarray, n: int, likeness: float = LIKE
     return a, b, first
 
 
-_LINK = "bucket long, a1 long, a2 long, b1 long, b2 long"
+_LINK = "a1 long, a2 long, b1 long, b2 long"
 
 
 def _verified(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and tile: links between near items (bucket null), and items (bucket, a1, a2) of a block without a link to a pivot."""
-    held: dict[tuple[int, int], tuple[bytes, bool | None]] = {}
-    now, out = None, [[] for _ in range(5)]
+    """Links between the near items of each bucket and tile, from rows sorted by these."""
+    held: dict[tuple[int, int], bytes] = {}
+    now, out = None, [[] for _ in range(4)]
 
     def settle() -> None:
-        who, kinds = list(held), [v[1] for v in held.values()]
-        a, b, first = near([v[0] for v in held.values()])
-        out[0].extend([None] * len(a))
+        who = list(held)
+        a, b, _ = near(list(held.values()))
         for j, side in enumerate((a, b)):
             for k in (0, 1):
-                out[1 + 2 * j + k].extend([who[i][k] for i in side])
-        if any(k is not None for k in kinds):  # a block of a large bucket
-            reached = {f for f, k in zip(first.tolist(), kinds, strict=True) if k}
-            lone = [w for w, f in zip(who, first.tolist(), strict=True) if f not in reached]
-            out[0].extend([now[0]] * len(lone))
-            for k in (0, 1):
-                out[1 + k].extend([w[k] for w in lone])
-                out[3 + k].extend([None] * len(lone))
+                out[2 * j + k].extend([who[i][k] for i in side])
 
     def batch_of() -> pa.RecordBatch:
-        done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["bucket", "a1", "a2", "b1", "b2"])
+        done = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a1", "a2", "b1", "b2"])
         for c in out:
             c.clear()
         return done
 
     for batch in batches:
-        for bucket, tile, h1, h2, pivot, item in zip(*(column(batch, c).to_pylist() for c in ("bucket", "tile", "h1", "h2", "pivot", "item")), strict=True):
+        for bucket, tile, h1, h2, item in zip(*(column(batch, c).to_pylist() for c in ("bucket", "tile", "h1", "h2", "item")), strict=True):
             if now != (bucket, tile):
-                if len(held) > 1 or any(v[1] is not None for v in held.values()):
+                if len(held) > 1:
                     settle()
                 held, now = {}, (bucket, tile)
-            held[h1, h2] = (item, pivot)
+            held[h1, h2] = item
         if len(out[0]) > 10_000:
             yield batch_of()
-    if len(held) > 1 or any(v[1] is not None for v in held.values()):
+    if len(held) > 1:
         settle()
     yield batch_of()
 
 
 def filtered(name: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which of these names (128 bits in two columns) a filter may hold."""
-    at = name[:, 0] & ((1 << FILTER_BITS) - 1)
+    at = name[:, 0] & (32 * len(bits) - 1)
     return np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
 
 
@@ -181,9 +180,10 @@ def links(keys: DataFrame, contents: Callable[[Broadcast], DataFrame], near: Nea
     members = checkpoint(members.distinct())
 
     # A bit for each value that a member's name can have, in words of 32 bits.
-    place = F.col("h1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    power = min(MOST_BITS, max(LEAST_BITS, (8 * members.count()).bit_length()))
+    place = F.col("h1").bitwiseAND(F.lit((1 << power) - 1))
     words = members.select(F.shiftright(place, 5).alias("word"), F.expr("shiftleft(1L, int(h1 & 31))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits = np.zeros(1 << (power - 5), np.uint32)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     found = contents(spark.sparkContext.broadcast(bits)).groupBy("h1", "h2").agg(F.first("item").alias("item"))
 
@@ -191,35 +191,36 @@ def links(keys: DataFrame, contents: Callable[[Broadcast], DataFrame], near: Nea
     large = members.groupBy("bucket").agg(F.count("*").alias("n"), *(F.min(F.col("h1").bitwiseXOR(t)).alias(f"p{i}") for i, t in enumerate(turns))).where(f"n > {limit}")
     large = checkpoint(large.select("bucket", F.ceil(F.col("n") / limit).cast("int").alias("blocks"), F.array(*(F.col(f"p{i}").bitwiseXOR(t) for i, t in enumerate(turns))).alias("pivots")))
     some = not large.isEmpty()
+    block = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
     if some:
         members = checkpoint(members.join(large, "bucket", "left"))
-        own = F.array(F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int"))
-        pivot = F.array_contains("pivots", F.col("h1"))
-        small = F.col("blocks").isNull()
-        tiles = F.when(small, F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
-        rows = members.select("bucket", "h1", F.when(~small, pivot).alias("pivot"), F.explode(tiles).alias("tile"))
+        tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(F.array_contains("pivots", F.col("h1")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+        rows = members.select("bucket", "h1", F.explode(tiles).alias("tile"))
+        found = checkpoint(found)
     else:
-        rows = members.select("bucket", "h1", F.lit(None).cast("boolean").alias("pivot"), F.lit(0).alias("tile"))
+        rows = members.select("bucket", "h1", F.lit(0).alias("tile"))
 
     def verified(rows: DataFrame) -> DataFrame:
-        rows = rows.join(found, "h1").select("bucket", "tile", "h1", "h2", "pivot", "item")
-        return checkpoint(rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "h1", "h2").mapInArrow(lambda batches: _verified(batches, near), _LINK))
+        rows = rows.join(found, "h1").select("bucket", "tile", "h1", "h2", "item")
+        out = checkpoint(rows.repartition("bucket", "tile").sortWithinPartitions("bucket", "tile", "h1", "h2").mapInArrow(lambda batches: _verified(batches, near), _LINK))
+        name = lambda x: F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")).alias(x)
+        return out.select(name("a"), name("b"))
 
-    if some:
-        found = checkpoint(found)
     out = verified(rows)
-    found_links = out.where("bucket is null")
-    if some and not (lone := out.where("bucket is not null").select("bucket", F.col("a1").alias("h1")).distinct()).isEmpty():
-        lone = checkpoint(lone)
-        sides = lone.groupBy("bucket").agg(F.ceil(F.count("*") / limit).cast("int").alias("sides"))
-        sides = checkpoint(sides)
-        rest = members.where("blocks is not null").select("bucket", "h1", "blocks").join(sides, "bucket")
-        block = F.pmod(F.xxhash64("h1"), F.col("blocks")).cast("int")
-        side = F.pmod(F.xxhash64(F.lit(1), "h1"), F.col("sides")).cast("int")
-        every = rest.select("bucket", "h1", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), block.alias("block"), "blocks")
-        alone = rest.join(lone, ["bucket", "h1"], "left_semi").select("bucket", "h1", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
-        tile = (F.col("side").cast("long") * F.col("blocks") + F.col("block")).alias("tile")
-        both = every.unionByName(alone).select("bucket", "h1", F.lit(None).cast("boolean").alias("pivot"), tile).distinct()
-        found_links = found_links.unionByName(verified(both).where("bucket is null"))
-    name = lambda x: F.struct(F.col(f"{x}1").alias("h1"), F.col(f"{x}2").alias("h2")).alias(x)
-    return found_links.select(name("a"), name("b"))
+    if not some:
+        return out
+    # Items of large buckets with their component so far; one without a link is a component of its own.
+    inside = members.where("blocks is not null").select("bucket", "h1", "blocks").join(found.select("h1", "h2"), "h1")
+    of = components(out).select("node.h1", "node.h2", "component")
+    inside = checkpoint(inside.join(of, ["h1", "h2"], "left").select("bucket", "blocks", "h1", F.coalesce("component", F.struct("h1", "h2")).alias("component")))
+    sizes = checkpoint(inside.groupBy("bucket", "component").agg(F.count("*").alias("n")))
+    main = checkpoint(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")))
+    main = main.where("most < n").select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / limit).cast("int").alias("sides"))
+    rest = checkpoint(inside.join(main, "bucket"))
+    if rest.isEmpty():
+        return out
+    side = F.pmod(F.xxhash64(F.lit(1), "h1"), F.col("sides")).cast("int")
+    every = rest.select("bucket", "h1", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"), block.alias("block"), "blocks")
+    alone = rest.where("component <> main").select("bucket", "h1", side.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks")
+    tile = (F.col("side").cast("long") * F.col("blocks") + F.col("block")).alias("tile")
+    return out.unionByName(verified(every.unionByName(alone).select("bucket", "h1", tile).distinct()))
