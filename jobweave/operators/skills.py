@@ -19,9 +19,13 @@ from ..sources.files import posting_text
 from .shared import checkpoint
 
 
+#: A text that isn't blank.
+NON_BLANK = r"(?U)[^\s\x1c-\x1f]"
+
+
 def with_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows whose text isn't blank."""
-    return docs.where(F.col(text).rlike(r"(?U)[^\s\x1c-\x1f]"))
+    return docs.where(F.col(text).rlike(NON_BLANK))
 
 
 def with_keywords(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:

@@ -31,7 +31,8 @@ class ImpliedSkills:
     """Skills that a posting implies: by rules mined from a corpus, and by a language model if given.
 
     extractor finds what a posting states itself; without one it is
-    ``requirements`` with words and ner.
+    ``requirements`` with words and ner.  answers is a table of the model's answers
+    that is kept, so that no prompt is asked twice.
     """
 
     words: Iterable[str] = TECH_KEYWORDS
@@ -41,6 +42,7 @@ class ImpliedSkills:
     miner: Callable[[DataFrame, float, float], DataFrame] = mining.mined
     extractor: Extractor | None = None
     ner: Callable | None = None
+    answers: str | None = None
 
     def _explicit(self, docs: DataFrame, text: str) -> DataFrame:
         return self.extractor(docs, text) if self.extractor else requirements(docs, text, self.words, self.ner)
@@ -63,7 +65,7 @@ class ImpliedSkills:
             rows = rows.join(found, rows[key].eqNullSafe(found["_target"]), "left").drop("_target").withColumn("implicit_arm", F.coalesce("implicit_arm", none))
         else:
             rows = rows.withColumn("implicit_arm", none)
-        rows = reasoning.implied(rows, self.client, text, "tech_stack") if self.client else rows.withColumn("implicit_llm", none)
+        rows = reasoning.implied(rows, self.client, text, "tech_stack", self.answers) if self.client else rows.withColumn("implicit_llm", none)
         return rows.withColumn("implicit_union", union_sorted(F.col("implicit_arm"), F.col("implicit_llm")))
 
     def run(self, spark: SparkSession, target: str, corpus: DataFrame | None = None, text: str = "text") -> DataFrame:

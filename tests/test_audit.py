@@ -218,3 +218,41 @@ def test_prompts_are_asked_once(spark):
 
     assert [r.implicit_llm for r in reasoning.implied(rows, Client).collect()] == [["y"]] * 5
     assert reasoning.completed(rows.select(F.lit("p").alias("prompt")), Client).count() == 1
+
+
+class Counted:
+    """A client that writes down what it is asked, and fails at one prompt until a flag is there."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def complete(self, prompt):
+        import os
+
+        with open(f"{self.folder}/asked", "a") as f:
+            f.write(f"{prompt[-1].strip() or 'p'}\n")
+        if prompt.endswith("f") and not os.path.exists(f"{self.folder}/flag"):
+            raise OSError("no answer")
+        return None if prompt.endswith("n") else f"to {prompt}"
+
+
+def test_answers_are_kept(spark, tmp_path):
+    store, asked = str(tmp_path / "store"), lambda: sorted((tmp_path / "asked").read_text().split())
+    run = lambda letters, **more: {r.prompt: r.answer for r in reasoning.completed(spark.createDataFrame([(x,) for x in letters], "prompt string"), lambda: Counted(str(tmp_path)), store, **more).collect()}
+    assert run([*"abbn", None]) == {"a": "to a", "b": "to b", "n": None} and asked() == ["a", "b", "n"]
+    assert run("abn") == {"a": "to a", "b": "to b", "n": None} and asked() == ["a", "b", "n"]
+    assert run("bc") == {"b": "to b", "c": "to c"} and asked() == ["a", "b", "c", "n"]
+    # A broken run keeps the chunks before it.
+    with pytest.raises(Exception, match="no answer"):
+        run("abcdefghi", chunks=7)
+    before = asked()
+    (tmp_path / "flag").touch()
+    assert run("abcdefghi", chunks=7) == {x: f"to {x}" for x in "abcdefghi"}
+    assert set(before) & set("deghi") and all(asked().count(x) <= 2 for x in "defghi") and asked().count("a") == 1
+    done = asked()
+    assert run("abcdefghi") == {x: f"to {x}" for x in "abcdefghi"} and asked() == done
+    skills = ImpliedSkills(client=lambda: Counted(str(tmp_path)), answers=str(tmp_path / "more"))
+    targets = spark.createDataFrame([(1, "python"), (2, "java")], "doc_id int, text string")
+    for _ in range(2):
+        assert skills.run_all(targets).count() == 2
+    assert len(asked()) == len(done) + 2

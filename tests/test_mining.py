@@ -143,3 +143,50 @@ def test_implied_each_of_top_rules(spark):
     targets = [(i, list(b[:2])) for i, b in enumerate(BASKETS)]
     got = mining.implied_each(rules, spark.createDataFrame(targets, "id int, items array<string>"), "id").collect()
     assert {tuple(r) for r in got} == plain_implied([(r.antecedent, r.consequent) for r in rules.collect()], targets)
+
+
+def test_index_kept_up_to_date(spark, tmp_path):
+    """Adding and re-adding batches, and dropping them, equals counting what is there."""
+    import random
+
+    from jobweave.operators import skillindex
+
+    rng, path, batches = random.Random(1), str(tmp_path / "index"), {}
+    assert skillindex.frequency(spark, path).count() == 0 == skillindex.total(spark, path).first().total_docs
+
+    def check():
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for b in batches.values() for t in b)], "doc_id int, text string")
+        assert {r.skill: r.doc_count for r in skillindex.frequency(spark, path).collect()} == {r.skill: r.doc_count for r in skills.document_frequency(docs).collect()}
+        assert skillindex.total(spark, path).first().total_docs == skills.total_documents(docs).first().total_docs
+
+    some = lambda: [rng.choice(("python docker", "Python", "java git", " ", None, "none", "Go, Rust")) for _ in range(rng.randint(1, 6))]
+    for step in range(5):
+        new = {b: some() for b in rng.sample(["a", "b", "c d", "e=f/g"], 2)} | ({"x": [" ", None]} if step == 2 else {"x": some()} if step == 1 else {})
+        batches |= new
+        skillindex.update(spark.createDataFrame([(i, t, b) for b, texts in new.items() for i, t in enumerate(texts)], "doc_id int, text string, batch string"), path)
+        check()
+    skillindex.drop(spark, path, "c d")
+    skillindex.drop(spark, path, "not there")
+    batches.pop("c d", None)
+    check()
+
+
+def test_index_follows_files(spark, tmp_path):
+    """A file that comes again under its name, changed, is counted as it is now."""
+    from pyspark.sql import functions as F
+
+    from jobweave.operators import skillindex
+
+    folder, path = tmp_path / "in", str(tmp_path / "index")
+    folder.mkdir()
+
+    def run():
+        docs = spark.readStream.schema("text string, v int").json(str(folder)).withColumns({"batch": F.regexp_extract("_metadata.file_name", "^[^.]+", 0), "doc_id": F.lit(0)})
+        skillindex.follow(docs, path, str(tmp_path / "state")).awaitTermination(60)
+        return {r.skill: r.doc_count for r in skillindex.frequency(spark, path).collect()}
+
+    (folder / "a.1.json").write_text('{"text": "python git"}\n{"text": "python"}\n')
+    (folder / "b.1.json").write_text('{"text": "java"}\n')
+    assert run() == {"python": 2, "git": 1, "java": 1}
+    (folder / "a.2.json").write_text('{"text": "java docker"}\n')
+    assert run() == {"java": 2, "docker": 1} and run() == {"java": 2, "docker": 1}
