@@ -7,6 +7,7 @@ word, and test existence only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vocabulary import IMPLIED_PROMPT, NO_SKILLS
-from ..operators import audit, categories, mining, ontology, scoring, skills
+from ..operators import audit, categories, mining, ontology, scoring, skillindex, skills
 from ..operators.ontology import Tech
+from ..operators.shared import folder
 from ..sources import crawl, files
 from .pipelines import ClaimAudit, ImpliedSkills, requirements, sample
 
@@ -270,14 +272,11 @@ def sentence_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT user_id, round(avg(value), 4) AS perplexity, round(coalesce(stddev_samp(value), 0), 4) AS burstiness,
-round(0.6 * greatest(0, least(1, (60 - avg(value)) / 60)) + 0.4 * greatest(0, least(1, (15 - coalesce(stddev_samp(value), 0)) / 15)), 2) AS ai_probability FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id""")
+round_even(0.6 * greatest(0, least(1, (60 - avg(value)) / 60)) + 0.4 * greatest(0, least(1, (15 - coalesce(stddev_samp(value), 0)) / 15)), 3) AS ai_probability FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY user_id""")
 def ai_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values stand in for the perplexities of a user's sentences."""
     rows = scoring.aggregated(table(spark, sf_dir, "events").select("user_id", "value"), "user_id", "value")
-    exact = 0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (60 - F.col("perplexity")) / 60)) + 0.4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (15 - F.col("burstiness")) / 15))
-    # The operator's three decimals, checked here at two to keep clear of ties of the third.
-    near = F.when(F.abs(F.col("ai_probability") - exact) <= 0.0006, F.round(exact, 2))
-    return rows.select("user_id", F.round("perplexity", 4).alias("perplexity"), F.round("burstiness", 4).alias("burstiness"), near.alias("ai_probability"))
+    return rows.select("user_id", F.round("perplexity", 4).alias("perplexity"), F.round("burstiness", 4).alias("burstiness"), "ai_probability")
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN '' ELSE trim(c_mktsegment) || ',' || c_name END AS implied FROM customer""")
@@ -328,12 +327,24 @@ def implied_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.implied_prompt(F.col("text"), skills).cast("binary")).alias("digest"))
 
 
+class Spotter:
+    """Stands in for an entity model: it finds a certificate in texts with "apache", and other things everywhere."""
+
+    def __call__(self) -> Callable[[list[str]], list[list[dict]]]:
+        entity = lambda group, word: {"entity_group": group, "word": word, "score": 0.5, "start": 0, "end": 1}
+        return lambda texts: [[entity("PER", "someone"), entity("QT", " "), *([entity("CVL", "certificate")] if "apache" in t else [])] for t in texts]
+
+
 @query(f"""SELECT doc_id, array_to_string(list_sort(list_filter([{", ".join(f"'{w}'" for w in sorted(WORDS))}], lambda w: regexp_matches(text, '(?i)(^|[^a-zA-Z0-9])' || w || '([^a-zA-Z0-9]|$)'))), ',') AS tech_stack,
-cast(0 AS INTEGER) AS n_years, cast(0 AS INTEGER) AS n_qualifications FROM documents""")
+CASE WHEN doc_id % 3 = 0 THEN '' ELSE (doc_id % 7)::VARCHAR || ',' || (doc_id % 11)::VARCHAR END AS years, CASE WHEN contains(text, 'apache') THEN 'certificate' ELSE '' END AS qualifications,
+cast(CASE WHEN contains(text, 'apache') THEN 3 ELSE 2 END AS INTEGER) AS n_entities FROM documents""")
 def document_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explicit requirements of each document; none states Korean years, and no entity model is given."""
-    rows = requirements(table(spark, sf_dir, "documents").select("doc_id", "text"), words=WORDS)
-    return rows.select("doc_id", F.array_join("tech_stack", ",").alias("tech_stack"), F.size("experience_years").alias("n_years"), F.size("qualifications").alias("n_qualifications"))
+    """Explicit requirements of each document, to which two of three state years of experience; a stand-in finds entities."""
+    key = F.col("doc_id")
+    years = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("\n경력 "), (key % 7).cast("string"), F.lit("년 이상, "), (key % 11).cast("string"), F.lit(" 년차")))
+    rows = requirements(table(spark, sf_dir, "documents").select(key, F.concat("text", years).alias("text")), words=WORDS, ner=Spotter())
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return rows.select("doc_id", flat("tech_stack").alias("tech_stack"), flat("experience_years").alias("years"), flat("qualifications").alias("qualifications"), F.size("raw_entities").alias("n_entities"))
 
 
 _POSTINGS = """posting AS (SELECT p_partkey, p_name, p_type, lower(trim(p_brand)) AS tag FROM part)"""
@@ -347,7 +358,7 @@ def posting_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.posting_skills(text, F.array("p_brand"), ("steel", "tin", "copper")), ",").alias("skills"))
 
 
-@query(f"""WITH asked AS (SELECT DISTINCT p_brand AS asked FROM part), brands(name, year) AS (VALUES {", ".join(f"('{t.name}', {t.released_year})" for t in BRANDS[::2])})
+@query(f"""WITH asked AS (SELECT DISTINCT p_brand AS asked FROM part), brands(name, year) AS (VALUES {", ".join(f"('{t.name.upper() if i % 2 else t.name}', {t.released_year})" for i, t in enumerate(BRANDS[::2]))})
 SELECT asked, name, coalesce(year, 0) AS released_year FROM asked LEFT JOIN brands ON lower(asked) = lower(name)""")
 def ontology_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands looked up among the entries of an ontology that holds every other one."""
@@ -356,7 +367,7 @@ def ontology_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "part").select(F.col("p_brand").alias("asked")).distinct()
     found = ontology.lookup(asked, known)
     year = known.select(F.col("name"), "released_year")
-    return found.join(year, "name", "left").select("asked", F.initcap(F.lower("name")).alias("name"), F.coalesce("released_year", F.lit(0)).alias("released_year"))
+    return found.join(year, "name", "left").select("asked", "name", F.coalesce("released_year", F.lit(0)).alias("released_year"))
 
 
 @query("SELECT doc_id, replace(substr(text, 1, 120), chr(10), ' ') AS preview FROM documents")
@@ -555,3 +566,88 @@ def normalized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = files.normalized_jobs(jobs)
     return rows.select("meta.id", "category", "job_title", "work_location", "raw_text", F.array_join("responsibilities", "|").alias("responsibilities"), F.array_join("skills", "|").alias("skills"), "meta.url")
+
+
+# Through files: tables written in the layouts that the readers take, and read back.
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_FOUND} SELECT skill, count(*) AS doc_count, (SELECT n FROM total) AS total_docs FROM found GROUP BY skill")
+def indexed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after all sources came, each second one twice, at first without most of its documents."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _scratch(spark, "skill-index")
+    even = F.pmod(F.xxhash64("source"), F.lit(2)) == 0
+    skillindex.update(docs.where((F.col("doc_id") % 5 == 0) | ~F.coalesce(even, F.lit(False))), path, WORDS, "source")
+    skillindex.update(docs.where(even), path, WORDS, "source")
+    return skillindex.frequency(spark, path).withColumn("total_docs", skillindex.total(spark, path).scalar())
+
+
+@query("""WITH sections AS (SELECT conv_id, string_agg('[' || CASE WHEN turn = 0 THEN '' ELSE turn::VARCHAR END || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS text, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS url, CASE conv_id % 2 WHEN 0 THEN 'linkareer' ELSE 'naver_cafe' END AS source, n::INTEGER AS n_sections, md5(text) AS digest, CASE conv_id % 3 WHEN 0 THEN 'club' WHEN 1 THEN 'intern' ELSE '' END AS activities, 'job ' || conv_id AS title FROM sections WHERE conv_id % 4 <> 3""")
+def stored_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as résumés of two sites, in their keys, and read back; every fourth has no section."""
+    key, path = F.col("conv_id"), _scratch(spark, "resumes")
+    turn = F.struct(F.col("turn").alias("번호"), F.col("role").alias("질문"), F.col("text").alias("답변"))
+    rows = table(spark, sf_dir, "conversations").where("text is not null").groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("s"))
+    spec = F.struct(F.when(key % 3 == 0, "club").when(key % 3 == 1, "").alias("대외활동"), F.when(key % 3 == 1, "intern").alias("대외활동 경력 및 인턴"))
+    rows = rows.select(key.cast("string").alias("url"), spec.alias("합격스펙"), F.when(key % 4 != 3, F.col("s")).alias("자소서"), F.concat(F.lit("job "), key.cast("string")).alias("title"), key)
+    for part in (0, 1):
+        files.write_lines(rows.where(key % 2 == part).drop("conv_id"), f"{path}/{part}")
+    found = files.resumes(spark, f"{path}/0", f"{path}/1")
+    digest = F.md5(files.full_text(F.col("sections")).cast("binary"))
+    return found.select("url", "source", F.size("sections").alias("n_sections"), digest.alias("digest"), "pass_spec.activities", "meta.title")
+
+
+@query("""WITH postings AS (SELECT 'jobkorea' AS source, o_orderpriority AS job_title, o_orderkey AS id FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'wanted', o_orderpriority, o_orderkey FROM orders WHERE o_orderkey % 50 <> 0)
+SELECT source, job_title, count(*) AS n, sum(id)::BIGINT AS ids FROM postings GROUP BY source, job_title""")
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as postings, some as a company's positions, the others as lines with keys that no schema has; read back as one, meta open."""
+    path, rows = _scratch(spark, "postings"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    company = rows.where("o_orderkey % 50 = 0").groupBy("o_orderpriority").agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("job_title"), F.col("o_orderkey").cast("string").alias("headcount"))).alias("positions"))
+    # A file for each company.
+    company.select(F.lit("u").alias("url"), F.struct(F.lit("Co").alias("name")).alias("company"), "positions", "o_orderpriority").write.partitionBy("o_orderpriority").json(f"{path}/company")
+    files.write_lines(rows.where("o_orderkey % 50 <> 0").select(F.col("o_orderpriority").alias("job_title"), F.struct(F.struct(F.col("o_orderkey").alias("order")).alias("own")).alias("meta")), f"{path}/lines")
+    found = files.postings(spark, f"{path}/company", f"{path}/lines", open_meta=True)
+    files.write_lines(found, f"{path}/again")
+    again = files.posting_lines(spark, f"{path}/again", open_meta=True)
+    number = F.coalesce(F.try_variant_get("meta", "$.own.order", "bigint"), F.try_variant_get("meta", "$.headcount", "bigint"))
+    return again.groupBy("source", "job_title").agg(F.count("*").alias("n"), F.sum(number).alias("ids"))
+
+
+@query("""WITH brands AS (SELECT p_brand AS name, min(p_partkey) AS k FROM part GROUP BY p_brand)
+SELECT name || ': bad released_year' AS message FROM brands WHERE k % 3 = 0
+UNION ALL SELECT name || ' 1: bad version year' FROM brands WHERE k % 4 = 0
+UNION ALL SELECT name || ': empty category' FROM brands WHERE k % 5 = 0
+UNION ALL SELECT name || ': aliases must be a list' FROM brands WHERE k % 7 = 0
+UNION ALL SELECT 'alias shared claimed by ' || string_agg(name, ', ' ORDER BY name) FROM brands WHERE k % 7 <> 0 AND k % 2 = 0 HAVING count(*) > 1""")
+def ontology_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check of an ontology says of one entry a brand, many of them broken."""
+    key, path = F.col("k"), _scratch(spark, "ontology")
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.min("p_partkey").alias("k"))
+    aliases = F.when(key % 7 == 0, '"none"').when(key % 2 == 0, '["Shared"]').otherwise("[]")
+    entry = F.concat(
+        F.lit('{"name": "'), F.col("name"), F.lit('", "released_year": '), F.when(key % 3 == 0, "1800").otherwise("2000"), F.lit(', "category": "'), F.when(key % 5 == 0, "").otherwise("c"),
+        F.lit('", "versions": {"1": '), F.when(key % 4 == 0, '"x"').otherwise("2001"), F.lit('}, "aliases": '), aliases, F.lit("}"),
+    )
+    brands.agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ", "), F.lit("]"))).coalesce(1).write.text(path)
+    return ontology.problems(spark, path).select("message")
+
+
+class Lengths:
+    """Stands in for a perplexity model: a sentence's length, none for sentences with a comma."""
+
+    def __call__(self) -> Callable[[list[str]], list[float]]:
+        return lambda sentences: [float("nan") if "," in s else float(len(s)) for s in sentences]
+
+
+@query("""WITH sentences AS (SELECT doc_id, unnest(list_filter([trim(x, ' \t\n\r') FOR x IN regexp_split_to_array(text, '[.!?\\n]+')], lambda x: length(x) > 5)) AS s FROM documents),
+scored AS (SELECT doc_id, avg(length(s)) AS p, coalesce(stddev_samp(length(s)), 0) AS b FROM sentences WHERE NOT contains(s, ',') GROUP BY doc_id)
+SELECT doc_id, round(p, 4) AS perplexity, round(b, 4) AS burstiness, CASE WHEN p IS NULL THEN 0 ELSE round_even(0.6 * greatest(0, least(1, (60 - p) / 60)) + 0.4 * greatest(0, least(1, (15 - b) / 15)), 3) END AS ai_probability FROM documents LEFT JOIN scored USING (doc_id)""")
+def generated_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated-text signal of each document by a stand-in for the model; none where no sentence has a score."""
+    found = scoring.detected(table(spark, sf_dir, "documents").select("doc_id", "text"), Lengths())
+    number = lambda c: F.when(~F.isnan(c), F.round(c, 4)).alias(c)
+    return found.select("doc_id", number("perplexity"), number("burstiness"), "ai_probability")
