@@ -6,9 +6,12 @@ from each end; attention pools their states; a logistic unit gives the
 window's logit.  Windows start every ``STRIDE`` words, so they overlap, cover
 the whole text, and its score is that of the most toxic one.
 
-Training is plain NumPy: back-propagation through time, Adam, a held-back fifth
-of the sample to choose the epoch.  Labels belong to texts, so each epoch learns
-from the window of each text that scores highest.  The sample is bounded by
+Training is plain NumPy: back-propagation through time, Adam at a falling rate, a
+moving average of the weights, a held-back fifth of the sample to choose the
+epoch whose average is kept.  Labels belong to texts, so each epoch learns
+from the window of each text that scores highest; the first, when nothing is known,
+from the one with the most words that are commoner in texts of label 1.  These
+log odds, of words and of 4-grams, also begin the first number of their vectors.  The sample is bounded by
 ``SAMPLE`` texts of either label, of at most ``LONGEST`` characters, chosen by
 hash of doc_id; the bias is set back to the labels' share over all learning rows.
 
@@ -35,7 +38,13 @@ from .langid import grams, remainder
 WINDOW, STRIDE = 64, 32
 SAMPLE, LONGEST = 1500, 12_000
 EPOCHS, BATCH, RATE = 9, 64, 0.01
-BUCKETS, SIZE, HIDDEN, ATTENTION = 1 << 13, 8, 8, 8
+#: How much of the average stays in a step; the share of the rate that is left at the end.
+AVERAGE, LAST_RATE = 0.98, 0.2
+#: How large the log odds enter.
+ODDS = 0.3
+BITS, SIZE, HIDDEN, ATTENTION = 13, 8, 8, 8
+#: Vectors of words, and of 4-grams.
+BUCKETS = 1 << BITS
 #: Words that a worker keeps with their projections.
 KEPT = 200_000
 _EDGE = " \t\n.,;:!?\"'()[]{}<>*_-+=/\\|&%$#@~`…«»“”‘’"
@@ -66,14 +75,14 @@ class Words:
     def learn(self, new: list[str]) -> None:
         cut = [w.strip(_EDGE) for w in new]
         packed, sizes = grams(cut)
-        slot = ((packed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64)
+        slot = ((packed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
         ends = np.cumsum(sizes)
         mixed = packed * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
         # A word's own place: its 4-grams' hashes, each turned by its position.
         turn = (np.arange(len(packed)) - np.repeat(ends - sizes, sizes)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         own = np.add.reduceat(mixed * turn, ends - sizes)
-        own = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).astype(np.int64)
+        own = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
         self.place, self.grams, self.sizes = np.concatenate([self.place, own]), np.concatenate([self.grams, slot]), np.concatenate([self.sizes, sizes])
 
     def numbers(self, block: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -213,6 +222,31 @@ def gradients(p: Params, words: Words, at: np.ndarray, inside: np.ndarray, label
     return loss, g
 
 
+def odds(p: Params, words: Words, at: np.ndarray, counts: np.ndarray, label: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """Begin vectors with the log odds of label 1 by texts (those to learn from) that have the word or 4-gram; returns each word's sum of both.
+
+    at, counts: the words of all texts, and how many each has.
+    """
+    begins = np.cumsum(words.sizes) - words.sizes
+    of = np.repeat(np.arange(len(counts)), counts)
+    text, word = np.divmod(np.unique(of * len(words.place) + at), max(1, len(words.place)))
+    text, word = text[learn[text]], word[learn[text]]
+    total = [float((learn & (label == v)).sum()) for v in (0, 1)]
+
+    def of_slots(text: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        text, slot = np.divmod(np.unique(text * BUCKETS + slot), BUCKETS)
+        found = [np.bincount(slot[label[text] == v], minlength=BUCKETS) for v in (0, 1)]
+        ratio = np.log((found[1] + 1) / (total[1] + 2)) - np.log((found[0] + 1) / (total[0] + 2))
+        return (ODDS * np.clip(ratio, -2, 4)).astype(np.float32)
+
+    sizes = words.sizes[word]
+    inner = np.repeat(begins[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    p["word"][:, 0], p["char"][:, 0] = of_slots(text, words.place[word]), of_slots(np.repeat(text, sizes), words.grams[inner])
+    if not len(words.place):
+        return np.zeros(0)
+    return np.maximum(p["word"][words.place, 0], 0) + np.maximum(np.add.reduceat(p["char"][words.grams, 0], begins) / words.sizes, 0)
+
+
 def _scores(p: Params, words: Words, at: np.ndarray, span: tuple[np.ndarray, np.ndarray], block: int = 2048) -> np.ndarray:
     x, (start, size) = projected(p, words.vectors(p)), span
     if not len(words.place):
@@ -234,23 +268,25 @@ def train(texts_in: list[str], labels: list[int], epochs: int = EPOCHS, seed: in
     firsts = np.searchsorted(text, np.arange(len(counts)))
     check = np.arange(len(label)) % 5 == 0
     p, best, least = fresh(seed), None, np.inf
+    heat = np.concatenate([[0.0], np.cumsum(odds(p, words, at, counts, label, ~check)[at])])
+    heat = heat[start + size] - heat[start]
+    mean = {k: v.copy() for k, v in p.items()}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(epochs + 1):
-        score = _scores(p, words, at, (start, size))
+        score = _scores(mean, words, at, (start, size))
         top = np.maximum.reduceat(score, firsts)
         y = sigmoid(top[check])
         loss = -float(np.mean(label[check] * np.log(y + 1e-7) + (1 - label[check]) * np.log(1 - y + 1e-7))) if check.any() else 0.0
         if epoch and loss <= least:
-            best, least = {k: v.copy() for k, v in p.items()}, loss
+            best, least = {k: v.copy() for k, v in mean.items()}, loss
         if epoch == epochs:
             break
-        hot = np.flatnonzero(score == top[text])
+        now = score if epoch else heat
+        hot = np.flatnonzero(now == np.maximum.reduceat(now, firsts)[text])
         chosen = hot[np.searchsorted(text[hot], np.arange(len(counts)))]
-        if not epoch:  # nothing is known yet: any windows
-            many = np.bincount(text, minlength=len(counts))
-            chosen = firsts + (rng.random(len(counts)) * many).astype(np.int64)
         chosen = rng.permutation(chosen[~check[text[chosen]]])
+        rate = RATE * (1 - (1 - LAST_RATE) * epoch / epochs)
         for i in range(0, len(chosen), BATCH):
             own = chosen[i : i + BATCH]
             _, g = gradients(p, words, *gathered(at, start[own], size[own]), label[text[own]])
@@ -261,8 +297,11 @@ def train(texts_in: list[str], labels: list[int], epochs: int = EPOCHS, seed: in
                 m += 0.1 * v
                 s *= 0.99
                 s += 0.01 * v * v
-                p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6) + (1e-4 * p[k] if k in ("word", "char") else 0)
-    return best or p
+                p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6) + (1e-4 * p[k] if k in ("word", "char") else 0)
+            stay = min(AVERAGE, (1 + step) / (10 + step))  # young averages follow quickly
+            for k in p:
+                mean[k] += (1 - stay) * (p[k] - mean[k])
+    return best or mean
 
 
 class Scorer:
