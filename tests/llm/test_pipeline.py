@@ -82,9 +82,49 @@ def test_encoding(stages):
 
 def test_run_and_queries(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_exact_copies_go(spark):
     docs = spark.createDataFrame([(i, "a passage of words that is repeated in many documents of this table") for i in range(50)], "doc_id long, text string")
     assert [r.doc_id for r in simhash.representatives(docs).collect()] == [0]
+
+
+DOCS, LABELS, ITEMS = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int", "item_id long, text string"
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """Writes the tables that a run reads; returns where."""
+
+    def write(docs, labels=(), items=(), extra=()):
+        rows = spark.createDataFrame(docs, DOCS).withColumns({n: F.lit(1) for n in extra})
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(list(labels), LABELS).write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+        spark.createDataFrame(list(items), ITEMS).write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_empty_tables(spark, folder):
+    got = corpus_pipeline.run(spark, folder([]))
+    assert {"doc_id", "ids", "n_tokens"} <= set(got.columns) and got.count() == 0
+
+
+def test_only_nulls(spark, folder):
+    """Texts of null are blank documents, of which one stays, with no ids."""
+    got = corpus_pipeline.run(spark, folder([(None, None, None, None, None)] * 3, [(None, None, None)], [(None, None)])).collect()
+    assert [(r.doc_id, list(r.ids), r.n_tokens) for r in got] == [(None, [], 0)]
+
+
+def test_repeats_ties_long_texts_and_clashing_columns(spark, folder):
+    """Repeated rows are one document; of copies the least doc_id stays; a long text goes through whole; a benchmark item takes its document away."""
+    words = [f"word{i}" for i in range(60_000)]
+    item = " ".join(f"question{i}" for i in range(30))
+    text = lambda k: " ".join(words[k : k + 70])
+    docs = [(7, text(0)), (3, text(0)), (3, text(0)), (4, text(100)), (4, text(100)), (5, f"{text(300)}\n{item}\n{text(400)}"), (6, "\n".join(" ".join(words[i : i + 50]) for i in range(1_000, 60_000, 50)))]
+    where = folder([(i, t, "en", "s", len(t)) for i, t in docs], [(3, 1, 0), (4, 0, 0)], [(1, item), (2, None), (3, "")], ("th", "key", "score", "gone_lines", "ids_x"))
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, where).collect()}
+    assert set(got) == {3, 4, 6}
+    assert got[3].decoded_sha256 == hashlib.sha256(text(0).encode()).hexdigest() and got[6].decoded_sha256 == hashlib.sha256(docs[-1][1].encode()).hexdigest()

@@ -67,3 +67,10 @@ def test_candidates_in_urls(spark):
     rows = [(1, f"http://localhost/{key}"), (2, f"https://{key}/"), (3, "x " * 500_000 + f"http://localhost/{key}"), (3, None)]
     got = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "spans").collect()
     assert [r.spans for r in got] == [f"entropy:17:{17 + len(key)}", "", "", f"entropy:1000017:{1000017 + len(key)}"]
+
+
+def test_repeated_rows(spark):
+    """Each row is scanned for itself, repeats included."""
+    rows = [(1, "token = abcdefghij12"), (1, "token = abcdefghij12"), (2, "token = abcdefghij12"), (None, None), (None, None)]
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.spans) for r in got) == [(0, ""), (0, ""), (1, "assign:0:20"), (1, "assign:0:20"), (2, "assign:0:20")]
