@@ -112,7 +112,11 @@ def posting_skills(text: Column, tags: Column, words: Iterable[str] = TECH_KEYWO
     Keywords from the text stay as written unless ``align`` asks for their
     standard forms as well.
     """
-    found = find_keywords(text, words)
+    return skills_united(find_keywords(text, words), tags, aliases, align)
+
+
+def skills_united(found: Column, tags: Column, aliases: Mapping[str, str] = SKILL_ALIASES, align: bool = False) -> Column:
+    """Keywords found in a text and normalised tags, sorted."""
     if align:
         found = F.transform(found, lambda s: normalize_skill(s, aliases))
     return union_sorted(found, filled(F.transform(tags, lambda s: normalize_skill(s, aliases))))

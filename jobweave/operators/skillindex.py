@@ -21,14 +21,14 @@ from . import skills
 _PARTS = "skill string, n long, batch string"
 
 
-def update(docs: DataFrame, path: str, words: Iterable[str] | DataFrame = TECH_KEYWORDS, batch: str = "batch", text: str = "text", key: str = "doc_id") -> None:
+def update(docs: DataFrame, path: str, words: Iterable[str] | DataFrame = TECH_KEYWORDS, batch: str = "batch", text: str = "text") -> None:
     """Put the batches of docs (column ``batch``) into the index, each in place of what it held before.
 
     Blank texts count neither as documents nor for skills, but their batch is
     replaced.  A null batch is one of its own.
     """
     rows = docs.withColumn("batch", F.col(batch).cast("string"))
-    counts = skills.document_frequency(rows, words, text, ("batch",), key).select("skill", F.col("doc_count").alias("n"), "batch")
+    counts = skills.document_frequency(rows, words, text, ("batch",)).select("skill", F.col("doc_count").alias("n"), "batch")
     totals = rows.groupBy("batch").agg(F.count_if(F.coalesce(F.col(text).rlike(skills.NON_BLANK), F.lit(False))).alias("n")).select(F.lit(None).cast("string").alias("skill"), "n", "batch")
     _put(counts.unionByName(totals), path)
 
@@ -60,11 +60,11 @@ def total(spark: SparkSession, path: str) -> DataFrame:
     return _parts(spark, path).where("skill is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_docs"))
 
 
-def follow(docs: DataFrame, path: str, checkpoint: str, words: Iterable[str] | DataFrame = TECH_KEYWORDS, batch: str = "batch", text: str = "text", key: str = "doc_id") -> StreamingQuery:
+def follow(docs: DataFrame, path: str, checkpoint: str, words: Iterable[str] | DataFrame = TECH_KEYWORDS, batch: str = "batch", text: str = "text") -> StreamingQuery:
     """Keep the index up to date with a stream of documents, as far as it has come.
 
     All documents of a batch have to come in one micro-batch, as the rows of a
     file do.  A micro-batch that is run again leaves the same index.
     """
-    put = lambda rows, _: update(rows, path, words, batch, text, key)
+    put = lambda rows, _: update(rows, path, words, batch, text)
     return docs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

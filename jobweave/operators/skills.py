@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, patterns
-from ..functions.text import find_keywords, normalize_category, or_empty, posting_skills, strip
+from ..functions.text import find_keywords, normalize_category, or_empty, posting_skills, skills_united, strip
 from ..functions.vocabulary import IT_CATEGORIES, TECH_KEYWORDS
 from ..sources.files import posting_text
 from .shared import checkpoint
@@ -28,34 +28,34 @@ def with_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(F.col(text).rlike(NON_BLANK))
 
 
-def with_keywords(docs: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:
-    """docs with skills: what ``find_keywords`` finds by a table of words.
+def with_keywords(docs: DataFrame, words: DataFrame, text: str = "text", word: str = "word", out: str = "skills") -> DataFrame:
+    """docs with out: what ``find_keywords`` finds by a table of words.
 
     A word can only match where its key is, so the pattern of a text's own
     candidates matches what the pattern of all words would, the longest word
-    first.  Rows of one key share their candidates.
+    first.  Candidates are gathered by the text's hash, once for equal texts; texts
+    of one hash would share them, which changes nothing.
     """
     known = words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(F.lower(word).alias("name")).distinct()
     index = checkpoint(keys.index(known))
-    tokens = docs.select(F.col(key).alias("_key"), F.explode(keys.text_keys(F.col(text), keys.kinds_of(index))).alias("key")).distinct()
+    tokens = docs.select(F.xxhash64(text).alias("_key"), F.explode(keys.text_keys(F.col(text), keys.kinds_of(index))).alias("key")).distinct()
     ranked = F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), F.col("name"))))
     candidates = tokens.join(index, "key").groupBy("_key").agg(ranked.alias("_ranked"))
     any_of = F.array_join(F.transform("_ranked", lambda w: patterns.quoted_of(w["name"])), "|")
     pattern = F.concat(F.lit("(?iu)(?<![a-zA-Z0-9])("), any_of, F.lit(")(?![a-zA-Z0-9])"))
-    rows = docs.join(candidates, docs[key].eqNullSafe(F.col("_key")), "left")
+    rows = docs.join(candidates, F.xxhash64(docs[text]) == F.col("_key"), "left")
     hits = F.regexp_extract_all(or_empty(F.col(text)), F.coalesce(pattern, F.lit(f"({patterns.NEVER})")), 1)
-    return rows.withColumn("skills", F.array_sort(F.array_distinct(F.transform(hits, F.lower)))).drop("_key", "_ranked")
+    return rows.withColumn(out, F.array_sort(F.array_distinct(F.transform(hits, F.lower)))).drop("_key", "_ranked")
 
 
-def document_frequency(docs: DataFrame, words: Iterable[str] | DataFrame = TECH_KEYWORDS, text: str = "text", by: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:
-    """(by,) skill, doc_count: how many texts hold each skill.
+def document_frequency(docs: DataFrame, words: Iterable[str] | DataFrame = TECH_KEYWORDS, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by,) skill, doc_count: how many texts hold each skill.  words: a list, or a table (column word).
 
-    With a list of words, one shuffle, of partial counts.  With a table of them
-    (column word), key names the documents.
+    With a list, one shuffle, of partial counts.
     """
     rows = with_text(docs, text)
     if isinstance(words, DataFrame):
-        found = with_keywords(rows.select(*by, F.col(key).alias("_doc"), text), words, "_doc", text).select(*by, F.explode("skills").alias("skill"))
+        found = with_keywords(rows.select(*by, text), words, text, out="_found").select(*by, F.explode("_found").alias("skill"))
     else:
         found = rows.select(*by, F.explode(find_keywords(F.col(text), words)).alias("skill"))
     return found.groupBy(*by, "skill").agg(F.count("*").alias("doc_count"))
@@ -97,10 +97,18 @@ def is_it(category: Column, title: Column) -> Column:
     return normalize_category(category).isin(*IT_CATEGORIES) | normalize_category(title).isin(*IT_CATEGORIES)
 
 
-def transactions(postings: DataFrame, least: int = 2, it_only: bool = False, words: Iterable[str] = TECH_KEYWORDS, align: bool = False) -> DataFrame:
+def with_items(postings: DataFrame, words: Iterable[str] | DataFrame = TECH_KEYWORDS, align: bool = False) -> DataFrame:
+    """postings with items: keywords of their text, by a list or a table of words, united with their normalised tags."""
+    if not isinstance(words, DataFrame):
+        return postings.withColumn("items", posting_skills(posting_text(postings), F.col("skills"), words, align=align))
+    rows = with_keywords(postings.withColumn("_text", posting_text(postings)), words, "_text", out="_found")
+    return rows.withColumn("items", skills_united(F.col("_found"), F.col("skills"), align=align)).drop("_text", "_found")
+
+
+def transactions(postings: DataFrame, least: int = 2, it_only: bool = False, words: Iterable[str] | DataFrame = TECH_KEYWORDS, align: bool = False) -> DataFrame:
     """items: the skills of each posting that has at least so many."""
     rows = postings.where(is_it(F.col("category"), F.col("job_title"))) if it_only else postings
-    return rows.select(posting_skills(posting_text(rows), F.col("skills"), words, align=align).alias("items")).where(F.size("items") >= least)
+    return with_items(rows, words, align).select("items").where(F.size("items") >= least)
 
 
 def item_counts(baskets: DataFrame, items: str = "items") -> DataFrame:

@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import experience_years, find_keywords, union_sorted
 from ..functions.vocabulary import TECH_KEYWORDS
-from ..operators import audit, mining, reasoning, scoring
+from ..operators import audit, mining, reasoning, scoring, skills
 from ..operators.ontology import Tech
 
 
-def requirements(docs: DataFrame, text: str = "text", words: Iterable[str] = TECH_KEYWORDS, ner: Callable | None = None) -> DataFrame:
-    """docs with tech_stack, experience_years, qualifications and raw_entities."""
+def requirements(docs: DataFrame, text: str = "text", words: Iterable[str] | DataFrame = TECH_KEYWORDS, ner: Callable | None = None) -> DataFrame:
+    """docs with tech_stack (by a list or a table of words), experience_years, qualifications and raw_entities."""
     none = F.array().cast(f"array<{reasoning.ENTITY}>")
-    rows = docs.withColumns({"tech_stack": find_keywords(F.col(text), words), "experience_years": experience_years(F.col(text)), "raw_entities": reasoning.entities(F.col(text), ner) if ner else none})
+    rows = skills.with_keywords(docs, words, text, out="tech_stack") if isinstance(words, DataFrame) else docs.withColumn("tech_stack", find_keywords(F.col(text), words))
+    rows = rows.withColumns({"experience_years": experience_years(F.col(text)), "raw_entities": reasoning.entities(F.col(text), ner) if ner else none})
     return rows.withColumn("qualifications", reasoning.qualifications(F.col("raw_entities")))
 
 
@@ -35,7 +36,7 @@ class ImpliedSkills:
     that is kept, so that no prompt is asked twice.
     """
 
-    words: Iterable[str] = TECH_KEYWORDS
+    words: Iterable[str] | DataFrame = TECH_KEYWORDS
     min_support: float = 0.2
     min_confidence: float = 0.6
     client: Callable[[], reasoning.Client] | None = None

@@ -192,6 +192,23 @@ def test_implied_skills_of_many_postings(spark):
     assert [r.implicit_arm for r in ImpliedSkills().run_all(targets).collect()] == [[]] * 5
 
 
+def test_words_from_a_table(spark):
+    """The pipeline and baskets give the same by a table of words as by a list."""
+    from jobweave.functions.vocabulary import TECH_KEYWORDS
+    from jobweave.operators import skills as S
+
+    words = spark.createDataFrame([(w,) for w in TECH_KEYWORDS], "word string")
+    texts = ["Python Django Docker 3년", "Python Django Docker Redis", "python django git", "Java Spring boot", None, "Python Django Docker 3년"]
+    docs = spark.createDataFrame([(i % 4, t, ["K8S", "React.js"]) for i, t in enumerate(texts)], "doc_id int, text string, skills array<string>")
+    got = []
+    for w in (TECH_KEYWORDS, words):
+        skills = ImpliedSkills(w, 0.3, 0.5)
+        rows = skills.run_all(docs, skills.rules(docs)).select("doc_id", "text", "tech_stack", "experience_years", "implicit_union").collect()
+        postings = docs.select(F.col("text").alias("raw_text"), *(F.lit(None).cast("array<string>").alias(c) for c in ("responsibilities", "requirements", "preferred")), "skills")
+        got.append((sorted(map(str, rows)), sorted(map(str, S.transactions(postings, 3, words=w, align=True).collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 6 and len(got[0][1]) == 5
+
+
 def test_own_extractor_and_auditor(spark):
     docs = spark.createDataFrame([(1, "x y"), (2, "x")], "doc_id int, text string")
     split = lambda rows, text: rows.withColumn("tech_stack", F.split(text, " "))
