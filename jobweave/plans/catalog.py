@@ -490,6 +490,15 @@ def part_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("line.l_orderkey", "line.l_linenumber", "tech", "claimed_year", "actual_year", "kind")
 
 
+@query(ORACLE_SQL["claim_audit"])
+def claim_audit_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_audit by a table of brands."""
+    rows = [(t.name, t.released_year, t.category, t.versions, list(t.aliases), i) for i, t in enumerate(BRANDS)]
+    known = spark.createDataFrame(rows, "name string, released_year int, category string, versions map<string,int>, aliases array<string>, position int")
+    found = audit.violations(_claims(spark, sf_dir).withColumn("line", F.struct("l_orderkey", "l_linenumber")), known, "line")
+    return found.select("line.l_orderkey", "line.l_linenumber", "tech", "claimed_year", "actual_year", "kind")
+
+
 @query(f"""WITH {_RULES}, top AS (SELECT antecedent, consequent FROM rules ORDER BY rules.confidence DESC, rules.lift DESC, rules.antecedent, rules.consequent LIMIT 20),
 targets AS (SELECT DISTINCT o, list(item) AS items FROM b GROUP BY o)
 SELECT DISTINCT l_orderkey, item FROM (SELECT o AS l_orderkey, items, unnest(consequent) AS item FROM targets JOIN top ON list_has_all(items, antecedent)) WHERE NOT list_contains(items, item)""")
