@@ -1,17 +1,19 @@
 """Operator 10: toxicity by a bidirectional gated recurrent network.
 
-A word enters as its own vector and as the mean vector of its character
-4-grams.  Two gated recurrent layers read a window of ``WINDOW`` words, one
+A word enters as its own vector, as the mean vector of its character 4-grams and
+with the log odds of label 1 of its beginnings (``HEADS``: the whole word and its first
+4, 6 and 8 characters), counted by texts of the sample.  Two gated recurrent layers read a window of ``WINDOW`` words, one
 from each end; attention pools their states; a logistic unit gives the
 window's logit.  Windows start every ``STRIDE`` words, so they overlap, cover
 the whole text, and its score is that of the most toxic one.
 
 Training is plain NumPy: back-propagation through time, Adam at a falling rate, a
 moving average of the weights, a held-back fifth of the sample to choose the
-epoch whose average is kept.  Labels belong to texts, so each epoch learns
+epoch whose average is kept.  The sample has ``PARTS`` parts; in training the words of a text have log
+odds counted without its own part, so that the network trusts them as far as they hold for
+other texts.  Labels belong to texts, so each epoch learns
 from the window of each text that scores highest; the first, when nothing is known,
-from the one with the most words that are commoner in texts of label 1.  These
-log odds, of words and of 4-grams, also begin the first number of their vectors.  The sample is bounded by
+from the one with the largest sum of positive log odds.  The sample is bounded by
 ``SAMPLE`` texts of either label, of at most ``LONGEST`` characters, chosen by
 hash of doc_id; the bias is set back to the labels' share over all learning rows.
 
@@ -28,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mapped, named, of_rows, private, slices, texts
+from .common import gather, mapped, named, of_rows, private, slices, texts
 from .langid import grams, remainder
 
 WINDOW, STRIDE = 64, 32
@@ -40,8 +43,11 @@ SAMPLE, LONGEST = 1500, 12_000
 EPOCHS, BATCH, RATE = 9, 64, 0.01
 #: How much of the average stays in a step; the share of the rate that is left at the end.
 AVERAGE, LAST_RATE = 0.98, 0.2
-#: How large the log odds enter.
+#: How large the log odds enter; of how many first characters of a word (None: of all), in tables of how many slots;
+#: how many parts the sample has.
 ODDS = 0.3
+HEADS = (None, 4, 6, 8)
+SLOTS, PARTS = 1 << 18, 5
 BITS, SIZE, HIDDEN, ATTENTION = 13, 8, 8, 8
 #: Vectors of words, and of 4-grams.
 BUCKETS = 1 << BITS
@@ -57,7 +63,7 @@ def fresh(seed: int = 7) -> Params:
     normal = lambda scale, *shape: r.normal(0, scale, shape).astype(np.float32)
     h, p = HIDDEN, {"word": normal(0.1, BUCKETS, SIZE), "char": normal(0.1, BUCKETS, SIZE)}
     for d in "fb":
-        p |= {f"in_{d}": normal(0.3, 2 * SIZE, 3 * h), f"own_{d}": normal(0.3, h, 3 * h), f"bias_{d}": np.zeros(3 * h, np.float32)}
+        p |= {f"in_{d}": normal(0.3, 2 * SIZE + len(HEADS), 3 * h), f"own_{d}": normal(0.3, h, 3 * h), f"bias_{d}": np.zeros(3 * h, np.float32)}
     return p | {"look": normal(0.4, 2 * h, ATTENTION), "look_bias": np.zeros(ATTENTION, np.float32), "ask": normal(0.4, ATTENTION), "out": normal(0.4, 2 * h), "out_bias": np.zeros(1, np.float32)}
 
 
@@ -71,6 +77,7 @@ class Words:
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.place, self.grams, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.heads = np.zeros((0, len(HEADS)), np.int64)
 
     def learn(self, new: list[str]) -> None:
         cut = [w.strip(_EDGE) for w in new]
@@ -83,6 +90,8 @@ class Words:
         turn = (np.arange(len(packed)) - np.repeat(ends - sizes, sizes)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         own = np.add.reduceat(mixed * turn, ends - sizes)
         own = ((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+        heads = np.array([[xxhash.xxh64_intdigest(w[:n].encode("utf-8", "surrogatepass")) % SLOTS for n in HEADS] for w in cut], np.int64)
+        self.heads = np.concatenate([self.heads, heads])
         self.place, self.grams, self.sizes = np.concatenate([self.place, own]), np.concatenate([self.grams, slot]), np.concatenate([self.sizes, sizes])
 
     def numbers(self, block: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -101,14 +110,20 @@ class Words:
             self.learn(new)
         return np.array(at, np.int64), np.array(counts, np.int64), new
 
-    def vectors(self, p: Params, first: int = 0) -> np.ndarray:
-        """The inputs of words number ``first`` and after."""
-        if first == len(self.place):
-            return np.zeros((0, 2 * SIZE), np.float32)
-        ends = np.cumsum(self.sizes)
-        begin = ends[first] - self.sizes[first]
-        mean = np.add.reduceat(p["char"][self.grams[begin:]], (ends - self.sizes)[first:] - begin, axis=0) / self.sizes[first:, None]
-        return np.concatenate([p["word"][self.place[first:]], mean], axis=1).astype(np.float32)
+    def slots(self, of: np.ndarray) -> np.ndarray:
+        """The places of the 4-grams of the words with these numbers, one word after the other."""
+        sizes = self.sizes[of]
+        return gather(self.grams, (np.cumsum(self.sizes) - self.sizes)[of], sizes)
+
+    def vectors(self, p: Params, of: np.ndarray | None = None, part: np.ndarray | int = -1) -> np.ndarray:
+        """The inputs of the words with these numbers (all), with the log odds of these tables (the last, which counts all parts)."""
+        of = np.arange(len(self.place)) if of is None else of
+        if not len(of):
+            return np.zeros((0, 2 * SIZE + len(HEADS)), np.float32)
+        sizes = self.sizes[of]
+        mean = np.add.reduceat(p["char"][self.slots(of)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        known = p["odds"][np.reshape(part, (-1, 1)), np.arange(len(HEADS)), self.heads[of]] if "odds" in p else np.zeros((len(of), len(HEADS)))
+        return np.concatenate([p["word"][self.place[of]], mean, known], axis=1).astype(np.float32)
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,18 +184,14 @@ def gathered(at: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return flat[np.minimum(np.where(inside, start + steps, 0), len(flat) - 1)], inside
 
 
-def gradients(p: Params, words: Words, at: np.ndarray, inside: np.ndarray, label: np.ndarray) -> tuple[float, Params]:
-    """Mean log loss of windows, and its gradient."""
-    used, local = np.unique(at, return_inverse=True)
+def gradients(p: Params, words: Words, at: np.ndarray, inside: np.ndarray, label: np.ndarray, part: np.ndarray | int = PARTS) -> tuple[float, Params]:
+    """Mean log loss of windows, and its gradient; part: the table of log odds of each window."""
+    used, local = np.unique(at * (PARTS + 1) + part, return_inverse=True)
     local = local.reshape(at.shape)
-    ends = np.cumsum(words.sizes)
-    begins = ends - words.sizes
-    sizes = words.sizes[used]
+    used, part = np.divmod(used, PARTS + 1)
+    sizes, slots = words.sizes[used], words.slots(used)
     spread = np.repeat(np.arange(len(used)), sizes)
-    inner = np.repeat(begins[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    slots = words.grams[inner]
-    mean = np.add.reduceat(p["char"][slots], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-    vectors = np.concatenate([p["word"][words.place[used]], mean], axis=1).astype(np.float32)
+    vectors = words.vectors(p, used, part)
     x, keep = projected(p, vectors), {}
     y = sigmoid(logits(p, x, local, inside, keep))
     n = len(label)
@@ -218,38 +229,35 @@ def gradients(p: Params, words: Words, at: np.ndarray, inside: np.ndarray, label
         d_vectors += d_x @ p[f"in_{d}"].T
     g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
     np.add.at(g["word"], words.place[used], d_vectors[:, :SIZE])
-    np.add.at(g["char"], slots, (d_vectors[:, SIZE:] / sizes[:, None])[spread])
+    np.add.at(g["char"], slots, (d_vectors[:, SIZE : 2 * SIZE] / sizes[:, None])[spread])
     return loss, g
 
 
-def odds(p: Params, words: Words, at: np.ndarray, counts: np.ndarray, label: np.ndarray, learn: np.ndarray) -> np.ndarray:
-    """Begin vectors with the log odds of label 1 by texts (those to learn from) that have the word or 4-gram; returns each word's sum of both.
+def odds(words: Words, at: np.ndarray, counts: np.ndarray, label: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Log odds of label 1 of each slot of beginnings, by texts that have it: (PARTS + 1, HEADS, SLOTS).
 
-    at, counts: the words of all texts, and how many each has.
+    Table n leaves out the texts of part n, the last none.  A slot that no text has gets 0.  at, counts: the words of all
+    texts, and how many each has.
     """
-    begins = np.cumsum(words.sizes) - words.sizes
-    of = np.repeat(np.arange(len(counts)), counts)
-    text, word = np.divmod(np.unique(of * len(words.place) + at), max(1, len(words.place)))
-    text, word = text[learn[text]], word[learn[text]]
-    total = [float((learn & (label == v)).sum()) for v in (0, 1)]
-
-    def of_slots(text: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        text, slot = np.divmod(np.unique(text * BUCKETS + slot), BUCKETS)
-        found = [np.bincount(slot[label[text] == v], minlength=BUCKETS) for v in (0, 1)]
-        ratio = np.log((found[1] + 1) / (total[1] + 2)) - np.log((found[0] + 1) / (total[0] + 2))
-        return (ODDS * np.clip(ratio, -2, 4)).astype(np.float32)
-
-    sizes = words.sizes[word]
-    inner = np.repeat(begins[word] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    p["word"][:, 0], p["char"][:, 0] = of_slots(text, words.place[word]), of_slots(np.repeat(text, sizes), words.grams[inner])
-    if not len(words.place):
-        return np.zeros(0)
-    return np.maximum(p["word"][words.place, 0], 0) + np.maximum(np.add.reduceat(p["char"][words.grams, 0], begins) / words.sizes, 0)
-
-
-def _scores(p: Params, words: Words, at: np.ndarray, span: tuple[np.ndarray, np.ndarray], block: int = 2048) -> np.ndarray:
-    x, (start, size) = projected(p, words.vectors(p)), span
-    if not len(words.place):
+    n = max(1, len(words.place))
+    text, word = np.divmod(np.unique(np.repeat(np.arange(len(counts)), counts) * n + at), n)
+    kind = (label != 0).astype(np.int64) * PARTS + part
+    texts_of = np.bincount(kind, minlength=2 * PARTS).reshape(2, PARTS)
+    out = np.zeros((PARTS + 1, len(HEADS), SLOTS), np.float32)
+    for k in range(len(HEADS)):
+        of, slot = np.divmod(np.unique(text * SLOTS + words.heads[word, k]), SLOTS)
+        found = np.bincount(kind[of] * SLOTS + slot, minlength=2 * PARTS * SLOTS).reshape(2, PARTS, SLOTS)
+        for without in range(PARTS + 1):
+            own, total = (c.sum(axis=1) - (c[:, without] if without < PARTS else 0) for c in (found, texts_of))
+            ratio = np.log((own[1] + 1) / (total[1] + 2)) - np.log((own[0] + 1) / (total[0] + 2))
+            out[without, k] = np.where(own.any(axis=0), ODDS * np.clip(ratio, -2, 4), 0)
+    return out
+
+
+def _scores(p: Params, words: Words, at: np.ndarray, part: np.ndarray, span: tuple[np.ndarray, np.ndarray], block: int = 2048) -> np.ndarray:
+    used, at = np.unique(at * (PARTS + 1) + part, return_inverse=True)
+    x, (start, size) = projected(p, words.vectors(p, *np.divmod(used, PARTS + 1))), span
+    if not len(used):
         x = {d: np.zeros((1, 3 * HIDDEN), np.float32) for d in "fb"}
     out = np.empty(len(start), np.float32)
     order = np.argsort(size, kind="stable")
@@ -266,20 +274,24 @@ def train(texts_in: list[str], labels: list[int], epochs: int = EPOCHS, seed: in
     text, start, size = windows(counts)
     label = np.array(labels, np.float32)
     firsts = np.searchsorted(text, np.arange(len(counts)))
-    check = np.arange(len(label)) % 5 == 0
+    check = np.arange(len(label)) % PARTS == 0
     p, best, least = fresh(seed), None, np.inf
-    heat = np.concatenate([[0.0], np.cumsum(odds(p, words, at, counts, label, ~check)[at])])
+    part = np.arange(len(label)) % PARTS
+    parts = np.repeat(part, counts)
+    p["odds"] = odds(words, at, counts, label, part)
+    hot = np.maximum(p["odds"][parts[:, None], np.arange(len(HEADS)), words.heads[at]], 0)
+    heat = np.concatenate([[0.0], np.cumsum(hot.sum(axis=1))])
     heat = heat[start + size] - heat[start]
-    mean = {k: v.copy() for k, v in p.items()}
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
+    mean = p | {k: p[k].copy() for k in p if k != "odds"}
+    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items() if k != "odds"}
     step = 0
     for epoch in range(epochs + 1):
-        score = _scores(mean, words, at, (start, size))
+        score = _scores(mean, words, at, parts, (start, size))
         top = np.maximum.reduceat(score, firsts)
         y = sigmoid(top[check])
         loss = -float(np.mean(label[check] * np.log(y + 1e-7) + (1 - label[check]) * np.log(1 - y + 1e-7))) if check.any() else 0.0
         if epoch and loss <= least:
-            best, least = {k: v.copy() for k, v in mean.items()}, loss
+            best, least = mean | {k: mean[k].copy() for k in moment}, loss
         if epoch == epochs:
             break
         now = score if epoch else heat
@@ -289,7 +301,7 @@ def train(texts_in: list[str], labels: list[int], epochs: int = EPOCHS, seed: in
         rate = RATE * (1 - (1 - LAST_RATE) * epoch / epochs)
         for i in range(0, len(chosen), BATCH):
             own = chosen[i : i + BATCH]
-            _, g = gradients(p, words, *gathered(at, start[own], size[own]), label[text[own]])
+            _, g = gradients(p, words, *gathered(at, start[own], size[own]), label[text[own]], part[text[own]])
             step += 1
             for k, v in g.items():
                 m, s = moment[k]
@@ -299,9 +311,10 @@ def train(texts_in: list[str], labels: list[int], epochs: int = EPOCHS, seed: in
                 s += 0.01 * v * v
                 p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6) + (1e-4 * p[k] if k in ("word", "char") else 0)
             stay = min(AVERAGE, (1 + step) / (10 + step))  # young averages follow quickly
-            for k in p:
+            for k in moment:
                 mean[k] += (1 - stay) * (p[k] - mean[k])
-    return best or mean
+    best = best or mean
+    return best | {"odds": best["odds"][-1:]}
 
 
 class Scorer:
@@ -321,7 +334,7 @@ class Scorer:
         known = len(self.words.number)
         at, counts, new = self.words.numbers(block)
         if new:
-            more = projected(self.p, self.words.vectors(self.p, known))
+            more = projected(self.p, self.words.vectors(self.p, np.arange(known, len(self.words.place))))
             self.x = {d: np.concatenate([self.x[d], more[d]]) for d in "fb"}
         x = self.x if len(self.words.place) else {d: np.zeros((1, 3 * HIDDEN), np.float32) for d in "fb"}
         text, start, size = windows(counts)
