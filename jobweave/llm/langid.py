@@ -7,6 +7,14 @@ numbers of different characters that precede.  Probabilities stand in sorted
 arrays of packed n-grams, found by binary search.  A text goes to the language
 of the lowest cross-entropy a character.
 
+No process holds a whole model.  One pass over the texts counts their distinct words; n-grams come
+from these.  What the probability of an n-gram depends on shares its last character but one, but for
+discounts and single characters: so n-grams, learnt and asked for, are grouped by that character, and
+each group builds its piece of every language's arrays (its size depends on the alphabet, not on the number of
+texts).  Bits of n-grams join the words and are summed; bits of the commonest words, at most ``HEAD``
+numbers, go to all workers, other words meet their texts in an equality join.
+The driver holds discounts, single characters (at most 65,536 a language) and the words of ``HEAD``.
+
 Calibration: one learning row in ``FOLDS``, by hash of its id and text, is held
 back from a second set of counts, gathered in the same pass.  Models of these
 give the mean and deviation of the cross-entropy of the rows held back under
@@ -15,9 +23,6 @@ above the mean of its language is marked rejected (its language is still given).
 A language without rows held back rejects nothing.  The score is the share of the language's likelihood among all
 languages', with the evidence of a text held at ``EVIDENCE`` characters.
 
-All n-grams count, however many.  The model passes through the driver and goes to
-all workers; one that doesn't fit there ends in an error, never in fewer n-grams.
-
 A null text, and one without a letter (as ``str.isalpha`` has it), is ``und`` with
 score 0.  A very long text is scored whole, word by word.  An empty table gives an
 empty one; further columns are not carried.  Rows with a
@@ -36,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, of_rows, slices, texts
+from .common import column, of_rows, remove, slices, texts, written
 
 ORDER = 4
 DEVIATIONS, EVIDENCE, FOLDS = 4.0, 40, 8
-#: Words that a worker keeps with their scores.
-KEPT = 400_000
+#: Numbers (bits and sizes) of common words that go to all workers; longer words are none of them.
+HEAD, LONGEST = 1 << 21, 64
+#: Distinct words, and bytes of text, that a task counts before it passes them on.
+COUNTED, READ = 400_000, 64 << 20
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -71,64 +78,87 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(counts[order], new) if len(keys) else counts
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """lang, gram, n, fit over all rows (columns lang, text and back); each task sums its own first.
-
-    n counts all rows, fit those that aren't held back.
-    """
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, lang, back, n over all rows (columns text, lang and back); each task counts its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str | None, bool], Counter] = {}
+        read = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, back), (keys, counts) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(0 * counts if back else counts)], ["lang", "gram", "n", "fit"])
+            for (lang, back), found in held.items():
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([lang] * n, pa.string()), pa.array([back] * n, pa.bool_()), pa.array(list(found.values()), pa.int64())], ["word", "lang", "back", "n"])
 
         for batch in slices(batches):
-            words: dict[tuple[str, bool], Counter] = {}
             for lang, text, back in zip(column(batch, "lang").to_pylist(), texts(column(batch, "text")), column(batch, "back").to_pylist(), strict=True):
-                words.setdefault((lang, back), Counter()).update(text.lower().split())
-            for which, found in words.items():
-                if not found:
-                    continue
-                keys, sizes = grams(list(found))
-                counts = np.repeat(np.fromiter(found.values(), np.int64, len(found)), sizes)
-                before = held.get(which, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-                held[which] = _summed(np.concatenate([before[0], keys]), np.concatenate([before[1], counts]))
-            if sum(len(k) for k, _ in held.values()) > 2_000_000:
+                held.setdefault((lang, back), Counter()).update(text.lower().split())
+                read += len(text)
+            if read > READ or sum(map(len, held.values())) > COUNTED:
                 yield from out()
-                held = {}
+                held, read = {}, 0
         yield from out()
 
-    return rows.select("lang", "text", "back").mapInArrow(run, "lang string, gram long, n long, fit long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
-
-
-class Model:
-    """One language: log2 probabilities of n-grams and back-off weights of contexts, by order."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.levels = []
-        levels = [_summed(keys, counts)]
-        for n in range(ORDER - 1, 0, -1):  # lower orders: different characters before
-            top = levels[-1][0]
-            levels.append(_summed(top & np.uint64((1 << 16 * n) - 1), np.ones(len(top), np.int64)))
-        lower = None
-        for keys, counts in reversed(levels):
-            ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            context = keys >> np.uint64(16)
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-            total = np.add.reduceat(counts, first)
-            types = np.diff(np.append(first, len(keys)))
-            weight = discount * types / total
-            spread = np.repeat(np.arange(len(first)), types)
-            if lower is None:
-                below = np.full(len(keys), 1 / 65536)
-            else:
-                below = lower[1][np.searchsorted(lower[0], keys & np.uint64((1 << 16 * len(self.levels)) - 1))]
-            p = (counts - discount) / total[spread] + weight[spread] * below
-            self.levels.append((keys, p, context[first], weight))
-            lower = (keys, p)
+    return rows.select("lang", "text", "back").mapInArrow(run, "word string, lang string, back boolean, n long").groupBy("word", "lang", "back").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """lang, gram, n, fit of counted words (columns word, lang, back and n); each batch is summed first.
+
+    n counts all, fit those of rows that aren't held back.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "word"):
+            langs, back = np.array(column(batch, "lang").to_pylist(), object), np.array(column(batch, "back").to_pylist(), bool)
+            found, n = column(batch, "word").to_pylist(), np.array(column(batch, "n").to_pylist(), np.int64)
+            for lang in sorted(set(langs)):
+                own = np.flatnonzero(langs == lang)
+                keys, sizes = grams([found[i] for i in own])
+                each = np.repeat(n[own], sizes)
+                distinct, counts = _summed(keys, each)
+                _, fit = _summed(keys, each * ~np.repeat(back[own], sizes))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.array(counts), pa.array(fit)], ["lang", "gram", "n", "fit"])
+
+    rows = words.where(F.col("lang").isNotNull()).select("word", "lang", "back", "n").mapInArrow(run, "lang string, gram long, n long, fit long")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
+
+
+#: N-grams, their probabilities, their contexts, and what these leave to the order below.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def discount(ones: int, twos: int) -> float:
+    """Of as many n-grams counted once and twice."""
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+def level(n: int, keys: np.ndarray, counts: np.ndarray, off: float, lower: Level | None) -> Level:
+    """Order n from its sorted n-grams and their counts; lower: order n - 1."""
+    context = keys >> np.uint64(16)
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    total, types = np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))
+    weight = off * types / total
+    below = 1 / 65536 if lower is None else lower[1][np.searchsorted(lower[0], keys & np.uint64((1 << 16 * (n - 1)) - 1))]
+    return keys, (counts - off) / np.repeat(total, types) + np.repeat(weight, types) * below, context[first], weight
+
+
+class Piece:
+    """One language's probabilities of the n-grams given: all of some last characters but one.
+
+    discounts: by order, of the whole language; single: its order 1.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, discounts: dict[int, float], single: Level) -> None:
+        self.levels = [single]
+        if not len(keys):
+            return
+        upper = [_summed(keys, counts)]
+        for n in range(ORDER - 1, 1, -1):  # lower orders: different characters before
+            top = upper[-1][0]
+            upper.append(_summed(top & np.uint64((1 << 16 * n) - 1), np.ones(len(top), np.int64)))
+        for n, (own, found) in enumerate(reversed(upper), 2):
+            self.levels.append(level(n, own, found, discounts[n], self.levels[-1]))
 
     def bits(self, packed: np.ndarray) -> np.ndarray:
         """-log2 of the probability of each 4-gram's last character."""
@@ -143,77 +173,165 @@ class Model:
         return -np.log2(p)
 
 
-def learned(rows: DataFrame) -> tuple[dict[str, Model], dict[str, Model]]:
-    """Models for each language of rows (columns lang and text, not null): of all n-grams, and of those of rows not held back.
+#: A language's discounts by order, and its order 1; None if it has no n-grams.
+Side = tuple[dict[int, float], Level] | None
+
 
-    A column ``back`` says which rows are held back; without it none are.
+def sides(counted: DataFrame) -> tuple[list[str], list[Side], list[Side]]:
+    """The languages of gram_counts, by name, and what the driver holds of each: for all rows, and for those not held back."""
+    orders = {ORDER: counted}
+    for n in range(ORDER - 1, 0, -1):
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")
+        orders[n] = orders[n + 1].groupBy("lang", suffix).agg(F.count("*").alias("n"), F.count_if(F.col("fit") > 0).alias("fit"))
+    few = [F.count_if(F.col(c) == k).alias(f"{c}{k}") for c in ("n", "fit") for k in (1, 2)]
+    found = {(r.lang, r.order): r for n in range(2, ORDER + 1) for r in orders[n].groupBy("lang").agg(*few).withColumn("order", F.lit(n)).collect()}
+    ones = orders[1].toPandas()  # at most 65,536 a language
+    names, out = sorted(set(ones["lang"])), ([], [])
+    for lang in names:
+        own = ones[ones["lang"] == lang].sort_values("gram")
+        for side, c in zip(out, ("n", "fit"), strict=True):
+            some = own[own[c] > 0]
+            keys, counts = some["gram"].to_numpy(np.int64).view(np.uint64), some[c].to_numpy(np.int64)
+            off = {n: discount(found[lang, n][f"{c}1"], found[lang, n][f"{c}2"]) for n in range(2, ORDER + 1)}
+            side.append((off, level(1, keys, counts, discount(int((counts == 1).sum()), int((counts == 2).sum())), None)) if len(keys) else None)
+    return names, *out
+
+
+def gram_bits(counted: DataFrame, asked: DataFrame, names: list[str], every: list[Side], fit: list[Side]) -> DataFrame:
+    """gram, bits for each row of asked: under each language's model of all rows, then of rows not held back (NaN without such)."""
+    held = counted.sparkSession.sparkContext.broadcast((every, fit))
+    middle = F.shiftright("gram", 16).bitwiseAND(F.lit(0xFFFF)).alias("middle")
+
+    def run(learnt: pa.Table, wanted: pa.Table) -> pa.Table:
+        packed = wanted["gram"].to_numpy().view(np.uint64)
+        langs = np.array(learnt["lang"].to_pylist(), object)
+        keys, bits = learnt["gram"].to_numpy().view(np.uint64), []
+        for side, c in zip(held.value, ("n", "fit"), strict=True):
+            counts = learnt[c].to_numpy()
+            for lang, known in zip(names, side, strict=True):
+                own = np.flatnonzero((langs == lang) & (counts > 0))
+                bits.append(Piece(keys[own], counts[own], *known).bits(packed) if known else np.full(len(packed), np.nan))
+        return pa.table({"gram": wanted["gram"], "bits": lists(np.stack(bits, axis=1))})
+
+    return counted.select("*", middle).groupBy("middle").cogroup(asked.select("gram", middle).groupBy("middle")).applyInArrow(run, "gram long, bits array<double>")
+
+
+def lists(table: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1]), pa.array(table.ravel()))
+
+
+def unlisted(array: pa.Array, width: int) -> np.ndarray:
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def summed(name: str, width: int, times: Column | None = None) -> Column:
+    """The sum of arrays, each times a number."""
+    own = [F.col(name)[i] if times is None else F.col(name)[i] * times for i in range(width)]
+    return F.array(*map(F.sum, own))
+
+
+def word_bits(words: DataFrame, counted: DataFrame, names: list[str], every: list[Side], fit: list[Side]) -> DataFrame:
+    """word, n and numbers (characters with the end mark, then bits) of each row of words (id, word, n)."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "word"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams(column(batch, "word").to_pylist())[0]).view(np.int64))], ["gram"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "word"):
+            packed, sizes = grams(column(batch, "word").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(column(batch, "id").to_numpy(), sizes)), pa.array(packed.view(np.int64))], ["id", "gram"])
+
+    asked = words.select("word").mapInArrow(distinct, "gram long").distinct()
+    bits = gram_bits(counted, asked, names, every, fit)
+    sums = words.select("id", "word").mapInArrow(apart, "id long, gram long").join(bits, "gram").groupBy("id").agg(summed("bits", 2 * len(names)).alias("bits"))
+    size = F.array((F.length("word") + 1).cast("double"))
+    return words.join(sums, "id").select("word", "n", F.concat(size, "bits").alias("numbers"))
+
+
+def common(words: DataFrame, width: int) -> tuple[list[str], np.ndarray, bool]:
+    """The commonest words and their numbers, ``HEAD`` numbers at most, and whether these are all words.
+
+    Words go by the power of two of their count, each power whole or not at all.
     """
-    rows = rows if "back" in rows.columns else rows.withColumn("back", F.lit(False))
-    found = gram_counts(rows).toPandas()
-    every, fit = {}, {}
-    for lang, own in sorted(found.groupby("lang")):
-        keys, counts, part = own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64), own["fit"].to_numpy(np.int64)
-        every[lang] = Model(keys, counts)
-        if part.any():
-            fit[lang] = every[lang] if (part == counts).all() else Model(keys[part > 0], part[part > 0])
-    return every, fit
-
-
-class Scorer:
-    def __init__(self, models: dict[str, Model]) -> None:
-        self.models = list(models.values())
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.table = np.zeros((0, len(self.models) + 1))
-
-    def entropies(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a character under each language, and how many characters (and end marks) each text has."""
-        if len(self.number) > KEPT:
-            self.clear()
-        number, new, at, words = self.number, [], [], []
-        for text in block:
-            found = text.lower().split()
-            words.append(len(found))
-            for w in found:
-                n = number.get(w)
-                if n is None:
-                    n = number[w] = len(number)
-                    new.append(w)
-                at.append(n)
-        if new:
-            packed, sizes = grams(new)
-            distinct, inverse = np.unique(packed, return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            rows = [np.add.reduceat(m.bits(distinct)[inverse], starts) for m in self.models]
-            self.table = np.concatenate([self.table, np.stack([*rows, sizes], axis=1)])
-        words = np.array(words, np.int64)
-        out = np.zeros((len(block), len(self.models) + 1))
-        some = np.flatnonzero(words)
-        if len(some):
-            out[some] = np.add.reduceat(self.table[np.array(at, np.int64)], (np.cumsum(words) - words)[some], axis=0)
-        return out[:, :-1] / np.maximum(out[:, -1:], 1), out[:, -1]
-
-
-def calibrated(rows: DataFrame, held) -> dict[str, tuple[float, float]]:
-    """Mean and deviation of the cross-entropy of rows under their own language."""
+    power = F.when(F.length("word") <= LONGEST, F.floor(F.log2("n"))).otherwise(-1).cast("int")
+    share = dict(words.groupBy(power.alias("power")).agg(F.count("*").alias("words")).collect())
+    room, least = HEAD // width, 64
+    for p in sorted((p for p in share if p >= 0), reverse=True):
+        room -= share[p]
+        if room < 0:
+            break
+        least = p
+    got = words.where(power >= least).select("word", "numbers").toArrow().combine_chunks()
+    table = unlisted(got["numbers"].combine_chunks(), width) if got.num_rows else np.zeros((0, width))
+    return got["word"].to_pylist(), table, got.num_rows == sum(share.values())
+
+
+def text_numbers(rows: DataFrame, words: DataFrame, width: int) -> DataFrame:
+    """doc_id, held_out, own, known and numbers (summed over its words) of each row (columns doc_id, held_out, own and text).
+
+    known: whether the text has a letter.
+    """
+    found, table, complete = common(words, width)
+    held = rows.sparkSession.sparkContext.broadcast((found, np.concatenate([table, np.zeros((1, width))])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
-        scorer, place = Scorer(models), {lang: i for i, lang in enumerate(models)}
-        sums = np.zeros((len(models), 3))
+        number, table = {w: i for i, w in enumerate(held.value[0])}, held.value[1]
         for batch in slices(batches):
-            entropy, size = scorer.entropies(texts(column(batch, "text")))
-            for i, lang in enumerate(column(batch, "lang").to_pylist()):
-                if size[i] and (k := place.get(lang)) is not None:
-                    h = entropy[i, k]
-                    sums[k] += (1, h, h * h)
-        yield pa.RecordBatch.from_arrays([pa.array(list(models), pa.string()), *(pa.array(sums[:, j]) for j in range(3))], ["lang", "n", "s", "q"])
-
-    found = rows.select("lang", "text").mapInArrow(run, "lang string, n double, s double, q double").groupBy("lang").agg(*(F.sum(c).alias(c) for c in "nsq")).collect()
-    return {r.lang: (r.s / r.n, max(r.q / r.n - (r.s / r.n) ** 2, 1e-6) ** 0.5) for r in found if r.n}
+            block, at, sizes, rest = texts(column(batch, "text")), [], [], []
+            for text in block:
+                found = text.lower().split()
+                own = [number.get(w, -1) for w in found]  # the last row of the table holds zeros
+                rest.append(Counter(w for w, i in zip(found, own, strict=True) if i < 0) if -1 in own else {})
+                at += own
+                sizes.append(len(own))
+            sizes, sums = np.array(sizes, np.int64), np.zeros((len(block), width))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                sums[some] = np.add.reduceat(table[np.array(at, np.int64)], (np.cumsum(sizes) - sizes)[some], axis=0)
+            known = pa.array([any(map(str.isalpha, t)) for t in block], pa.bool_())
+            other = [pa.array([list(c) for c in rest], pa.list_(pa.string())), pa.array([list(c.values()) for c in map(dict, rest)], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "held_out", "own")), known, lists(sums), *other], ["doc_id", "held_out", "own", "known", "numbers", "words", "times"])
+
+    schema = "doc_id long, held_out boolean, own int, known boolean, numbers array<double>, words array<string>, times array<long>"
+    first = rows.select("doc_id", "held_out", "own", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    if complete:
+        return written(first.drop("words", "times", "row"), "langid-texts")[0]
+    first, path = written(first, "langid-parts")
+    pairs = first.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("pair")).select("row", F.col("pair.words").alias("word"), F.col("pair.times").alias("times"))
+    more = pairs.join(words.select("word", F.col("numbers").alias("more")), "word").groupBy("row").agg(summed("more", width, F.col("times")).alias("more"))
+    total = F.when(F.col("more").isNull(), F.col("numbers")).otherwise(F.zip_with("numbers", "more", lambda a, b: a + b))
+    out, _ = written(first.join(more, "row", "left").select("doc_id", "held_out", "own", "known", total.alias("numbers")), "langid-texts")
+    remove(rows.sparkSession, path)
+    return out
+
+
+def measured(docs: DataFrame, learn: Column, held_out: Column) -> tuple[list[str], DataFrame | None]:
+    """The languages, and text_numbers of docs; own: the language's place for rows held back, else -1."""
+    spark = docs.sparkSession
+    teach = F.coalesce(learn & F.col("lang").isNotNull() & F.col("text").isNotNull(), F.lit(False))
+    back = teach & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)) == 0)
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.when(teach, F.col("lang")).alias("lang"), back.alias("back"))
+    counted, of_words = written(word_counts(rows), "langid-counts")
+    learnt, of_grams = written(gram_counts(counted), "langid-grams")
+    names, every, fit = sides(learnt)
+    if not names:
+        return names, None
+    words, of_ids = written(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "langid-words")
+    numbers, of_bits = written(word_bits(words, learnt, names, every, fit), "langid-bits")
+    place = F.array_position(F.lit(names), F.col("lang")).cast("int") - 1
+    out = text_numbers(rows.withColumn("own", F.when(F.col("back"), place).otherwise(-1)), numbers, 1 + 2 * len(names))
+    for path in (of_words, of_grams, of_ids, of_bits):
+        remove(spark, path)
+    return names, out
+
+
+def calibrated(found: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of the cross-entropy of rows held back under their own language, by the models beside them."""
+    h = F.col("numbers")[F.col("own") + 1 + len(names)] / F.col("numbers")[0]
+    rows = found.where((F.col("own") >= 0) & (F.col("numbers")[0] > 0)).select("own", h.alias("h")).where(~F.isnan("h"))
+    sums = rows.groupBy("own").agg(F.count("*").alias("n"), F.sum("h").alias("s"), F.sum(F.col("h") * F.col("h")).alias("q")).collect()
+    return {names[r.own]: (r.s / r.n, max(r.q / r.n - (r.s / r.n) ** 2, 1e-6) ** 0.5) for r in sums}
 
 
 def identified(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
@@ -221,34 +339,25 @@ def identified(docs: DataFrame, learn: Column, held_out: Column) -> DataFrame:
 
     learn: which rows teach (their text and lang); held_out: a column to carry.
     """
-    spark = docs.sparkSession
-    back = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)) == 0
-    teachers = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("back", back)
-    models, fit = learned(teachers)
-    held = spark.sparkContext.broadcast(models)
-    calm = calibrated(teachers.where("back"), spark.sparkContext.broadcast(fit)) if fit else {}
+    names, found = measured(docs, learn, held_out)
+    if not names:
+        return docs.select("doc_id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(True).alias("rejected"))
+    calm, width = calibrated(found, names), 1 + 2 * len(names)
+    limit = np.array([calm.get(x, (np.inf, 1.0))[0] + DEVIATIONS * calm.get(x, (np.inf, 1.0))[1] for x in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
-        names, scorer = list(models), Scorer(models)
-        limit = np.array([calm.get(x, (np.inf, 1.0))[0] + DEVIATIONS * calm.get(x, (np.inf, 1.0))[1] for x in names])
-        for batch in slices(batches):
-            block = texts(column(batch, "text"))
-            n = len(block)
-            known = np.array([bool(names) and any(map(str.isalpha, t)) for t in block], bool)
-            best, score, least = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            if names:
-                entropy, size = scorer.entropies(block)
-                best = entropy.argmin(axis=1)
-                least = entropy[np.arange(n), best]
-                over = np.exp2(-(entropy - least[:, None]) * np.minimum(size, EVIDENCE)[:, None])
-                score = np.where(known, 1 / over.sum(axis=1), 0.0)
+        for batch in batches:
+            numbers, known = unlisted(column(batch, "numbers"), width), column(batch, "known").to_numpy(zero_copy_only=False)
+            size = numbers[:, 0]
+            entropy = numbers[:, 1 : 1 + len(names)] / np.maximum(size, 1)[:, None]
+            best = entropy.argmin(axis=1)
+            least = entropy[np.arange(len(best)), best]
+            over = np.exp2(-(entropy - least[:, None]) * np.minimum(size, EVIDENCE)[:, None])
             said = [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            rejected = ~known | (least > (limit[best] if names else 0))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array(said, pa.string()), pa.array(score), pa.array(np.where(known, least, 0.0)), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
+            out = [column(batch, "doc_id"), column(batch, "held_out"), pa.array(said, pa.string()), pa.array(np.where(known, 1 / over.sum(axis=1), 0.0)), pa.array(np.where(known, least, 0.0)), pa.array(~known | (least > limit[best]))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return found.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def folded(docs: DataFrame) -> DataFrame:

@@ -7,9 +7,23 @@ from jobweave.llm import langid as G
 from tests.conftest import TESTDATA
 
 
+def learned(rows):
+    """Whole models by language: of all rows, and of those not held back."""
+    rows = rows if "back" in rows.columns else rows.withColumn("back", F.lit(False))
+    counted = G.gram_counts(G.word_counts(rows)).cache()
+    names, *both = G.sides(counted)
+    found, out = counted.toPandas(), ({}, {})
+    for into, side, c in zip(out, both, ("n", "fit"), strict=True):
+        for lang, known in zip(names, side, strict=True):
+            own = found[(found.lang == lang) & (found[c] > 0)]
+            if known:
+                into[lang] = G.Piece(own.gram.to_numpy(np.int64).view(np.uint64), own[c].to_numpy(np.int64), *known)
+    return out
+
+
 def test_probabilities_sum_to_one(spark):
     rows = spark.createDataFrame([("en", "the cat sat on the mat the end"), ("de", "der hund und die katze")], "lang string, text string")
-    models, _ = G.learned(rows)
+    models, _ = learned(rows)
     assert list(models) == ["de", "en"]
     packed, _ = G.grams(["the", "cat", "zzz"])
     for context in set((packed >> np.uint64(16)).tolist()):
@@ -20,7 +34,7 @@ def test_probabilities_sum_to_one(spark):
 def test_against_direct_formula(spark):
     """Interpolated Kneser-Ney by dictionaries, for the n-grams of a small text."""
     words = "the cat sat on the mat and the rat ran".split()
-    model = G.learned(spark.createDataFrame([("en", " ".join(words))], "lang string, text string"))[0]["en"]
+    model = learned(spark.createDataFrame([("en", " ".join(words))], "lang string, text string"))[0]["en"]
     packed, _ = G.grams(words)
     counts = [{}, {}, {}, {}]
     for g in packed.tolist():
@@ -67,7 +81,7 @@ def test_all_grams_count(spark):
     """A small language keeps its n-grams beside a language of over four million."""
     rng = np.random.default_rng(1)
     large = [("zh", "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 21_000)))) for _ in range(200)]
-    models, _ = G.learned(spark.createDataFrame([*large, ("en", "the cat sat")], "lang string, text string"))
+    models, _ = learned(spark.createDataFrame([*large, ("en", "the cat sat")], "lang string, text string"))
     assert list(models) == ["en", "zh"]
     assert len(models["zh"].levels[-1][0]) > 4_000_000 and len(models["en"].levels[-1][0]) == 12
 
@@ -83,7 +97,7 @@ def test_decision_and_score_by_hand(spark):
     asked = [(100 + i, t, None) for i, t in enumerate(["the hund", "la matte", "x", "Der Chat", "rat rat rat katze", "the the the the the the the the the the the the the the"])]
     docs = spark.createDataFrame(teach + asked, "doc_id long, text string, lang string")
     learn = [(t, lang) for i, t, lang in teach if zlib.crc32(str(i).encode()) % 3 != 1]
-    models, _ = G.learned(spark.createDataFrame(learn, "text string, lang string"))
+    models, _ = learned(spark.createDataFrame(learn, "text string, lang string"))
     got = {r.doc_id: r for r in G.folded(docs).collect()}
     for i, text, _ in asked:
         bits, n = dict.fromkeys(models, 0.0), 0
@@ -106,14 +120,36 @@ def test_calibration_on_rows_held_back(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("back", F.pmod(F.xxhash64("doc_id", "text"), F.lit(G.FOLDS)) == 0)
     back = {r.doc_id for r in docs.where("back").collect()}
     assert 15 < len(back) < 70
-    _, fit = G.learned(docs)
-    direct, _ = G.learned(docs.where("not back"))
+    _, fit = learned(docs)
+    direct, _ = learned(docs.where("not back"))
     assert (fit["xx"].levels[-1][0] == direct["xx"].levels[-1][0]).all() and (fit["xx"].levels[-1][1] == direct["xx"].levels[-1][1]).all()
     entropies = [direct["xx"].bits(G.grams(t.split())[0]).mean() for i, t, _ in rows if i in back]
-    mean, deviation = G.calibrated(docs.where("back"), spark.sparkContext.broadcast(fit))["xx"]
+    names, numbers = G.measured(docs, F.lit(True), F.lit(False))
+    mean, deviation = G.calibrated(numbers, names)["xx"]
     assert abs(mean - np.mean(entropies)) < 1e-9 and abs(deviation - np.std(entropies)) < 1e-6
 
 
 def test_long_text(spark):
     docs = spark.createDataFrame([*((i, "the cat sat", "en") for i in range(6)), *((i, "der hund", "de") for i in range(10, 16)), (7, "der hund und " * 200_000, None)], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in G.folded(docs).where("doc_id = 7").collect()} == {"de"}
+
+
+def test_words_beyond_the_common_ones(spark, monkeypatch):
+    """Rows are the same whether all words go to the workers, some, or none; n-grams in pieces give a whole model's bits."""
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(-1, "x" * 300 + " the " + "y" * 100, None, "k", 0)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    every = {r.doc_id: r for r in G.folded(docs).collect()}
+    for head in (0, 2000):
+        monkeypatch.setattr(G, "HEAD", head)
+        got = G.folded(docs).collect()
+        assert len(got) == len(every)
+        for r in got:
+            e = every[r.doc_id]
+            assert (r.lang_pred, r.rejected, r.held_out) == (e.lang_pred, e.rejected, e.held_out) and abs(r.score - e.score) < 1e-9 and abs(r.cross_entropy - e.cross_entropy) < 1e-9
+    rows = docs.where("lang is not null and text is not null").withColumn("back", F.lit(False))
+    models, _ = learned(rows)
+    counted = G.gram_counts(G.word_counts(rows))
+    asked, _ = G.grams(["there", "zzz", "où", "ändern", "q"])
+    wanted = spark.createDataFrame([(int(g),) for g in np.unique(asked).view(np.int64)], "gram long")
+    for r in G.gram_bits(counted, wanted, *G.sides(counted)).collect():
+        whole = [m.bits(np.array([r.gram], np.int64).view(np.uint64))[0] for m in models.values()]
+        assert np.allclose(r.bits, whole * 2, atol=1e-9)
