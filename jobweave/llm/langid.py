@@ -7,13 +7,12 @@ numbers of different characters that precede.  Probabilities stand in sorted
 arrays of packed n-grams, found by binary search.  A text goes to the language
 of the lowest cross-entropy a character.
 
-No process holds a whole model.  One pass over the texts counts their distinct words; n-grams come
-from these.  What the probability of an n-gram depends on shares its last character but one, but for
-discounts and single characters: so n-grams, learnt and asked for, are grouped by that character, and
-each group builds its piece of every language's arrays (its size depends on the alphabet, not on the number of
-texts).  Bits of n-grams join the words and are summed; bits of the commonest words, at most ``HEAD``
-numbers, go to all workers, other words meet their texts in an equality join.
-The driver holds discounts, single characters (at most 65,536 a language) and the words of ``HEAD``.
+No process need hold a whole model.  What the probability of an n-gram depends on shares its last character
+but one, but for discounts and single characters: so n-grams, learnt and asked for, are grouped by that
+character, and each group builds its piece of every language's arrays (its size depends on the alphabet, not on the
+number of texts).  Bits of the commonest n-grams, at most ``HEAD`` numbers, go to all workers in sorted arrays;
+others meet the texts that have them in an equality join.  The driver holds discounts, single characters (at most
+65,536 a language) and the n-grams of ``HEAD``.
 
 Calibration: one learning row in ``FOLDS``, by hash of its id and text, is held
 back from a second set of counts, gathered in the same pass.  Models of these
@@ -45,10 +44,10 @@ from .common import column, of_rows, remove, slices, texts, written
 
 ORDER = 4
 DEVIATIONS, EVIDENCE, FOLDS = 4.0, 40, 8
-#: Numbers (bits and sizes) of common words that go to all workers; longer words are none of them.
-HEAD, LONGEST = 1 << 21, 64
-#: Distinct words, and bytes of text, that a task counts before it passes them on.
-COUNTED, READ = 400_000, 64 << 20
+#: Bits of common n-grams that go to all workers.
+HEAD = 1 << 22
+#: Words that a worker keeps with their bits.
+KEPT = 400_000
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -78,50 +77,36 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[new], np.add.reduceat(counts[order], new) if len(keys) else counts
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, lang, back, n over all rows (columns text, lang and back); each task counts its own first."""
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """lang, gram, n, fit over all rows (columns lang, text and back; a null lang is counted too); each task sums its own first.
+
+    n counts all rows, fit those that aren't held back.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str | None, bool], Counter] = {}
-        read = 0
+        held: dict[tuple[str | None, bool], tuple[np.ndarray, np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, back), found in held.items():
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([lang] * n, pa.string()), pa.array([back] * n, pa.bool_()), pa.array(list(found.values()), pa.int64())], ["word", "lang", "back", "n"])
+            for (lang, back), (keys, counts) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(0 * counts if back else counts)], ["lang", "gram", "n", "fit"])
 
         for batch in slices(batches):
+            words: dict[tuple[str | None, bool], Counter] = {}
             for lang, text, back in zip(column(batch, "lang").to_pylist(), texts(column(batch, "text")), column(batch, "back").to_pylist(), strict=True):
-                held.setdefault((lang, back), Counter()).update(text.lower().split())
-                read += len(text)
-            if read > READ or sum(map(len, held.values())) > COUNTED:
+                words.setdefault((lang, back), Counter()).update(text.lower().split())
+            for which, found in words.items():
+                if not found:
+                    continue
+                keys, sizes = grams(list(found))
+                counts = np.repeat(np.fromiter(found.values(), np.int64, len(found)), sizes)
+                before = held.get(which, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+                held[which] = _summed(np.concatenate([before[0], keys]), np.concatenate([before[1], counts]))
+            if sum(len(k) for k, _ in held.values()) > 2_000_000:
                 yield from out()
-                held, read = {}, 0
+                held = {}
         yield from out()
 
-    return rows.select("lang", "text", "back").mapInArrow(run, "word string, lang string, back boolean, n long").groupBy("word", "lang", "back").agg(F.sum("n").alias("n"))
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """lang, gram, n, fit of counted words (columns word, lang, back and n); each batch is summed first.
-
-    n counts all, fit those of rows that aren't held back.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "word"):
-            langs, back = np.array(column(batch, "lang").to_pylist(), object), np.array(column(batch, "back").to_pylist(), bool)
-            found, n = column(batch, "word").to_pylist(), np.array(column(batch, "n").to_pylist(), np.int64)
-            for lang in sorted(set(langs)):
-                own = np.flatnonzero(langs == lang)
-                keys, sizes = grams([found[i] for i in own])
-                each = np.repeat(n[own], sizes)
-                distinct, counts = _summed(keys, each)
-                _, fit = _summed(keys, each * ~np.repeat(back[own], sizes))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.array(counts), pa.array(fit)], ["lang", "gram", "n", "fit"])
-
-    rows = words.where(F.col("lang").isNotNull()).select("word", "lang", "back", "n").mapInArrow(run, "lang string, gram long, n long, fit long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
+    return rows.select("lang", "text", "back").mapInArrow(run, "lang string, gram long, n long, fit long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
 
 
 #: N-grams, their probabilities, their contexts, and what these leave to the order below.
@@ -198,7 +183,7 @@ def sides(counted: DataFrame) -> tuple[list[str], list[Side], list[Side]]:
 
 
 def gram_bits(counted: DataFrame, asked: DataFrame, names: list[str], every: list[Side], fit: list[Side]) -> DataFrame:
-    """gram, bits for each row of asked: under each language's model of all rows, then of rows not held back (NaN without such)."""
+    """gram, n, bits for each row of asked (gram, n): under each language's model of all rows, then of rows not held back (NaN without such)."""
     held = counted.sparkSession.sparkContext.broadcast((every, fit))
     middle = F.shiftright("gram", 16).bitwiseAND(F.lit(0xFFFF)).alias("middle")
 
@@ -211,9 +196,9 @@ def gram_bits(counted: DataFrame, asked: DataFrame, names: list[str], every: lis
             for lang, known in zip(names, side, strict=True):
                 own = np.flatnonzero((langs == lang) & (counts > 0))
                 bits.append(Piece(keys[own], counts[own], *known).bits(packed) if known else np.full(len(packed), np.nan))
-        return pa.table({"gram": wanted["gram"], "bits": lists(np.stack(bits, axis=1))})
+        return pa.table({"gram": wanted["gram"], "n": wanted["n"], "bits": lists(np.stack(bits, axis=1))})
 
-    return counted.select("*", middle).groupBy("middle").cogroup(asked.select("gram", middle).groupBy("middle")).applyInArrow(run, "gram long, bits array<double>")
+    return counted.select("*", middle).groupBy("middle").cogroup(asked.select("gram", "n", middle).groupBy("middle")).applyInArrow(run, "gram long, n long, bits array<double>")
 
 
 def lists(table: np.ndarray) -> pa.ListArray:
@@ -224,83 +209,110 @@ def unlisted(array: pa.Array, width: int) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def summed(name: str, width: int, times: Column | None = None) -> Column:
+def summed(name: str, width: int, times: Column) -> Column:
     """The sum of arrays, each times a number."""
-    own = [F.col(name)[i] if times is None else F.col(name)[i] * times for i in range(width)]
-    return F.array(*map(F.sum, own))
+    return F.array(*(F.sum(F.col(name)[i] * times) for i in range(width)))
 
 
-def word_bits(words: DataFrame, counted: DataFrame, names: list[str], every: list[Side], fit: list[Side]) -> DataFrame:
-    """word, n and numbers (characters with the end mark, then bits) of each row of words (id, word, n)."""
+def common(bits: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The commonest n-grams in order and their bits, ``HEAD`` numbers at most, and whether these are all.
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "word"):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(grams(column(batch, "word").to_pylist())[0]).view(np.int64))], ["gram"])
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "word"):
-            packed, sizes = grams(column(batch, "word").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(column(batch, "id").to_numpy(), sizes)), pa.array(packed.view(np.int64))], ["id", "gram"])
-
-    asked = words.select("word").mapInArrow(distinct, "gram long").distinct()
-    bits = gram_bits(counted, asked, names, every, fit)
-    sums = words.select("id", "word").mapInArrow(apart, "id long, gram long").join(bits, "gram").groupBy("id").agg(summed("bits", 2 * len(names)).alias("bits"))
-    size = F.array((F.length("word") + 1).cast("double"))
-    return words.join(sums, "id").select("word", "n", F.concat(size, "bits").alias("numbers"))
-
-
-def common(words: DataFrame, width: int) -> tuple[list[str], np.ndarray, bool]:
-    """The commonest words and their numbers, ``HEAD`` numbers at most, and whether these are all words.
-
-    Words go by the power of two of their count, each power whole or not at all.
+    bits: gram, n, bits.  N-grams go by the power of two of their count, each power whole or not at all.
     """
-    power = F.when(F.length("word") <= LONGEST, F.floor(F.log2("n"))).otherwise(-1).cast("int")
-    share = dict(words.groupBy(power.alias("power")).agg(F.count("*").alias("words")).collect())
+    power = F.floor(F.log2("n")).cast("int")
+    share = dict(bits.groupBy(power.alias("power")).agg(F.count("*").alias("grams")).collect())
     room, least = HEAD // width, 64
-    for p in sorted((p for p in share if p >= 0), reverse=True):
+    for p in sorted(share, reverse=True):
         room -= share[p]
         if room < 0:
             break
         least = p
-    got = words.where(power >= least).select("word", "numbers").toArrow().combine_chunks()
-    table = unlisted(got["numbers"].combine_chunks(), width) if got.num_rows else np.zeros((0, width))
-    return got["word"].to_pylist(), table, got.num_rows == sum(share.values())
-
-
-def text_numbers(rows: DataFrame, words: DataFrame, width: int) -> DataFrame:
-    """doc_id, held_out, own, known and numbers (summed over its words) of each row (columns doc_id, held_out, own and text).
-
-    known: whether the text has a letter.
+    got = bits.where(power >= least).select("gram", "bits").toArrow().combine_chunks()
+    keys = got["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    table = unlisted(got["bits"].combine_chunks(), width)[order] if len(keys) else np.zeros((0, width))
+    return keys[order], table, len(keys) == sum(share.values())
+
+
+class Scorer:
+    """Sums the bits of texts' n-grams; keeps the words it has met.  keys, table: the common n-grams and their bits."""
+
+    def __init__(self, keys: np.ndarray, table: np.ndarray) -> None:
+        self.keys, self.bits = keys, np.concatenate([table, np.zeros((1, table.shape[1]))])
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rare: dict[int, list[int]] = {}
+        self.table = np.zeros((0, self.bits.shape[1] + 1))
+
+    def learn(self, new: list[str], first: int) -> None:
+        packed, sizes = grams(new)
+        at = np.searchsorted(self.keys, packed)
+        found = at < len(self.keys)
+        found[found] = self.keys[at[found]] == packed[found]
+        at[~found] = len(self.keys)
+        sums = np.add.reduceat(self.bits[at], np.cumsum(sizes) - sizes, axis=0)
+        self.table = np.concatenate([self.table, np.concatenate([sizes[:, None], sums], axis=1)])
+        of = np.repeat(np.arange(first, first + len(new)), sizes)
+        for word, gram in zip(of[~found].tolist(), packed[~found].view(np.int64).tolist(), strict=True):
+            self.rare.setdefault(word, []).append(gram)
+
+    def numbers(self, block: list[str]) -> tuple[np.ndarray, list[Counter]]:
+        """Of each text its characters (with end marks) and bits, and how often it has which n-grams that aren't common."""
+        if len(self.number) > KEPT:
+            self.clear()
+        number, new, at, words = self.number, [], [], []
+        for text in block:
+            found = text.lower().split()
+            words.append(len(found))
+            for w in found:
+                n = number.get(w)
+                if n is None:
+                    n = number[w] = len(number)
+                    new.append(w)
+                at.append(n)
+        if new:
+            self.learn(new, len(self.table))
+        at, words = np.array(at, np.int64), np.array(words, np.int64)
+        out, rest = np.zeros((len(block), self.table.shape[1])), [Counter() for _ in block]
+        some = np.flatnonzero(words)
+        if len(some):
+            out[some] = np.add.reduceat(self.table[at], (np.cumsum(words) - words)[some], axis=0)
+        if self.rare:
+            seldom = np.zeros(len(self.table), bool)
+            seldom[list(self.rare)] = True
+            hits = np.flatnonzero(seldom[at])
+            for text, word in zip(np.repeat(np.arange(len(block)), words)[hits].tolist(), at[hits].tolist(), strict=True):
+                rest[text].update(self.rare[word])
+        return out, rest
+
+
+def text_numbers(rows: DataFrame, bits: DataFrame, width: int) -> DataFrame:
+    """doc_id, held_out, own, known and numbers (characters, then bits) of each row (columns doc_id, held_out, own and text).
+
+    known: whether the text has a letter; bits: gram, n and as many bits as width of all n-grams of the texts.
     """
-    found, table, complete = common(words, width)
-    held = rows.sparkSession.sparkContext.broadcast((found, np.concatenate([table, np.zeros((1, width))])))
+    keys, table, complete = common(bits, width)
+    held = rows.sparkSession.sparkContext.broadcast((keys, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, table = {w: i for i, w in enumerate(held.value[0])}, held.value[1]
+        scorer = Scorer(*held.value)
         for batch in slices(batches):
-            block, at, sizes, rest = texts(column(batch, "text")), [], [], []
-            for text in block:
-                found = text.lower().split()
-                own = [number.get(w, -1) for w in found]  # the last row of the table holds zeros
-                rest.append(Counter(w for w, i in zip(found, own, strict=True) if i < 0) if -1 in own else {})
-                at += own
-                sizes.append(len(own))
-            sizes, sums = np.array(sizes, np.int64), np.zeros((len(block), width))
-            some = np.flatnonzero(sizes)
-            if len(some):
-                sums[some] = np.add.reduceat(table[np.array(at, np.int64)], (np.cumsum(sizes) - sizes)[some], axis=0)
+            block = texts(column(batch, "text"))
+            sums, rest = scorer.numbers(block)
             known = pa.array([any(map(str.isalpha, t)) for t in block], pa.bool_())
-            other = [pa.array([list(c) for c in rest], pa.list_(pa.string())), pa.array([list(c.values()) for c in map(dict, rest)], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "held_out", "own")), known, lists(sums), *other], ["doc_id", "held_out", "own", "known", "numbers", "words", "times"])
+            other = [pa.array([list(c) for c in rest], pa.list_(pa.int64())), pa.array([list(c.values()) for c in rest], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "held_out", "own")), known, lists(sums), *other], ["doc_id", "held_out", "own", "known", "numbers", "grams", "times"])
 
-    schema = "doc_id long, held_out boolean, own int, known boolean, numbers array<double>, words array<string>, times array<long>"
+    schema = "doc_id long, held_out boolean, own int, known boolean, numbers array<double>, grams array<long>, times array<long>"
     first = rows.select("doc_id", "held_out", "own", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     if complete:
-        return written(first.drop("words", "times", "row"), "langid-texts")[0]
+        return written(first.drop("grams", "times", "row"), "langid-texts")[0]
     first, path = written(first, "langid-parts")
-    pairs = first.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("pair")).select("row", F.col("pair.words").alias("word"), F.col("pair.times").alias("times"))
-    more = pairs.join(words.select("word", F.col("numbers").alias("more")), "word").groupBy("row").agg(summed("more", width, F.col("times")).alias("more"))
-    total = F.when(F.col("more").isNull(), F.col("numbers")).otherwise(F.zip_with("numbers", "more", lambda a, b: a + b))
+    pairs = first.where(F.size("grams") > 0).select("row", F.explode(F.arrays_zip("grams", "times")).alias("pair")).select("row", F.col("pair.grams").alias("gram"), F.col("pair.times").alias("times"))
+    more = pairs.join(bits.select("gram", "bits"), "gram").groupBy("row").agg(summed("bits", width, F.col("times")).alias("more"))
+    total = F.when(F.col("more").isNull(), F.col("numbers")).otherwise(F.zip_with("numbers", F.concat(F.array(F.lit(0.0)), "more"), lambda a, b: a + b))
     out, _ = written(first.join(more, "row", "left").select("doc_id", "held_out", "own", "known", total.alias("numbers")), "langid-texts")
     remove(rows.sparkSession, path)
     return out
@@ -312,16 +324,16 @@ def measured(docs: DataFrame, learn: Column, held_out: Column) -> tuple[list[str
     teach = F.coalesce(learn & F.col("lang").isNotNull() & F.col("text").isNotNull(), F.lit(False))
     back = teach & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(FOLDS)) == 0)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"), F.when(teach, F.col("lang")).alias("lang"), back.alias("back"))
-    counted, of_words = written(word_counts(rows), "langid-counts")
-    learnt, of_grams = written(gram_counts(counted), "langid-grams")
+    counted, of_counts = written(gram_counts(rows), "langid-counts")
+    learnt = counted.where(F.col("lang").isNotNull())
     names, every, fit = sides(learnt)
     if not names:
         return names, None
-    words, of_ids = written(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "langid-words")
-    numbers, of_bits = written(word_bits(words, learnt, names, every, fit), "langid-bits")
+    asked = counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    bits, of_bits = written(gram_bits(learnt, asked, names, every, fit), "langid-bits")
     place = F.array_position(F.lit(names), F.col("lang")).cast("int") - 1
-    out = text_numbers(rows.withColumn("own", F.when(F.col("back"), place).otherwise(-1)), numbers, 1 + 2 * len(names))
-    for path in (of_words, of_grams, of_ids, of_bits):
+    out = text_numbers(rows.withColumn("own", F.when(F.col("back"), place).otherwise(-1)), bits, 2 * len(names))
+    for path in (of_counts, of_bits):
         remove(spark, path)
     return names, out
 

@@ -10,7 +10,7 @@ from tests.conftest import TESTDATA
 def learned(rows):
     """Whole models by language: of all rows, and of those not held back."""
     rows = rows if "back" in rows.columns else rows.withColumn("back", F.lit(False))
-    counted = G.gram_counts(G.word_counts(rows)).cache()
+    counted = G.gram_counts(rows).cache()
     names, *both = G.sides(counted)
     found, out = counted.toPandas(), ({}, {})
     for into, side, c in zip(out, both, ("n", "fit"), strict=True):
@@ -134,11 +134,11 @@ def test_long_text(spark):
     assert {r.lang_pred for r in G.folded(docs).where("doc_id = 7").collect()} == {"de"}
 
 
-def test_words_beyond_the_common_ones(spark, monkeypatch):
-    """Rows are the same whether all words go to the workers, some, or none; n-grams in pieces give a whole model's bits."""
+def test_grams_beyond_the_common_ones(spark, monkeypatch):
+    """Rows are the same whether all n-grams go to the workers, some, or none; n-grams in pieces give a whole model's bits."""
     docs = spark.read.parquet(f"{TESTDATA}/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(-1, "x" * 300 + " the " + "y" * 100, None, "k", 0)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
     every = {r.doc_id: r for r in G.folded(docs).collect()}
-    for head in (0, 2000):
+    for head in (0, 20_000):
         monkeypatch.setattr(G, "HEAD", head)
         got = G.folded(docs).collect()
         assert len(got) == len(every)
@@ -147,9 +147,9 @@ def test_words_beyond_the_common_ones(spark, monkeypatch):
             assert (r.lang_pred, r.rejected, r.held_out) == (e.lang_pred, e.rejected, e.held_out) and abs(r.score - e.score) < 1e-9 and abs(r.cross_entropy - e.cross_entropy) < 1e-9
     rows = docs.where("lang is not null and text is not null").withColumn("back", F.lit(False))
     models, _ = learned(rows)
-    counted = G.gram_counts(G.word_counts(rows))
+    counted = G.gram_counts(rows)
     asked, _ = G.grams(["there", "zzz", "où", "ändern", "q"])
-    wanted = spark.createDataFrame([(int(g),) for g in np.unique(asked).view(np.int64)], "gram long")
+    wanted = spark.createDataFrame([(int(g), 1) for g in np.unique(asked).view(np.int64)], "gram long, n long")
     for r in G.gram_bits(counted, wanted, *G.sides(counted)).collect():
         whole = [m.bits(np.array([r.gram], np.int64).view(np.uint64))[0] for m in models.values()]
         assert np.allclose(r.bits, whole * 2, atol=1e-9)
