@@ -8,10 +8,9 @@ each of its bits with that bit wildcarded, an equality join on these variants
 finds all links, and bit_count verifies them.
 
 Work is done on distinct fingerprints, so exact copies cost nothing further.
-Buckets of two are settled by their minimum and maximum, buckets of up to
-``LIMIT`` are searched for components in one task.  The fingerprints of a larger
-bucket, of which each would be compared with thousands, are joined by equality
-too: a fingerprint within bits // 2 of a point links to all within the rest of
+Variants are shuffled once; buckets of up to ``LIMIT`` are searched for components
+in one task.  A larger bucket streams through it: its fingerprints, of which each
+would be compared with thousands, are joined by equality too: a fingerprint within bits // 2 of a point links to all within the rest of
 it, so each is dealt to the points about it (at three bits 65 and 2,081), however
 many there are, and meets the least fingerprint of each.  This loses no link and
 adds none, like the comparison that it stands for.
@@ -128,26 +127,47 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _runs(bits: int):
+def _runs(bits: int, limit: int):
+    """Edges (a, b) within buckets, from rows sorted by key; of a bucket above ``limit`` its members as a, b null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        key_held = None
+        key_held, size = None, 0
+
+        def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], ["a", "b"])
 
-        def settle(fps: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _forest(np.concatenate(fps), bits)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def settle() -> Iterator[pa.RecordBatch]:
+            if size > limit:
+                yield out(np.concatenate(held), None)
+            elif size > 1:
+                yield out(*_forest(np.concatenate(held), bits))
 
         for batch in batches:
             key, fp = (column(batch, c).to_numpy() for c in ("key", "fp"))
-            cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            for k, part in zip(key[np.append(0, cuts)].tolist() if len(key) else [], np.split(fp, cuts), strict=False):
-                if k != key_held and held:
-                    yield settle(held)
-                    held = []
-                key_held = k
-                held.append(part)
-        if held:
-            yield settle(held)
+            if not len(key):
+                continue
+            starts = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+            sizes = np.diff(np.append(starts, len(key)))
+            if key[0] == key_held:
+                held.append(fp[: sizes[0]])
+                size += int(sizes[0])
+                if size > limit:  # no more of it need be kept
+                    yield from settle()
+                    held = [fp[:0]]
+                starts, sizes = starts[1:], sizes[1:]
+            if not len(starts):
+                continue
+            yield from settle()
+            # Within the batch: pairs at once, the others one by one; the last may go on.
+            pair = starts[:-1][sizes[:-1] == 2]
+            pair = pair[np.bitwise_count((fp[pair] ^ fp[pair + 1]).view(np.uint64)) <= bits]
+            yield out(fp[pair + 1], fp[pair])
+            for i in np.flatnonzero(sizes[:-1] > 2).tolist():
+                held, size = [fp[starts[i] : starts[i] + sizes[i]]], int(sizes[i])
+                yield from settle()
+            key_held, held, size = key[-1], [fp[starts[-1] :].copy()], int(sizes[-1])
+        yield from settle()
 
     return run
 
@@ -157,14 +177,10 @@ def links(prints: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     # Dealt out by number first, since each row becomes many.
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = prints.repartition(parts, "fp").select("fp", F.explode(F.array(*variants(bits))).alias("key"))
-    buckets = checkpoint(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-    pairs = buckets.where(f"n = 2 and bit_count(a ^ b) <= {bits}").select("a", "b")
-    middle = keys.join(buckets.where(f"n > 2 and n <= {limit}").select("key"), "key", "left_semi")
-    middle = middle.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(bits), "a long, b long")
-    found = pairs.unionByName(middle)
-    if not buckets.where(f"n > {limit}").isEmpty():
-        hot = checkpoint(keys.join(buckets.where(f"n > {limit}").select("key"), "key", "left_semi").select("fp").distinct())
-        found = found.unionByName(_through_points(hot, bits))
+    met = checkpoint(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_runs(bits, limit), "a long, b long"))
+    found, hot = met.where("b is not null"), met.where("b is null")
+    if not hot.isEmpty():
+        found = found.unionByName(_through_points(checkpoint(hot.select(F.col("a").alias("fp")).distinct()), bits))
     return found.distinct()
 
 
