@@ -1,18 +1,21 @@
-"""Near-dedup of documents by five-word shingles: likeness of 0.8 by exact check.
+"""Near-dedup of documents by SimHash, and by an exact check of five-word shingles.
 
 Words are cut at ASCII white space, ASCII letters made small, as in operator 6.
-Documents are near if the Jaccard likeness of their sets of five-word shingles
-is at least ``LIKENESS``; a text of up to five words is one shingle.  Of each
-component of near documents that of the least doc_id, then text hash, stays.
-
-1. ``BANDS`` times ``ROWS`` minima a text; a pair at likeness 0.8 meets in no band
+Documents are near if, where asked for, operator 6 links their fingerprints
+(three-word shingles, 3 bits of 64), or if the Jaccard likeness of their sets of
+five-word shingles is at least ``LIKENESS``; a text of up to five words is one
+shingle.  Of each component of near documents that of the least doc_id, then text
+hash, stays.
+
+1. Fingerprints, and the links among them by operator 6's search (``simhash``).
+2. ``BANDS`` times ``ROWS`` minima a text; a pair at likeness 0.8 meets in no band
    with probability 0.000003, a pair at a higher one with less.
-2. The texts that meet in a band are a bucket, whose pairs are verified on the sets
+3. The texts that meet in a band are a bucket, whose pairs are verified on the sets
    themselves (``banding``).
-3. Union-find over the verified links.
+4. Union-find over the links of both kinds, so that chains may alternate.
 
-Operator 6's own search can't reach this likeness: at 0.8 some 10 of a SimHash's 64
-bits differ, and segments long enough to be selective seldom differ by one bit.
+SimHash alone doesn't reach this likeness: at 0.8 some 10 of its 64 bits differ, and
+segments long enough to be selective seldom differ by one bit.
 
 Texts of equal words are one text under one name (128 bits of hash).  Nulls,
 empty texts and texts of white space have no word and are copies of each other.
@@ -31,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .banding import filtered, joined, links
 from .common import checkpoint, column, named, of_rows, private, remove, slices, utf8, written
 from .components import components
@@ -95,11 +99,11 @@ def _normals(batch: pa.RecordBatch) -> list[bytes]:
     return [normal(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-_SEEN = "h1 long, h2 long, first struct<doc_id:bigint,th:bigint>, keys array<bigint>"
+_SEEN = "h1 long, h2 long, fp long, first struct<doc_id:bigint,th:bigint>, keys array<bigint>"
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, with the keys of those that have words; equal texts of a slice have them once."""
+    """A row for each text, with its fingerprint and the keys of those that have words; equal texts of a slice have these once."""
     for batch in slices(batches):
         block = _normals(batch)
         number: dict[bytes, int] = {}
@@ -113,10 +117,11 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys[full] = bands([x for x in sets if len(x)]).view(np.int64)
         counts = np.where(new & full[of], BANDS, 0)
         name = names(some)[of]
+        prints = simhash.fingerprints(some).view(np.int64)[of]
         first = pa.StructArray.from_arrays([column(batch, "doc_id"), column(batch, "th")], ["doc_id", "th"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(name[:, 0]), pa.array(name[:, 1]), first, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys[of[counts > 0]].ravel()))],
-            ["h1", "h2", "first", "keys"],
+            [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(prints), first, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys[of[counts > 0]].ravel()))],
+            ["h1", "h2", "fp", "first", "keys"],
         )
 
 
@@ -140,17 +145,26 @@ def near(items: list[bytes]) -> tuple[list[int], list[int], np.ndarray]:
     return joined(np.repeat(np.arange(len(items)), sizes), np.frombuffer(b"".join(items), "<u8"), len(items), LIKENESS)
 
 
-def representatives(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def _alike(prints: DataFrame) -> DataFrame:
+    """a, b: links from the names (h1, h2, distinct) of each component of fingerprints (fp) to its least name."""
+    linked = components(simhash.links(checkpoint(prints.select("fp").distinct()))).select(F.col("node").alias("fp"), F.col("component").alias("class"))
+    of = checkpoint(prints.join(linked, "fp", "left").select(F.struct("h1", "h2").alias("a"), F.coalesce("class", "fp").alias("class")))
+    least = checkpoint(of.groupBy("class").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1"))
+    return of.join(least, "class").where("a <> b").select("a", "b")
+
+
+def representatives(docs: DataFrame, limit: int = LIMIT, by_prints: bool = False) -> DataFrame:
     """One row of docs, all columns, for each component: that of the least doc_id, then text hash.
 
-    Nulls come first among ids; equal rows count as one.
+    Nulls come first among ids; equal rows count as one.  by_prints: operator 6's links join texts too.
     """
     rows = of_rows(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
     seen, path = written(rows.mapInArrow(_seen, _SEEN), "texts")
     found = links(seen.select("h1", "keys"), lambda held: rows.select("text").mapInArrow(_sought(held), "h1 long, h2 long, item binary"), near, limit)
-    of = components(found).select("node.h1", "node.h2", "component")
-    each = checkpoint(seen.groupBy("h1", "h2").agg(F.min("first").alias("k")).join(of, ["h1", "h2"], "left"))
+    texts = checkpoint(seen.groupBy("h1", "h2").agg(F.min("first").alias("k"), F.min("fp").alias("fp")))
     remove(docs.sparkSession, path)
+    of = components(found.unionByName(_alike(texts)) if by_prints else found).select("node.h1", "node.h2", "component")
+    each = checkpoint(texts.select("h1", "h2", "k").join(of, ["h1", "h2"], "left"))
     alone = each.where("component is null").select("k")
     joined_texts = each.where("component is not null").groupBy("component").agg(F.min("k").alias("k")).select("k")
     doc, text, th = private(docs, "kept_doc", "kept_th", "th")

@@ -59,3 +59,13 @@ def test_shingles():
     assert N.shingles(b"a b")[0] != N.shingles(b"b a")[0]
     assert len(N.shingles(b"a b c d e f a b c d e")) == 6
     assert not np.intersect1d(N.shingles(b"a b c d e"), N.shingles(b"a b c d f")).size
+
+
+def test_links_of_simhash(spark):
+    """Texts that operator 6 links though few of their five-word shingles are common, blank ones, and a chain of both kinds of link."""
+    loop = "one two three four five six seven eight nine ten eleven " * 60
+    tail = lambda c: " ".join(f"{c}{i}" for i in range(12))
+    rows = [(3, loop + tail("a")), (2, loop + tail("b")), (7, loop + tail("b") + " more"), (4, " ".join(f"w{i}" for i in range(90))), (5, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert N.joined(*map(np.array, zip(*[(i, int(x)) for i in (0, 1) for x in N.shingles(rows[i][1].encode()) >> np.uint64(1)], strict=True)), 2)[0] == []
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect()) == [2, 4, 5]
