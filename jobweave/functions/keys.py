@@ -74,3 +74,22 @@ def index(names: DataFrame, name: str = "name", open_start: Column | bool = Fals
 def kinds_of(index: DataFrame) -> list[str]:
     """The kinds of key that an index has, three at most."""
     return sorted(r.kind for r in index.select("kind").distinct().collect())
+
+
+#: Rows of an index that go out to all tasks; of a larger one go out bits of its keys, 2^BITS at most.
+SENT, BITS = 50_000, 26
+
+
+def meet(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """tokens (column key, and others) beside the rows of an index that have their key.
+
+    Most tokens have no name's key, and the commonest are in every text, so none is
+    shuffled before its key is known to be in the index, or to share a bit with one.
+    """
+    if index.count() <= SENT:
+        return tokens.join(F.broadcast(index), "key")
+    place = F.xxhash64("key").bitwiseAND(F.lit((1 << BITS) - 1))
+    word, at = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    bits = index.select(word.alias("_word"), at.alias("_at")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_bits"))
+    near = tokens.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.getbit("_bits", at) == 1).drop("_word", "_bits")
+    return near.join(index, "key")

@@ -101,19 +101,21 @@ def indexed_violations(docs: DataFrame, ontology: DataFrame, key: str = "doc_id"
     """key, position, and the fields of each violation, for a table of technologies (``ontology.read``).
 
     The same rows as ``violations`` gives for the table's entries, if keys don't
-    repeat.  Sentences with a year are kept once; their keys meet one key a name,
-    the rarest; names and sentences so met are compared by the name's pattern.
+    repeat.  The keys of sentences with a year meet one key a name, the rarest; names
+    and sentences so met are compared by the name's characters, then its pattern.
+    Only what may be met is shuffled, with its sentence.
     """
     sentences = docs.select(F.col(key).alias("_key"), F.explode(_dated(F.col(text))).alias("s")).select("_key", "s.*")
-    sentences = checkpoint(sentences.withColumn("id", F.monotonically_increasing_id()))
+    sentences = sentences.withColumn("id", F.monotonically_increasing_id())
     names = checkpoint(_names(ontology))
-    index = checkpoint(keys.index(names, "name_text", open_end=~F.col("name_text").rlike(patterns.ASCII)))
-    tokens = sentences.select("id", F.explode(keys.text_keys(F.col("text"), keys.kinds_of(index))).alias("key"))
-    met = tokens.join(index.select(F.col("name").alias("name_text"), "key"), "key").join(names, "name_text").select("id", "order", "entry", "pattern")
-    named = sentences.join(met, "id").where(F.rlike("text", F.col("pattern"))).dropDuplicates(["id", "order"])
+    index = keys.index(names, "name_text", open_end=~F.col("name_text").rlike(patterns.ASCII)).withColumnRenamed("name", "name_text")
+    index = checkpoint(index.join(names, "name_text").withColumn("low", keys.fold(F.col("name_text"))))
+    tokens = sentences.withColumn("key", F.explode(keys.text_keys(F.col("text"), keys.kinds_of(index))))
+    named = keys.meet(tokens, index).where(F.contains(keys.fold(F.col("text")), F.col("low"))).where(F.rlike("text", F.col("pattern")))
     said = F.struct("no", "text", "claimed", version_tokens(F.col("text")).alias("versions"))
-    found = named.select("_key", "no", "order", said.alias("s"), "entry").select("_key", "no", "order", F.posexplode(_judged(F.col("s"), F.col("entry"))).alias("n", "v"))
-    each = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("no", "order", "n", "v"))).alias("all"))
+    found = named.select("_key", "id", "no", "order", said.alias("s"), "entry").select("_key", "id", "no", "order", F.posexplode(_judged(F.col("s"), F.col("entry"))).alias("n", "v"))
+    # An entry that several of its names, or keys, find in a sentence counts once.
+    each = found.groupBy("_key").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("no", "order", "n", "id", "v")))).alias("all"))
     return each.select(F.col("_key").alias(key), F.posexplode("all").alias("position", "f")).select(key, "position", "f.v.*")
 
 
