@@ -34,18 +34,22 @@ def with_keywords(docs: DataFrame, words: DataFrame, text: str = "text", word: s
     A word can only match where its key is, so the pattern of a text's own
     candidates matches what the pattern of all words would, the longest word
     first.  Candidates are gathered by the text's hash, once for equal texts; texts
-    of one hash would share them, which changes nothing.
+    of one hash would share them, which changes nothing.  Where all candidates are
+    runs of ASCII letters and digits, and the text is ASCII, they are found as keys.
     """
     known = words.where(F.col(word).isNotNull() & (F.col(word) != "")).select(F.lower(word).alias("name")).distinct()
     index = checkpoint(keys.index(known))
-    tokens = docs.select(F.xxhash64(text).alias("_key"), F.explode(keys.text_keys(F.col(text), keys.kinds_of(index))).alias("key")).distinct()
+    tokens = docs.select(F.xxhash64(text).alias("_key"), F.explode(keys.text_keys(F.col(text), keys.kinds_of(index))).alias("key"))
     ranked = F.array_sort(F.collect_set(F.struct((-F.length("name")).alias("n"), F.col("name"))))
-    candidates = tokens.join(index, "key").groupBy("_key").agg(ranked.alias("_ranked"))
+    candidates = keys.meet(tokens, index).groupBy("_key").agg(ranked.alias("_ranked"))
     any_of = F.array_join(F.transform("_ranked", lambda w: patterns.quoted_of(w["name"])), "|")
     pattern = F.concat(F.lit("(?iu)(?<![a-zA-Z0-9])("), any_of, F.lit(")(?![a-zA-Z0-9])"))
     rows = docs.join(candidates, F.xxhash64(docs[text]) == F.col("_key"), "left")
     hits = F.regexp_extract_all(or_empty(F.col(text)), F.coalesce(pattern, F.lit(f"({patterns.NEVER})")), 1)
-    return rows.withColumn(out, F.array_sort(F.array_distinct(F.transform(hits, F.lower)))).drop("_key", "_ranked")
+    names = F.transform("_ranked", lambda w: w["name"])
+    plain = (F.octet_length(text) == F.length(text)) & F.forall(names, lambda n: n.rlike(r"\A[a-z0-9]+\z"))
+    found = F.when(F.col("_ranked").isNull(), F.array().cast("array<string>")).when(plain, F.array_sort(F.array_intersect(keys.text_keys(F.col(text)), names)))
+    return rows.withColumn(out, found.otherwise(F.array_sort(F.array_distinct(F.transform(hits, F.lower))))).drop("_key", "_ranked")
 
 
 def document_frequency(docs: DataFrame, words: Iterable[str] | DataFrame = TECH_KEYWORDS, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
