@@ -127,3 +127,32 @@ def test_categories_of_a_table(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, category string")
     assert list(of(many).values()).count(OTHER) == 1 and sorted(of(many).values()) == sorted([*(f"c{i - 3}" for i in range(10, 400, 13)), OTHER])
     assert set(of([]).values()) == {OTHER}
+
+
+def test_only_tokens_that_may_be_met_are_shuffled(spark, monkeypatch):
+    """Tokens of a small index meet it where they are, by a large one only those that share a bit with its keys go on; results agree."""
+    from jobweave.functions import keys
+    from jobweave.operators import audit, skills
+    from jobweave.operators.ontology import Tech
+
+    docs = spark.createDataFrame([(i, f"In 2001 we sold Tool {i % 7} and b-c v2.") for i in range(60)] + [(60, "in 2002 TOOL 3, Öl x")], "doc_id int, text string")
+    words = spark.createDataFrame([("tool",), ("we",), ("sold tool",), ("b-c",), ("öl",), ("x",)], "word string")
+    single = words.where("word in ('tool', 'we', 'x')")
+    techs = spark.range(5).select(F.format_string("Tool %d", "id").alias("name"), F.lit(2005).alias("released_year"), F.lit("").alias("category"), F.expr("map('2', 2003)").alias("versions"), F.expr("array(concat('tool ', id))").alias("aliases"), F.col("id").cast("int").alias("position"))
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    found = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent in (50_000, 0):
+            monkeypatch.setattr(keys, "SENT", sent)
+            frames = [audit.violations(docs, techs).drop("snippet"), skills.with_keywords(docs, words), skills.with_keywords(docs, single)]
+            found.append([sorted(map(str, f.collect())) for f in frames])
+            # The bits of a large index are met before the join by key.
+            assert all("BroadcastHashJoin [key" in plan(f) if sent else "BroadcastHashJoin [_word" in plan(f) for f in frames)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    entries = [Tech(f"Tool {i}", 2005, "", {"2": 2003}, (f"tool {i}",)) for i in range(5)]
+    assert found[0] == found[1] and found[0][0] == sorted(map(str, audit.violations(docs, entries).drop("snippet").collect()))
+    for f, asked in ((found[0][1], words), (found[0][2], single)):
+        list_of = [r.word for r in asked.collect()]
+        assert f == sorted(map(str, docs.select("doc_id", "text", T.find_keywords(F.col("text"), list_of).alias("skills")).collect()))
