@@ -14,7 +14,7 @@ all of them; carries are settled when the blocks end.
 A file is a Parquet folder of segments, so that any store Spark writes to will
 do: ``bucket`` and ``part`` order the segments, ``n_ids`` counts, ``payload`` is
 
-    magic JWT2 | documents, ids, block length, different ids (u32 each) | CRC-32 of what follows to the blocks
+    magic JWT3 | documents, ids, block length, different ids (u32 each) | CRC-32 of what follows to the blocks
     ids by falling count (u16 each) | eighths of the logarithm of their counts, base 2 (u8 each)
     doc_id (i64 each) | null flag (u8 each) | ids of each document (u32 each)
     for each block: words (u32), CRC-32 of its ids (u32)
@@ -45,17 +45,19 @@ from pyspark.sql.functions import col
 from .common import SLICE_BYTES, column, gather, of_rows, scratch, slices, utf8
 from .piecewise import in_order
 
-MAGIC = b"JWT2"
+MAGIC = b"JWT3"
 #: Ids of a block; blocks that are coded in lockstep; slots of a block for order 2.
 BLOCK, LANES, TABLE = 1024, 4096, 1024
 #: Cells of all tables of one kind that a worker holds.
-CELLS = 10_000_000
+CELLS = 6_000_000
 #: Sum of the counts that order 0 starts with; what an id adds; after how many ids they are summed anew.
 PRIOR, STEP, FRESH = 1 << 15, 24, 256
 #: Weights move by this power of two towards what came true.
 RATE = 5
 #: A character that is a token by itself.
 MARK = "|"
+#: The pattern of words for which a run of ASCII letters is one word.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Chunks of text that a worker keeps with their ids.
 KEPT = 400_000
 
@@ -66,107 +68,135 @@ class Model:
     The next id's interval is split by weights learnt in the block for each pair
     of confidences: the order-2 prediction's part, the order-1 prediction's, and
     the rest by order 0.  Order 0 starts from the segment's counts and adds the
-    block's own, summed anew at steps that double and then every ``FRESH`` ids.
+    block's own, at steps that double and then every ``FRESH`` ids; so the sum of
+    all counts is one number for all blocks, and counts are added a block at a time.
     """
 
     def __init__(self, m: int, prior: np.ndarray) -> None:
         d = self.d = len(prior)
-        self.rows = np.arange(m)
-        self.one, self.two, self.wide, self.mix = self.rows * d, self.rows * TABLE, self.rows * (d + 1), self.rows * 128
-        self.count = np.tile(prior.astype(np.int32), (m, 1))
+        rows = np.arange(m)
+        self.one, self.mix = rows * d, rows * 128
+        self.slots = np.stack([rows * TABLE, (m + rows) * TABLE])
+        self.count = np.empty((m, d), np.int32)
+        self.count[:] = prior
         self.weights = self.count.ravel()
-        self.upto = np.zeros((m, d + 1), np.int32)  # of the ids before each
-        self.flat, self.t = self.upto.ravel(), 0
-        self.sum()
-        # Slots hold an id (16 bits), its confidence (3), and in order 2 a check of the context (13).
-        self.seen = np.zeros(m * d, np.uint32), np.zeros(m * TABLE, np.uint32)
+        # Where each id's part ends; then every sixteenth of these, and so on until sixteen are left.
+        self.ends = [np.full((m, -(-d // 16) * 16), _PAD)]
+        while self.ends[-1].shape[1] > 16:
+            self.ends.append(np.full((m, -(-self.ends[-1].shape[1] // 256) * 16), _PAD))
+        self.rows = [rows * (e.shape[1] // 16) for e in self.ends]
+        self.t = 0
+        self.total = int(prior.sum())
+        self.ends[0][:, :d] = np.cumsum(prior)
+        self.coarser()
+        # Slots of order 1, then of order 2, hold an id (16 bits), its confidence (3) and a check of the context (12).
+        self.seen = np.zeros(2 * m * TABLE, np.int32)
         sure = np.arange(128) & 63
         first = np.minimum(700 + 420 * np.arange(8), 3500)
         second = np.where(sure >> 3 > 0, first[sure >> 3], 0)
         lesser = np.where((sure & 7 > 0) & (np.arange(128) < 64), first[sure & 7], 0)
-        self.trust = np.tile(second.astype(np.int64), m), np.tile(lesser.astype(np.int64), m)
+        # Both weights in one number: order 2's, and order 1's above it.
+        self.trust = np.tile((second | lesser << 12).astype(np.int32), m)
         self.last, self.before = np.zeros(m, np.int64), np.zeros(m, np.int64)
 
-    def sum(self) -> None:
-        np.cumsum(self.count, axis=1, out=self.upto[:, 1:])
+    def coarser(self) -> None:
+        for fine, coarse in zip(self.ends, self.ends[1:], strict=False):
+            coarse[:, : fine.shape[1] // 16] = fine[:, 15::16]
+
+    def due(self) -> bool:
+        return self.t % FRESH == 0 or self.t in (32, 64, 128)
+
+    def add(self, ids: np.ndarray) -> None:
+        """Add the ids since the last time, a row a step, to order 0."""
+        n = ids.shape[1]
+        np.add.at(self.weights, (ids.T + self.one[:n, None]).ravel(), np.int32(STEP))
+        np.cumsum(self.count, axis=1, out=self.ends[0][:, : self.d])
+        self.coarser()
+        self.total += STEP * len(ids)
+
+    def parts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ids, a row a step, begin in order 0, and how wide they are."""
+        n, row = ids.shape[1], 16 * self.rows[0]
+        wide = self.weights.take(ids.T + self.one[:n, None])
+        low = self.ends[0].ravel().take(ids.T + row[:n, None]) - wide
+        return np.ascontiguousarray(low.T), np.ascontiguousarray(wide.T)
 
     def predict(self, n: int) -> None:
         """Both predictions, and how 4096 parts are split."""
         last = self.last[:n]
         context = last * 0x9E3779B1 + self.before[:n] * 0x85EBCA77
-        self.at = self.one[:n] + last, self.two[:n] + (context >> 16 & TABLE - 1)
-        self.check = context >> 32 & 0x1FFF
-        met = self.met = self.seen[0].take(self.at[0]).astype(np.int64), self.seen[1].take(self.at[1]).astype(np.int64)
-        one, two = met[0] & 0xFFFF, met[1] & 0xFFFF
-        sure_one, sure_two = met[0] >> 16, np.where(met[1] >> 19 == self.check, met[1] >> 16 & 7, 0)
-        same = (one == two) & (sure_two > 0)
-        self.said, self.sure = (one, two), (sure_one, sure_two)
-        self.usable = (sure_one > 0) & ~same, sure_two > 0
-        self.place = self.mix[:n] + (sure_two << 3) + sure_one + (same << 6)
-        self.p = self.trust[0].take(self.place), self.trust[1].take(self.place)
-        self.first = self.p[0]
-        self.second = (4096 - self.first) * self.p[1] >> 12
-        self.rest = 4096 - self.first - self.second
-        self.total = self.flat.take(self.wide[:n] + self.d).astype(np.int64)
-        self.room = self.total << 12
-
-    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids lie among ``room``, and how wide."""
-        at = self.wide[: len(ids)] + ids
-        low = self.flat.take(at).astype(np.int64)
-        start = (self.first + self.second) * self.total + self.rest * low
-        size = self.rest * (self.flat.take(at + 1) - low)
-        one = np.flatnonzero((self.said[0] == ids) & self.usable[0] & (self.second > 0))
-        start[one] = (self.first * self.total)[one]
-        size[one] = (self.second * self.total)[one]
-        two = np.flatnonzero((self.said[1] == ids) & self.usable[1] & (self.first > 0))
-        start[two] = 0
-        size[two] = (self.first * self.total)[two]
-        return start, size
+        at, check = self.at, self.check = np.empty((2, n), np.int64), np.empty((2, n), np.int32)
+        np.bitwise_and(last, TABLE - 1, out=at[0])
+        check[0] = last >> _TABLE_BITS
+        np.bitwise_and(context >> 16, TABLE - 1, out=at[1])
+        check[1] = context >> 32
+        check[1] &= 0xFFF
+        at += self.slots[:, :n]
+        met = self.met = self.seen.take(at)
+        said = self.said = met & 0xFFFF
+        sure = self.sure = (met >> 16 & 7) * (met >> 19 == check)
+        named = self.named = sure > 0
+        same = (said[0] == said[1]) & named[1]
+        self.usable = named[0] & ~same
+        self.place = self.mix[:n] + ((sure[1] << 3) + sure[0] + (same.view(np.int8).astype(np.int32) << 6))
+        p = self.trust.take(self.place)
+        first, one = self.p = p & 0xFFF, p >> 12
+        second = (4096 - first) * one >> 12
+        self.rest = (4096 - first - second).astype(np.float64)
+        self.upper, self.middle = first * float(self.total), second * float(self.total)
+        self.both = self.upper + self.middle
+        self.room = 4096.0 * self.total
+
+    def span(self, ids: np.ndarray, low: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids lie among ``room``, and how wide, given their parts in order 0."""
+        one = (self.said[0] == ids) & self.usable & (self.middle > 0)
+        two = (self.said[1] == ids) & self.named[1] & (self.upper > 0)
+        start = np.where(one, self.upper, self.both + self.rest * low)
+        start *= ~two
+        return start, np.where(two, self.upper, np.where(one, self.middle, self.rest * wide))
 
     def find(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids that lie at these places, where they begin, and how wide they are."""
-        upper, both = self.first * self.total, (self.first + self.second) * self.total
-        two = at < upper
-        ids, start, size = np.where(two, self.said[1], self.said[0]), np.where(two, 0, upper), np.where(two, upper, both - upper)
-        some = np.flatnonzero(at >= both)
+        two = at < self.upper
+        ids, start, size = np.where(two, self.said[1], self.said[0]), self.upper * ~two, np.where(two, self.upper, self.middle)
+        some = np.flatnonzero(at >= self.both)
         if len(some):
-            x = (at[some] - both[some]) // self.rest[some]
-            row, found = self.wide[some], np.zeros(len(some), np.int64)
-            step = 1 << max(0, self.d.bit_length() - 1)
-            while step:
-                next_ = np.minimum(found + step, self.d)
-                found = np.where(self.flat.take(row + next_) <= x, next_, found)
-                step >>= 1
-            low = self.flat.take(row + found).astype(np.int64)
+            both, rest = self.both[some], self.rest[some]
+            x = ((at[some] - both) / rest).astype(np.int32)
+            found = np.zeros(len(some), np.int64)
+            for ends, rows in zip(self.ends[::-1], self.rows[::-1], strict=True):
+                # Of sixteen ends, how many are passed: eight truths a word, summed in its highest byte.
+                passed = (ends.reshape(-1, 16).take(rows[some] + found, axis=0) <= x[:, None]).view(np.uint64)
+                found = (found << 4) + ((passed[:, 0] + passed[:, 1]) * _ONES >> _56).view(np.int64)
+            wide = self.weights.take(self.one[some] + found)
+            low = self.ends[0].ravel().take(16 * self.rows[0][some] + found) - wide
             ids[some] = found
-            start[some] = both[some] + self.rest[some] * low
-            size[some] = self.rest[some] * (self.flat.take(row + found + 1) - low)
+            start[some] = both + rest * low
+            size[some] = rest * wide
         return ids, start, size
 
     def update(self, ids: np.ndarray) -> None:
         n = len(ids)
-        right = (self.said[0] == ids) & (self.sure[0] > 0), (self.said[1] == ids) & (self.sure[1] > 0)
+        sure, met = self.sure, self.met
+        right = (self.said == ids) & self.named
         two, one = self.p
-        self.trust[0][self.place] = two + ((4095 * right[1] - two) >> RATE)
-        self.trust[1][self.place] = np.where(right[1], one, one + ((4095 * (right[0] & self.usable[0]) - one) >> RATE))
-        for order in (0, 1):
-            met, sure = self.met[order], self.sure[order]
-            fresh = ids | 1 << 16
-            if order:
-                fresh |= self.check << 19
-            other = np.where(sure > 1, met - ((sure + 1 >> 1) << 16), fresh)
-            self.seen[order][self.at[order]] = np.where(right[order], met + ((sure < 7) << 16), other)
-        self.weights[self.one[:n] + ids] += STEP
-        self.before[:n], self.last[:n] = self.last[:n], ids
+        goal = right.view(np.int8).astype(np.int32) * 4095
+        two = two + ((goal[1] - two) >> RATE)
+        one = one + ((goal[0] * self.usable - one) >> RATE) * ~right[1]
+        self.trust[self.place] = two | one << 12
+        other = np.where(sure > 1, met - ((sure + 1 >> 1) << 16), self.check << 19 | (ids | 1 << 16))
+        self.seen[self.at] = np.where(right, met + ((sure < 7).view(np.int8).astype(np.int32) << 16), other)
+        self.before[:n] = self.last[:n]
+        self.last[:n] = ids
         self.t += 1
-        if self.t % FRESH == 0 or self.t in (32, 64, 128):
-            self.sum()
 
 
-_RENEW, _LOW = np.uint64(1 << 44), np.uint64((1 << 44) - 1)
-_FOUR = np.uint64(15)
-_4, _12, _16, _44 = np.uint64(4), np.uint64(12), np.uint64(16), np.uint64(44)
+_PAD, _ONES, _56 = np.int32(2**31 - 1), np.uint64(0x0101010101010101), np.uint64(56)
+_TABLE_BITS = TABLE.bit_length() - 1
+#: The coder's numbers are whole ones below 2^53 in float64: an interval is renewed below the first, a word lies above the second.
+_RENEW, _WORD, _SHIFT, _WHOLE = 2.0**36, 2.0**32, 2.0**16, 2.0**48
+#: Ids of a block at most; above, an interval could be narrower than the counts.
+_LONGEST = 1 << 19
 
 
 def _group(d: int) -> int:
@@ -182,34 +212,40 @@ def _prior(sizes: np.ndarray) -> np.ndarray:
 
 def _compress(ids: np.ndarray, block: int, prior: np.ndarray) -> list[np.ndarray]:
     m = -(-len(ids) // block)
-    tokens = np.zeros((m, block), np.int64)
+    tokens = np.zeros((m, block), np.int32)
     tokens.ravel()[: len(ids)] = ids
     steps = np.ascontiguousarray(tokens.T)
     tail = len(ids) - (m - 1) * block
     model = Model(m, prior)
-    low, wide = np.zeros(m, np.uint64), np.full(m, np.uint64(1 << 60))
-    out, used = np.zeros((m, 2 * block + 8), np.uint32), np.zeros(m, np.int64)
-
-    def emit(who: np.ndarray) -> None:
-        now = low[who]
-        out[who, used[who]] = now >> _44
-        used[who] += 1
-        low[who] = (now & _LOW) << _16
-
-    for t in range(block if m > 1 else tail):
+    low, wide = np.zeros(m), np.full(m, _WHOLE)
+    out = np.zeros((m, 2 * block + 8), np.uint32)
+    words, begins = out.ravel(), np.arange(m) * out.shape[1]
+    at = begins.copy()
+    n_steps, since = block if m > 1 else tail, 0
+    for t in range(n_steps):
+        if not t or model.due():
+            if t:
+                model.add(steps[since:t])
+            since, until = t, min(n_steps, next(i for i in (32, 64, 128, (t // FRESH + 1) * FRESH) if i > t))
+            low_0, wide_0 = model.parts(steps[t:until])
         n = m if t < tail else m - 1
         now = steps[t, :n]
         model.predict(n)
-        start, size = model.span(now)
-        r = wide[:n] // model.room.astype(np.uint64)
-        low[:n] += r * start.astype(np.uint64)
-        wide[:n] = r * size.astype(np.uint64)
+        start, size = model.span(now, low_0[t - since, :n], wide_0[t - since, :n])
+        r = np.floor(wide[:n] / model.room)
+        low[:n] += r * start
+        wide[:n] = size * r
         model.update(now)
         while len(who := np.flatnonzero(wide[:n] < _RENEW)):
-            emit(who)
-            wide[who] <<= _16
-    for _ in range(4):
-        emit(model.rows)
+            value, to = low[who], at[who]
+            word = np.floor(value / _WORD)
+            words[to] = word
+            at[who] = to + 1
+            low[who] = (value - word * _WORD) * _SHIFT
+            wide[who] *= _SHIFT
+    # A multiple of a word lies in every interval; the words after it are zero, and not written.
+    words[at] = np.ceil(low / _WORD)
+    used = at + 1 - begins
     for j in range(int(used.max()) - 1, 0, -1):  # carries
         out[:, j - 1] += out[:, j] >> np.uint32(16)
         out[:, j] &= np.uint32(0xFFFF)
@@ -218,41 +254,38 @@ def _compress(ids: np.ndarray, block: int, prior: np.ndarray) -> list[np.ndarray
 
 def _expand(words: np.ndarray, sizes: np.ndarray, count: int, block: int, prior: np.ndarray) -> np.ndarray:
     m = len(sizes)
-    words = np.append(words.astype(np.uint64), np.zeros(8, np.uint64))
-    ends = np.cumsum(sizes)
-    at = ends - sizes
-    # 60 bits are four words less four bits, which wait in ``left``.
-    code, left = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
-
-    def take(who: np.ndarray) -> None:
-        got = np.where(at[who] < ends[who], words[np.minimum(at[who], len(words) - 1)], np.uint64(0))
-        code[who] = (code[who] << _16) | (left[who] << _12) | (got >> _4)
-        left[who] = got & _FOUR
-        at[who] += 1
-
-    for _ in range(4):
-        take(np.arange(m))
+    held = np.zeros((m, max(3, int(sizes.max())) + 2), np.uint16)
+    held[np.arange(held.shape[1]) < sizes[:, None]] = words
+    held, at = held.ravel(), np.arange(m) * held.shape[1]
+    code = (held[at] * _WORD) + held[at + 1] * _SHIFT + held[at + 2]
+    at += 3
     tail = count - (m - 1) * block
-    model, wide = Model(m, prior), np.full(m, np.uint64(1 << 60))
-    out = np.zeros((block, m), np.int64)
+    model, wide = Model(m, prior), np.full(m, _WHOLE)
+    out, since = np.zeros((block, m), np.int32), 0
     for t in range(block if m > 1 else tail):
+        if t and model.due():
+            model.add(out[since:t])
+            since = t
         n = m if t < tail else m - 1
         model.predict(n)
-        room = model.room.astype(np.uint64)
-        r = wide[:n] // room
-        found, start, size = model.find(np.minimum((code[:n]) // r, room - np.uint64(1)).astype(np.int64))
-        code[:n] -= r * start.astype(np.uint64)
-        wide[:n] = r * size.astype(np.uint64)
+        r = np.floor(wide[:n] / model.room)
+        found, start, size = model.find(np.minimum(np.floor(code[:n] / r), model.room - 1))
+        code[:n] -= r * start
+        wide[:n] = size * r
         out[t, :n] = found
         model.update(found)
         while len(who := np.flatnonzero(wide[:n] < _RENEW)):
-            take(who)
-            wide[who] <<= _16
+            to = at[who]
+            code[who] = code[who] * _SHIFT + held.take(to, mode="clip")
+            at[who] = to + 1
+            wide[who] *= _SHIFT
     return out.T.ravel()[:count]
 
 
 def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[int]]:
     """The segment's table of ids, a byte of count for each, and for each block of ids its words and checksum."""
+    if block > _LONGEST:
+        raise ValueError(f"a block has {_LONGEST} ids at most")
     counts = np.bincount(ids)
     table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
     place = np.zeros(len(counts), np.int64)
@@ -308,9 +341,12 @@ class Tokens:
     """Ids of texts by a tokenizer of the tokenizers library that drops white space.
 
     Chunks between white space are tokenized once and kept; the result is as if
-    whole texts were, as its pattern has no match across white space.  Of chunks
+    whole texts were, as its pattern has no match across white space.  A full stop
+    or comma between an ASCII letter and white space, or the end, is a chunk of its
+    own, as no match holds a letter and one of these.  Of chunks
     in ASCII alone the lower-case form is kept, and goes to a tokenizer without
-    the normalizer, which has nothing to do there.  Chunks with ``<|`` stay as
+    the normalizer, which has nothing to do there, and of letters alone to one
+    without the pattern ``WORDS``, which finds them whole.  Chunks with ``<|`` stay as
     they are, since special tokens are matched before letters are lowered.
     """
 
@@ -321,23 +357,34 @@ class Tokens:
         parts = json.loads(definition)
         self.lowers = _lowers(parts.get("normalizer"))
         self.simple = Tokenizer.from_str(json.dumps({**parts, "normalizer": None})) if self.lowers else self.whole
+        bare = {**parts, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.bare = Tokenizer.from_str(json.dumps(bare)) if self.lowers and _by_words(parts.get("pre_tokenizer")) else self.simple
         (self.mark,) = self.whole.encode(MARK, add_special_tokens=False).ids
         self.end, self.printable = end, re.compile("[!-{}~]+").fullmatch  # without the mark
-        self.clear()
-
-    def clear(self) -> None:
         self.number = {"": 0, " ": 1}  # what is left of white space; the end of a text, which no chunk is
-        self.ids, self.starts, self.sizes = np.array([self.end], np.int64), np.array([0, 0]), np.array([0, 1])
+        self.ids, self.starts, self.sizes = np.array([end], np.int64), np.array([0, 0]), np.array([0, 1])
+        self.uses = np.full(2, KEPT)  # in how many blocks each chunk was met
+
+    def forget(self) -> None:
+        """Keep half as many chunks as may be kept, those that most blocks had."""
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT // 2])
+        chunks = np.array(list(self.number), object)[stay].tolist()
+        self.number = dict(zip(chunks, range(len(chunks)), strict=True))
+        sizes = self.sizes[stay]
+        self.ids = gather(self.ids, self.starts[stay], sizes)
+        self.starts, self.sizes, self.uses = np.cumsum(sizes) - sizes, sizes, self.uses[stay] >> 1
+        self.uses[:2] = KEPT
 
     def learn(self, new: list[str]) -> None:
         """Tokenize new chunks, many to a text, told apart by a mark that none of these holds."""
         ids, sizes = [], np.zeros(len(new), np.int64)
-        simple = [i for i, w in enumerate(new) if self.printable(w)]
-        rest = sorted(set(range(len(new))).difference(simple))
+        bare, simple, rest = [], [], []
+        for i, w in enumerate(new):
+            (rest if not self.printable(w) else bare if w.isalpha() else simple).append(i)
         plain = [i for i in rest if MARK not in new[i]]
         odd = [i for i in rest if MARK in new[i]]
         mark = f" {MARK} "
-        for tokenizer, of in ((self.simple, simple), (self.whole, plain)):
+        for tokenizer, of in ((self.bare, bare), (self.simple, simple), (self.whole, plain)):
             groups = [of[i : i + 256] for i in range(0, len(of), 256)]
             for group, e in zip(groups, tokenizer.encode_batch_fast([mark.join(new[i] for i in g) + mark for g in groups], add_special_tokens=False), strict=True):
                 flat = np.array(e.ids, np.int64)
@@ -347,35 +394,44 @@ class Tokens:
         for i, e in zip(odd, self.whole.encode_batch_fast([new[i] for i in odd], add_special_tokens=False), strict=True):
             sizes[i] = len(e.ids)
             ids.append(np.array(e.ids, np.int64))
-        order = np.array(simple + plain + odd, np.int64)
+        order = np.array(bare + simple + plain + odd, np.int64)
         starts = np.empty(len(new), np.int64)
         starts[order] = len(self.ids) + np.cumsum(sizes[order]) - sizes[order]
         self.starts, self.sizes, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, *ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def encode(self, block: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and how many each has."""
         if len(self.number) > KEPT:
-            self.clear()
+            self.forget()
         data, offsets = utf8(block)
         bound = np.zeros(len(data) + 1, bool)
         bound[1:] = _SPACE[data]
         bound[offsets] = True
+        stops = np.flatnonzero(_STOP[data])
+        stops = stops[bound[stops + 1] | _SPACE[data[np.minimum(stops + 1, len(data) - 1)]]]
+        bound[stops[_LETTER[data[stops - 1]]]] = True
         cut = np.flatnonzero(bound)
         pieces = pa.LargeStringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         chunks = pc.utf8_rtrim(pieces.dictionary, " \n\t\r")
         if self.lowers:
             free = pc.and_not(pc.string_is_ascii(chunks), pc.match_substring(chunks, "<|"))
             chunks = pc.if_else(free, pc.ascii_lower(chunks), chunks)
-        number, new, known = self.number, [], []
-        for w in chunks.to_pylist():
+        number, new = self.number, []
+        chunks = chunks.to_numpy(zero_copy_only=False)
+        known = list(map(number.get, chunks))
+        for i in [i for i, n in enumerate(known) if n is None]:
+            w = chunks[i]
             n = number.get(w)
             if n is None:
                 n = number[w] = len(number)
                 new.append(w)
-            known.append(n)
+            known[i] = n
         if new:
             self.learn(new)
-        at = np.array(known, np.int64)[pieces.indices.to_numpy()]
+        known = np.array(known, np.int64)
+        self.uses[known] += 1
+        at = known[pieces.indices.to_numpy()]
         words = np.searchsorted(cut, offsets[1:])
         at = np.insert(at, words, 1)
         sizes = self.sizes[at]
@@ -394,7 +450,8 @@ def _tokens(definition: str, end: int) -> Tokens:
     return _HELD[definition, end]
 
 
-_SPACE = np.isin(np.arange(256), list(b" \n\t\r"))
+_SPACE, _STOP = np.isin(np.arange(256), list(b" \n\t\r")), np.isin(np.arange(256), list(b".,"))
+_LETTER = np.isin(np.arange(256) | 32, np.arange(ord("a"), ord("z") + 1)) & (np.arange(256) < 128)
 
 
 def _lowers(normalizer: dict | None) -> bool:
@@ -404,6 +461,12 @@ def _lowers(normalizer: dict | None) -> bool:
     return any(s["type"] == "Lowercase" for s in steps) and all(s["type"] == "Lowercase" or idle(s) for s in steps)
 
 
+def _by_words(split: dict | None) -> bool:
+    """Whether a pre-tokenizer is ``WORDS`` and then bytes as characters, which leaves ASCII letters as they are."""
+    steps = split.get("pretokenizers", []) if split else []
+    return [(s["type"], s.get("pattern"), s.get("behavior"), s.get("invert"), s.get("add_prefix_space"), s.get("use_regex")) for s in steps] == [("Split", {"Regex": WORDS}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+
+
 def write(docs: DataFrame, definition: str, path: str, end: int = 2, block: int = BLOCK, lanes: int = LANES) -> None:
     """Write the ids of all documents, in ascending doc_id order, to path."""
     held = docs.sparkSession.sparkContext.broadcast(definition)

@@ -103,3 +103,32 @@ def test_positions_over_many_segments(spark, definition, tmp_path):
     for r in K.positions(spark, path).orderBy("doc_id").collect():
         assert r.start == at
         at += r.n_tokens
+
+
+def test_common_chunks_stay(definition, monkeypatch):
+    """When the kept chunks grow too many, those of most blocks stay; a stop after a word makes no new chunk."""
+    monkeypatch.setattr(K, "KEPT", 40)
+    library, tokens, learnt = Tokenizer.from_str(definition), K.Tokens(definition, 2), []
+    learn = tokens.learn
+    monkeypatch.setattr(tokens, "learn", lambda new: (learnt.append(new), learn(new)))
+    for k in range(20):
+        texts = [f"Common words, stay common. x{k}y{k} a.b I'S, 1. é. <|endoftext|>. A, " + " ".join(f"rare{k}q{i}" for i in range(12)), "common.", ".", ", words", None]
+        ids, sizes = tokens.encode(pa.array(texts))
+        expected = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(expected, []) and sizes.tolist() == [len(e) for e in expected]
+    for chunk in ("common", "words", "stay", ",", "."):
+        assert sum(new.count(chunk) for new in learnt) == 1
+    assert not {"common.", "words,"} & {w for new in learnt for w in new} and len(tokens.number) < 80
+
+
+def test_many_ids_and_long_blocks():
+    """All 65,536 ids, up to four levels of sixteen; a block ends in a word of its own, not in four."""
+    rng = np.random.default_rng(8)
+    for d, n, block in ((65536, 40_000, 2048), (257, 5000, 1024), (16, 3000, 700), (17, 40, 1024)):
+        ids = np.concatenate([rng.permutation(d), rng.integers(0, d, n)])
+        table, counts, words, sums = K.compress(ids, block)
+        sizes = np.array([len(w) for w in words])
+        assert (K.expand(table, counts, np.concatenate(words), sizes, np.array(sums), len(ids), block) == ids).all()
+    assert len(K._compress(np.zeros(1, np.int64), 1024, np.ones(1, np.int64))[0]) == 1
+    with pytest.raises(ValueError, match="block"):
+        K.compress(np.zeros(3, np.int64), 1 << 20)
