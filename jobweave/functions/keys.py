@@ -51,11 +51,21 @@ def text_keys(text: Column, kinds: Iterable[str] = (RUN,)) -> Column:
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *(_found(folded, k) for k in kinds)))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by a shuffle and not through the driver.
+
+    Spark takes a table to be as small as its compressed file, whatever columns and
+    rows are made of it, and would send out millions of names.
+    """
+    return rows.hint("merge")
+
+
 def index(names: DataFrame, name: str = "name", open_start: Column | bool = False, open_end: Column | bool = False) -> DataFrame:
     """name, key, kind: one key for each distinct name, the one that fewest names share.
 
     open_start, open_end: at that end of the name letters and digits may go on, so
-    that a run there need not be whole in a text.  Null and empty names go.
+    that a run there need not be whole in a text.  Null and empty names go.  No
+    names pass through the driver, however small their file is.
     """
     flag = lambda f: f if isinstance(f, Column) else F.lit(f)
     folded = F.col("folded")
@@ -68,7 +78,7 @@ def index(names: DataFrame, name: str = "name", open_start: Column | bool = Fals
     each = rows.select("name", "kind", F.explode(F.array_distinct(keys)).alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("n"))
     best = F.min_by(F.struct("key", "kind"), F.struct("n", -F.length("key"), "key")).alias("best")
-    return each.join(shared, "key").groupBy("name").agg(best).select("name", "best.key", "best.kind")
+    return each.join(shuffled(shared), "key").groupBy("name").agg(best).select("name", "best.key", "best.kind")
 
 
 def kinds_of(index: DataFrame) -> list[str]:
@@ -92,4 +102,4 @@ def meet(tokens: DataFrame, index: DataFrame) -> DataFrame:
     word, at = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
     bits = index.select(word.alias("_word"), at.alias("_at")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _at))").alias("_bits"))
     near = tokens.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.getbit("_bits", at) == 1).drop("_word", "_bits")
-    return near.join(index, "key")
+    return near.join(shuffled(index), "key")

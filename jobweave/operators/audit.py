@@ -109,7 +109,7 @@ def indexed_violations(docs: DataFrame, ontology: DataFrame, key: str = "doc_id"
     sentences = sentences.withColumn("id", F.monotonically_increasing_id())
     names = checkpoint(_names(ontology))
     index = keys.index(names, "name_text", open_end=~F.col("name_text").rlike(patterns.ASCII)).withColumnRenamed("name", "name_text")
-    index = checkpoint(index.join(names, "name_text").withColumn("low", keys.fold(F.col("name_text"))))
+    index = checkpoint(index.join(keys.shuffled(names), "name_text").withColumn("low", keys.fold(F.col("name_text"))))
     tokens = sentences.withColumn("key", F.explode(keys.text_keys(F.col("text"), keys.kinds_of(index))))
     named = keys.meet(tokens, index).where(F.contains(keys.fold(F.col("text")), F.col("low"))).where(F.rlike("text", F.col("pattern")))
     said = F.struct("no", "text", "claimed", version_tokens(F.col("text")).alias("versions"))

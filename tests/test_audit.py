@@ -119,6 +119,23 @@ def test_hundred_thousand_technologies(spark):
         ontology.entries(table)
 
 
+def test_names_do_not_pass_through_the_driver(spark, tmp_path):
+    """Names from a small file take many times its size, so no join sends them out; what goes out of a large index is its bits."""
+    from jobweave.functions import keys
+
+    spark.range(30_000).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    aliases = F.array(F.concat(F.col("id").cast("string"), F.lit("번 도구")))
+    table = spark.read.parquet(f"{tmp_path}/ids").select(F.format_string("Tool %05d", "id").alias("name"), F.lit(2005).alias("released_year"), F.lit("").alias("category"), F.create_map(F.lit("2"), F.lit(2003)).alias("versions"), aliases.alias("aliases"), F.col("id").cast("int").alias("position"))
+    assert "Broadcast" not in keys.index(table.select("name"))._jdf.queryExecution().sparkPlan().toString()
+    docs = spark.createDataFrame([(0, "In 2001 we sold Tool 00012."), (1, "2004년 29999번 도구를 v2."), (2, "In 2001 we sold Tool 30000.")], "doc_id int, text string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "8m")
+    try:
+        found = audit.violations(docs, table).select("doc_id", "tech", "kind").collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(map(tuple, found)) == [(0, "Tool 00012", "release_year"), (1, "Tool 29999", "release_year")]
+
+
 def test_no_ontology(spark):
     assert audit.violations(spark.createDataFrame([(1, "2010년 Docker")], "doc_id int, text string"), []).count() == 0
 
