@@ -26,9 +26,10 @@ def categorized(rows: DataFrame, rules: DataFrame, raw: str = "category", out: s
     ascii_only = F.col("pattern").rlike(patterns.ASCII)
     known = rules.where("pattern is not null and pattern <> ''").groupBy("pattern").agg(F.min_by("category", "position").alias("category"), F.min("position").alias("position"))
     known = checkpoint(known.withColumn("open", ~ascii_only))
-    index = checkpoint(keys.index(known, "pattern", F.col("pattern").rlike("[^\\x00-\\x7f]"), F.col("pattern").rlike("[^\\x00-\\x7f]")))
+    index = keys.index(known, "pattern", F.col("pattern").rlike("[^\\x00-\\x7f]"), F.col("pattern").rlike("[^\\x00-\\x7f]")).withColumnRenamed("name", "pattern")
+    index = checkpoint(index.join(keys.shuffled(known), "pattern"))
     texts = rows.select(F.col(raw).alias("_raw")).where(F.col(raw).isNotNull() & (F.col(raw) != "")).distinct()
-    met = texts.select("_raw", F.explode(keys.text_keys(F.col("_raw"), keys.kinds_of(index))).alias("key")).join(index.withColumnRenamed("name", "pattern"), "key").join(known, "pattern")
+    met = keys.meet(texts.select("_raw", F.explode(keys.text_keys(F.col("_raw"), keys.kinds_of(index))).alias("key")), index)
     word = F.concat(F.lit("(?iu)(?<![a-z0-9])"), patterns.quoted_of(F.lower("pattern")), F.lit("(?![a-z0-9])"))
     fits = F.when(F.col("open"), F.contains(F.lower("_raw"), F.lower("pattern"))).otherwise(F.rlike("_raw", word))
     first = met.where(fits).groupBy("_raw").agg(F.min_by("category", "position").alias("_category"))

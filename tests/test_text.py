@@ -129,6 +129,26 @@ def test_categories_of_a_table(spark):
     assert set(of([]).values()) == {OTHER}
 
 
+def test_rules_do_not_pass_through_the_driver(spark, tmp_path):
+    """Rules from a small file take many times its size, so no join sends them out."""
+    from jobweave.functions.vocabulary import OTHER, UNCATEGORIZED
+    from jobweave.operators import categories
+
+    spark.range(60_000).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    rules = spark.read.parquet(f"{tmp_path}/ids").select(F.col("id").alias("position"), F.format_string("a category of its own, %05d", "id").alias("category"), F.format_string("a job of its own, %05d", "id").alias("pattern"))
+    rows = spark.createDataFrame([(0, "A job of its own, 00012!"), (1, "a job of its own, 60000"), (2, "")], "i int, category string")
+    # Not the size that is known once rows are shuffled counts here, but what Spark takes a table for before.
+    limits = {"spark.sql.maxBroadcastTableSize": "8m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        found = categories.categorized(rows, rules).orderBy("i").collect()
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert [r.normalized for r in found] == ["a category of its own, 00012", OTHER, UNCATEGORIZED]
+
+
 def test_only_tokens_that_may_be_met_are_shuffled(spark, monkeypatch):
     """Tokens of a small index meet it where they are, by a large one only those that share a bit with its keys go on; results agree."""
     from jobweave.functions import keys
