@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN, PAIR, SINGLE = "run", "pair", "single"
@@ -51,6 +51,10 @@ def text_keys(text: Column, kinds: Iterable[str] = (RUN,)) -> Column:
     return F.array_distinct(F.concat(F.array().cast("array<string>"), *(_found(folded, k) for k in kinds)))
 
 
+#: Parts of the names that share a key.
+PARTS = 64
+
+
 def shuffled(rows: DataFrame) -> DataFrame:
     """rows, to be joined by a shuffle and not through the driver.
 
@@ -76,9 +80,11 @@ def index(names: DataFrame, name: str = "name", open_start: Column | bool = Fals
     rows = rows.withColumn("kind", kind)
     keys = F.when(F.col("kind") == RUN, _found(F.col("folded"), RUN)).when(F.col("kind") == PAIR, _found(F.col("folded"), PAIR)).otherwise(_found(F.col("folded"), SINGLE))
     each = rows.select("name", "kind", F.explode(F.array_distinct(keys)).alias("key"))
-    shared = each.groupBy("key").agg(F.count("*").alias("n"))
+    # A key that all names share is dealt out in parts by name, and counted as a whole from their counts.
+    each = each.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(PARTS)))
+    shared = each.groupBy("key", "part").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(Window.partitionBy("key")))
     best = F.min_by(F.struct("key", "kind"), F.struct("n", -F.length("key"), "key")).alias("best")
-    return each.join(shuffled(shared), "key").groupBy("name").agg(best).select("name", "best.key", "best.kind")
+    return each.join(shuffled(shared), ["key", "part"]).groupBy("name").agg(best).select("name", "best.key", "best.kind")
 
 
 def kinds_of(index: DataFrame) -> list[str]:

@@ -136,6 +136,24 @@ def test_names_do_not_pass_through_the_driver(spark, tmp_path):
     assert sorted(map(tuple, found)) == [(0, "Tool 00012", "release_year"), (1, "Tool 29999", "release_year")]
 
 
+def test_a_key_of_all_names_is_dealt_out(spark):
+    """No task of the index's join reads all names for a word that all of them have."""
+    from jobweave.functions import keys
+
+    names = spark.range(4_000).select(F.concat(F.lit("tool "), F.col("id").cast("string")).alias("name"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        index = keys.index(names)
+        assert {(r.name, r.key) for r in index.collect()} == {(f"tool {i}", str(i)) for i in range(4_000)}
+        plan = index._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    # Both sides are dealt by key and part.
+    assert sum("hashpartitioning(key#" in x and "part#" in x for x in plan.splitlines()) >= 2
+
+
 def test_no_ontology(spark):
     assert audit.violations(spark.createDataFrame([(1, "2010년 Docker")], "doc_id int, text string"), []).count() == 0
 
